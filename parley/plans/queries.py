@@ -188,3 +188,76 @@ def q_report(spark, sf_dir):
     pre = prepared(spark, sf_dir)
     feats = TR.session_tiers(pre, P.LEXICON)
     return R.build_reports(S.session_text(pre, out="summary"), feats, "summary", P.SECTION_RULES, P.FALLBACK)
+
+
+# ---------------------------------------------------------------- phase 3: segmentation
+
+from ..operators import segment as G  # noqa: E402
+
+
+def segmented(spark, sf_dir, threshold=P.SEGMENT_THRESHOLD):
+    return G.segment_sessions(prepared(spark, sf_dir), threshold)
+
+
+@register("session_tfidf",
+          f"WITH {Q.utt_cte()}, {Q.tfidf_ctes()} SELECT session_id, turn, term, round(w, 6) AS weight FROM wt")
+def q_tfidf(spark, sf_dir):
+    return G.tfidf(prepared(spark, sf_dir)).withColumn("weight", r6("weight"))
+
+
+@register("adjacent_similarity",
+          f"WITH {Q.utt_cte()}, {Q.similarity_ctes()} SELECT session_id, turn, round(similarity, 6) AS similarity FROM sim")
+def q_similarity(spark, sf_dir):
+    return G.adjacent_similarity(prepared(spark, sf_dir)).withColumn("similarity", r6("similarity"))
+
+
+@register("segment_sessions",
+          f"WITH {Q.utt_cte()}, {Q.segment_ctes(P.SEGMENT_THRESHOLD)} SELECT session_id, turn, segment_id FROM seg")
+def q_segments(spark, sf_dir):
+    return segmented(spark, sf_dir).select("session_id", "turn", "segment_id")
+
+
+@register("segment_sessions_default",
+          f"WITH {Q.utt_cte()}, {Q.segment_ctes(0.75)} SELECT session_id, turn, segment_id FROM seg")
+def q_segments_default(spark, sf_dir):
+    return segmented(spark, sf_dir, 0.75).select("session_id", "turn", "segment_id")
+
+
+@register("segment_text",
+          f"WITH {Q.utt_cte()}, {Q.segment_ctes(P.SEGMENT_THRESHOLD)} SELECT session_id, segment_id, "
+          "string_agg(clean_text, ' ' ORDER BY turn) AS segment_text FROM seg GROUP BY session_id, segment_id")
+def q_segment_text(spark, sf_dir):
+    return G.segment_text(segmented(spark, sf_dir))
+
+
+@register("top_terms",
+          f"WITH {Q.utt_cte()}, {Q.top_terms_ctes(P.SEGMENT_THRESHOLD)} SELECT * FROM tt")
+def q_top_terms(spark, sf_dir):
+    return G.top_terms(segmented(spark, sf_dir))
+
+
+def _prompt_sql() -> str:
+    return (f"WITH {Q.utt_cte()}, {Q.top_terms_ctes(P.SEGMENT_THRESHOLD)}, {Q.role_text_cte()}, "
+            "tp AS (SELECT session_id, segment_id, string_agg(term, ', ' ORDER BY rank) AS words FROM tt "
+            "GROUP BY session_id, segment_id), "
+            "tp3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY segment_id) AS r "
+            "FROM tp) WHERE r <= 3), "
+            "topics AS (SELECT session_id, string_agg(words, '; ' ORDER BY segment_id) AS topics FROM tp3 "
+            "GROUP BY session_id), "
+            "head AS (SELECT session_id, substr(string_agg(clean_text, ' ' ORDER BY turn), 1, 3000) AS head "
+            "FROM utt GROUP BY session_id), "
+            f"t AS (SELECT session_id, {Q.tier_label(Q.lexicon_case('combined_text'))} AS tier_label FROM rt) "
+            "SELECT h.session_id, 'summarize counseling session: [emotional_intensity: ' || "
+            "coalesce(t.tier_label, 'Unknown') || '] [main_topics: ' || coalesce(tp.topics, '') || "
+            "'] [transcript: ' || h.head || ']' AS prompt "
+            "FROM head h LEFT JOIN t ON h.session_id = t.session_id "
+            "LEFT JOIN topics tp ON h.session_id = tp.session_id")
+
+
+@register("build_prompt", _prompt_sql())
+def q_prompt(spark, sf_dir):
+    pre = prepared(spark, sf_dir)
+    seg = G.segment_sessions(pre, P.SEGMENT_THRESHOLD)
+    topics = G.segment_topics(G.top_terms(seg), n_topics=3)
+    feats = TR.session_tiers(pre, P.LEXICON).join(topics, "session_id", "left")
+    return S.build_prompts(pre, feats)

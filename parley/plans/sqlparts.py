@@ -79,3 +79,53 @@ def role_text_cte() -> str:
 
 def session_text_cte(name: str = "st", col: str = "session_text") -> str:
     return f"{name} AS (SELECT session_id, string_agg(clean_text, ' ' ORDER BY turn) AS {col} FROM utt GROUP BY session_id)"
+
+
+def stop_words_sql() -> str:
+    return sql_list(D.spark_english_stop_words())
+
+
+def tfidf_ctes(max_features: int = D.TFIDF_MAX_FEATURES) -> str:
+    """``tc`` term counts, ``voc`` capped vocabulary, ``wt`` L2-normalised weights."""
+    return (
+        "tok AS (SELECT session_id, turn, unnest(regexp_extract_all(clean_text, '\\b\\w\\w+\\b')) AS term FROM utt), "
+        f"tc AS (SELECT session_id, turn, term, count(*) AS tf FROM tok WHERE NOT list_contains({stop_words_sql()}, term) "
+        "GROUP BY session_id, turn, term), "
+        "voc0 AS (SELECT session_id, term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY session_id, term), "
+        "voc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY total DESC, term) AS rk "
+        f"FROM voc0) WHERE rk <= {max_features}), "
+        "nd AS (SELECT session_id, count(*) AS n FROM utt GROUP BY session_id), "
+        "raw AS (SELECT tc.session_id, tc.turn, tc.term, tc.tf * (ln((nd.n + 1.0) / (voc.df + 1.0)) + 1.0) AS raw "
+        "FROM tc JOIN voc ON tc.session_id = voc.session_id AND tc.term = voc.term "
+        "JOIN nd ON tc.session_id = nd.session_id), "
+        "wt AS (SELECT session_id, turn, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY session_id, turn)) AS w "
+        "FROM raw)")
+
+
+def similarity_ctes() -> str:
+    return (tfidf_ctes() + ", "
+            "dots AS (SELECT a.session_id, a.turn, sum(a.w * b.w) AS dot FROM wt a JOIN wt b "
+            "ON a.session_id = b.session_id AND a.term = b.term AND b.turn = a.turn - 1 GROUP BY a.session_id, a.turn), "
+            "sim AS (SELECT u.session_id, u.turn, coalesce(d.dot, 0.0) AS similarity FROM utt u "
+            "JOIN utt p ON p.session_id = u.session_id AND p.turn = u.turn - 1 "
+            "LEFT JOIN dots d ON d.session_id = u.session_id AND d.turn = u.turn)")
+
+
+def segment_ctes(threshold: float) -> str:
+    return (similarity_ctes() + ", "
+            "seg AS (SELECT u.session_id, u.turn, u.clean_text, CAST(sum(CASE WHEN s.similarity < "
+            f"{threshold!r} THEN 1 ELSE 0 END) OVER (PARTITION BY u.session_id ORDER BY u.turn "
+            "ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment_id "
+            "FROM utt u LEFT JOIN sim s ON s.session_id = u.session_id AND s.turn = u.turn)")
+
+
+def top_terms_ctes(threshold: float, k: int = D.TOPIC_WORDS, max_features: int = D.COUNT_MAX_FEATURES) -> str:
+    return (segment_ctes(threshold) + ", "
+            "cvoc AS (SELECT * FROM (SELECT session_id, term, row_number() OVER (PARTITION BY session_id "
+            f"ORDER BY total DESC, term) AS rk FROM voc0) WHERE rk <= {max_features}), "
+            "sc AS (SELECT tc.session_id, seg.segment_id, tc.term, sum(tc.tf) AS n FROM tc "
+            "JOIN cvoc ON tc.session_id = cvoc.session_id AND tc.term = cvoc.term "
+            "JOIN seg ON tc.session_id = seg.session_id AND tc.turn = seg.turn "
+            "GROUP BY tc.session_id, seg.segment_id, tc.term), "
+            "tt AS (SELECT * FROM (SELECT session_id, segment_id, CAST(row_number() OVER (PARTITION BY session_id, "
+            f"segment_id ORDER BY n DESC, term) AS INTEGER) AS rank, term, n FROM sc) WHERE rank <= {k})")
