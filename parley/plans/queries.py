@@ -261,3 +261,160 @@ def q_prompt(spark, sf_dir):
     topics = G.segment_topics(G.top_terms(seg), n_topics=3)
     feats = TR.session_tiers(pre, P.LEXICON).join(topics, "session_id", "left")
     return S.build_prompts(pre, feats)
+
+
+# ---------------------------------------------------------------- phase 4: evaluation
+
+from ..operators import evaluate as EV  # noqa: E402
+
+# Stand-in "models" for the comparison: the first turn of a role is the
+# prediction; the last assistant turn is the reference.
+LIVE_MODELS = {"T5-Base (Proposed)": "assistant", "TF-IDF TextRank": "user"}
+
+
+def rouge_pairs(spark, sf_dir):
+    u = TD.utterances(spark, sf_dir).filter(F.col("speaker") == "assistant")
+    return u.groupBy("session_id").agg(F.min_by("utterance", "turn").alias("candidate"),
+                                       F.max_by("utterance", "turn").alias("reference"))
+
+
+def _rounded(df, cols=("precision", "recall", "f1")):
+    for c in cols:
+        df = df.withColumn(c, r6(c))
+    return df
+
+
+@register("rouge_1", f"WITH {Q.rouge_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
+          f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_n_select(1)}")
+def q_rouge1(spark, sf_dir):
+    return _rounded(EV.rouge_n(rouge_pairs(spark, sf_dir), 1))
+
+
+@register("rouge_2", f"WITH {Q.rouge_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
+          f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_n_select(2)}")
+def q_rouge2(spark, sf_dir):
+    return _rounded(EV.rouge_n(rouge_pairs(spark, sf_dir), 2))
+
+
+@register("rouge_l")
+def q_rougel(spark, sf_dir):
+    return _rounded(EV.rouge_l(rouge_pairs(spark, sf_dir)))
+
+
+def model_predictions(spark, sf_dir):
+    u = TD.utterances(spark, sf_dir)
+    parts = None
+    for model, role in LIVE_MODELS.items():
+        p = (u.filter(F.col("speaker") == role).groupBy("session_id")
+             .agg(F.min_by("utterance", "turn").alias("prediction")).withColumn("model", F.lit(model)))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts
+
+
+def model_references(spark, sf_dir):
+    return rouge_pairs(spark, sf_dir).select("session_id", F.col("reference"))
+
+
+def _models_sql() -> str:
+    preds = " UNION ALL ".join(
+        f"SELECT {Q.lit(m)} AS model, conv_id AS session_id, arg_min(text, turn) AS candidate FROM conversations "
+        f"WHERE role = {Q.lit(r)} GROUP BY conv_id" for m, r in LIVE_MODELS.items())
+    return (f"{Q.rouge_pairs_cte()}, preds AS ({preds}), "
+            "mp AS (SELECT p.model, p.session_id, p.candidate, r.reference FROM preds p "
+            "JOIN pairs r ON p.session_id = r.session_id), "
+            f"s1 AS (SELECT 'ROUGE-1' AS metric, * FROM {Q.rouge_n_select(1, 'mp', 'model, session_id')}), "
+            f"s2 AS (SELECT 'ROUGE-2' AS metric, * FROM {Q.rouge_n_select(2, 'mp', 'model, session_id')}), "
+            "live AS (SELECT model, metric, round(avg(f1) * 100, 1) AS value, count(*) AS n_pairs "
+            "FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY model, metric)")
+
+
+@register("model_comparison", f"WITH {_models_sql()} SELECT model, metric, value, n_pairs FROM live")
+def q_models(spark, sf_dir):
+    return EV.evaluate_models(model_references(spark, sf_dir), model_predictions(spark, sf_dir),
+                              metrics=("ROUGE-1", "ROUGE-2"))
+
+
+@register("model_comparison_lcs")
+def q_models_lcs(spark, sf_dir):
+    return EV.evaluate_models(model_references(spark, sf_dir), model_predictions(spark, sf_dir),
+                              metrics=("ROUGE-L",))
+
+
+def _leaderboard_sql() -> str:
+    from .. import defaults as D
+    rows = []
+    for model, vals in D.PUBLISHED_ROUGE.items():
+        for metric, v in zip(["ROUGE-1", "ROUGE-2", "ROUGE-L"], vals):
+            rows.append(f"({Q.lit(model)}, {Q.lit(metric)}, CAST({float(v)!r} AS DOUBLE))")
+    for model, v in D.PUBLISHED_BERTSCORE.items():
+        rows.append(f"({Q.lit(model)}, 'BERTScore F1', CAST({float(v)!r} AS DOUBLE))")
+    target = "CASE " + " ".join(f"WHEN metric = {Q.lit(m)} THEN CAST({float(t)!r} AS DOUBLE)"
+                                for m, t in D.TARGETS.items()) + " END"
+    return (f"WITH {_models_sql()}, pub(model, metric, value) AS (VALUES {', '.join(rows)}), "
+            "j AS (SELECT coalesce(p.model, l.model) AS model, coalesce(p.metric, l.metric) AS metric, "
+            "coalesce(l.value, p.value) AS value, CASE WHEN l.value IS NOT NULL THEN 'live' ELSE 'published' END "
+            "AS source FROM pub p FULL OUTER JOIN live l ON p.model = l.model AND p.metric = l.metric), "
+            f"t AS (SELECT *, {target} AS target FROM j) "
+            "SELECT model, metric, value, source, target, "
+            "CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) AS INTEGER) AS position, "
+            "CASE WHEN target IS NULL THEN NULL ELSE value >= target END AS meets_target FROM t")
+
+
+@register("leaderboard", _leaderboard_sql())
+def q_leaderboard(spark, sf_dir):
+    live = q_models(spark, sf_dir)
+    return EV.leaderboard(EV.published_scores(spark), live).withColumn("position", F.col("position").cast("int"))
+
+
+@register("embedding_match", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT * FROM e WHERE vec_id % 2 = 1),
+cr AS (SELECT c.label, c.vec_id AS cid, r.vec_id AS rid, list_cosine_similarity(c.v, r.v) AS s
+       FROM c JOIN r ON c.label = r.label),
+p AS (SELECT label, avg(m) AS precision FROM (SELECT label, cid, max(s) AS m FROM cr GROUP BY label, cid) GROUP BY label),
+q AS (SELECT label, avg(m) AS recall FROM (SELECT label, rid, max(s) AS m FROM cr GROUP BY label, rid) GROUP BY label)
+SELECT p.label AS pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+FROM p JOIN q ON p.label = q.label""")
+def q_embedding_match(spark, sf_dir):
+    e = TD.table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("pair_id"), F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"),
+        (F.col("vec_id") % 2).alias("side"))
+    return _rounded(EV.embedding_match(e.filter("side = 0"), e.filter("side = 1")))
+
+
+def _tier_metrics_sql() -> str:
+    return (f"WITH {Q.utt_cte()}, {Q.role_text_cte()}, {Q.session_text_cte()}, "
+            f"pr AS (SELECT {Q.lexicon_case('st.session_text')} AS t, {Q.lexicon_case('rt.combined_text')} AS p "
+            "FROM st JOIN rt ON st.session_id = rt.session_id), "
+            "lab AS (SELECT unnest([1, 2, 3, 4, 5]) AS tier), "
+            "c AS (SELECT tier, CAST(sum(CASE WHEN t = tier AND p = tier THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
+            "sum(CASE WHEN p = tier THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN t = tier THEN 1 ELSE 0 END) AS tt "
+            "FROM lab CROSS JOIN pr GROUP BY tier), "
+            "m AS (SELECT tier, coalesce(tp / nullif(pp, 0), 0.0) AS pre, coalesce(tp / nullif(tt, 0), 0.0) AS rec, "
+            "tt FROM c) "
+            "SELECT tier, round(pre, 6) AS precision, round(rec, 6) AS recall, "
+            "round(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END, 6) AS f1, "
+            "CAST(tt AS BIGINT) AS support FROM m")
+
+
+@register("tier_metrics", _tier_metrics_sql())
+def q_tier_metrics(spark, sf_dir):
+    pre = prepared(spark, sf_dir)
+    feats = TR.session_tiers(pre, P.LEXICON)
+    return _rounded(EV.evaluate_tiers(feats, pre, P.LEXICON))
+
+
+@register("training_log_rollup", """
+WITH l AS (SELECT event_id AS seq, hour(ts) / CAST(6.0 AS DOUBLE) AS epoch,
+                  CASE WHEN event_type = 'click' THEN value END AS loss,
+                  CASE WHEN event_type = 'view' THEN value END AS eval_loss FROM events),
+tr AS (SELECT CAST(round_even(epoch, 0) AS BIGINT) AS epoch, avg(loss) AS train_loss FROM l
+       WHERE loss IS NOT NULL AND epoch IS NOT NULL GROUP BY 1),
+va AS (SELECT CAST(round_even(epoch, 0) AS BIGINT) AS epoch, arg_max(eval_loss, seq) AS eval_loss FROM l
+       WHERE eval_loss IS NOT NULL AND epoch IS NOT NULL GROUP BY 1)
+SELECT tr.epoch, round(train_loss, 6) AS train_loss, round(eval_loss, 6) AS eval_loss
+FROM tr JOIN va ON tr.epoch = va.epoch""")
+def q_training_log(spark, sf_dir):
+    out = EV.rollup_training_log(TD.trainer_log(spark, sf_dir))
+    return out.select("epoch", r6("train_loss").alias("train_loss"), r6("eval_loss").alias("eval_loss"))

@@ -129,3 +129,34 @@ def top_terms_ctes(threshold: float, k: int = D.TOPIC_WORDS, max_features: int =
             "GROUP BY tc.session_id, seg.segment_id, tc.term), "
             "tt AS (SELECT * FROM (SELECT session_id, segment_id, CAST(row_number() OVER (PARTITION BY session_id, "
             f"segment_id ORDER BY n DESC, term) AS INTEGER) AS rank, term, n FROM sc) WHERE rank <= {k})")
+
+
+def rouge_pairs_cte() -> str:
+    """First and last ``assistant`` turn of each session as candidate / reference."""
+    return ("pairs AS (SELECT conv_id AS session_id, arg_min(text, turn) AS candidate, "
+            "arg_max(text, turn) AS reference FROM conversations WHERE role = 'assistant' GROUP BY conv_id)")
+
+
+def overlap_tokens(x: str) -> str:
+    return (f"list_filter(string_split(trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), "
+            "lambda t: t <> '')")
+
+
+def rouge_n_select(n: int, pairs: str = "pairs", keys: str = "session_id") -> str:
+    """A query (no WITH) computing precision/recall/f1 per pair of ``pairs``."""
+    kl = [k.strip() for k in keys.split(",")]
+    kj = " AND ".join(f"a.{k} = b.{k}" for k in kl)
+    kb = ", ".join(f"b.{k}" for k in kl)
+    grams = (lambda side: f"(SELECT {keys}, g, count(*) AS n FROM (SELECT {keys}, unnest(list_transform("
+             f"generate_series(1, len({side}) - {n - 1}), lambda i: array_to_string({side}[i:i + {n - 1}], ' '))) AS g "
+             f"FROM tk) GROUP BY {keys}, g)")
+    return (f"(WITH tk AS (SELECT {keys}, {overlap_tokens('candidate')} AS c, {overlap_tokens('reference')} AS r "
+            f"FROM {pairs}), cg AS {grams('c')}, rg AS {grams('r')}, "
+            f"ov AS (SELECT {kb}, sum(least(a.n, b.n)) AS ov FROM cg a JOIN rg b ON {kj} AND a.g = b.g "
+            f"GROUP BY {kb}), "
+            f"s AS (SELECT {', '.join('t.' + k for k in kl)}, CAST(coalesce(ov.ov, 0) AS DOUBLE) AS ov, "
+            f"greatest(len(t.c) - {n - 1}, 0) AS tc, greatest(len(t.r) - {n - 1}, 0) AS tr "
+            f"FROM tk t LEFT JOIN ov ON {' AND '.join(f't.{k} = ov.{k}' for k in kl)}), "
+            "pr AS (SELECT *, ov / greatest(tc, 1) AS p, ov / greatest(tr, 1) AS rc FROM s) "
+            f"SELECT {keys}, p AS precision, rc AS recall, "
+            "CASE WHEN p + rc > 0 THEN 2.0 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM pr)")
