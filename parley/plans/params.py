@@ -31,3 +31,7 @@ FALLBACK = "insights"
 
 SEGMENT_THRESHOLD = 0.15
 SOFTMAX_SCALE = 10.0
+
+# Label list for encoding the ``events.event_type`` column (``error`` is
+# unknown and maps to the default id 0).
+EVENT_LABELS = ["view", "click", "purchase", "signup"]

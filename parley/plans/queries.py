@@ -418,3 +418,85 @@ FROM tr JOIN va ON tr.epoch = va.epoch""")
 def q_training_log(spark, sf_dir):
     out = EV.rollup_training_log(TD.trainer_log(spark, sf_dir))
     return out.select("epoch", r6("train_loss").alias("train_loss"), r6("eval_loss").alias("eval_loss"))
+
+
+# ---------------------------------------------------------------- phase 5: data preparation
+
+from ..operators import prepare as PR  # noqa: E402
+from ..sources import annotated as AN  # noqa: E402
+from ..sources import pairs as PS  # noqa: E402
+
+
+@register("meta_split", f"WITH {Q.annotated_cte()} SELECT session_id, row_pos, is_meta FROM annm")
+def q_meta_split(spark, sf_dir):
+    return AN.split_meta_rows(TD.annotated_rows(spark, sf_dir)).select("session_id", "row_pos", "is_meta")
+
+
+@register("session_reference", f"WITH {Q.annotated_cte()} SELECT session_id, reference_summary FROM refs_ok")
+def q_session_reference(spark, sf_dir):
+    return AN.session_reference(TD.annotated_rows(spark, sf_dir))
+
+
+@register("speaker_code", f"WITH {Q.annotated_cte()} SELECT session_id, turn, speaker, utterance FROM autt")
+def q_speaker_code(spark, sf_dir):
+    return AN.annotated_to_utterances(TD.annotated_rows(spark, sf_dir))
+
+
+@register("session_transcripts",
+          f"WITH {Q.annotated_cte()} SELECT session_id, transcript, reference_summary FROM sess")
+def q_transcripts(spark, sf_dir):
+    return AN.load_sessions(TD.annotated_rows(spark, sf_dir))[1]
+
+
+def qa_pairs(spark, sf_dir):
+    u = TD.utterances(spark, sf_dir)
+    q = u.filter(F.col("speaker") == "user").select("session_id", "turn", F.col("utterance").alias("transcript"))
+    a = u.filter(F.col("speaker") == "assistant").select(
+        "session_id", (F.col("turn") - 1).alias("turn"), F.col("utterance").alias("reference_summary"))
+    qa = PS.filter_short(q.join(a, ["session_id", "turn"]), "reference_summary", 100)
+    return qa.select(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn").cast("string"))
+                     .alias("pair_key"), "transcript", "reference_summary")
+
+
+def training_pair_table(spark, sf_dir):
+    _, sessions = AN.load_sessions(TD.annotated_rows(spark, sf_dir))
+    return PR.training_pairs(sessions, qa_pairs(spark, sf_dir))
+
+
+@register("training_pairs",
+          f"WITH {Q.pairs_cte()} SELECT source_rank, pair_key, transcript, reference_summary FROM tpn")
+def q_training_pairs(spark, sf_dir):
+    return training_pair_table(spark, sf_dir)
+
+
+@register("split_pairs",
+          f"WITH {Q.pairs_cte()} SELECT source_rank, pair_key, CASE WHEN row_number() OVER "
+          "(ORDER BY source_rank, pair_key) - 1 < floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'validation' END "
+          "AS split FROM tpn")
+def q_split_pairs(spark, sf_dir):
+    return PR.split_pairs(training_pair_table(spark, sf_dir), 0.8).select("source_rank", "pair_key", "split")
+
+
+@register("label_encode",
+          f"SELECT event_id AS row_id, event_type AS emotion, {Q.encode_label('event_type', P.EVENT_LABELS)} "
+          "AS label_id FROM events WHERE props IS NOT NULL")
+def q_label_encode(spark, sf_dir):
+    return (PR.encode_labels(TD.labelled_text(spark, sf_dir), labels=P.EVENT_LABELS)
+            .select("row_id", "emotion", "label_id"))
+
+
+@register("split_labelled",
+          f"SELECT event_id AS row_id, {Q.encode_label('event_type', P.EVENT_LABELS)} AS label_id, "
+          "CASE WHEN row_number() OVER (ORDER BY event_id) - 1 < floor(0.9 * count(*) OVER ()) "
+          "THEN 'train' ELSE 'validation' END AS split FROM events WHERE props IS NOT NULL")
+def q_split_labelled(spark, sf_dir):
+    enc = PR.encode_labels(TD.labelled_text(spark, sf_dir), labels=P.EVENT_LABELS)
+    return S.positional_split(enc, ["row_id"], 0.9).select("row_id", "label_id", "split")
+
+
+@register("quick_subset",
+          "SELECT conv_id AS session_id, turn, role AS speaker, text AS utterance FROM conversations "
+          "WHERE conv_id IN (SELECT conv_id FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id "
+          "ORDER BY min(turn), conv_id LIMIT 3)")
+def q_quick_subset(spark, sf_dir):
+    return S.quick_subset(TD.utterances(spark, sf_dir).filter(F.col("session_id").isNotNull()))

@@ -160,3 +160,40 @@ def rouge_n_select(n: int, pairs: str = "pairs", keys: str = "session_id") -> st
             "pr AS (SELECT *, ov / greatest(tc, 1) AS p, ov / greatest(tr, 1) AS rc FROM s) "
             f"SELECT {keys}, p AS precision, rc AS recall, "
             "CASE WHEN p + rc > 0 THEN 2.0 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM pr)")
+
+
+def annotated_cte() -> str:
+    return ("ann AS (SELECT conv_id AS session_id, turn AS row_pos, "
+            "CASE WHEN role = 'system' THEN 'Summary' ELSE text END AS Utterance, "
+            "CASE WHEN role = 'system' THEN text END AS Sub_topic, "
+            "CASE WHEN role = 'assistant' THEN 'T' ELSE 'P' END AS Type FROM conversations), "
+            f"annm AS (SELECT *, coalesce(lower(Utterance) IN ({', '.join(lit(k) for k in D.META_KEYWORDS)}), false) "
+            "AS is_meta FROM ann), "
+            "refs AS (SELECT session_id, arg_min(Sub_topic, row_pos) AS reference_summary FROM ann "
+            "WHERE lower(Utterance) = 'summary' GROUP BY session_id), "
+            "refs_ok AS (SELECT * FROM refs WHERE reference_summary IS NOT NULL AND "
+            "regexp_replace(reference_summary, '^\\s+|\\s+$', '', 'g') <> ''), "
+            "autt AS (SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY row_pos) - 1 AS BIGINT) "
+            "AS turn, CASE WHEN regexp_replace(Type, '^\\s+|\\s+$', '', 'g') = 'T' THEN 'counselor' ELSE 'client' END "
+            "AS speaker, Utterance AS utterance FROM annm WHERE NOT is_meta), "
+            "sess AS (SELECT a.session_id, string_agg(coalesce(a.utterance, ''), ' ' ORDER BY a.turn) AS transcript, "
+            "r.reference_summary FROM autt a JOIN refs_ok r ON a.session_id = r.session_id "
+            "GROUP BY a.session_id, r.reference_summary)")
+
+
+def qa_cte(min_chars: int = D.MIN_ANSWER_CHARS) -> str:
+    return ("qa AS (SELECT CAST(q.conv_id AS VARCHAR) || ':' || CAST(q.turn AS VARCHAR) AS pair_key, "
+            "q.text AS transcript, a.text AS reference_summary FROM conversations q JOIN conversations a "
+            "ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant' "
+            f"AND length(a.text) > {min_chars})")
+
+
+def pairs_cte() -> str:
+    return (annotated_cte() + ", " + qa_cte() + ", "
+            "tp AS (SELECT 0 AS source_rank, CAST(session_id AS VARCHAR) AS pair_key, transcript, reference_summary "
+            "FROM sess UNION ALL SELECT 1 AS source_rank, pair_key, transcript, reference_summary FROM qa), "
+            "tpn AS (SELECT * FROM tp WHERE transcript IS NOT NULL AND reference_summary IS NOT NULL)")
+
+
+def encode_label(x: str, labels) -> str:
+    return f"coalesce(list_position({sql_list(labels)}, lower({x})) - 1, 0)"
