@@ -500,3 +500,40 @@ def q_split_labelled(spark, sf_dir):
           "ORDER BY min(turn), conv_id LIMIT 3)")
 def q_quick_subset(spark, sf_dir):
     return S.quick_subset(TD.utterances(spark, sf_dir).filter(F.col("session_id").isNotNull()))
+
+
+# ---------------------------------------------------------------- phase 6: graph, ranking, models
+
+from ..operators import extract as X  # noqa: E402
+
+
+def _graph_sql() -> str:
+    return (f"WITH {Q.utt_cte()}, {Q.session_text_cte('st', 'summary')}, "
+            f"s AS (SELECT session_id, {Q.split_sentences('summary')} AS sents FROM st), "
+            "x AS (SELECT session_id, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
+            "unnest(sents) AS sentence FROM s), "
+            "w AS (SELECT session_id, sent_pos, list_filter(regexp_extract_all(lower(sentence), '[\\w''-]+'), "
+            "lambda t: regexp_full_match(t, '[a-z][a-z''-]*')) AS words FROM x), "
+            "wl AS (SELECT session_id, sent_pos, CAST(len(words) AS BIGINT) AS l FROM w), "
+            "wc AS (SELECT session_id, sent_pos, word, count(*) AS c FROM "
+            "(SELECT session_id, sent_pos, unnest(words) AS word FROM w) GROUP BY session_id, sent_pos, word), "
+            "pr AS (SELECT a.session_id, a.sent_pos AS i, b.sent_pos AS j, sum(a.c * b.c) AS shared FROM wc a "
+            "JOIN wc b ON a.session_id = b.session_id AND a.word = b.word GROUP BY a.session_id, a.sent_pos, b.sent_pos), "
+            "e AS (SELECT pr.session_id, pr.i, CASE WHEN li.l = 1 AND lj.l = 1 THEN shared "
+            "ELSE shared / (ln(li.l) + ln(lj.l)) END AS w FROM pr "
+            "JOIN wl li ON li.session_id = pr.session_id AND li.sent_pos = pr.i "
+            "JOIN wl lj ON lj.session_id = pr.session_id AND lj.sent_pos = pr.j) "
+            "SELECT wl.session_id, wl.sent_pos, wl.l AS n_words, round(coalesce(sum(e.w), 0.0), 6) AS degree "
+            "FROM wl LEFT JOIN e ON e.session_id = wl.session_id AND e.i = wl.sent_pos "
+            "GROUP BY wl.session_id, wl.sent_pos, wl.l")
+
+
+@register("sentence_graph", _graph_sql())
+def q_sentence_graph(spark, sf_dir):
+    sents = X.sentence_table(session_summaries(spark, sf_dir), "summary")
+    return X.sentence_graph(sents).withColumn("degree", r6("degree"))
+
+
+@register("textrank_summary")
+def q_textrank(spark, sf_dir):
+    return X.summarize_sessions(prepared(spark, sf_dir))
