@@ -49,6 +49,18 @@ def score_texts(texts: DataFrame, model, text: str = "text", width: int = len(D.
     return scored.unionByName(empty)
 
 
+def model_input_col(model, default: str = "utterance") -> str:
+    """Text column a fitted pipeline reads (its first stage's input column)."""
+    stages = getattr(model, "stages", None) or [model]
+    first = stages[0]
+    if hasattr(first, "getInputCol"):
+        try:
+            return first.getInputCol()
+        except Exception:  # noqa: BLE001
+            return default
+    return default
+
+
 def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float = D.BLEND_ALPHA,
                   labels=None) -> DataFrame:
     """Tier per session: the lexicon decides when any phrase matches; only the
@@ -64,10 +76,11 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
     if model is None:
         unmatched = rest.select("session_id", F.lit(1).alias("emotion_tier"), F.lit("default").alias("source"))
     else:
-        sides = (rest.select("session_id", F.lit(0).alias("side"), F.col("client_text").alias("text"))
+        tcol = model_input_col(model)
+        sides = (rest.select("session_id", F.lit(0).alias("side"), F.col("client_text").alias(tcol))
                  .unionByName(rest.select("session_id", F.lit(1).alias("side"),
-                                          F.col("counselor_text").alias("text"))))
-        probs = score_texts(sides, model, "text")
+                                          F.col("counselor_text").alias(tcol))))
+        probs = score_texts(sides, model, tcol)
         wide = probs.groupBy("session_id").agg(
             F.max(F.when(F.col("side") == 0, F.col("probs"))).alias("client_probs"),
             F.max(F.when(F.col("side") == 1, F.col("probs"))).alias("counselor_probs"))

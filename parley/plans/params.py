@@ -35,3 +35,9 @@ SOFTMAX_SCALE = 10.0
 # Label list for encoding the ``events.event_type`` column (``error`` is
 # unknown and maps to the default id 0).
 EVENT_LABELS = ["view", "click", "purchase", "signup"]
+
+# Label list for the classifier-backed tier on the test tables: document
+# languages placed on label ids of the 32-class layout (en calm, fr and es on
+# ids counted as crisis, de on a negative id); other ids unused.
+LANG_LABEL_POSITIONS = {"en": 0, "fr": 14, "de": 17, "es": 24}
+LANG_LABELS = [next((k for k, v in LANG_LABEL_POSITIONS.items() if v == i), f"unused_{i}") for i in range(32)]

@@ -537,3 +537,52 @@ def q_sentence_graph(spark, sf_dir):
 @register("textrank_summary")
 def q_textrank(spark, sf_dir):
     return X.summarize_sessions(prepared(spark, sf_dir))
+
+
+from ..operators import classify as CL  # noqa: E402
+from ..operators import topics as TP  # noqa: E402
+from . import pipeline as PL  # noqa: E402
+
+
+@register("session_topics")
+def q_session_topics(spark, sf_dir):
+    docs = G.segment_text(segmented(spark, sf_dir))
+    return TP.session_topics(docs).withColumn("words", F.array_join("words", ", "))
+
+
+def language_classifier(spark, sf_dir):
+    docs = TD.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("utterance"),
+                                                       F.col("lang").alias("emotion"))
+    return CL.fit_label_classifier(docs, labels=P.LANG_LABELS, order=["doc_id"], max_iter=10,
+                                   num_features=1 << 16)
+
+
+@register("label_classifier")
+def q_label_classifier(spark, sf_dir):
+    docs = TD.table(spark, sf_dir, "documents").join(TD.table(spark, sf_dir, "labels"), "doc_id")
+    docs = docs.select("doc_id", F.col("text").alias("utterance"), F.col("quality").cast("string").alias("emotion"))
+    model, split = CL.fit_label_classifier(docs, labels=["0", "1"], order=["doc_id"], max_iter=10,
+                                         num_features=1 << 16)
+    return (model.transform(split)
+            .select("doc_id", "split", F.col("label_id").cast("int").alias("label_id"),
+                    F.col("prediction").cast("int").alias("prediction")))
+
+
+@register("session_tier_model")
+def q_session_tier_model(spark, sf_dir):
+    model, _ = language_classifier(spark, sf_dir)
+    return TR.session_tiers(prepared(spark, sf_dir), P.LEXICON, model=model)
+
+
+@register("session_features")
+def q_session_features(spark, sf_dir):
+    feats = PL.extract_features(segmented(spark, sf_dir), P.LEXICON)
+    return feats.select("session_id", "emotion_tier", "tier_label",
+                        F.array_join(F.transform("topics", lambda t: F.array_join(t, ", ")), "; ").alias("topics"))
+
+
+@register("pipeline_report")
+def q_pipeline_report(spark, sf_dir):
+    res = PL.run(TD.utterances(spark, sf_dir), lexicon=P.LEXICON, rules=P.SECTION_RULES, fallback=P.FALLBACK,
+                 threshold=P.SEGMENT_THRESHOLD, topic_method="terms", role_keywords=P.ROLE_KEYWORDS)
+    return res["reports"]
