@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,8 @@ def textrank_summary(texts: DataFrame, text: str = "text", n: int = D.TEXTRANK_S
                      key: str = "session_id", out: str = "summary", **kw) -> DataFrame:
     """The ``n`` best-ranked sentences of each text (ties: earlier first),
     joined by a blank in text order. Texts without sentences give ''."""
-    sents = sentence_table(texts, text, key)
+    # read by the size check, the rank computation and the final selection
+    sents = sentence_table(texts, text, key).persist(StorageLevel.MEMORY_AND_DISK)
     ranks = textrank_ranks(sents, key, **kw)
     best = top_k(ranks, [key], [F.desc("rank"), F.asc("sent_pos")], n, "_r")
     chosen = sents.join(best.select(key, "sent_pos"), [key, "sent_pos"])

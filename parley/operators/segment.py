@@ -68,16 +68,29 @@ def adjacent_similarity(utterances: DataFrame, weights: DataFrame | None = None,
 
     Output ``(session_id, turn, similarity)`` for every turn that has a
     previous turn; 0 when either vector is empty.
+
+    Instead of a self-join, every weight row is emitted twice — as itself at
+    ``turn`` and as the previous turn's value at ``turn + 1`` — and the pairs
+    meet in one aggregation on ``(session_id, turn, term)`` (map-side
+    combined); turn markers travel the same way, so the weights and the turn
+    list are each read once.
     """
     w = weights if weights is not None else tfidf(utterances, **kw)
-    cur = w.select("session_id", "turn", "term", F.col("weight").alias("w_cur"))
-    prev = w.select("session_id", (F.col("turn") + 1).alias("turn"), "term", F.col("weight").alias("w_prev"))
-    dots = (cur.join(prev, ["session_id", "turn", "term"])
-            .groupBy("session_id", "turn").agg(F.sum(F.col("w_cur") * F.col("w_prev")).alias("_dot")))
-    turns = utterances.select("session_id", "turn")
-    has_prev = turns.join(turns.select("session_id", (F.col("turn") + 1).alias("turn")),
-                          ["session_id", "turn"], "left_semi")
-    return (has_prev.join(dots, ["session_id", "turn"], "left")
+    both = F.array(
+        F.struct(F.col("turn").alias("t"), F.col("weight").alias("cur"), F.lit(None).cast("double").alias("prev")),
+        F.struct((F.col("turn") + 1).alias("t"), F.lit(None).cast("double").alias("cur"),
+                 F.col("weight").alias("prev")))
+    pairs = (w.select("session_id", "term", F.explode(both).alias("x"))
+             .groupBy("session_id", F.col("x.t").alias("turn"), "term")
+             .agg((F.max("x.cur") * F.max("x.prev")).alias("_p"))
+             .groupBy("session_id", "turn").agg(F.sum("_p").alias("_dot")))
+    marks = F.array(F.struct(F.col("turn").alias("t"), F.lit(1).alias("self"), F.lit(0).alias("prev")),
+                    F.struct((F.col("turn") + 1).alias("t"), F.lit(0).alias("self"), F.lit(1).alias("prev")))
+    turns = (utterances.select("session_id", F.explode(marks).alias("x"))
+             .groupBy("session_id", F.col("x.t").alias("turn"))
+             .agg(F.max("x.self").alias("_self"), F.max("x.prev").alias("_prev"))
+             .filter((F.col("_self") == 1) & (F.col("_prev") == 1)))
+    return (turns.join(pairs, ["session_id", "turn"], "left")
             .select("session_id", "turn", F.coalesce(F.col("_dot"), F.lit(0.0)).alias("similarity")))
 
 

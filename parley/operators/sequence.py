@@ -14,6 +14,7 @@ group reaches the final window with at most ``k`` rows per map partition.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +69,9 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     frame_end = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*keys, blk).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    d = d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0)))
+    # ``d`` feeds both the block totals and the final join: persisted so its
+    # input (often a whole upstream pipeline) is computed once.
+    d = d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
     totals = d.groupBy(*keys, blk).agg(F.sum("_pval").alias("_ptot"))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_poff", F.coalesce(F.sum("_ptot").over(w_blk), F.lit(0))).drop("_ptot")
