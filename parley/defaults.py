@@ -162,8 +162,15 @@ def spark_english_stop_words() -> list[str]:
 
     import pyspark
 
-    pattern = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    for jar in sorted(glob.glob(pattern)):
+    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
+    try:
+        from pyspark.find_spark_home import _find_spark_home
+
+        homes.append(_find_spark_home())
+    except Exception:  # noqa: BLE001
+        pass
+    jars = [j for h in homes if h for j in sorted(glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar")))]
+    for jar in jars:
         with zipfile.ZipFile(jar) as z:
             data = z.read("org/apache/spark/ml/feature/stopwords/english.txt")
         return [w for w in data.decode("utf-8").split() if w]

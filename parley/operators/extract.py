@@ -211,3 +211,16 @@ def summarize_sessions(utterances: DataFrame, generator=None, prompts: DataFrame
     gen = F.pandas_udf(generator, "string")
     return prompts.select("session_id", gen(F.col("prompt")).alias("generated_summary"))
 
+
+
+def lead_sentence_generator(prompts: pd.Series) -> pd.Series:
+    """A stand-in batch generator: the first sentence of each prompt's transcript."""
+    import re
+
+    def one(p: str) -> str:
+        body = (p or "").split("[transcript: ", 1)[-1]
+        body = body[:-1] if body.endswith("]") else body
+        m = re.search(r"^.*?[.!?](?=\s|$)", body)
+        return m.group(0) if m else body
+
+    return prompts.map(one)

@@ -505,6 +505,7 @@ def q_quick_subset(spark, sf_dir):
 # ---------------------------------------------------------------- phase 6: graph, ranking, models
 
 from ..operators import extract as X  # noqa: E402
+from ..operators.extract import lead_sentence_generator  # noqa: E402
 
 
 def _graph_sql() -> str:
@@ -586,3 +587,17 @@ def q_pipeline_report(spark, sf_dir):
     res = PL.run(TD.utterances(spark, sf_dir), lexicon=P.LEXICON, rules=P.SECTION_RULES, fallback=P.FALLBACK,
                  threshold=P.SEGMENT_THRESHOLD, topic_method="terms", role_keywords=P.ROLE_KEYWORDS)
     return res["reports"]
+
+
+@register("normalize_repaired")
+def q_normalize_repaired(spark, sf_dir):
+    pre = S.preprocess(TD.utterances(spark, sf_dir), role_keywords=P.ROLE_KEYWORDS, mode="repaired")
+    return pre.select("session_id", "turn", "clean_text")
+
+
+@register("generator_summaries")
+def q_generator_summaries(spark, sf_dir):
+    pre = prepared(spark, sf_dir)
+    prompts = S.build_prompts(pre, TR.session_tiers(pre, P.LEXICON).withColumn(
+        "topics", F.array().cast("array<array<string>>")))
+    return X.summarize_sessions(pre, generator=lead_sentence_generator, prompts=prompts)
