@@ -78,33 +78,28 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram between min and max (last bin closed on the right).
 
     One row per bin, empty bins included; ``mean`` repeats the column mean.
-    A constant column is widened by 0.5 on each side. The statistics are a
-    one-row aggregate joined by a broadcast hash join on a constant key.
+    A constant column is widened by 0.5 on each side. The edges are scalar
+    subqueries over one global (map-side partial) aggregate, so no join is
+    needed to bring them to the rows.
     """
     x = F.col(col).cast("double")
-    stats = df.agg(F.min(x).alias("_mn"), F.max(x).alias("_mx"), F.avg(x).alias("mean"),
-                   F.count(x).alias("_n"))
-    stats = (stats
-             .withColumn("lo", F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")))
-             .withColumn("hi", F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")))
-             .withColumn("_k", F.lit(0)))
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    counts = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("_k", F.lit(0))
-              .join(F.broadcast(stats), "_k")
-              .withColumn("bin", F.least(F.floor((F.col("_x") - F.col("lo")) * F.lit(bins)
-                                                 / (F.col("hi") - F.col("lo"))).cast("int"),
-                                         F.lit(bins - 1)))
+    stats = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.avg(x).alias("mean"))
+    same = F.col("mn") == F.col("mx")
+    lo = stats.select(F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn"))).scalar()
+    hi = stats.select(F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx"))).scalar()
+    mean = stats.select("mean").scalar()
+    width = (hi - lo) / F.lit(bins)
+    counts = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+              .select(F.least(F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo)).cast("int"),
+                              F.lit(bins - 1)).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    spark = df.sparkSession
-    grid = (fixed_table(spark, [(i, 0) for i in range(bins)], "bin int, _k int")
-            .join(F.broadcast(stats), "_k"))
-    return (grid.join(counts, "bin", "left")
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin",
-                    (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                    F.when(F.col("bin") == bins - 1, F.col("hi"))
-                    .otherwise(F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+                    (lo + F.col("bin") * width).alias("bin_lo"),
+                    F.when(F.col("bin") == bins - 1, hi).otherwise(lo + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
-                    "mean"))
+                    mean.alias("mean")))
 
 
 def corpus_profile(df: DataFrame, exact: bool = True) -> DataFrame:
