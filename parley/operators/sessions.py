@@ -121,7 +121,9 @@ def transcript_head(df: DataFrame, text: str = "clean_text", max_chars: int = D.
     d = df.select("session_id", "turn", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = d.withColumn("_len", F.length("_t") + F.lit(1))
     d = prefix_sum(d, ["session_id"], "turn", "_len", "_start", inclusive=False)
-    kept = d.filter(F.col("_start") < max_chars)
+    # a turn starting exactly at ``max_chars`` still contributes the
+    # separator before it, which is inside the budget
+    kept = d.filter(F.col("_start") <= max_chars)
     return (ordered_concat(kept, ["session_id"], "turn", "_t", " ", "_h")
             .select("session_id", F.substring("_h", 1, max_chars).alias(out)))
 
