@@ -12,7 +12,6 @@ from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
 from .sequence import fixed_table
-from .sessions import session_text
 
 
 # ------------------------------------------------------------------ ROUGE-N
@@ -204,8 +203,10 @@ def evaluate_tiers(features: DataFrame, utterances: DataFrame, lexicon=None, tex
     """Tier metrics: truth = lexicon tier of the session text in turn order,
     prediction = the features' ``emotion_tier``; sessions without features
     are skipped (inner join)."""
-    truth = session_text(utterances, text, "_txt").select(
-        "session_id", T.lexicon_tier("_txt", lexicon).alias("true_tier"))
+    from .tiers import lexicon_window_tiers
+
+    truth = lexicon_window_tiers(utterances, lexicon, text, order="turn").withColumnRenamed(
+        "emotion_tier", "true_tier")
     pairs = truth.join(features.select("session_id", F.col("emotion_tier").alias("pred_tier")), "session_id")
     return classification_metrics(pairs, "true_tier", "pred_tier").withColumnRenamed("label", "tier")
 

@@ -8,14 +8,74 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
+from .sequence import prefix_sum
 from .sessions import role_texts
 
 
-def lexicon_tiers(utterances: DataFrame, lexicon=None, text: str = "combined_text") -> DataFrame:
+def lexicon_tiers(utterances: DataFrame, lexicon=None, method: str = "windows") -> DataFrame:
     """``session_id, emotion_tier`` from the lexicon on the role-ordered text
-    (client turns, then counselor turns)."""
-    rt = role_texts(utterances)
-    return rt.select("session_id", T.lexicon_tier(text, lexicon).alias("emotion_tier"))
+    (client turns, then counselor turns, joined by blanks).
+
+    ``windows`` (default) never assembles a session's text: see
+    ``lexicon_window_tiers``. ``text`` builds the role texts and tests them
+    whole (needed anyway when a classifier scores them).
+    """
+    if method == "text":
+        rt = role_texts(utterances)
+        return rt.select("session_id", T.lexicon_tier("combined_text", lexicon).alias("emotion_tier"))
+    return lexicon_window_tiers(utterances, lexicon)
+
+
+def lexicon_window_tiers(utterances: DataFrame, lexicon=None, text: str = "clean_text",
+                         order: str = "role") -> DataFrame:
+    """Exact lexicon tier of the combined role text, evaluated on bounded windows.
+
+    Any occurrence of a phrase of length at most ``L`` that starts inside
+    piece ``k`` (a turn's text, or the blank after it) lies inside
+    ``piece_k + ' ' + next_k``, where ``next_k`` is the first ``L - 1``
+    characters of the combined text after that blank. ``next_k`` is built
+    from the first ``L - 1`` characters of each of the following ``L - 1``
+    pieces: each piece sends its head to the ``L - 1`` positions before it
+    and the heads are joined per ``(session, position)`` — a bounded fan-out
+    on an evenly spread key. The session tier is the max over its windows (a
+    map-side partial aggregate). A missing role side is an empty piece, as
+    in ``client_text + ' ' + counselor_text``. ``order="turn"`` tests the
+    session text in plain turn order instead.
+    """
+    lex = lexicon or D.TIER_KEYWORDS
+    longest = max([len(p) for ps in lex.values() for p in ps] or [1])
+    h = max(longest - 1, 1)
+    side = (F.when(F.col("role") == "counselor", F.lit(1)).otherwise(F.lit(0)) if order == "role"
+            else F.lit(0))
+    d = utterances.select(
+        "session_id", "turn", side.alias("side"),
+        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
+        F.lit(1).alias("_one"))
+    d = prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False)
+    counts = d.groupBy("session_id").agg(
+        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("_nc"),
+        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("_nk"))
+    two_sided = (F.col("_nc") == 0) | (F.col("_nk") == 0) if order == "role" else F.lit(False)
+    virtual = (counts.filter(two_sided)
+               .select("session_id", F.when(F.col("_nc") == 0, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+                       F.lit(0).cast("long").alias("_ord"), F.lit("").alias("_t")))
+    pieces = (d.select("session_id", "side", F.col("_ord").cast("long").alias("_ord"), "_t")
+              .unionByName(virtual)
+              .join(counts, "session_id")
+              .select("session_id", "_t",
+                      F.when(F.col("side") == 0, F.col("_ord"))
+                      .otherwise(F.greatest(F.col("_nc"), F.lit(1)) + F.col("_ord")).alias("pos")))
+    sent = (pieces.select("session_id", "pos", F.substring("_t", 1, h).alias("_head"),
+                          F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_j"))
+            .select("session_id", (F.col("pos") - F.col("_j")).alias("pos"), "_j", "_head")
+            .filter(F.col("pos") >= 0))
+    following = sent.groupBy("session_id", "pos").agg(
+        F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_j", "_head"))),
+                                             lambda x: x["_head"]), " "), 1, h).alias("_next"))
+    windows = pieces.join(following, ["session_id", "pos"], "left").select(
+        "session_id", F.when(F.col("_next").isNull(), F.col("_t"))
+        .otherwise(F.concat(F.col("_t"), F.lit(" "), F.col("_next"))).alias("_w"))
+    return windows.groupBy("session_id").agg(F.max(T.lexicon_tier("_w", lex)).alias("emotion_tier"))
 
 
 def probability_tiers(probs: DataFrame, alpha: float = D.BLEND_ALPHA, **cuts) -> DataFrame:
@@ -69,10 +129,13 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
 
     Output: ``session_id, emotion_tier, tier_label, source``.
     """
-    rt = role_texts(utterances).withColumn("lex_tier", T.lexicon_tier("combined_text", lexicon))
-    matched = (rt.filter(F.col("lex_tier") > 1)
+    lex = lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier")
+    matched = (lex.filter(F.col("lex_tier") > 1)
                .select("session_id", F.col("lex_tier").alias("emotion_tier"), F.lit("lexicon").alias("source")))
-    rest = rt.filter(F.col("lex_tier") <= 1)
+    rest = lex.filter(F.col("lex_tier") <= 1)
+    if model is not None:
+        # role texts only for the sessions the lexicon left open
+        rest = role_texts(utterances.join(rest.select("session_id"), "session_id", "left_semi"))
     if model is None:
         unmatched = rest.select("session_id", F.lit(1).alias("emotion_tier"), F.lit("default").alias("source"))
     else:
