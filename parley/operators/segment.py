@@ -54,10 +54,12 @@ def tfidf(utterances: DataFrame, text: str = "clean_text", max_features: int | N
     """
     n_docs = utterances.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_docs"))
     tc = term_counts(utterances, text, stop_words)
-    vocab = session_vocabulary(tc, max_features).select("session_id", "term", "df")
-    raw = (tc.join(vocab, ["session_id", "term"])
-           .join(n_docs, "session_id")
-           .withColumn("raw", F.col("tf") * (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)))
+    # idf is attached to the (capped, per-session bounded) vocabulary, so the
+    # only join of the term-count rows is on the spread key (session, term)
+    idf = (session_vocabulary(tc, max_features).join(n_docs, "session_id")
+           .select("session_id", "term",
+                   (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    raw = tc.join(idf, ["session_id", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
     w = Window.partitionBy("session_id", "turn")
     return raw.select("session_id", "turn", "term",
                       (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(w))).alias("weight"))

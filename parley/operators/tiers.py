@@ -60,19 +60,27 @@ def lexicon_window_tiers(utterances: DataFrame, lexicon=None, text: str = "clean
                .select("session_id", F.when(F.col("_nc") == 0, F.lit(0)).otherwise(F.lit(1)).alias("side"),
                        F.lit(0).cast("long").alias("_ord"), F.lit("").alias("_t")))
     pieces = (d.select("session_id", "side", F.col("_ord").cast("long").alias("_ord"), "_t")
-              .unionByName(virtual)
-              .join(counts, "session_id")
-              .select("session_id", "_t",
-                      F.when(F.col("side") == 0, F.col("_ord"))
-                      .otherwise(F.greatest(F.col("_nc"), F.lit(1)) + F.col("_ord")).alias("pos")))
-    sent = (pieces.select("session_id", "pos", F.substring("_t", 1, h).alias("_head"),
-                          F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_j"))
-            .select("session_id", (F.col("pos") - F.col("_j")).alias("pos"), "_j", "_head")
-            .filter(F.col("pos") >= 0))
-    following = sent.groupBy("session_id", "pos").agg(
+              .unionByName(virtual))
+    heads = pieces.select("session_id", "side", "_ord", F.substring("_t", 1, h).alias("_head"))
+    # the head goes to the h pieces before it: same side at _ord - j, and for
+    # the first counselor pieces also to the last client pieces (only those
+    # rows, at most h per session, need the session's client count)
+    same = (heads.select("session_id", "side", "_ord", "_head",
+                         F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_j"))
+            .select("session_id", "side", (F.col("_ord") - F.col("_j")).alias("_ord"), "_j", "_head")
+            .filter(F.col("_ord") >= 0))
+    cross = (heads.filter((F.col("side") == 1) & (F.col("_ord") < h))
+             .join(counts.select("session_id", "_nc"), "session_id")
+             .select("session_id", "_ord", "_head", "_nc", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("_j"))
+             .filter(F.col("_j") > F.col("_ord"))
+             .select("session_id", F.lit(0).alias("side"),
+                     (F.greatest(F.col("_nc"), F.lit(1)) - (F.col("_j") - F.col("_ord"))).cast("long").alias("_ord"),
+                     "_j", "_head")
+             .filter(F.col("_ord") >= 0))
+    following = same.unionByName(cross).groupBy("session_id", "side", "_ord").agg(
         F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_j", "_head"))),
                                              lambda x: x["_head"]), " "), 1, h).alias("_next"))
-    windows = pieces.join(following, ["session_id", "pos"], "left").select(
+    windows = pieces.join(following, ["session_id", "side", "_ord"], "left").select(
         "session_id", F.when(F.col("_next").isNull(), F.col("_t"))
         .otherwise(F.concat(F.col("_t"), F.lit(" "), F.col("_next"))).alias("_w"))
     return windows.groupBy("session_id").agg(F.max(T.lexicon_tier("_w", lex)).alias("emotion_tier"))
