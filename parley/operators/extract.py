@@ -180,11 +180,18 @@ def textrank_ranks(sentences: DataFrame, key: str = "session_id", damping: float
 
 
 def textrank_summary(texts: DataFrame, text: str = "text", n: int = D.TEXTRANK_SENTENCES,
-                     key: str = "session_id", out: str = "summary", **kw) -> DataFrame:
+                     key: str = "session_id", out: str = "summary", sentences: DataFrame | None = None,
+                     **kw) -> DataFrame:
     """The ``n`` best-ranked sentences of each text (ties: earlier first),
-    joined by a blank in text order. Texts without sentences give ''."""
+    joined by a blank in text order. Texts without sentences give ''.
+    ``sentences`` (``key, sent_pos, sentence``) may be given instead of
+    splitting ``text``; ``texts`` then only supplies the keys."""
+    if sentences is None:
+        sents = sentence_table(texts, text, key)
+    else:
+        sents = sentences.withColumn("n_words", F.size(T.graph_words("sentence")).cast("long"))
     # read by the size check, the rank computation and the final selection
-    sents = sentence_table(texts, text, key).persist(StorageLevel.MEMORY_AND_DISK)
+    sents = sents.persist(StorageLevel.MEMORY_AND_DISK)
     ranks = textrank_ranks(sents, key, **kw)
     best = top_k(ranks, [key], [F.desc("rank"), F.asc("sent_pos")], n, "_r")
     chosen = sents.join(best.select(key, "sent_pos"), [key, "sent_pos"])
@@ -201,11 +208,12 @@ def summarize_sessions(utterances: DataFrame, generator=None, prompts: DataFrame
     applied to ``prompts`` (``session_id, prompt``) as an Arrow-batched
     pandas UDF, one batch of sessions per call.
     """
-    from .sessions import session_text
+    from .sessions import session_sentences
 
     if generator is None:
-        st = session_text(utterances, text, "text")
-        return textrank_summary(st, "text", n).withColumnRenamed("summary", "generated_summary")
+        keys = utterances.select("session_id").distinct()
+        return textrank_summary(keys, n=n, sentences=session_sentences(utterances, text)).withColumnRenamed(
+            "summary", "generated_summary")
     if prompts is None:
         raise ValueError("a generator needs prompts")
     gen = F.pandas_udf(generator, "string")

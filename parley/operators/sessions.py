@@ -207,3 +207,34 @@ def hash_split(df: DataFrame, key: str, fraction: float, seed: int = D.SAMPLE_SE
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
     return df.withColumn(out, F.when(bucket < int(round(fraction * 10_000)), F.lit("train"))
                          .otherwise(F.lit("validation")))
+
+
+def session_sentences(utterances: DataFrame, text: str = "clean_text") -> DataFrame:
+    """Sentences of the session text (turns joined by one blank, split after
+    ``.``/``!``/``?`` + blanks, trimmed, blanks dropped) without assembling the
+    session text: ``(session_id, sent_pos, sentence)``.
+
+    Each turn is split on its own. A turn's first fragment continues the
+    previous turn's last sentence unless that turn ended with ``.``/``!``/``?``
+    (clean text has no leading or trailing blanks, so the joining blank is
+    then part of a break). Sentence ids are a running count of sentence starts
+    (two-level, per session), a sentence is its fragments joined by a blank
+    in (turn, fragment) order, and positions are renumbered over the
+    non-blank sentences by a second running count.
+    """
+    d = utterances.select("session_id", "turn", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    d = d.select("session_id", "turn", F.split(F.col("_t"), T.SENTENCE_BREAK).alias("_frags"),
+                 F.col("_t").rlike(r"[.!?]$").alias("_ends"))
+    # does the previous turn end a sentence? (turn - 1 sends its flag forward)
+    prev = d.select("session_id", (F.col("turn") + 1).alias("turn"), F.col("_ends").alias("_prev_ends"))
+    d = d.join(prev, ["session_id", "turn"], "left")
+    first_starts = F.coalesce(F.col("_prev_ends"), F.lit(True)).cast("int")
+    d = d.withColumn("_fs", first_starts).withColumn("_nstart", F.col("_fs") + F.size("_frags") - 1)
+    d = prefix_sum(d, ["session_id"], "turn", "_nstart", "_off", inclusive=False)
+    frags = d.select("session_id", "turn", "_off", "_fs", F.posexplode("_frags").alias("_k", "_frag"))
+    frags = frags.withColumn("_sid", (F.col("_off") + F.col("_k") + F.col("_fs") - 1).cast("long"))
+    sents = (frags.groupBy("session_id", "_sid")
+             .agg(F.trim(F.expr("listagg(_frag, ' ') WITHIN GROUP (ORDER BY turn, _k)")).alias("sentence")))
+    sents = sents.filter(F.col("sentence") != "").withColumn("_one", F.lit(1))
+    sents = prefix_sum(sents, ["session_id"], "_sid", "_one", "sent_pos", inclusive=False)
+    return sents.select("session_id", F.col("sent_pos").cast("int").alias("sent_pos"), "sentence")

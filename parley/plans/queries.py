@@ -531,7 +531,8 @@ def _graph_sql() -> str:
 
 @register("sentence_graph", _graph_sql())
 def q_sentence_graph(spark, sf_dir):
-    sents = X.sentence_table(session_summaries(spark, sf_dir), "summary")
+    sents = S.session_sentences(prepared(spark, sf_dir))
+    sents = sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long"))
     return X.sentence_graph(sents).withColumn("degree", r6("degree"))
 
 
