@@ -42,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Make sure reliable checkpoints have a directory.
 
     On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
-    file system). Only when nothing is configured — local runs and tests —
-    a scratch directory is created.
+    file system); without it a cluster run stops here rather than write
+    checkpoints to a machine-local folder. Only local runs and tests get a
+    scratch directory when nothing is configured.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -52,6 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = fallback or tempfile.mkdtemp(prefix="parley-ckpt-", dir=os.environ.get("TMPDIR"))
+        if fallback:
+            configured = fallback
+        elif sc.master.startswith("local"):
+            configured = tempfile.mkdtemp(prefix="parley-ckpt-", dir=os.environ.get("TMPDIR"))
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by the cluster")
     sc.setCheckpointDir(configured)
     return configured
