@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..session import ensure_checkpoint_dir
 from ..functions import text as T
 from .sequence import listagg_ordered, top_k
 
@@ -128,6 +129,7 @@ def _local_ranks(sentences: DataFrame, key: str, damping: float, epsilon: float)
 
 def _distributed_ranks(sentences: DataFrame, key: str, damping: float, epsilon: float,
                        max_iter: int = 10_000) -> DataFrame:
+    ensure_checkpoint_dir(sentences.sparkSession)
     sw = sentence_words(sentences, key).persist()
     deg = sentence_graph(sentences, key).select(key, "sent_pos", "n_words", "degree")
     n = sentences.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..session import ensure_checkpoint_dir
 from ..functions import text as T
 from .sequence import fixed_table, ordered_concat, prefix_sum
 
@@ -188,6 +189,7 @@ def positional_split(df: DataFrame, order: list[str], fraction: float, out: str
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = (df.repartitionByRange(n_parts, *order)
               .withColumn("_pid", F.spark_partition_id()))
+    ensure_checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
