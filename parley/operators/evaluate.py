@@ -244,6 +244,29 @@ def leaderboard(published: DataFrame, live: DataFrame, targets: dict | None = No
                         .otherwise(F.col("value") >= F.col("target"))))
 
 
+def published_tier_scores(spark) -> DataFrame:
+    """Published per-tier precision / recall / F1 as ``(tier, precision, recall, f1)``."""
+    rows = [(i + 1, float(p), float(r), float(f)) for i, (p, r, f) in
+            enumerate(zip(D.PUBLISHED_TIER_PRECISION, D.PUBLISHED_TIER_RECALL, D.PUBLISHED_TIER_F1))]
+    return fixed_table(spark, rows, "tier int, precision double, recall double, f1 double")
+
+
+def tier_leaderboard(published: DataFrame, live: DataFrame | None, target: float = D.TARGETS["tier F1"]) -> DataFrame:
+    """Per tier: the live precision/recall/F1 set when one is given (it
+    replaces the published set as a whole), else the published one; plus the
+    support-weighted F1 of the live set and whether it reaches ``target``."""
+    if live is None:
+        out = published.select("tier", "precision", "recall", "f1", F.lit("published").alias("source"),
+                               F.lit(None).cast("long").alias("support"))
+    else:
+        out = live.select("tier", "precision", "recall", "f1", F.lit("live").alias("source"), "support")
+    weighted = out.agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("w"))
+    w = weighted.select("w").scalar()
+    return out.select("tier", "precision", "recall", "f1", "source", w.alias("weighted_f1"),
+                      F.when(w.isNull(), F.lit(None).cast("boolean")).otherwise(w >= F.lit(target))
+                      .alias("meets_target"))
+
+
 # ------------------------------------------------------------------ training log
 
 def rollup_training_log(log: DataFrame) -> DataFrame:

@@ -383,7 +383,9 @@ def q_embedding_match(spark, sf_dir):
     return _rounded(EV.embedding_match(e.filter("side = 0"), e.filter("side = 1")))
 
 
-def _tier_metrics_sql() -> str:
+def _tier_metric_ctes() -> str:
+    """CTEs ending in ``m(tier, pre, rec, f1v, tt)``: per-tier metrics of the
+    lexicon tier (role order) against the lexicon tier of the session text."""
     return (f"WITH {Q.utt_cte()}, {Q.role_text_cte()}, {Q.session_text_cte()}, "
             f"pr AS (SELECT {Q.lexicon_case('st.session_text')} AS t, {Q.lexicon_case('rt.combined_text')} AS p "
             "FROM st JOIN rt ON st.session_id = rt.session_id), "
@@ -391,11 +393,20 @@ def _tier_metrics_sql() -> str:
             "c AS (SELECT tier, CAST(sum(CASE WHEN t = tier AND p = tier THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
             "sum(CASE WHEN p = tier THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN t = tier THEN 1 ELSE 0 END) AS tt "
             "FROM lab CROSS JOIN pr GROUP BY tier), "
-            "m AS (SELECT tier, coalesce(tp / nullif(pp, 0), 0.0) AS pre, coalesce(tp / nullif(tt, 0), 0.0) AS rec, "
-            "tt FROM c) "
-            "SELECT tier, round(pre, 6) AS precision, round(rec, 6) AS recall, "
-            "round(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END, 6) AS f1, "
-            "CAST(tt AS BIGINT) AS support FROM m")
+            "m0 AS (SELECT tier, coalesce(tp / nullif(pp, 0), 0.0) AS pre, coalesce(tp / nullif(tt, 0), 0.0) AS rec, "
+            "tt FROM c), "
+            "m AS (SELECT *, CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END AS f1v FROM m0)")
+
+
+def _tier_metrics_sql() -> str:
+    return (_tier_metric_ctes() + " SELECT tier, round(pre, 6) AS precision, round(rec, 6) AS recall, "
+            "round(f1v, 6) AS f1, CAST(tt AS BIGINT) AS support FROM m")
+
+
+def _tier_leaderboard_sql() -> str:
+    return (_tier_metric_ctes() + ", w AS (SELECT sum(f1v * tt) / sum(tt) AS wf FROM m) "
+            "SELECT tier, round(pre, 6) AS precision, round(rec, 6) AS recall, round(f1v, 6) AS f1, "
+            "'live' AS source, round(wf, 6) AS weighted_f1, wf >= 0.83 AS meets_target FROM m CROSS JOIN w")
 
 
 @register("tier_metrics", _tier_metrics_sql())
@@ -602,3 +613,17 @@ def q_generator_summaries(spark, sf_dir):
     prompts = S.build_prompts(pre, TR.session_tiers(pre, P.LEXICON).withColumn(
         "topics", F.array().cast("array<array<string>>")))
     return X.summarize_sessions(pre, generator=lead_sentence_generator, prompts=prompts)
+
+
+@register("tier_leaderboard", _tier_leaderboard_sql())
+def q_tier_leaderboard(spark, sf_dir):
+    pre = prepared(spark, sf_dir)
+    live = EV.evaluate_tiers(TR.session_tiers(pre, P.LEXICON), pre, P.LEXICON)
+    out = EV.tier_leaderboard(EV.published_tier_scores(spark), live)
+    return _rounded(out, ("precision", "recall", "f1", "weighted_f1"))
+
+
+@register("sample_labelled")
+def q_sample_labelled(spark, sf_dir):
+    enc = PR.encode_labels(TD.labelled_text(spark, sf_dir), labels=P.EVENT_LABELS)
+    return S.sample_rows(enc, 500, key=["row_id"]).select("row_id", "emotion", "label_id")

@@ -109,3 +109,15 @@ def test_leaderboard_live_wins(spark):
     assert out[("Pegasus-Large", "ROUGE-2")].meets_target is False
     assert out[("Pegasus-Large", "ROUGE-1")].meets_target is None
     assert math.isclose(out[("T5-Base (Proposed)", "BERTScore F1")].value, 0.902)
+
+
+def test_tier_leaderboard_published_and_live(spark):
+    pub = EV.tier_leaderboard(EV.published_tier_scores(spark), None).collect()
+    assert [r.f1 for r in sorted(pub, key=lambda r: r.tier)] == [0.89, 0.83, 0.81, 0.75, 0.90]
+    assert all(r.source == "published" and r.weighted_f1 is None for r in pub)
+    df = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (5, 4)], "t int, p int")
+    live = EV.classification_metrics(df, "t", "p").withColumnRenamed("label", "tier")
+    rows = EV.tier_leaderboard(EV.published_tier_scores(spark), live).collect()
+    assert all(r.source == "live" for r in rows)
+    assert rows[0].weighted_f1 == pytest.approx((2 / 3 * 2 + 2 / 3 * 1 + 0 * 1) / 4)
+    assert rows[0].meets_target is False

@@ -97,3 +97,20 @@ def test_streaming_preprocess(spark):
     q.stop()
     r = spark.sql("select * from pp").first()
     assert (r.clean_text, r.role, r.utterance_tier) == ("i feel hopeless.", "counselor", 5)
+
+
+def test_hash_split_keeps_keys_together(spark):
+    df = spark.range(2000).select((F.col("id") % 97).alias("session_id"), F.col("id").alias("row"))
+    out = PR.hash_split(df, "session_id", 0.8)
+    sides = out.groupBy("session_id").agg(F.countDistinct("split").alias("n")).filter("n > 1").count()
+    assert sides == 0
+    share = out.filter("split = 'train'").select("session_id").distinct().count() / 97
+    assert 0.6 < share < 0.95
+
+
+def test_sample_rows_is_deterministic(spark):
+    from parley.operators.sessions import sample_rows
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    a = sorted(r.k for r in sample_rows(df, 50, key=["k"]).collect())
+    b = sorted(r.k for r in sample_rows(df.repartition(7), 50, key=["k"]).collect())
+    assert a == b and len(a) == 50
