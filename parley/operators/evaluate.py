@@ -4,6 +4,7 @@ per-class precision/recall/F1, leaderboard and training-log roll-up."""
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -155,7 +156,7 @@ def evaluate_models(references: DataFrame, predictions: DataFrame, metrics=("ROU
     ``references``: ``key, reference``; ``predictions``: ``model, key, prediction``.
     """
     pairs = (predictions.select("model", key, F.col("prediction").alias("candidate"))
-             .join(references.select(key, "reference"), key))
+             .join(references.select(key, "reference"), key)).persist(StorageLevel.MEMORY_AND_DISK)
     keys = ["model", key]
     parts = []
     for m in metrics:

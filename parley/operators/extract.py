@@ -67,7 +67,7 @@ def graph_product(sw: DataFrame, x: DataFrame, key: str = "session_id", xcol: st
 def sentence_graph(sentences: DataFrame, key: str = "session_id") -> DataFrame:
     """Weighted degree of every sentence: ``(key, sent_pos, n_words, degree)``
     with ``degree = sum_j w_ij`` (self edge included)."""
-    sw = sentence_words(sentences, key)
+    sw = sentence_words(sentences, key).persist(StorageLevel.MEMORY_AND_DISK)
     ones = sentences.select(key, "sent_pos", F.lit(1.0).alias("x"))
     deg = graph_product(sw, ones, key)
     return (sentences.select(key, "sent_pos", "n_words").join(deg, [key, "sent_pos"], "left")

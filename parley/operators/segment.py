@@ -8,6 +8,7 @@ come from a two-level running sum.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ def tfidf(utterances: DataFrame, text: str = "clean_text", max_features: int | N
     terms have no rows (zero vector).
     """
     n_docs = utterances.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_docs"))
-    tc = term_counts(utterances, text, stop_words)
+    # term counts feed the vocabulary and the weights
+    tc = term_counts(utterances, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     # idf is attached to the (capped, per-session bounded) vocabulary, so the
     # only join of the term-count rows is on the spread key (session, term)
     idf = (session_vocabulary(tc, max_features).join(n_docs, "session_id")
@@ -119,7 +121,7 @@ def top_terms(segmented: DataFrame, k: int = D.TOPIC_WORDS, text: str = "clean_t
               max_features: int | None = D.COUNT_MAX_FEATURES, stop_words=None) -> DataFrame:
     """Most frequent terms of each segment, restricted to the session's
     ``max_features`` vocabulary: ``(session_id, segment_id, rank, term, n)``."""
-    tc = term_counts(segmented, text, stop_words)
+    tc = term_counts(segmented, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = session_vocabulary(tc, max_features).select("session_id", "term")
     seg = segmented.select("session_id", "turn", "segment_id")
     counts = (tc.join(vocab, ["session_id", "term"])

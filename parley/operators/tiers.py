@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ def lexicon_window_tiers(utterances: DataFrame, lexicon=None, text: str = "clean
         "session_id", "turn", side.alias("side"),
         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
         F.lit(1).alias("_one"))
-    d = prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False)
+    # read by the counts, the pieces and (through them) the heads and windows
+    d = prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False).persist(
+        StorageLevel.MEMORY_AND_DISK)
     counts = d.groupBy("session_id").agg(
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("_nc"),
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("_nk"))
@@ -137,7 +140,8 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
 
     Output: ``session_id, emotion_tier, tier_label, source``.
     """
-    lex = lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier")
+    lex = lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier").persist(
+        StorageLevel.MEMORY_AND_DISK)
     matched = (lex.filter(F.col("lex_tier") > 1)
                .select("session_id", F.col("lex_tier").alias("emotion_tier"), F.lit("lexicon").alias("source")))
     rest = lex.filter(F.col("lex_tier") <= 1)

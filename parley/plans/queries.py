@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +37,13 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.preprocess(TD.utterances(spark, sf_dir), role_keywords=P.ROLE_KEYWORDS)
+def prepared(spark: SparkSession, sf_dir: str, shared: bool = True) -> DataFrame:
+    """Normalised utterances. Most queries read them several times; persisting
+    keeps one normalisation pass per table (the cache is shared by every query
+    building the same plan). Single-pass queries take the plain plan, so their
+    scans stay pruned to the columns they use."""
+    pre = S.preprocess(TD.utterances(spark, sf_dir), role_keywords=P.ROLE_KEYWORDS)
+    return pre.persist(StorageLevel.MEMORY_AND_DISK) if shared else pre
 
 
 def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +56,13 @@ def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("normalize_utterances",
           f"WITH {Q.utt_cte()} SELECT session_id, turn, clean_text FROM utt")
 def q_normalize(spark, sf_dir):
-    return prepared(spark, sf_dir).select("session_id", "turn", "clean_text")
+    return prepared(spark, sf_dir, shared=False).select("session_id", "turn", "clean_text")
 
 
 @register("assign_roles",
           f"WITH {Q.utt_cte()} SELECT session_id, turn, speaker, spk_role AS role FROM utt")
 def q_roles(spark, sf_dir):
-    return prepared(spark, sf_dir).select("session_id", "turn", "speaker", "role")
+    return prepared(spark, sf_dir, shared=False).select("session_id", "turn", "speaker", "role")
 
 
 @register("sentence_split",
@@ -64,7 +70,7 @@ def q_roles(spark, sf_dir):
           "SELECT session_id, turn, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
           "unnest(sents) AS sentence FROM s")
 def q_sentences(spark, sf_dir):
-    return S.sentence_rows(prepared(spark, sf_dir))
+    return S.sentence_rows(prepared(spark, sf_dir, shared=False))
 
 
 @register("session_text",
@@ -543,7 +549,8 @@ def _graph_sql() -> str:
 @register("sentence_graph", _graph_sql())
 def q_sentence_graph(spark, sf_dir):
     sents = S.session_sentences(prepared(spark, sf_dir))
-    sents = sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long"))
+    sents = sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     return X.sentence_graph(sents).withColumn("degree", r6("degree"))
 
 
