@@ -16,7 +16,7 @@ length per word occurrence, never one per sentence pair.
 
 TextRank is the power method on ``(1-d)/n + d * W / (rowsum + 1e-7)`` from the
 uniform vector until the change is at most ``epsilon``, per session. Sessions
-up to ``local_limit`` word occurrences run it with numpy inside
+up to a checked size (sentences and words) run it with numpy inside
 ``applyInPandas`` (the group size is checked first); larger sessions run the
 same iteration as Spark joins and aggregates, checkpointing every step.
 """
@@ -77,21 +77,21 @@ def sentence_graph(sentences: DataFrame, key: str = "session_id") -> DataFrame:
 # ------------------------------------------------------------------ local path
 
 def _textrank_numpy(pos: np.ndarray, words: list, damping: float, epsilon: float) -> np.ndarray:
-    """Power-method ranks for one session (dense, exact as the distributed path)."""
+    """Power-method ranks for one session (dense n x n, exact as the distributed path).
+
+    Shared-word counts come from per-word postings (sentence ids and counts),
+    so memory is the n x n matrix only, never n x vocabulary."""
     n = len(pos)
-    vocab: dict = {}
-    rows = []
-    for ws in words:
-        counts: dict = {}
+    postings: dict = {}
+    for i, ws in enumerate(words):
         for w in ws:
-            j = vocab.setdefault(w, len(vocab))
-            counts[j] = counts.get(j, 0) + 1
-        rows.append(counts)
-    c = np.zeros((n, max(len(vocab), 1)))
-    for i, counts in enumerate(rows):
-        for j, v in counts.items():
-            c[i, j] = v
-    shared = c @ c.T
+            row = postings.setdefault(w, {})
+            row[i] = row.get(i, 0) + 1
+    shared = np.zeros((n, n))
+    for row in postings.values():
+        idx = np.fromiter(row.keys(), dtype=np.int64)
+        cnt = np.fromiter(row.values(), dtype=float)
+        shared[np.ix_(idx, idx)] += np.outer(cnt, cnt)
     lens = np.array([len(ws) for ws in words], dtype=float)
     with np.errstate(divide="ignore"):
         logs = np.where(lens > 0, np.log(np.maximum(lens, 1)), 0.0)
@@ -168,13 +168,18 @@ def _distributed_ranks(sentences: DataFrame, key: str, damping: float, epsilon:
 
 
 def textrank_ranks(sentences: DataFrame, key: str = "session_id", damping: float = D.TEXTRANK_DAMPING,
-                   epsilon: float = D.TEXTRANK_EPSILON, local_limit: int = 200_000) -> DataFrame:
-    """``(key, sent_pos, rank)``: stationary TextRank score of each sentence."""
-    size = (sentences.select(key, F.col("n_words"))
-            .groupBy(key).agg((F.sum("n_words") + F.count(F.lit(1))).alias("_size")))
-    small = sentences.join(size.filter(F.col("_size") <= local_limit).select(key), key, "left_semi")
+                   epsilon: float = D.TEXTRANK_EPSILON, local_max_sentences: int = 2048,
+                   local_max_words: int = 200_000) -> DataFrame:
+    """``(key, sent_pos, rank)``: stationary TextRank score of each sentence.
+
+    A session goes to the numpy path only when it has at most
+    ``local_max_sentences`` sentences (an n x n matrix of at most 32 MB at the
+    default) and ``local_max_words`` words; all others run distributed."""
+    size = sentences.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_words").alias("_w"))
+    fits = (F.col("_n") <= local_max_sentences) & (F.col("_w") <= local_max_words)
+    small = sentences.join(size.filter(fits).select(key), key, "left_semi")
     ranks = _local_ranks(small, key, damping, epsilon)
-    large_keys = size.filter(F.col("_size") > local_limit).select(key)
+    large_keys = size.filter(~fits).select(key)
     if not large_keys.isEmpty():
         large = sentences.join(large_keys, key, "left_semi")
         ranks = ranks.unionByName(_distributed_ranks(large, key, damping, epsilon))
