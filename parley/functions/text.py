@@ -14,11 +14,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _java_quote(s: str) -> str:
-    """Quote a literal for a Java regular expression."""
-    return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-
-
 def filler_pattern(fillers=None) -> str:
     return r"(?i)\b(" + "|".join(fillers or D.FILLERS) + r")\b"
 
@@ -66,9 +61,33 @@ def assign_role(c, keywords=None) -> Column:
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
 
-def split_sentences(c) -> Column:
-    """Sentences of a text: split after ``.``/``!``/``?`` followed by blanks; blanks dropped."""
-    parts = F.split(F.coalesce(_col(c), F.lit("")), SENTENCE_BREAK)
+def _abbrev_alternation(abbreviations) -> str:
+    import re
+
+    return "|".join(re.escape(a.lower().rstrip(".")) for a in abbreviations)
+
+
+def sentence_break(abbreviations=None) -> str:
+    """Break pattern: blanks after ``.``/``!``/``?``, except after one of the
+    ``abbreviations`` (e.g. ``["dr.", "e.g."]``, case-insensitive)."""
+    if not abbreviations:
+        return SENTENCE_BREAK
+    return r"(?<=[.!?])(?<!(?i:\b(?:" + _abbrev_alternation(abbreviations) + r")\.))\s+"
+
+
+def ends_sentence(c, abbreviations=None) -> Column:
+    """True when the text ends with ``.``/``!``/``?`` that is not an abbreviation's dot."""
+    col = _col(c)
+    ends = col.rlike(r"[.!?]$")
+    if abbreviations:
+        ends = ends & ~col.rlike(r"(?i)\b(?:" + _abbrev_alternation(abbreviations) + r")\.$")
+    return ends
+
+
+def split_sentences(c, abbreviations=None) -> Column:
+    """Sentences of a text: split after ``.``/``!``/``?`` followed by blanks
+    (not after the given abbreviations); blanks dropped."""
+    parts = F.split(F.coalesce(_col(c), F.lit("")), sentence_break(abbreviations))
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

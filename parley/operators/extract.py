@@ -37,9 +37,10 @@ from .sequence import listagg_ordered, top_k
 ZERO_DIVISION_PREVENTION = 1e-7
 
 
-def sentence_table(texts: DataFrame, text: str = "text", key: str = "session_id") -> DataFrame:
+def sentence_table(texts: DataFrame, text: str = "text", key: str = "session_id",
+                   abbreviations=None) -> DataFrame:
     """``(key, sent_pos, sentence, n_words)`` from a text per key."""
-    s = texts.select(key, F.posexplode(T.split_sentences(text)).alias("sent_pos", "sentence"))
+    s = texts.select(key, F.posexplode(T.split_sentences(text, abbreviations)).alias("sent_pos", "sentence"))
     return s.withColumn("n_words", F.size(T.graph_words("sentence")).cast("long"))
 
 

@@ -40,9 +40,10 @@ def preprocess(df: DataFrame, fillers=None, role_keywords=None, mode: str = "str
     return out
 
 
-def sentence_rows(df: DataFrame, text: str = "clean_text", keys=("session_id", "turn")) -> DataFrame:
+def sentence_rows(df: DataFrame, text: str = "clean_text", keys=("session_id", "turn"),
+                  abbreviations=None) -> DataFrame:
     """One row per sentence: keys, ``sent_pos`` (0-based), ``sentence``."""
-    return df.select(*keys, F.posexplode(T.split_sentences(text)).alias("sent_pos", "sentence"))
+    return df.select(*keys, F.posexplode(T.split_sentences(text, abbreviations)).alias("sent_pos", "sentence"))
 
 
 def session_text(df: DataFrame, text: str = "clean_text", out: str = "session_text") -> DataFrame:
@@ -211,7 +212,7 @@ def hash_split(df: DataFrame, key: str, fraction: float, seed: int = D.SAMPLE_SE
                          .otherwise(F.lit("validation")))
 
 
-def session_sentences(utterances: DataFrame, text: str = "clean_text") -> DataFrame:
+def session_sentences(utterances: DataFrame, text: str = "clean_text", abbreviations=None) -> DataFrame:
     """Sentences of the session text (turns joined by one blank, split after
     ``.``/``!``/``?`` + blanks, trimmed, blanks dropped) without assembling the
     session text: ``(session_id, sent_pos, sentence)``.
@@ -225,8 +226,8 @@ def session_sentences(utterances: DataFrame, text: str = "clean_text") -> DataFr
     non-blank sentences by a second running count.
     """
     d = utterances.select("session_id", "turn", F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = d.select("session_id", "turn", F.split(F.col("_t"), T.SENTENCE_BREAK).alias("_frags"),
-                 F.col("_t").rlike(r"[.!?]$").alias("_ends"))
+    d = d.select("session_id", "turn", F.split(F.col("_t"), T.sentence_break(abbreviations)).alias("_frags"),
+                 T.ends_sentence("_t", abbreviations).alias("_ends"))
     # does the previous turn end a sentence? (turn - 1 sends its flag forward)
     prev = d.select("session_id", (F.col("turn") + 1).alias("turn"), F.col("_ends").alias("_prev_ends"))
     d = d.join(prev, ["session_id", "turn"], "left")
