@@ -12,7 +12,7 @@ from pyspark.sql import types as Ty
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
-from .sequence import fixed_table
+from .sequence import cut, fixed_table
 
 
 # ------------------------------------------------------------------ ROUGE-N
@@ -156,7 +156,8 @@ def evaluate_models(references: DataFrame, predictions: DataFrame, metrics=("ROU
     ``references``: ``key, reference``; ``predictions``: ``model, key, prediction``.
     """
     pairs = (predictions.select("model", key, F.col("prediction").alias("candidate"))
-             .join(references.select(key, "reference"), key)).persist(StorageLevel.MEMORY_AND_DISK)
+             .join(references.select(key, "reference"), key))
+    pairs = cut(pairs)
     keys = ["model", key]
     parts = []
     for m in metrics:

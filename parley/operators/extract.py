@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..session import ensure_checkpoint_dir
 from ..functions import text as T
-from .sequence import listagg_ordered, top_k
+from .sequence import cut, listagg_ordered, top_k
 
 ZERO_DIVISION_PREVENTION = 1e-7
 
@@ -68,7 +68,7 @@ def graph_product(sw: DataFrame, x: DataFrame, key: str = "session_id", xcol: st
 def sentence_graph(sentences: DataFrame, key: str = "session_id") -> DataFrame:
     """Weighted degree of every sentence: ``(key, sent_pos, n_words, degree)``
     with ``degree = sum_j w_ij`` (self edge included)."""
-    sw = sentence_words(sentences, key).persist(StorageLevel.MEMORY_AND_DISK)
+    sw = cut(sentence_words(sentences, key))
     ones = sentences.select(key, "sent_pos", F.lit(1.0).alias("x"))
     deg = graph_product(sw, ones, key)
     return (sentences.select(key, "sent_pos", "n_words").join(deg, [key, "sent_pos"], "left")
@@ -199,7 +199,7 @@ def textrank_summary(texts: DataFrame, text: str = "text", n: int = D.TEXTRANK_S
     else:
         sents = sentences.withColumn("n_words", F.size(T.graph_words("sentence")).cast("long"))
     # read by the size check, the rank computation and the final selection
-    sents = sents.persist(StorageLevel.MEMORY_AND_DISK)
+    sents = cut(sents)
     ranks = textrank_ranks(sents, key, **kw)
     best = top_k(ranks, [key], [F.desc("rank"), F.asc("sent_pos")], n, "_r")
     chosen = sents.join(best.select(key, "sent_pos"), [key, "sent_pos"])

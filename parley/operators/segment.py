@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import text as T
-from .sequence import ordered_concat, prefix_sum, top_k
+from .sequence import cut, ordered_concat, prefix_sum, top_k
 
 _STOP: list[str] | None = None
 
@@ -55,7 +55,7 @@ def tfidf(utterances: DataFrame, text: str = "clean_text", max_features: int | N
     """
     n_docs = utterances.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_docs"))
     # term counts feed the vocabulary and the weights
-    tc = term_counts(utterances, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    tc = cut(term_counts(utterances, text, stop_words))
     # idf is attached to the (capped, per-session bounded) vocabulary, so the
     # only join of the term-count rows is on the spread key (session, term)
     idf = (session_vocabulary(tc, max_features).join(n_docs, "session_id")
@@ -107,8 +107,9 @@ def segment_sessions(utterances: DataFrame, threshold: float = D.SEGMENT_THRESHO
                        F.when(F.col("similarity") < threshold, F.lit(1)).otherwise(F.lit(0)).alias("_new"))
     d = (utterances.join(flags, ["session_id", "turn"], "left")
          .withColumn("_new", F.coalesce(F.col("_new"), F.lit(0))))
-    return prefix_sum(d, ["session_id"], "turn", "_new", "segment_id").withColumn(
-        "segment_id", F.col("segment_id").cast("long")).drop("_new")
+    # segmented turns are read by several later stages (text, terms, topics)
+    return cut(prefix_sum(d, ["session_id"], "turn", "_new", "segment_id").withColumn(
+        "segment_id", F.col("segment_id").cast("long")).drop("_new"))
 
 
 def segment_text(segmented: DataFrame, text: str = "clean_text") -> DataFrame:
@@ -121,7 +122,7 @@ def top_terms(segmented: DataFrame, k: int = D.TOPIC_WORDS, text: str = "clean_t
               max_features: int | None = D.COUNT_MAX_FEATURES, stop_words=None) -> DataFrame:
     """Most frequent terms of each segment, restricted to the session's
     ``max_features`` vocabulary: ``(session_id, segment_id, rank, term, n)``."""
-    tc = term_counts(segmented, text, stop_words).persist(StorageLevel.MEMORY_AND_DISK)
+    tc = cut(term_counts(segmented, text, stop_words))
     vocab = session_vocabulary(tc, max_features).select("session_id", "term")
     seg = segmented.select("session_id", "turn", "segment_id")
     counts = (tc.join(vocab, ["session_id", "term"])

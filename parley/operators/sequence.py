@@ -21,6 +21,22 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 4096
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage.
+
+    For an intermediate read by more than one branch of a plan: persisted
+    (``MEMORY_AND_DISK``, so both branches read the same blocks) and lazily
+    checkpointed to ``spark.checkpoint.dir`` (written after the first job
+    that computes it, from the cache). The returned plan is a leaf, so
+    plans built on top of it stay small instead of repeating the whole
+    upstream pipeline in every branch.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=False)
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -69,9 +85,9 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     frame_end = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*keys, blk).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    # ``d`` feeds both the block totals and the final join: persisted so its
-    # input (often a whole upstream pipeline) is computed once.
-    d = d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
+    # ``d`` feeds both the block totals and the final join: computed once,
+    # lineage cut (its input is often a whole upstream pipeline)
+    d = cut(d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0))))
     totals = d.groupBy(*keys, blk).agg(F.sum("_pval").alias("_ptot"))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_poff", F.coalesce(F.sum("_ptot").over(w_blk), F.lit(0))).drop("_ptot")

@@ -221,9 +221,8 @@ def session_sentences(utterances: DataFrame, text: str = "clean_text", abbreviat
     previous turn's last sentence unless that turn ended with ``.``/``!``/``?``
     (clean text has no leading or trailing blanks, so the joining blank is
     then part of a break). Sentence ids are a running count of sentence starts
-    (two-level, per session), a sentence is its fragments joined by a blank
-    in (turn, fragment) order, and positions are renumbered over the
-    non-blank sentences by a second running count.
+    (two-level, per session) and a sentence is its fragments joined by a
+    blank in (turn, fragment) order.
     """
     d = utterances.select("session_id", "turn", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     d = d.select("session_id", "turn", F.split(F.col("_t"), T.sentence_break(abbreviations)).alias("_frags"),
@@ -238,6 +237,9 @@ def session_sentences(utterances: DataFrame, text: str = "clean_text", abbreviat
     frags = frags.withColumn("_sid", (F.col("_off") + F.col("_k") + F.col("_fs") - 1).cast("long"))
     sents = (frags.groupBy("session_id", "_sid")
              .agg(F.trim(F.expr("listagg(_frag, ' ') WITHIN GROUP (ORDER BY turn, _k)")).alias("sentence")))
-    sents = sents.filter(F.col("sentence") != "").withColumn("_one", F.lit(1))
-    sents = prefix_sum(sents, ["session_id"], "_sid", "_one", "sent_pos", inclusive=False)
-    return sents.select("session_id", F.col("sent_pos").cast("int").alias("sent_pos"), "sentence")
+    # For clean text only a session's last sentence can be blank (a run of
+    # empty turns after a sentence end, up to the end of the session): every
+    # later non-empty turn would continue it. So dropping blanks leaves the
+    # ids of all kept sentences contiguous from 0.
+    return (sents.filter(F.col("sentence") != "")
+            .select("session_id", F.col("_sid").cast("int").alias("sent_pos"), "sentence"))

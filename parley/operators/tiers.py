@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
-from .sequence import prefix_sum
+from .sequence import cut, prefix_sum
 from .sessions import role_texts
 
 
@@ -53,8 +53,7 @@ def lexicon_window_tiers(utterances: DataFrame, lexicon=None, text: str = "clean
         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
         F.lit(1).alias("_one"))
     # read by the counts, the pieces and (through them) the heads and windows
-    d = prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    d = cut(prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False))
     counts = d.groupBy("session_id").agg(
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("_nc"),
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("_nk"))
@@ -140,8 +139,7 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
 
     Output: ``session_id, emotion_tier, tier_label, source``.
     """
-    lex = lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier").persist(
-        StorageLevel.MEMORY_AND_DISK)
+    lex = cut(lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier"))
     matched = (lex.filter(F.col("lex_tier") > 1)
                .select("session_id", F.col("lex_tier").alias("emotion_tier"), F.lit("lexicon").alias("source")))
     rest = lex.filter(F.col("lex_tier") <= 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report as R
 from ..operators import sessions as S
+from ..operators.sequence import cut
 from ..operators import tiers as TR
 from ..sources import testdata as TD
 from . import params as P
@@ -549,8 +550,7 @@ def _graph_sql() -> str:
 @register("sentence_graph", _graph_sql())
 def q_sentence_graph(spark, sf_dir):
     sents = S.session_sentences(prepared(spark, sf_dir))
-    sents = sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    sents = cut(sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long")))
     return X.sentence_graph(sents).withColumn("degree", r6("degree"))
 
 
