@@ -100,21 +100,30 @@ def probability_tiers(probs: DataFrame, alpha: float = D.BLEND_ALPHA, **cuts) ->
             .withColumn("emotion_tier", A.probability_tier("blended", **cuts)))
 
 
-def score_texts(texts: DataFrame, model, text: str = "text", width: int = len(D.EMOTION_LABELS)) -> DataFrame:
-    """Class probabilities of ``text`` from a fitted Spark ML model.
+def score_texts(texts: DataFrame, model, text: str = "text", width: int = len(D.EMOTION_LABELS),
+                batch_size: int = 64) -> DataFrame:
+    """Class probabilities of ``text`` from a fitted Spark ML model, or from an
+    external batch predictor (a function ``numpy array of str -> (n, k)
+    array``) run through ``predict_batch_udf`` in Arrow batches.
 
     Blank texts are not sent to the model: they get an all-zero vector.
     Scored and unscored rows are split by a filter and unioned back, so the
     model runs only on the rows that need it.
     """
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import predict_batch_udf, vector_to_array
 
     blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
     zeros = F.array_repeat(F.lit(0.0), width)
     to_score = texts.filter(~blank)
-    scored = model.transform(to_score)
     keep = texts.columns
-    scored = scored.select(*keep, vector_to_array("probability").alias("probs"))
+    if hasattr(model, "transform"):
+        scored = model.transform(to_score).select(*keep, vector_to_array("probability").alias("probs"))
+    else:
+        # an external batch predictor: numpy array of texts -> (n, classes) probabilities
+        from pyspark.sql.types import ArrayType, DoubleType
+
+        predict = predict_batch_udf(lambda: model, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+        scored = to_score.select(*keep, predict(F.col(text)).alias("probs"))
     empty = texts.filter(blank).withColumn("probs", zeros)
     return scored.unionByName(empty)
 
@@ -149,7 +158,7 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
     if model is None:
         unmatched = rest.select("session_id", F.lit(1).alias("emotion_tier"), F.lit("default").alias("source"))
     else:
-        tcol = model_input_col(model)
+        tcol = model_input_col(model) if hasattr(model, "transform") else "utterance"
         sides = (rest.select("session_id", F.lit(0).alias("side"), F.col("client_text").alias(tcol))
                  .unionByName(rest.select("session_id", F.lit(1).alias("side"),
                                           F.col("counselor_text").alias(tcol))))
