@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -43,8 +44,8 @@ def test_graph_degree_against_pairs(spark):
     texts = spark.createDataFrame(TEXTS, "session_id string, text string")
     sents = X.sentence_table(texts)
     rows = sents.select("session_id", "sent_pos", "sentence").collect()
-    words = {(r.session_id, r.sent_pos): [w for w in __import__("re").findall(r"[\w'-]+", r.sentence.lower())
-                                          if __import__("re").fullmatch(r"[a-z][a-z'-]*", w)] for r in rows}
+    words = {(r.session_id, r.sent_pos): [w for w in re.findall(r"[\w'-]+", r.sentence.lower())
+                                          if re.fullmatch(r"[a-z][a-z'-]*", w)] for r in rows}
     deg = {(r.session_id, r.sent_pos): r.degree for r in X.sentence_graph(sents).collect()}
     for (sid, i), a in words.items():
         expect = 0.0
@@ -60,7 +61,6 @@ def test_graph_degree_against_pairs(spark):
 
 @pytest.mark.parametrize("local_limit", [2048, 0])
 def test_ranks_match_reference_algorithm(spark, local_limit):
-    import re
     texts = spark.createDataFrame(TEXTS[:3], "session_id string, text string")
     sents = X.sentence_table(texts)
     got = {(r.session_id, r.sent_pos): r.rank
