@@ -634,3 +634,11 @@ def q_tier_leaderboard(spark, sf_dir):
 def q_sample_labelled(spark, sf_dir):
     enc = PR.encode_labels(TD.labelled_text(spark, sf_dir), labels=P.EVENT_LABELS)
     return S.sample_rows(enc, 500, key=["row_id"]).select("row_id", "emotion", "label_id")
+
+
+@register("textrank_scores")
+def q_textrank_scores(spark, sf_dir):
+    summaries = X.summarize_sessions(prepared(spark, sf_dir))
+    preds = summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
+        "model", F.lit("TF-IDF TextRank"))
+    return EV.evaluate_models(model_references(spark, sf_dir), preds)

@@ -6,7 +6,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"session_topics", "label_classifier", "session_tier_model", "session_features", "pipeline_report",
-        "textrank_summary", "generator_summaries", "split_pairs", "split_labelled"}
+        "textrank_summary", "generator_summaries", "split_pairs", "split_labelled", "textrank_scores"}
 
 
 def physical(df):

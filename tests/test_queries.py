@@ -26,7 +26,7 @@ def con():
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = {"rouge_l", "model_comparison_lcs", "textrank_summary", "session_topics", "label_classifier",
                  "session_tier_model", "session_features", "pipeline_report", "normalize_repaired",
-                 "generator_summaries", "sample_labelled"}
+                 "generator_summaries", "sample_labelled", "textrank_scores"}
     assert set(NAMES) - set(SQL) == no_oracle
 
 
