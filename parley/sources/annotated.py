@@ -24,7 +24,7 @@ def _strip(c) -> F.Column:
 
 
 def read_annotated_sessions(spark: SparkSession, dirs, glob: str = D.ANNOTATED_GLOB,
-                            prefix: str = D.ANNOTATED_PREFIX) -> DataFrame:
+                            prefix: str = D.ANNOTATED_PREFIX, max_broadcast_files: int = 100_000) -> DataFrame:
     """All annotated files of the given folders (empty entries skipped).
 
     Columns are taken by position (the header line is skipped, its names
@@ -46,6 +46,10 @@ def read_annotated_sessions(spark: SparkSession, dirs, glob: str = D.ANNOTATED_G
     name = F.url_decode(F.replace(F.col("_name"), F.lit("+"), F.lit("%2B")))
     sid = F.replace(F.replace(name, F.lit(prefix), F.lit("")), F.lit(".csv"), F.lit(""))
     first = raw.groupBy("_file").agg(F.min("_id").alias("_first"))
+    # one row per input file: the file listing (known on the driver before
+    # any job) bounds it, so it is broadcast below the limit
+    if len(raw.inputFiles()) <= max_broadcast_files:
+        first = F.broadcast(first)
     return (raw.join(first, "_file")
             .withColumn("session_id", sid)
             .withColumn("row_pos", F.col("_id") - F.col("_first"))
