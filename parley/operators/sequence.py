@@ -29,7 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     checkpointed to ``spark.checkpoint.dir`` (written after the first job
     that computes it, from the cache). The returned plan is a leaf, so
     plans built on top of it stay small instead of repeating the whole
-    upstream pipeline in every branch.
+    upstream pipeline in every branch. With AQE on, obtaining the RDD to
+    checkpoint runs the upstream shuffle stages at call time, so a cut
+    behaves like a materialisation point of the pipeline.
     """
     from ..session import ensure_checkpoint_dir
 

@@ -53,7 +53,8 @@ def run(utterances: DataFrame, lexicon=None, model=None, rules=None, fallback: s
     summaries = X.summarize_sessions(pre, generator, prompts)
     reports = R.build_reports(summaries.withColumnRenamed("generated_summary", "summary"), features,
                               "summary", rules, fallback)
-    baseline = X.summarize_sessions(pre)
+    # without a generator the summaries already are the extractive baseline
+    baseline = summaries if generator is None else X.summarize_sessions(pre)
     out = {"preprocessed": pre, "segments": seg, "features": features, "prompts": prompts,
            "summaries": summaries, "reports": reports, "baseline_summaries": baseline,
            "tier_metrics": EV.evaluate_tiers(features, pre, lexicon)}
