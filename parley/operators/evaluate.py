@@ -119,7 +119,7 @@ def rouge_l(pairs: DataFrame, keys: list[str] | None = None, candidate: str = "c
 # ------------------------------------------------------------------ embedding match
 
 def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, key: str = "pair_id",
-                    token: str = "token_id", vector: str = "vector", block: int = 256) -> DataFrame:
+                    token: str = "token_id", vector: str = "vector", block: int = 256, salt: int = 1) -> DataFrame:
     """Greedy cosine matching of token vectors (as in BERTScore).
 
     P = mean over candidate tokens of the best cosine with a reference token
@@ -127,6 +127,9 @@ def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, ke
     grouped into blocks of at most ``block`` vectors by ``token div block``;
     each token row meets one block row at a time, and the per-block best
     values are reduced with ``max``, so a long pair is never held in one row.
+    ``salt > 1`` spreads each pair's tokens over ``salt`` join keys (the
+    other side's blocks are repeated per salt) for pairs known to be hot;
+    by default AQE's skew-join splitting handles them.
     """
     c = candidate_tokens.select(key, token, A.l2_normalize(vector).alias("_v"))
     r = reference_tokens.select(key, token, A.l2_normalize(vector).alias("_v"))
@@ -134,7 +137,12 @@ def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, ke
     def best(src: DataFrame, other: DataFrame) -> DataFrame:
         blocks = (other.withColumn("_blk", F.floor(F.col(token) / F.lit(block)))
                   .groupBy(key, "_blk").agg(F.collect_list("_v").alias("_vs")))
-        m = (src.join(blocks, key)
+        keys = [key]
+        if salt > 1:
+            blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            src = src.withColumn("_salt", F.pmod(F.xxhash64(F.col(token)), F.lit(salt)).cast("int"))
+            keys = [key, "_salt"]
+        m = (src.join(blocks, keys)
              .select(key, token, F.aggregate("_vs", F.lit(-2.0),
                                              lambda acc, w: F.greatest(acc, A.dot("_v", w))).alias("_m"))
              .groupBy(key, token).agg(F.max("_m").alias("_best")))

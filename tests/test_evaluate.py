@@ -121,3 +121,14 @@ def test_tier_leaderboard_published_and_live(spark):
     assert all(r.source == "live" for r in rows)
     assert rows[0].weighted_f1 == pytest.approx((2 / 3 * 2 + 2 / 3 * 1 + 0 * 1) / 4)
     assert rows[0].meets_target is False
+
+
+def test_embedding_match_salted_equals_plain(spark):
+    rng = np.random.default_rng(4)
+    cand = [(0, i, rng.normal(size=6).tolist()) for i in range(300)]
+    ref = [(0, i, rng.normal(size=6).tolist()) for i in range(90)]
+    schema = "pair_id int, token_id long, vector array<double>"
+    c, r = spark.createDataFrame(cand, schema), spark.createDataFrame(ref, schema)
+    a = EV.embedding_match(c, r, block=16).first()
+    b = EV.embedding_match(c, r, block=16, salt=5).first()
+    assert (a.precision, a.recall) == pytest.approx((b.precision, b.recall))
