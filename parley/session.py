@@ -37,9 +37,32 @@ def get_spark(app: str = "parley", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors' Python workers (``addPyFile`` of a
+    zip), for the pandas UDFs and grouped-map functions that import it.
+    Done once per SparkContext; not needed when executors already have it."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    if key in _SHIPPED:
+        return pkg
+    base = os.path.join(tempfile.mkdtemp(prefix="parley-pkg-"), "parley")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+    return archive
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Make sure reliable checkpoints have a directory.
 
