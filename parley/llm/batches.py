@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from parley.session import ship_package
 
@@ -34,3 +34,9 @@ def shared_text(spark: SparkSession, text: str):
     to the Python workers that read it."""
     ship_package(spark)
     return spark.sparkContext.broadcast(text)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after the package has been sent to the Python workers."""
+    ship_package(df.sparkSession)
+    return df

@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import bpe
+from parley.llm import bpe, linededup, simhash
 
 #: Tokenizer files are named by their owner package; any path works.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,8 +23,42 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.line_dedup(docs, counts=True).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# Lines of every document, all windows of three, later occurrences, covered lines.
+LINE_DEDUP_SQL = """
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line
+          FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+grams AS (SELECT a.doc_id, a.pos, a.line || chr(10) || b.line || chr(10) || c.line AS gram
+          FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
+          JOIN lines c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
+ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS k FROM grams),
+covered AS (SELECT DISTINCT doc_id, pos + o AS pos FROM ranked, (SELECT unnest([0, 1, 2]) AS o) WHERE k > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+         FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.pos = l.pos
+         WHERE c.pos IS NULL GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op7_simhash": op7_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_line_dedup": LINE_DEDUP_SQL + """
+SELECT s.doc_id, CAST(len(s.ls) AS BIGINT) AS n_lines, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id LEFT JOIN n ON n.doc_id = s.doc_id
+""",
+}
