@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, linededup, simhash, warc
+from parley.llm import bpe, linededup, simhash, suffix, warc
 
 #: Tokenizer files are named by their owner package; any path works.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs, counts=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 # Lines of every document, all windows of three, later occurrences, covered lines.
 LINE_DEDUP_SQL = """
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE: dict[str, str] = {
