@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, linededup, simhash, suffix, warc
+from parley.llm import bpe, linededup, packing, simhash, suffix, toxicity, warc
 
 #: Tokenizer files are named by their owner package; any path works.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -60,6 +69,8 @@ n AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
