@@ -60,6 +60,7 @@ def _char_class(major: str) -> str:
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+BLANKS = re.compile(f"[{SPACES}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -100,9 +101,13 @@ class Bpe:
         self.memo = _Memo(self)
 
     def merge(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token: lowest rank first, leftmost on ties."""
+        """Token ids of one pre-token."""
         ids = [self.plain[b] for b in word]
         ids[-1] = self.final[word[-1]]
+        return self.merge_symbols(ids)
+
+    def merge_symbols(self, ids: list[int]) -> list[int]:
+        """Merge a symbol list (overwritten): lowest rank first, leftmost on ties."""
         n = len(ids)
         if n == 1:
             return ids
@@ -140,15 +145,20 @@ class Bpe:
                     heappush(queue, s * n + h)
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[str]:
-        """Normalised text without special strings, cut at white space (no
-        pre-token crosses it)."""
+    @staticmethod
+    def normalise(text: str) -> str:
+        """NFC and lower case of a text without special strings."""
         if not text.isascii():
             # a capital sigma lowers to the plain small one wherever it stands
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        # str.split would also cut at the four information separators
-        return [text] if SEPARATORS.search(text) else text.split()
+        return text.lower()
+
+    def pieces(self, text: str) -> list[str]:
+        """Normalised text without special strings, cut at white space (no
+        pre-token crosses it)."""
+        text = self.normalise(text)
+        # str.split would also cut at the information separators
+        return [x for x in BLANKS.split(text) if x] if SEPARATORS.search(text) else text.split()
 
     def words(self, piece: str) -> list[str]:
         """Pre-tokens of a piece."""
