@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, linededup, packing, simhash, suffix, toxicity, warc
+from parley.llm import bpe, hamming, linededup, packing, simhash, suffix, tokencount, toxicity, warc
 
 #: Tokenizer files are named by their owner package; any path works.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -27,11 +27,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -70,14 +78,26 @@ n AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_hamming_topk": op4_hamming_topk,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array": op10_suffix_array,
 }
 
+# Every query against every other row.
+HAMMING_SQL = """
+WITH bits AS (SELECT vec_id, i, embedding[i] > 0 AS b FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+pairs AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id, CAST(sum(CASE WHEN q.b <> r.b THEN 1 ELSE 0 END) AS INTEGER) AS distance
+          FROM bits q JOIN bits r ON r.i = q.i WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id GROUP BY 1, 2),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_hamming_topk": HAMMING_SQL,
     "op9_line_dedup": LINE_DEDUP_SQL + """
 SELECT s.doc_id, CAST(len(s.ls) AS BIGINT) AS n_lines, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(k.text, '')) AS kept_sha256
