@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, hamming, linededup, packing, simhash, suffix, tokencount, toxicity, warc
+from parley.llm import bpe, hamming, linededup, packing, quality, simhash, suffix, tokencount, toxicity, warc
 
 #: Tokenizer files are named by their owner package; any path works.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -75,7 +79,14 @@ kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
 n AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_hamming_topk": op4_hamming_topk,
@@ -85,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_array": op10_suffix_array,
+    "pipeline": pipeline,
 }
 
 # Every query against every other row.
