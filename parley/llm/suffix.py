@@ -21,8 +21,9 @@ Method, in three steps:
 
 A gram under which more than ``TREE_GROUP`` different contexts meet is not gathered
 in one task. Its windows are compared by counting instead: first blocks of
-``BLOCK`` windows by the bytes that all of them share, then single windows of the
-blocks that may repeat. Those counts are pre-aggregated, exact and linear.
+``BLOCK`` windows, by the bytes that all of them share and by the bytes that any of
+them covers, then single windows of the blocks that repeat only in part. Those
+counts are pre-aggregated, exact and linear.
 
 Defined results:
 * null text counts as empty; texts shorter than ``window`` bytes keep all bytes;
@@ -285,13 +286,16 @@ def _spans_batch(out: list[tuple], kind: pa.DataType, names: list[str]) -> pa.Re
 
 
 def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """Spans of large groups by counting: blocks of windows by their common bytes, then
-    the windows of the blocks whose common bytes repeat."""
+    """Spans of large groups by counting. A block of windows whose common bytes are unique
+    repeats nowhere, one whose whole extent is found twice repeats everywhere; single
+    windows are compared only for the blocks between, and for one block of every
+    repeated extent, which others may share in part."""
     key = contexts.schema["_sa_id"].dataType.simpleString()
     place = f"_sa_id {key}, _sa_text bigint, first bigint, at bigint, gram bigint, block int"
 
-    def digest(data: bytes) -> int:
-        return int.from_bytes(xxhash.xxh3_128_digest(data)[:8], "little", signed=True)
+    def digest(data: bytes) -> tuple[int, int]:
+        full = xxhash.xxh3_128_digest(data)
+        return int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)
 
     def rows(batch: pa.RecordBatch):
         cols = [batch.column(c).to_pylist() for c in ("_sa_id", "_sa_text", "first", "at", "gram", "bytes")]
@@ -309,11 +313,12 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
                         s, e = b * BLOCK, b * BLOCK + BLOCK - 1
                         # all windows of the block hold the bytes from its last start to its first end
                         core = data[o - s:o - e + window]
-                        out.append((i, h, first, at, gram, b, digest(core)))
+                        extent = digest(data[o - e:o - s + window]) if lo <= s and e <= hi else (None, None)
+                        out.append((i, h, first, at, gram, b, digest(core)[0], *extent))
                 if out:
-                    kinds = [part.schema.field("_sa_id").type, *[pa.int64()] * 4, pa.int32(), pa.int64()]
+                    kinds = [part.schema.field("_sa_id").type, *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 3]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
-                                                     ["_sa_id", "_sa_text", "first", "at", "gram", "block", "core"])
+                                                     ["_sa_id", "_sa_text", "first", "at", "gram", "block", "core", "e1", "e2"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,18 +328,28 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
                 for (i, h, first, at, gram, data, o, lo, hi), bs in zip(rows(part), wanted):
                     for b in bs:
                         for s in range(max(lo, b * BLOCK), min(hi, b * BLOCK + BLOCK - 1) + 1):
-                            full = xxhash.xxh3_128_digest(data[o - s:o - s + window])
-                            out.append((i, h, at - s, gram, s, int.from_bytes(full[:8], "little", signed=True),
-                                        int.from_bytes(full[8:], "little", signed=True)))
+                            out.append((i, h, at - s, gram, s, *digest(data[o - s:o - s + window])))
                 if out:
                     kinds = [part.schema.field("_sa_id").type, *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
                                                      ["_sa_id", "_sa_text", "start", "gram", "s", "w1", "w2"])
 
-    cores = contexts.mapInArrow(blocks, place + ", core bigint")
-    again = cores.groupBy("gram", "block", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    cores = contexts.mapInArrow(blocks, place + ", core bigint, e1 bigint, e2 bigint")
+    extent = ["gram", "block", "core", "e1", "e2"]
+    own = F.xxhash64("_sa_id", "_sa_text", "first", "at")
+    counted = cores.groupBy(*extent).agg(F.count("*").alias("n"), F.min(own).alias("one"))
+    again = counted.groupBy("gram", "block", "core").agg(F.sum("n").alias("cores")).where("cores > 1").drop("cores")
+    again = counted.join(again, ["gram", "block", "core"]).select(
+        *[F.col(c).alias(f"_{c}") for c in extent], "one", (F.col("e1").isNotNull() & (F.col("n") > 1)).alias("whole"))
+    alike = F.col("gram") == F.col("_gram")
+    for c in extent[1:]:
+        alike = alike & (F.col(c).eqNullSafe(F.col(f"_{c}")) if c in ("e1", "e2") else F.col(c) == F.col(f"_{c}"))
     who = ["_sa_id", "_sa_text", "first", "at", "gram"]
-    hit = (cores.join(again, ["gram", "block", "core"]).groupBy(*who).agg(F.collect_set("block").alias("blocks")))
+    repeated = cores.join(again, alike).select(*who, "block", "whole", (own == F.col("one")).alias("shown"))
+    blocks_whole = repeated.where("whole").select(
+        "_sa_id", "_sa_text", (F.col("at") - F.col("block") * BLOCK - (BLOCK - 1)).alias("start"),
+        (F.col("at") - F.col("block") * BLOCK + window).alias("end"))
+    hit = repeated.where("shown OR NOT whole").groupBy(*who).agg(F.collect_set("block").alias("blocks"))
     hit = hit.select(*[F.col(c).alias(f"_{c}") for c in who], "blocks")
     same = F.col("_sa_id").eqNullSafe(F.col("__sa_id"))
     for c in who[1:]:
@@ -343,7 +358,7 @@ def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
         windows, f"_sa_id {key}, _sa_text bigint, start bigint, gram bigint, s int, w1 bigint, w2 bigint")
     twice = single.groupBy("gram", "s", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return single.join(twice, ["gram", "s", "w1", "w2"]).select(
-        "_sa_id", "_sa_text", "start", (F.col("start") + window).alias("end"))
+        "_sa_id", "_sa_text", "start", (F.col("start") + window).alias("end")).unionByName(blocks_whole)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
