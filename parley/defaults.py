@@ -144,36 +144,29 @@ PUBLISHED_TIER_RECALL = [0.88, 0.81, 0.83, 0.74, 0.92]
 PUBLISHED_TIER_F1 = [0.89, 0.83, 0.81, 0.75, 0.90]
 TARGETS = {"ROUGE-2": 23.0, "BERTScore F1": 0.90, "tier F1": 0.83}
 
+# Spark ML's default English stop words, in its order.
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should",
+    "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd",
+    "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've", "you've", "they've", "isn't",
+    "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't",
+    "shan't", "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's", "ought",
+    "that's", "there's", "what's", "when's", "where's", "who's", "why's", "would",
+]
+
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
 
 def spark_english_stop_words() -> list[str]:
-    """Spark ML's default English stop-word list, read from the bundled jar.
-
-    The same list is used by the engine and by the DuckDB oracle SQL, so that
-    both sides drop exactly the same tokens. Falls back to the JVM loader when
-    the jar is not on the local file system.
-    """
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
-    try:
-        from pyspark.find_spark_home import _find_spark_home
-
-        homes.append(_find_spark_home())
-    except Exception:  # noqa: BLE001
-        pass
-    jars = [j for h in homes if h for j in sorted(glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar")))]
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/english.txt")
-        return [w for w in data.decode("utf-8").split() if w]
-    from pyspark.ml.feature import StopWordsRemover
-
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+    """The English stop words that the engine and the oracle SQL both drop."""
+    return list(ENGLISH_STOP_WORDS)

@@ -27,14 +27,14 @@ def label_pipeline(text: str = "utterance", label: str = "label_id", num_feature
 
 
 def fit_label_classifier(df: DataFrame, text: str = "utterance", label: str = "emotion", labels=None,
-                         order: list[str] | None = None, fraction: float = D.CLASSIFIER_TRAIN_FRACTION,
+                         *, order: list[str], fraction: float = D.CLASSIFIER_TRAIN_FRACTION,
                          **kw):
-    """Encode labels, split (first ``fraction`` in ``order`` trains), fit.
+    """Encode labels, split (first ``fraction`` in ``order``, the rows' own order, trains), fit.
 
     Returns ``(model, split_df)``; ``split_df`` carries ``label_id`` and
     ``split`` for evaluation on the validation rows.
     """
     enc = encode_labels(df, label, labels, text).withColumn("label_id", F.col("label_id").cast("double"))
-    split = positional_split(enc, order or [text], fraction)
+    split = positional_split(enc, order, fraction)
     model = label_pipeline(text, "label_id", **kw).fit(split.filter(F.col("split") == "train"))
     return model, split

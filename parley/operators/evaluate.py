@@ -4,7 +4,6 @@ per-class precision/recall/F1, leaderboard and training-log roll-up."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -12,7 +11,7 @@ from pyspark.sql import types as Ty
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
-from .sequence import cut, fixed_table
+from .sequence import fixed_table, number_rows, shared
 
 
 # ------------------------------------------------------------------ ROUGE-N
@@ -33,31 +32,31 @@ def rouge_n(pairs: DataFrame, n: int, keys: list[str] | None = None, candidate:
 
     Tokens: lower case, runs outside ``[a-z0-9]`` separate. ``token_table``
     (``token, stem``) optionally maps tokens longer than 3 characters to
-    stems. n-grams are exploded and counted per side, matched with an
-    equi-join on ``(pair, n-gram)``; no pair is collected anywhere.
+    stems. The n-grams of both sides are exploded with a side tag; one aggregate
+    on ``(pair, n-gram)`` counts them per side and one on the pair sums up, so
+    nothing is joined and no pair is collected anywhere.
     """
     keys = keys or ["session_id"]
-    sides = []
-    for side, col in (("c", candidate), ("r", reference)):
-        if token_table is None:
-            arr = pairs.select(*keys, T.overlap_tokens(col).alias("_toks"))
-            grams = arr.select(*keys, F.explode(_ngrams(F.col("_toks"), n)).alias("gram"))
-            totals = arr.select(*keys, F.greatest(F.size("_toks") - F.lit(n - 1), F.lit(0)).alias(f"tot_{side}"))
-        else:
-            grams, totals = _stemmed_ngrams(pairs, keys, col, n, token_table, f"tot_{side}")
-        counts = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
-        sides.append((counts, totals))
-    (cc, ct), (rc, rt) = sides
-    overlap = (cc.join(rc, [*keys, "gram"])
-               .groupBy(*keys).agg(F.sum(F.least("n_c", "n_r")).alias("_ov")))
-    base = pairs.select(*keys).join(ct, keys).join(rt, keys).join(overlap, keys, "left")
-    ov = F.coalesce(F.col("_ov"), F.lit(0)).cast("double")
-    p = ov / F.greatest(F.col("tot_c"), F.lit(1))
-    r = ov / F.greatest(F.col("tot_r"), F.lit(1))
-    return base.select(*keys, p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
-
-
-def _stemmed_ngrams(pairs: DataFrame, keys: list[str], col: str, n: int, token_table: DataFrame, total: str):
+    if token_table is None:
+        tagged = pairs.select(*keys, F.explode(F.array(
+            F.struct(F.lit(1).alias("c"), T.overlap_tokens(candidate).alias("toks")),
+            F.struct(F.lit(0).alias("c"), T.overlap_tokens(reference).alias("toks")))).alias("s"))
+        grams = tagged.select(*keys, F.col("s.c").alias("c"), F.explode_outer(_ngrams(F.col("s.toks"), n)).alias("gram"))
+    else:
+        grams = _stemmed_ngrams(pairs, keys, candidate, n, token_table, 1).unionByName(
+            _stemmed_ngrams(pairs, keys, reference, n, token_table, 0))
+        grams = grams.unionByName(pairs.select(*keys, F.lit(0).alias("c"), F.lit(None).cast("string").alias("gram")))
+    real = F.col("gram").isNotNull()
+    counts = grams.groupBy(*keys, "gram").agg(
+        F.sum(F.when(real, F.col("c")).otherwise(0)).alias("_nc"), F.sum(F.when(real, 1 - F.col("c")).otherwise(0)).alias("_nr"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.least("_nc", "_nr")).cast("double").alias("_ov"),
+                                     F.sum("_nc").alias("_tc"), F.sum("_nr").alias("_tr"))
+    p = F.col("_ov") / F.greatest(F.col("_tc"), F.lit(1))
+    r = F.col("_ov") / F.greatest(F.col("_tr"), F.lit(1))
+    return sums.select(*keys, p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
+
+
+def _stemmed_ngrams(pairs: DataFrame, keys: list[str], col: str, n: int, token_table: DataFrame, side: int) -> DataFrame:
     """n-grams over stemmed tokens: tokens exploded with their position, stems
     joined on the token, n-grams assembled by equi-joins on ``(pair, pos + k)``."""
     toks = pairs.select(*keys, F.posexplode(T.overlap_tokens(col)).alias("_pos", "token"))
@@ -69,10 +68,7 @@ def _stemmed_ngrams(pairs: DataFrame, keys: list[str], col: str, n: int, token_t
     for k in range(1, n):
         nxt = toks.select(*keys, (F.col("_pos") - k).alias("_pos"), F.col("_g0").alias(f"_g{k}"))
         grams = grams.join(nxt, [*keys, "_pos"])
-    grams = grams.select(*keys, F.concat_ws(" ", *[F.col(f"_g{k}") for k in range(n)]).alias("gram"))
-    totals = (pairs.select(*keys, F.size(T.overlap_tokens(col)).alias("_n"))
-              .select(*keys, F.greatest(F.col("_n") - F.lit(n - 1), F.lit(0)).alias(total)))
-    return grams, totals
+    return grams.select(*keys, F.lit(side).alias("c"), F.concat_ws(" ", *[F.col(f"_g{k}") for k in range(n)]).alias("gram"))
 
 
 # ------------------------------------------------------------------ ROUGE-L
@@ -124,7 +120,7 @@ def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, ke
 
     P = mean over candidate tokens of the best cosine with a reference token
     of the same pair; R the reverse; F1 harmonic. The other side's tokens are
-    grouped into blocks of at most ``block`` vectors by ``token div block``;
+    grouped into blocks of at most ``block`` vectors by their rank in the pair;
     each token row meets one block row at a time, and the per-block best
     values are reduced with ``max``, so a long pair is never held in one row.
     ``salt > 1`` spreads each pair's tokens over ``salt`` join keys (the
@@ -135,7 +131,7 @@ def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, ke
     r = reference_tokens.select(key, token, A.l2_normalize(vector).alias("_v"))
 
     def best(src: DataFrame, other: DataFrame) -> DataFrame:
-        blocks = (other.withColumn("_blk", F.floor(F.col(token) / F.lit(block)))
+        blocks = (number_rows(other, [key], token, out="_pos").withColumn("_blk", F.floor(F.col("_pos") / F.lit(block)))
                   .groupBy(key, "_blk").agg(F.collect_list("_v").alias("_vs")))
         keys = [key]
         if salt > 1:
@@ -157,15 +153,18 @@ def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, ke
 # ------------------------------------------------------------------ model comparison
 
 def evaluate_models(references: DataFrame, predictions: DataFrame, metrics=("ROUGE-1", "ROUGE-2", "ROUGE-L"),
-                    key: str = "session_id") -> DataFrame:
+                    key: str = "session_id", token_vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Long result ``(model, metric, value, n_pairs)``: mean F1 x 100 rounded
     to one decimal, over the ids common to references and predictions.
 
     ``references``: ``key, reference``; ``predictions``: ``model, key, prediction``.
+    ``token_vectors`` (``model, key, token_id, vector`` of the predictions' tokens and
+    ``key, token_id, vector`` of the references') adds the metric ``BERTScore F1``:
+    the mean greedy embedding match, rounded to three decimals.
     """
     pairs = (predictions.select("model", key, F.col("prediction").alias("candidate"))
              .join(references.select(key, "reference"), key))
-    pairs = cut(pairs)
+    pairs = shared(pairs)
     keys = ["model", key]
     parts = []
     for m in metrics:
@@ -176,12 +175,25 @@ def evaluate_models(references: DataFrame, predictions: DataFrame, metrics=("ROU
         parts.append(s.groupBy("model").agg(F.round(F.avg("f1") * 100, 1).alias("value"),
                                             F.count(F.lit(1)).alias("n_pairs"))
                      .withColumn("metric", F.lit(m)))
+    if token_vectors is not None:
+        parts.append(embedding_scores(*token_vectors, key=key))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("model", "metric", "value", "n_pairs")
 
 
+def embedding_scores(candidate_tokens: DataFrame, reference_tokens: DataFrame, key: str = "pair_id") -> DataFrame:
+    """``(model, metric, value, n_pairs)``: mean embedding-match F1 of each model, 3 decimals."""
+    pair = F.struct("model", key).alias("pair_id")
+    models = candidate_tokens.select("model", key).distinct()
+    c = candidate_tokens.select(pair, "token_id", "vector")
+    r = reference_tokens.join(models, key).select(pair, "token_id", "vector")
+    return (embedding_match(c, r).groupBy(F.col("pair_id.model").alias("model"))
+            .agg(F.round(F.avg("f1"), 3).alias("value"), F.count(F.lit(1)).alias("n_pairs"))
+            .select("model", F.lit("BERTScore F1").alias("metric"), "value", "n_pairs"))
+
+
 # ------------------------------------------------------------------ classification metrics
 
 def classification_metrics(df: DataFrame, y_true: str, y_pred: str, labels=(1, 2, 3, 4, 5)) -> DataFrame:
@@ -235,12 +247,12 @@ def published_scores(spark) -> DataFrame:
 
 
 def leaderboard(published: DataFrame, live: DataFrame, targets: dict | None = None) -> DataFrame:
-    """Per model and metric: the live value when there is one, else the
+    """Per published model and metric: the live value when there is one, else the
     published one; ``position`` sorts models ascending by score within a
     metric; ``meets_target`` compares with the metric's target, if any."""
     tg = targets or D.TARGETS
     lv = live.select("model", "metric", F.col("value").alias("_live"))
-    j = published.join(lv, ["model", "metric"], "full_outer")
+    j = published.join(lv, ["model", "metric"], "left")
     value = F.coalesce(F.col("_live"), F.col("value"))
     target = F.lit(None).cast("double")
     for m, t in tg.items():
@@ -283,8 +295,8 @@ def rollup_training_log(log: DataFrame) -> DataFrame:
     """Per epoch rounded half-to-even: mean ``loss`` and the last ``eval_loss``
     (highest ``seq``); only epochs having both, ascending."""
     ep = F.bround(F.col("epoch"), 0).cast("long")
-    train = (log.filter(F.col("loss").isNotNull() & F.col("epoch").isNotNull())
-             .groupBy(ep.alias("epoch")).agg(F.avg("loss").alias("train_loss")))
-    val = (log.filter(F.col("eval_loss").isNotNull() & F.col("epoch").isNotNull())
-           .groupBy(ep.alias("epoch")).agg(F.max_by("eval_loss", "seq").alias("eval_loss")))
-    return train.join(val, "epoch").orderBy("epoch")
+    seen = F.col("eval_loss").isNotNull()
+    return (log.filter(F.col("epoch").isNotNull()).groupBy(ep.alias("epoch"))
+            .agg(F.avg("loss").alias("train_loss"),
+                 F.max_by(F.when(seen, F.col("eval_loss")), F.when(seen, F.col("seq"))).alias("eval_loss"))
+            .filter(F.col("train_loss").isNotNull() & F.col("eval_loss").isNotNull()).orderBy("epoch"))

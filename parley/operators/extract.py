@@ -25,14 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..session import ensure_checkpoint_dir
 from ..functions import text as T
-from .sequence import cut, listagg_ordered, top_k
+from .sequence import listagg_ordered, shared, top_k
 
 ZERO_DIVISION_PREVENTION = 1e-7
 
@@ -68,7 +67,7 @@ def graph_product(sw: DataFrame, x: DataFrame, key: str = "session_id", xcol: st
 def sentence_graph(sentences: DataFrame, key: str = "session_id") -> DataFrame:
     """Weighted degree of every sentence: ``(key, sent_pos, n_words, degree)``
     with ``degree = sum_j w_ij`` (self edge included)."""
-    sw = cut(sentence_words(sentences, key))
+    sw = shared(sentence_words(sentences, key))
     ones = sentences.select(key, "sent_pos", F.lit(1.0).alias("x"))
     deg = graph_product(sw, ones, key)
     return (sentences.select(key, "sent_pos", "n_words").join(deg, [key, "sent_pos"], "left")
@@ -160,6 +159,8 @@ def _distributed_ranks(sentences: DataFrame, key: str, damping: float, epsilon:
         p = step.filter(F.col("_lam") > epsilon).select(key, "sent_pos", "p")
         if p.isEmpty():
             break
+    else:
+        finals.append(p.withColumnRenamed("p", "rank"))  # not converged: the rank as far as it came
     sw.unpersist()
     base.unpersist()
     out = finals[0]
@@ -199,7 +200,7 @@ def textrank_summary(texts: DataFrame, text: str = "text", n: int = D.TEXTRANK_S
     else:
         sents = sentences.withColumn("n_words", F.size(T.graph_words("sentence")).cast("long"))
     # read by the size check, the rank computation and the final selection
-    sents = cut(sents)
+    sents = shared(sents)
     ranks = textrank_ranks(sents, key, **kw)
     best = top_k(ranks, [key], [F.desc("rank"), F.asc("sent_pos")], n, "_r")
     chosen = sents.join(best.select(key, "sent_pos"), [key, "sent_pos"])
@@ -231,12 +232,5 @@ def summarize_sessions(utterances: DataFrame, generator=None, prompts: DataFrame
 
 def lead_sentence_generator(prompts: pd.Series) -> pd.Series:
     """A stand-in batch generator: the first sentence of each prompt's transcript."""
-    import re
-
-    def one(p: str) -> str:
-        body = (p or "").split("[transcript: ", 1)[-1]
-        body = body[:-1] if body.endswith("]") else body
-        m = re.search(r"^.*?[.!?](?=\s|$)", body)
-        return m.group(0) if m else body
-
-    return prompts.map(one)
+    body = prompts.fillna("").str.split("[transcript: ", n=1, regex=False).str[-1].str.removesuffix("]")
+    return body.str.extract(r"^(.*?[.!?])(?=\s|$)", expand=False).fillna(body)

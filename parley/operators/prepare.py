@@ -20,6 +20,7 @@ def training_pairs(main: DataFrame, aux: DataFrame | None = None, utterances: Da
     per utterance, as the original program does.
     """
     m = main.select(F.lit(0).alias("source_rank"), F.col("session_id").cast("string").alias("pair_key"),
+                    F.col("session_id").cast("string").alias("session_id"),
                     F.col("transcript").cast("string").alias("transcript"),
                     F.col("reference_summary").cast("string").alias("reference_summary"))
     if per_utterance:
@@ -30,10 +31,14 @@ def training_pairs(main: DataFrame, aux: DataFrame | None = None, utterances: Da
              .withColumn("pair_key", F.concat_ws(":", "pair_key", F.col("turn").cast("string"))).drop("turn"))
     out = m
     if aux is not None:
-        a = aux.select(F.lit(1).alias("source_rank"),
+        # the order of the sources, and of rows inside them where a key is given, is kept
+        rank = F.col("source_rank") + 1 if "source_rank" in aux.columns else F.lit(1)
+        a = aux.select(rank.cast("int").alias("source_rank"),
                        (F.col("pair_key") if "pair_key" in aux.columns
                         else F.sha2(F.concat_ws("\u0001", "transcript", "reference_summary"), 256)).cast("string")
                        .alias("pair_key"),
+                       (F.col("session_id").cast("string") if "session_id" in aux.columns
+                        else F.lit(None).cast("string")).alias("session_id"),
                        F.col("transcript").cast("string").alias("transcript"),
                        F.col("reference_summary").cast("string").alias("reference_summary"))
         out = out.unionByName(a)
@@ -42,11 +47,13 @@ def training_pairs(main: DataFrame, aux: DataFrame | None = None, utterances: Da
 
 def split_pairs(pairs: DataFrame, fraction: float = D.SUMMARIZER_TRAIN_FRACTION, by: str = "position") -> DataFrame:
     """``split`` = train/validation. ``position``: first ``int(fraction*n)``
-    rows in (source, key) order, as in the original; ``session``: by key hash,
-    so no session lands on both sides."""
+    rows in (source, key) order, as in the original; ``session``: by the hash of
+    the session (of the pair's own key where it has none), so no session lands
+    on both sides."""
     if by == "position":
         return positional_split(pairs, ["source_rank", "pair_key"], fraction)
-    return hash_split(pairs, "pair_key", fraction)
+    keyed = pairs.withColumn("_split_key", F.coalesce("session_id", "pair_key"))
+    return hash_split(keyed, "_split_key", fraction).drop("_split_key")
 
 
 def encode_labels(df: DataFrame, label: str = "emotion", labels=None, text: str = "utterance",

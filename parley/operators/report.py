@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import text as T
-from .sequence import listagg_ordered
+from .sequence import ordered_concat
 
 
 def section_column(name: str) -> str:
@@ -17,16 +17,18 @@ def section_column(name: str) -> str:
     return re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_")
 
 
-def route_sentences(summaries: DataFrame, text: str = "summary", rules=None,
-                    fallback: str = D.FALLBACK_SECTION) -> DataFrame:
+def route_sentences(summaries: DataFrame | None, text: str = "summary", rules=None,
+                    fallback: str = D.FALLBACK_SECTION, sentences: DataFrame | None = None) -> DataFrame:
     """One row per summary sentence with the section it is routed to.
 
     A sentence goes to the first section, in rule order, having a pattern
     found in it (case-insensitive search); each sentence is routed once;
     unmatched sentences go to ``fallback`` after that section's own ones
-    (``order_key`` = (matched first, position)).
+    (``order_key`` = (matched first, position)). ``sentences`` (``session_id,
+    sent_pos, sentence``) may be given instead of texts to split.
     """
-    sents = summaries.select("session_id", F.posexplode(T.split_sentences(text)).alias("sent_pos", "sentence"))
+    sents = sentences if sentences is not None else summaries.select(
+        "session_id", F.posexplode(T.split_sentences(text)).alias("sent_pos", "sentence"))
     sec = T.section_of("sentence", rules)
     return (sents.withColumn("_matched", sec)
             .select("session_id", "sent_pos", "sentence",
@@ -36,18 +38,20 @@ def route_sentences(summaries: DataFrame, text: str = "summary", rules=None,
 
 def build_reports(summaries: DataFrame, features: DataFrame | None = None, text: str = "summary",
                   rules=None, fallback: str = D.FALLBACK_SECTION,
-                  empty_text: str = D.EMPTY_SECTION_TEXT) -> DataFrame:
+                  empty_text: str = D.EMPTY_SECTION_TEXT, sentences: DataFrame | None = None) -> DataFrame:
     """One row per summary: a column per section (sentences joined by a blank,
     ``empty_text`` when none), plus ``tier_score`` / ``tier_label`` when
-    ``features`` is given (0 and '' for sessions without features)."""
+    ``features`` is given (0 and '' for sessions without features). With
+    ``sentences`` the texts are never assembled, and ``summaries`` only names the
+    sessions. A section's sentences are joined on two levels, in blocks."""
     rules = rules or D.SECTION_PATTERNS
     names = [n for n, _ in rules]
     if fallback not in names:
         names.append(fallback)
-    routed = route_sentences(summaries, text, rules, fallback).withColumn(
-        "_unmatched", (~F.col("matched")).cast("int"))
-    per_section = (routed.groupBy("session_id", "section")
-                   .agg(listagg_ordered("sentence", ["_unmatched", "sent_pos"], " ").alias("_txt")))
+    # matched sentences first: unmatched ones are shifted past every position
+    place = F.col("sent_pos").cast("long") + F.when(F.col("matched"), 0).otherwise(1 << 40)
+    routed = route_sentences(summaries, text, rules, fallback, sentences).withColumn("_place", place)
+    per_section = ordered_concat(routed, ["session_id", "section"], "_place", "sentence", " ", "_txt")
     wide = per_section.groupBy("session_id").agg(
         *[F.max(F.when(F.col("section") == n, F.col("_txt"))).alias(section_column(n)) for n in names])
     base = summaries.select("session_id").join(wide, "session_id", "left")

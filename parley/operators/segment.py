@@ -8,13 +8,13 @@ come from a two-level running sum.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import text as T
-from .sequence import cut, ordered_concat, prefix_sum, top_k
+from .sequence import ordered_concat, prefix_sum, shared, top_k
+from .sessions import numbered
 
 _STOP: list[str] | None = None
 
@@ -55,7 +55,7 @@ def tfidf(utterances: DataFrame, text: str = "clean_text", max_features: int | N
     """
     n_docs = utterances.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_docs"))
     # term counts feed the vocabulary and the weights
-    tc = cut(term_counts(utterances, text, stop_words))
+    tc = shared(term_counts(utterances, text, stop_words))
     # idf is attached to the (capped, per-session bounded) vocabulary, so the
     # only join of the term-count rows is on the spread key (session, term)
     idf = (session_vocabulary(tc, max_features).join(n_docs, "session_id")
@@ -71,7 +71,8 @@ def adjacent_similarity(utterances: DataFrame, weights: DataFrame | None = None,
     """Cosine similarity of each turn with the previous turn of its session.
 
     Output ``(session_id, turn, similarity)`` for every turn that has a
-    previous turn; 0 when either vector is empty.
+    previous turn; 0 when either vector is empty. The previous turn is the
+    neighbouring row, whatever the gaps between turn numbers.
 
     Instead of a self-join, every weight row is emitted twice — as itself at
     ``turn`` and as the previous turn's value at ``turn + 1`` — and the pairs
@@ -79,6 +80,15 @@ def adjacent_similarity(utterances: DataFrame, weights: DataFrame | None = None,
     combined); turn markers travel the same way, so the weights and the turn
     list are each read once.
     """
+    d = shared(numbered(utterances))
+    sim = _similarity(d.withColumn("turn", F.col("_pos")), weights, **kw)
+    return (d.select("session_id", F.col("turn").alias("_turn"), F.col("_pos").alias("turn"))
+            .join(sim, ["session_id", "turn"])
+            .select("session_id", F.col("_turn").alias("turn"), "similarity"))
+
+
+def _similarity(utterances: DataFrame, weights: DataFrame | None = None, **kw) -> DataFrame:
+    """``adjacent_similarity`` where ``turn`` is dense and unique in its session."""
     w = weights if weights is not None else tfidf(utterances, **kw)
     both = F.array(
         F.struct(F.col("turn").alias("t"), F.col("weight").alias("cur"), F.lit(None).cast("double").alias("prev")),
@@ -102,14 +112,20 @@ def segment_sessions(utterances: DataFrame, threshold: float = D.SEGMENT_THRESHO
                      similarity: DataFrame | None = None, **kw) -> DataFrame:
     """Add ``segment_id``: 0 at a session's first turn, +1 at every turn whose
     similarity with the previous turn is below ``threshold``."""
-    sim = similarity if similarity is not None else adjacent_similarity(utterances, **kw)
+    d = shared(numbered(utterances).withColumnsRenamed({"turn": "_turn", "_pos": "turn"}))
+    if similarity is None:
+        sim = _similarity(d, **kw)
+    else:
+        sim = (similarity.withColumnRenamed("turn", "_turn").join(d.select("session_id", "_turn", "turn"), ["session_id", "_turn"])
+               .select("session_id", "turn", "similarity"))
     flags = sim.select("session_id", "turn",
                        F.when(F.col("similarity") < threshold, F.lit(1)).otherwise(F.lit(0)).alias("_new"))
-    d = (utterances.join(flags, ["session_id", "turn"], "left")
-         .withColumn("_new", F.coalesce(F.col("_new"), F.lit(0))))
+    d = shared(d.join(flags, ["session_id", "turn"], "left")
+               .withColumn("_new", F.coalesce(F.col("_new"), F.lit(0))))
     # segmented turns are read by several later stages (text, terms, topics)
-    return cut(prefix_sum(d, ["session_id"], "turn", "_new", "segment_id").withColumn(
-        "segment_id", F.col("segment_id").cast("long")).drop("_new"))
+    out = prefix_sum(d, ["session_id"], "turn", "_new", "segment_id").withColumn(
+        "segment_id", F.col("segment_id").cast("long")).drop("_new", "turn").withColumnRenamed("_turn", "turn")
+    return shared(out.select(*utterances.columns, "segment_id"))
 
 
 def segment_text(segmented: DataFrame, text: str = "clean_text") -> DataFrame:
@@ -122,24 +138,28 @@ def top_terms(segmented: DataFrame, k: int = D.TOPIC_WORDS, text: str = "clean_t
               max_features: int | None = D.COUNT_MAX_FEATURES, stop_words=None) -> DataFrame:
     """Most frequent terms of each segment, restricted to the session's
     ``max_features`` vocabulary: ``(session_id, segment_id, rank, term, n)``."""
-    tc = cut(term_counts(segmented, text, stop_words))
-    vocab = session_vocabulary(tc, max_features).select("session_id", "term")
-    seg = segmented.select("session_id", "turn", "segment_id")
-    counts = (tc.join(vocab, ["session_id", "term"])
-              .join(seg, ["session_id", "turn"])
-              .groupBy("session_id", "segment_id", "term").agg(F.sum("tf").alias("n")))
+    stop = default_stop_words() if stop_words is None else stop_words
+    toks = segmented.select("session_id", "segment_id", F.explode(T.word_tokens(text)).alias("term"))
+    if stop:
+        toks = toks.filter(~F.col("term").isin(list(stop)))
+    # one aggregate to (session, segment, term); session totals come from it
+    counts = shared(toks.groupBy("session_id", "segment_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    if max_features:
+        totals = counts.groupBy("session_id", "term").agg(F.sum("n").alias("total"))
+        vocab = top_k(totals, ["session_id"], [F.desc("total"), F.asc("term")], max_features, "_vr")
+        counts = counts.join(vocab.select("session_id", "term"), ["session_id", "term"])
     return top_k(counts, ["session_id", "segment_id"], [F.desc("n"), F.asc("term")], k, "rank").select(
         "session_id", "segment_id", F.col("rank").cast("int").alias("rank"), "term", "n")
 
 
-def segment_topics(terms: DataFrame, n_topics: int | None = None) -> DataFrame:
-    """Per session: ``topics`` = array of the segments' top-term lists in
-    segment order (first ``n_topics`` segments having terms)."""
+def segment_topics(terms: DataFrame, n_topics: int = D.TOPIC_COUNT) -> DataFrame:
+    """Per session: ``topics`` = the top-term lists of its ``n_topics`` weightiest
+    segments (by the total count of their terms, over the whole session; ties
+    to the earlier segment), weightiest first."""
     per_seg = terms.groupBy("session_id", "segment_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_rt"))
+        F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_rt"), F.sum("n").alias("_weight"))
     per_seg = per_seg.withColumn("words", F.transform("_rt", lambda x: x["term"]))
-    if n_topics:
-        per_seg = top_k(per_seg, ["session_id"], [F.asc("segment_id")], n_topics, "_r")
+    per_seg = top_k(per_seg, ["session_id"], [F.desc("_weight"), F.asc("segment_id")], n_topics, "_r")
     return per_seg.groupBy("session_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("segment_id", "words"))),
+        F.transform(F.sort_array(F.collect_list(F.struct("_r", "words"))),
                     lambda x: x["words"]).alias("topics"))

@@ -21,22 +21,26 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 4096
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
-
-    For an intermediate read by more than one branch of a plan: persisted
-    (``MEMORY_AND_DISK``, so both branches read the same blocks) and lazily
-    checkpointed to ``spark.checkpoint.dir`` (written after the first job
-    that computes it, from the cache). The returned plan is a leaf, so
-    plans built on top of it stay small instead of repeating the whole
-    upstream pipeline in every branch. With AQE on, obtaining the RDD to
-    checkpoint runs the upstream shuffle stages at call time, so a cut
-    behaves like a materialisation point of the pipeline.
+_SHARED: list[DataFrame] = []
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """``df``, computed once however many branches of a plan read it.
+
+    For an intermediate read by more than one branch: persisted lazily
+    (``MEMORY_AND_DISK``), so nothing runs while a plan is built, nothing is
+    written to the checkpoint folder, and lost blocks are recomputed from
+    their lineage. ``release_shared`` frees what is held.
     """
-    from ..session import ensure_checkpoint_dir
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(df)
+    return df
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.persist(StorageLevel.MEMORY_AND_DISK).checkpoint(eager=False)
+
+def release_shared() -> None:
+    """Unpersist everything ``shared`` holds (plans that still use it recompute it)."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
 
 
 def _q(name: str) -> str:
@@ -76,28 +80,63 @@ def prefix_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     """Add ``out`` = running sum of ``value`` per key in ``order`` (rows before,
     plus the row itself when ``inclusive``).
 
-    Inside a block a bounded window does the work; block totals are summed
-    over the (few) earlier blocks of the key and joined back on
-    ``(key, block)``, an evenly spread key.
+    Inside a block a bounded window does the work; block totals come from a
+    projection of key, position and value alone, are summed over the (few)
+    earlier blocks of the key and joined back on ``(key, block)``, on which the
+    rows are partitioned already. Positions should be dense (``number_rows``):
+    a key then has ``rows / block`` blocks.
     """
     v = F.col(value) if isinstance(value, str) else value
     blk = "_pblk"
-    d = df.withColumn("_pval", v).withColumn(
-        blk, F.floor(F.col(order) / F.lit(block)))
+    d = df.withColumn("_pval", v).withColumn(blk, F.floor(F.col(order) / F.lit(block)))
     frame_end = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*keys, blk).orderBy(order)
             .rowsBetween(Window.unboundedPreceding, frame_end))
-    # ``d`` feeds both the block totals and the final join: computed once,
-    # lineage cut (its input is often a whole upstream pipeline)
-    d = cut(d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0))))
-    totals = d.groupBy(*keys, blk).agg(F.sum("_pval").alias("_ptot"))
+    totals = d.select(*keys, blk, "_pval").groupBy(*keys, blk).agg(F.sum("_pval").alias("_ptot"))
     w_blk = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_poff", F.coalesce(F.sum("_ptot").over(w_blk), F.lit(0))).drop("_ptot")
-    return (d.join(offsets, [*keys, blk], "inner")
+    return (d.withColumn("_pin", F.coalesce(F.sum("_pval").over(w_in), F.lit(0)))
+            .join(offsets, [*keys, blk], "inner")
             .withColumn(out, F.col("_poff") + F.col("_pin"))
             .drop("_pval", "_pin", "_poff", blk))
 
 
+#: Bits of a level of ``number_rows``: a window never holds more than 16,384 blocks, and
+#: the topmost one a row for every 2 ** 28 positions that a key spans.
+LEVEL_BITS, LEVELS = 14, 2
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, ties: list[str] | None = None,
+                out: str = "_pos") -> DataFrame:
+    """Add ``out`` = 0, 1, 2, ... per key in ``order``; gaps in ``order`` leave none in
+    ``out``, and rows with equal ``order`` are numbered by ``ties``.
+
+    Counts go up a tree over the position's bits (``LEVELS`` levels) and offsets
+    come down again: rows are numbered inside ``(key, order >> 14)``, those
+    blocks inside ``(key, order >> 28)``, and those inside the key. Sparse positions, such as
+    time stamps in milliseconds, therefore still split a hot key. Rows are
+    shuffled once; the tree holds counts only.
+    """
+    level = [f"_l{k}" for k in range(1, LEVELS + 1)]
+    at = [F.shiftright(F.col(order).cast("long"), LEVEL_BITS * k) for k in range(1, LEVELS + 1)]
+    counts = [df.select(*keys, *[c.alias(n) for c, n in zip(at, level)])
+              .groupBy(*keys, *level).agg(F.count(F.lit(1)).alias("_n"))]
+    for k in range(1, LEVELS):
+        counts.append(counts[-1].groupBy(*keys, *level[k:]).agg(F.sum("_n").alias("_n")))
+    offsets = None
+    for k in range(LEVELS - 1, -1, -1):
+        w = Window.partitionBy(*keys, *level[k + 1:]).orderBy(level[k]).rowsBetween(Window.unboundedPreceding, -1)
+        own = counts[k].withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+        if offsets is not None:
+            own = own.join(offsets, [*keys, *level[k + 1:]]).withColumn(
+                "_before", F.col("_before") + F.col("_above")).drop("_above")
+        offsets = own.withColumnRenamed("_before", "_above")
+    w_in = Window.partitionBy(*keys, level[0]).orderBy(order, *(ties or []))
+    return (df.withColumn(level[0], at[0]).withColumn("_in", F.row_number().over(w_in) - 1)
+            .join(offsets.drop(*level[1:]), [*keys, level[0]])
+            .withColumn(out, (F.col("_above") + F.col("_in")).cast("long")).drop("_above", "_in", level[0]))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:
     """Rows ranked 1..k per key by ``order`` (map-side limited, see module doc)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -105,12 +144,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str
 
 
 def fixed_table(spark, rows: list, schema: str, max_rows: int = 10_000) -> DataFrame:
-    """A small dimension table built from parameters, marked for broadcast.
+    """A dimension table built from parameters.
 
-    Its size is known on the driver before the job runs (``len(rows)``), so
-    the broadcast never grows with the data; larger parameter tables are
-    refused rather than silently broadcast.
+    Up to ``max_rows`` rows, known before the job runs, it is marked for
+    broadcast; a larger one is an ordinary table, joined as Spark chooses.
     """
-    if len(rows) > max_rows:
-        raise ValueError(f"parameter table has {len(rows)} rows, more than {max_rows}")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= max_rows else df

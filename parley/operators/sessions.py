@@ -7,13 +7,13 @@ Every ordered operation sorts by ``turn``; nothing relies on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..session import ensure_checkpoint_dir
 from ..functions import text as T
-from .sequence import fixed_table, ordered_concat, prefix_sum
+from .sequence import number_rows, ordered_concat, prefix_sum, shared
 
 UTTERANCE_COLUMNS = ["session_id", "turn", "speaker", "utterance"]
 
@@ -40,6 +40,13 @@ def preprocess(df: DataFrame, fillers=None, role_keywords=None, mode: str = "str
     return out
 
 
+def numbered(utterances: DataFrame, out: str = "_pos") -> DataFrame:
+    """Add the dense position of every utterance in its session: gaps in ``turn``
+    close up, repeated turns follow each other by speaker and text."""
+    ties = [c for c in ("speaker", "utterance", "clean_text") if c in utterances.columns]
+    return number_rows(utterances, ["session_id"], "turn", ties, out)
+
+
 def sentence_rows(df: DataFrame, text: str = "clean_text", keys=("session_id", "turn"),
                   abbreviations=None) -> DataFrame:
     """One row per sentence: keys, ``sent_pos`` (0-based), ``sentence``."""
@@ -173,41 +180,51 @@ def quick_subset(df: DataFrame, k: int = D.QUICK_SESSIONS, order: str = "turn")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = D.SAMPLE_SEED, key: list[str] | None = None) -> DataFrame:
-    """Deterministic sample of ``n`` rows: the ``n`` smallest seeded hashes of ``key``."""
-    cols = key or df.columns
-    return df.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(n)
+    """Deterministic sample of ``n`` rows: the ``n`` smallest seeded MD5 hashes of ``key``
+    (a hash that other engines have too)."""
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns]
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))).limit(n)
 
 
 def positional_split(df: DataFrame, order: list[str], fraction: float, out: str = "split") -> DataFrame:
     """First ``int(fraction * n)`` rows in ``order`` are ``train``, the rest ``validation``.
 
-    Exact global positions without a single-task window: rows are range
-    partitioned on ``order`` and checkpointed (stable partition ids), the
-    per-partition counts (one row per partition) give each partition's
-    offset, and a window inside each partition numbers its rows.
+    Only the order columns move: they are range partitioned and checkpointed
+    (stable partition ids), the per-partition counts (one row per partition)
+    name the partition that holds the cut, and the cut key is looked up in
+    that partition alone. The rows are then split by comparing keys, without
+    a shuffle. ``order`` should identify a row: rows that repeat the cut key all
+    fall to ``validation``.
     """
     spark = df.sparkSession
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (df.repartitionByRange(n_parts, *order)
-              .withColumn("_pid", F.spark_partition_id()))
     ensure_checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # ``counts`` has one row per partition, so these windows are tiny.
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_all), F.lit(0)))
-               .withColumn("_total", F.sum("_cnt").over(Window.partitionBy())))
-    w_in = Window.partitionBy("_pid").orderBy(*order)
-    numbered = (ranged.join(F.broadcast(offsets.select("_pid", "_off", "_total")), "_pid")
-                .withColumn("_pos", F.col("_off") + F.row_number().over(w_in) - 1))
-    cut = F.floor(F.lit(fraction) * F.col("_total"))
-    return (numbered.withColumn(out, F.when(F.col("_pos") < cut, F.lit("train")).otherwise(F.lit("validation")))
-            .drop("_pid", "_off", "_total", "_pos"))
+    keys = (df.select(*order).repartitionByRange(n_parts, *order)
+            .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    counts = sorted((r["_pid"], r["n"]) for r in keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    left = int(fraction * sum(n for _, n in counts) + 1e-9)
+    for pid, n in counts:
+        if left < n:
+            break
+        left -= n
+    else:
+        return df.withColumn(out, F.lit("train"))
+    # the smallest left + 1 keys of one partition; the last of them begins the validation part
+    first = keys.filter(F.col("_pid") == pid).orderBy(*order).limit(left + 1).orderBy(
+        *[F.desc(c) for c in order]).limit(1).collect()[0]
+    before, same = F.lit(False), F.lit(True)
+    for c in order:
+        at = F.lit(first[c])
+        before = before | (same & ((F.col(c) < at) | (F.col(c).isNull() & at.isNotNull())))
+        same = same & F.col(c).eqNullSafe(at)
+    return df.withColumn(out, F.when(before, F.lit("train")).otherwise(F.lit("validation")))
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = D.SAMPLE_SEED, out: str = "split") -> DataFrame:
-    """Split by key hash: all rows of a key land on the same side (no leakage)."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
+    """Split by key hash (the first 32 bits of a seeded MD5, which other engines have
+    too): all rows of a key land on the same side."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn(out, F.when(bucket < int(round(fraction * 10_000)), F.lit("train"))
                          .otherwise(F.lit("validation")))
 
@@ -224,7 +241,10 @@ def session_sentences(utterances: DataFrame, text: str = "clean_text", abbreviat
     (two-level, per session) and a sentence is its fragments joined by a
     blank in (turn, fragment) order.
     """
-    d = utterances.select("session_id", "turn", F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    # neighbours are found by dense positions, so gaps and repeats in ``turn`` do no harm
+    d = numbered(utterances.select("session_id", "turn", *[c for c in ("speaker",) if c in utterances.columns],
+                                   F.coalesce(F.col(text), F.lit("")).alias("clean_text")))
+    d = shared(d.select("session_id", F.col("_pos").alias("turn"), F.col("clean_text").alias("_t")))
     d = d.select("session_id", "turn", F.split(F.col("_t"), T.sentence_break(abbreviations)).alias("_frags"),
                  T.ends_sentence("_t", abbreviations).alias("_ends"))
     # does the previous turn end a sentence? (turn - 1 sends its flag forward)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
-from .sequence import cut, prefix_sum
+from .sequence import number_rows, shared
 from .sessions import role_texts
 
 
@@ -50,10 +49,9 @@ def lexicon_window_tiers(utterances: DataFrame, lexicon=None, text: str = "clean
             else F.lit(0))
     d = utterances.select(
         "session_id", "turn", side.alias("side"),
-        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
-        F.lit(1).alias("_one"))
+        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     # read by the counts, the pieces and (through them) the heads and windows
-    d = cut(prefix_sum(d, ["session_id", "side"], "turn", "_one", "_ord", inclusive=False))
+    d = shared(number_rows(d, ["session_id", "side"], "turn", ["_t"], "_ord"))
     counts = d.groupBy("session_id").agg(
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("_nc"),
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("_nk"))
@@ -148,7 +146,7 @@ def session_tiers(utterances: DataFrame, lexicon=None, model=None, alpha: float
 
     Output: ``session_id, emotion_tier, tier_label, source``.
     """
-    lex = cut(lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier"))
+    lex = shared(lexicon_window_tiers(utterances, lexicon).withColumnRenamed("emotion_tier", "lex_tier"))
     matched = (lex.filter(F.col("lex_tier") > 1)
                .select("session_id", F.col("lex_tier").alias("emotion_tier"), F.lit("lexicon").alias("source")))
     rest = lex.filter(F.col("lex_tier") <= 1)

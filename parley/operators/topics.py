@@ -11,36 +11,53 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..functions import text as T
 from .segment import default_stop_words
-from .sequence import fixed_table, top_k
+from .sequence import fixed_table, shared, top_k
 
 
-def fit_topic_model(docs: DataFrame, text: str = "segment_text", k: int = D.TOPIC_COUNT,
-                    vocab_size: int = D.COUNT_MAX_FEATURES, seed: int = D.LDA_SEED, max_iter: int = 10,
-                    subsampling_rate: float = 1.0,
-                    stop_words=None):
-    tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True)
-    rem = StopWordsRemover(inputCol="_tokens", outputCol="_terms",
-                           stopWords=list(default_stop_words() if stop_words is None else stop_words))
+#: Terms of the whole model; every session contributes its own vocabulary up to this bound.
+MODEL_VOCABULARY = 1 << 18
+
+
+def session_terms(docs: DataFrame, text: str = "segment_text", max_features: int | None = D.COUNT_MAX_FEATURES,
+                  stop_words=None) -> DataFrame:
+    """``docs`` with ``_terms``: the document's tokens out of its session's ``max_features``
+    most frequent terms (ties alphabetical), so that every session keeps its own words."""
+    stop = list(default_stop_words() if stop_words is None else stop_words)
+    toks = docs.select("session_id", "segment_id", F.explode(T.word_tokens(F.lower(F.col(text)))).alias("term"))
+    counts = toks.filter(~F.col("term").isin(stop)).groupBy("session_id", "segment_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    if max_features:
+        totals = counts.groupBy("session_id", "term").agg(F.sum("n").alias("total"))
+        vocab = top_k(totals, ["session_id"], [F.desc("total"), F.asc("term")], max_features, "_vr")
+        counts = counts.join(vocab.select("session_id", "term"), ["session_id", "term"])
+    bags = counts.groupBy("session_id", "segment_id").agg(F.flatten(F.sort_array(F.collect_list(
+        F.array_repeat("term", F.col("n").cast("int"))))).alias("_terms"))
+    return docs.join(bags, ["session_id", "segment_id"], "left").withColumn(
+        "_terms", F.coalesce("_terms", F.array().cast("array<string>")))
+
+
+def fit_topic_model(docs: DataFrame, k: int = D.TOPIC_COUNT, vocab_size: int = MODEL_VOCABULARY, seed: int = D.LDA_SEED,
+                    max_iter: int = 10, subsampling_rate: float = 1.0):
+    """Count vectors and LDA over documents with ``_terms`` (``session_terms``)."""
     cv = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
     lda = LDA(k=k, seed=seed, optimizer="online", maxIter=max_iter, featuresCol="_counts",
               topicDistributionCol="_topics", subsamplingRate=subsampling_rate)
-    return Pipeline(stages=[tok, rem, cv, lda]).fit(docs)
+    return Pipeline(stages=[cv, lda]).fit(docs)
 
 
 def topic_words(model, n_words: int = D.TOPIC_WORDS) -> DataFrame:
     """``(topic, words)`` — the ``n_words`` heaviest terms of every topic."""
-    cv_model, lda_model = model.stages[2], model.stages[3]
+    cv_model, lda_model = model.stages[0], model.stages[1]
     vocab = cv_model.vocabulary  # bounded by vocabSize
     spark = lda_model.describeTopics(1).sparkSession
-    terms = fixed_table(spark, [(i, w) for i, w in enumerate(vocab)], "term_index int, term string",
-                        max_rows=max(len(vocab), 1))
+    terms = fixed_table(spark, [(i, w) for i, w in enumerate(vocab)], "term_index int, term string")
     d = lda_model.describeTopics(n_words).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
     d = d.select("topic", "pos", F.col("t.termIndices").alias("term_index")).join(terms, "term_index")
@@ -49,11 +66,13 @@ def topic_words(model, n_words: int = D.TOPIC_WORDS) -> DataFrame:
 
 
 def session_topics(segment_docs: DataFrame, k: int = D.TOPIC_COUNT, n_words: int = D.TOPIC_WORDS,
-                   text: str = "segment_text", model=None, **fit_kw) -> DataFrame:
+                   text: str = "segment_text", model=None, max_features: int | None = D.COUNT_MAX_FEATURES,
+                   stop_words=None, **fit_kw) -> DataFrame:
     """``(session_id, topic_rank, topic, words)`` for each session's
     ``min(k, segments)`` strongest topics; sessions whose segments have no
     vocabulary term get none."""
-    model = model or fit_topic_model(segment_docs, text, k, **fit_kw)
+    segment_docs = shared(session_terms(segment_docs, text, max_features, stop_words))
+    model = model or fit_topic_model(segment_docs, k, **fit_kw)
     scored = model.transform(segment_docs)
     has_terms = F.size("_terms") > 0
     nseg = segment_docs.groupBy("session_id").agg(F.count(F.lit(1)).alias("_nseg"))

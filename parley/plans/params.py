@@ -41,3 +41,14 @@ EVENT_LABELS = ["view", "click", "purchase", "signup"]
 # ids counted as crisis, de on a negative id); other ids unused.
 LANG_LABEL_POSITIONS = {"en": 0, "fr": 14, "de": 17, "es": 24}
 LANG_LABELS = [next((k for k, v in LANG_LABEL_POSITIONS.items() if v == i), f"unused_{i}") for i in range(32)]
+
+# Fillers for the test documents: a whole word, one with a blank inside, and one
+# that also occurs inside longer words (where it must stay).
+DOCUMENT_FILLERS = ["than", "in the", "er"]
+
+
+def default_lexicon() -> dict:
+    """The library's own severity lexicon."""
+    from .. import defaults as D
+
+    return D.TIER_KEYWORDS

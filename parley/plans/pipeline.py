@@ -1,9 +1,9 @@
 """The end-to-end job: preprocess, features, summaries, reports, evaluation.
 
-``run`` builds one lazy DAG keyed by ``session_id``; barriers are only the
-model fits (topics, classifier) and the size check in TextRank. The
-preprocessed utterances are persisted once because features, prompts,
-summaries and tier metrics all read them.
+``run`` builds one DAG keyed by ``session_id``. What runs while it is built are
+only the model fits (topics, classifier) and TextRank's size check and steps.
+Tables that several results read are held by ``sequence.shared``; call
+``sequence.release_shared`` once the results are written.
 """
 
 from __future__ import annotations
@@ -19,21 +19,23 @@ from ..operators import segment as G
 from ..operators import sessions as S
 from ..operators import tiers as TR
 from ..operators import topics as TP
+from ..operators.sequence import shared
 
 
-def extract_features(segmented: DataFrame, lexicon=None, model=None, topic_method: str = "lda",
-                     k: int = D.TOPIC_COUNT, n_words: int = D.TOPIC_WORDS, labels=None) -> DataFrame:
+def extract_features(utterances: DataFrame, segmented: DataFrame, lexicon=None, model=None, topic_method: str = "lda",
+                     k: int = D.TOPIC_COUNT, n_words: int = D.TOPIC_WORDS, labels=None,
+                     n_topics: int = D.TOPIC_COUNT) -> DataFrame:
     """``session_id, emotion_tier, tier_label, topics`` — one row per session.
 
     ``topic_method``: ``lda`` (Spark ML LDA over segment texts) or ``terms``
-    (top terms per segment, deterministic)."""
-    tiers = TR.session_tiers(segmented, lexicon, model, labels=labels).select(
+    (top terms of the ``n_topics`` weightiest segments, deterministic)."""
+    tiers = TR.session_tiers(utterances, lexicon, model, labels=labels).select(
         "session_id", "emotion_tier", "tier_label")
     if topic_method == "lda":
         docs = G.segment_text(segmented)
         topics = TP.topics_array(TP.session_topics(docs, k, n_words))
     else:
-        topics = G.segment_topics(G.top_terms(segmented, n_words), n_topics=k)
+        topics = G.segment_topics(G.top_terms(segmented, n_words), n_topics)
     return (tiers.join(topics, "session_id", "left")
             .withColumn("topics", F.coalesce(F.col("topics"), F.array().cast("array<array<string>>"))))
 
@@ -46,9 +48,9 @@ def run(utterances: DataFrame, lexicon=None, model=None, rules=None, fallback: s
     ``utterances``: ``session_id, turn, speaker, utterance``.
     ``references``: optional ``session_id, reference`` for the evaluation.
     """
-    pre = S.preprocess(utterances, fillers, role_keywords).persist()
+    pre = shared(S.preprocess(utterances, fillers, role_keywords))
     seg = G.segment_sessions(pre, threshold)
-    features = extract_features(seg, lexicon, model, topic_method)
+    features = extract_features(pre, seg, lexicon, model, topic_method)
     prompts = S.build_prompts(pre, features)
     summaries = X.summarize_sessions(pre, generator, prompts)
     reports = R.build_reports(summaries.withColumnRenamed("generated_summary", "summary"), features,

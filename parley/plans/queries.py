@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import report as R
 from ..operators import sessions as S
-from ..operators.sequence import cut
+from ..operators.sequence import release_shared, shared
 from ..operators import tiers as TR
 from ..sources import testdata as TD
 from . import params as P
@@ -27,7 +28,12 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def query(spark, sf_dir):
+            release_shared()  # what the query before has held
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -38,18 +44,12 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def prepared(spark: SparkSession, sf_dir: str, shared: bool = True) -> DataFrame:
-    """Normalised utterances. Most queries read them several times; persisting
-    keeps one normalisation pass per table (the cache is shared by every query
-    building the same plan). Single-pass queries take the plain plan, so their
-    scans stay pruned to the columns they use."""
+def prepared(spark: SparkSession, sf_dir: str, reuse: bool = True) -> DataFrame:
+    """Normalised utterances. Most queries read them several times; sharing
+    keeps one normalisation pass per query. Single-pass queries take the plain
+    plan, so their scans stay pruned to the columns they use."""
     pre = S.preprocess(TD.utterances(spark, sf_dir), role_keywords=P.ROLE_KEYWORDS)
-    return pre.persist(StorageLevel.MEMORY_AND_DISK) if shared else pre
-
-
-def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in summaries: the clean session text."""
-    return S.session_text(prepared(spark, sf_dir), out="summary")
+    return shared(pre) if reuse else pre
 
 
 # ---------------------------------------------------------------- phase 1: text
@@ -57,13 +57,13 @@ def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("normalize_utterances",
           f"WITH {Q.utt_cte()} SELECT session_id, turn, clean_text FROM utt")
 def q_normalize(spark, sf_dir):
-    return prepared(spark, sf_dir, shared=False).select("session_id", "turn", "clean_text")
+    return prepared(spark, sf_dir, reuse=False).select("session_id", "turn", "clean_text")
 
 
 @register("assign_roles",
           f"WITH {Q.utt_cte()} SELECT session_id, turn, speaker, spk_role AS role FROM utt")
 def q_roles(spark, sf_dir):
-    return prepared(spark, sf_dir, shared=False).select("session_id", "turn", "speaker", "role")
+    return prepared(spark, sf_dir, reuse=False).select("session_id", "turn", "speaker", "role")
 
 
 @register("sentence_split",
@@ -71,7 +71,7 @@ def q_roles(spark, sf_dir):
           "SELECT session_id, turn, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
           "unnest(sents) AS sentence FROM s")
 def q_sentences(spark, sf_dir):
-    return S.sentence_rows(prepared(spark, sf_dir, shared=False))
+    return S.sentence_rows(prepared(spark, sf_dir, reuse=False))
 
 
 @register("session_text",
@@ -170,7 +170,8 @@ def _routed_sql() -> str:
           _routed_sql() + f" SELECT session_id, sent_pos, sentence, coalesce(m, {Q.lit(P.FALLBACK)}) AS section, "
           "m IS NOT NULL AS matched FROM r")
 def q_route(spark, sf_dir):
-    return R.route_sentences(session_summaries(spark, sf_dir), "summary", P.SECTION_RULES, P.FALLBACK)
+    return R.route_sentences(None, "summary", P.SECTION_RULES, P.FALLBACK,
+                             sentences=S.session_sentences(prepared(spark, sf_dir)))
 
 
 def _report_sql() -> str:
@@ -194,7 +195,8 @@ def _report_sql() -> str:
 def q_report(spark, sf_dir):
     pre = prepared(spark, sf_dir)
     feats = TR.session_tiers(pre, P.LEXICON)
-    return R.build_reports(S.session_text(pre, out="summary"), feats, "summary", P.SECTION_RULES, P.FALLBACK)
+    return R.build_reports(feats.select("session_id"), feats, "summary", P.SECTION_RULES, P.FALLBACK,
+                           sentences=S.session_sentences(pre))
 
 
 # ---------------------------------------------------------------- phase 3: segmentation
@@ -243,14 +245,18 @@ def q_top_terms(spark, sf_dir):
     return G.top_terms(segmented(spark, sf_dir))
 
 
+def _topics_ctes(k: int) -> str:
+    """``topics``: the term lists of a session's ``k`` weightiest segments, over all segments."""
+    return ("tp AS (SELECT session_id, segment_id, string_agg(term, ', ' ORDER BY rank) AS words, sum(n) AS weight "
+            "FROM tt GROUP BY session_id, segment_id), "
+            "tpk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY weight DESC, segment_id) "
+            f"AS r FROM tp) WHERE r <= {k}), "
+            "topics AS (SELECT session_id, string_agg(words, '; ' ORDER BY r) AS topics FROM tpk GROUP BY session_id)")
+
+
 def _prompt_sql() -> str:
     return (f"WITH {Q.utt_cte()}, {Q.top_terms_ctes(P.SEGMENT_THRESHOLD)}, {Q.role_text_cte()}, "
-            "tp AS (SELECT session_id, segment_id, string_agg(term, ', ' ORDER BY rank) AS words FROM tt "
-            "GROUP BY session_id, segment_id), "
-            "tp3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY segment_id) AS r "
-            "FROM tp) WHERE r <= 3), "
-            "topics AS (SELECT session_id, string_agg(words, '; ' ORDER BY segment_id) AS topics FROM tp3 "
-            "GROUP BY session_id), "
+            f"{_topics_ctes(3)}, "
             "head AS (SELECT session_id, substr(string_agg(clean_text, ' ' ORDER BY turn), 1, 3000) AS head "
             "FROM utt GROUP BY session_id), "
             f"t AS (SELECT session_id, {Q.tier_label(Q.lexicon_case('combined_text'))} AS tier_label FROM rt) "
@@ -274,15 +280,16 @@ def q_prompt(spark, sf_dir):
 
 from ..operators import evaluate as EV  # noqa: E402
 
-# Stand-in "models" for the comparison: the first turn of a role is the
-# prediction; the last assistant turn is the reference.
-LIVE_MODELS = {"T5-Base (Proposed)": "assistant", "TF-IDF TextRank": "user"}
+# The texts compared are those of whole sessions, and named for what they are:
+# a role's turns against the other role's, or against the whole session.
+LIVE_MODELS = {"Counselor turns": "counselor", "Client turns": "client"}
 
 
 def rouge_pairs(spark, sf_dir):
-    u = TD.utterances(spark, sf_dir).filter(F.col("speaker") == "assistant")
-    return u.groupBy("session_id").agg(F.min_by("utterance", "turn").alias("candidate"),
-                                       F.max_by("utterance", "turn").alias("reference"))
+    """Candidate: all counselor turns; reference: all client turns; of sessions that have both."""
+    rt = S.role_texts(prepared(spark, sf_dir, reuse=False))
+    return (rt.filter("client_text <> '' AND counselor_text <> ''")
+            .select("session_id", F.col("counselor_text").alias("candidate"), F.col("client_text").alias("reference")))
 
 
 def _rounded(df, cols=("precision", "recall", "f1")):
@@ -309,26 +316,24 @@ def q_rougel(spark, sf_dir):
 
 
 def model_predictions(spark, sf_dir):
-    u = TD.utterances(spark, sf_dir)
-    parts = None
-    for model, role in LIVE_MODELS.items():
-        p = (u.filter(F.col("speaker") == role).groupBy("session_id")
-             .agg(F.min_by("utterance", "turn").alias("prediction")).withColumn("model", F.lit(model)))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    rt = S.role_texts(prepared(spark, sf_dir))
+    both = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{role}_text").alias("prediction"))
+                     for m, role in LIVE_MODELS.items()])
+    return rt.select("session_id", F.explode(both).alias("x")).select("session_id", "x.prediction", "x.model").filter(
+        "prediction <> ''")
 
 
 def model_references(spark, sf_dir):
-    return rouge_pairs(spark, sf_dir).select("session_id", F.col("reference"))
+    return S.session_text(prepared(spark, sf_dir), out="reference")
 
 
 def _models_sql() -> str:
     preds = " UNION ALL ".join(
-        f"SELECT {Q.lit(m)} AS model, conv_id AS session_id, arg_min(text, turn) AS candidate FROM conversations "
-        f"WHERE role = {Q.lit(r)} GROUP BY conv_id" for m, r in LIVE_MODELS.items())
-    return (f"{Q.rouge_pairs_cte()}, preds AS ({preds}), "
+        f"SELECT {Q.lit(m)} AS model, session_id, {r}_text AS candidate FROM rt WHERE {r}_text <> ''"
+        for m, r in LIVE_MODELS.items())
+    return (f"{Q.utt_cte()}, {Q.role_text_cte()}, {Q.session_text_cte('st', 'reference')}, preds AS ({preds}), "
             "mp AS (SELECT p.model, p.session_id, p.candidate, r.reference FROM preds p "
-            "JOIN pairs r ON p.session_id = r.session_id), "
+            "JOIN st r ON p.session_id = r.session_id), "
             f"s1 AS (SELECT 'ROUGE-1' AS metric, * FROM {Q.rouge_n_select(1, 'mp', 'model, session_id')}), "
             f"s2 AS (SELECT 'ROUGE-2' AS metric, * FROM {Q.rouge_n_select(2, 'mp', 'model, session_id')}), "
             "live AS (SELECT model, metric, round(avg(f1) * 100, 1) AS value, count(*) AS n_pairs "
@@ -360,7 +365,7 @@ def _leaderboard_sql() -> str:
     return (f"WITH {_models_sql()}, pub(model, metric, value) AS (VALUES {', '.join(rows)}), "
             "j AS (SELECT coalesce(p.model, l.model) AS model, coalesce(p.metric, l.metric) AS metric, "
             "coalesce(l.value, p.value) AS value, CASE WHEN l.value IS NOT NULL THEN 'live' ELSE 'published' END "
-            "AS source FROM pub p FULL OUTER JOIN live l ON p.model = l.model AND p.metric = l.metric), "
+            "AS source FROM pub p LEFT JOIN live l ON p.model = l.model AND p.metric = l.metric), "
             f"t AS (SELECT *, {target} AS target FROM j) "
             "SELECT model, metric, value, source, target, "
             "CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) AS INTEGER) AS position, "
@@ -374,7 +379,7 @@ def q_leaderboard(spark, sf_dir):
 
 
 @register("embedding_match", """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+WITH e AS (SELECT vec_id, vec_id // 64 AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT * FROM e WHERE vec_id % 2 = 1),
 cr AS (SELECT c.label, c.vec_id AS cid, r.vec_id AS rid, list_cosine_similarity(c.v, r.v) AS s
        FROM c JOIN r ON c.label = r.label),
@@ -385,7 +390,7 @@ SELECT p.label AS pair_id, round(precision, 6) AS precision, round(recall, 6) AS
 FROM p JOIN q ON p.label = q.label""")
 def q_embedding_match(spark, sf_dir):
     e = TD.table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("pair_id"), F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"),
+        F.floor(F.col("vec_id") / 64).alias("pair_id"), F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector"),
         (F.col("vec_id") % 2).alias("side"))
     return _rounded(EV.embedding_match(e.filter("side = 0"), e.filter("side = 1")))
 
@@ -473,7 +478,7 @@ def qa_pairs(spark, sf_dir):
         "session_id", (F.col("turn") - 1).alias("turn"), F.col("utterance").alias("reference_summary"))
     qa = PS.filter_short(q.join(a, ["session_id", "turn"]), "reference_summary", 100)
     return qa.select(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn").cast("string"))
-                     .alias("pair_key"), "transcript", "reference_summary")
+                     .alias("pair_key"), "session_id", "transcript", "reference_summary")
 
 
 def training_pair_table(spark, sf_dir):
@@ -484,7 +489,15 @@ def training_pair_table(spark, sf_dir):
 @register("training_pairs",
           f"WITH {Q.pairs_cte()} SELECT source_rank, pair_key, transcript, reference_summary FROM tpn")
 def q_training_pairs(spark, sf_dir):
-    return training_pair_table(spark, sf_dir)
+    return training_pair_table(spark, sf_dir).drop("session_id")
+
+
+@register("split_by_session",
+          f"WITH {Q.pairs_cte()} SELECT source_rank, pair_key, CASE WHEN CAST('0x' || substr(md5('42:' || "
+          "split_part(pair_key, ':', 1)), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'validation' END AS split "
+          "FROM tpn")
+def q_split_by_session(spark, sf_dir):
+    return PR.split_pairs(training_pair_table(spark, sf_dir), 0.8, by="session").select("source_rank", "pair_key", "split")
 
 
 @register("split_pairs",
@@ -550,7 +563,7 @@ def _graph_sql() -> str:
 @register("sentence_graph", _graph_sql())
 def q_sentence_graph(spark, sf_dir):
     sents = S.session_sentences(prepared(spark, sf_dir))
-    sents = cut(sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long")))
+    sents = shared(sents.withColumn("n_words", F.size(X.T.graph_words("sentence")).cast("long")))
     return X.sentence_graph(sents).withColumn("degree", r6("degree"))
 
 
@@ -594,9 +607,14 @@ def q_session_tier_model(spark, sf_dir):
     return TR.session_tiers(prepared(spark, sf_dir), P.LEXICON, model=model)
 
 
-@register("session_features")
+@register("session_features",
+          f"WITH {Q.utt_cte()}, {Q.top_terms_ctes(P.SEGMENT_THRESHOLD)}, {Q.role_text_cte()}, {_topics_ctes(8)}, "
+          f"t AS (SELECT session_id, {Q.lexicon_case('combined_text')} AS emotion_tier FROM rt) "
+          f"SELECT t.session_id, t.emotion_tier, {Q.tier_label('t.emotion_tier')} AS tier_label, "
+          "coalesce(topics.topics, '') AS topics FROM t LEFT JOIN topics ON t.session_id = topics.session_id")
 def q_session_features(spark, sf_dir):
-    feats = PL.extract_features(segmented(spark, sf_dir), P.LEXICON)
+    pre = prepared(spark, sf_dir)
+    feats = PL.extract_features(pre, G.segment_sessions(pre, P.SEGMENT_THRESHOLD), P.LEXICON, topic_method="terms")
     return feats.select("session_id", "emotion_tier", "tier_label",
                         F.array_join(F.transform("topics", lambda t: F.array_join(t, ", ")), "; ").alias("topics"))
 
@@ -630,7 +648,9 @@ def q_tier_leaderboard(spark, sf_dir):
     return _rounded(out, ("precision", "recall", "f1", "weighted_f1"))
 
 
-@register("sample_labelled")
+@register("sample_labelled",
+          f"SELECT event_id AS row_id, event_type AS emotion, {Q.encode_label('event_type', P.EVENT_LABELS)} AS label_id "
+          "FROM events WHERE props IS NOT NULL ORDER BY md5('42:' || CAST(event_id AS VARCHAR)) LIMIT 500")
 def q_sample_labelled(spark, sf_dir):
     enc = PR.encode_labels(TD.labelled_text(spark, sf_dir), labels=P.EVENT_LABELS)
     return S.sample_rows(enc, 500, key=["row_id"]).select("row_id", "emotion", "label_id")
@@ -642,3 +662,38 @@ def q_textrank_scores(spark, sf_dir):
     preds = summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
         "model", F.lit("TF-IDF TextRank"))
     return EV.evaluate_models(model_references(spark, sf_dir), preds)
+
+
+# ---------------------------------------------------------------- gaps in turn, text rules on long documents
+
+@register("segment_gapped",
+          "WITH " + Q.gapped_utt_cte() + f", {Q.segment_ctes(P.SEGMENT_THRESHOLD)} "
+          "SELECT seg.session_id, g.orig AS turn, segment_id FROM seg JOIN utt g ON g.session_id = seg.session_id AND g.turn = seg.turn")
+def q_segment_gapped(spark, sf_dir):
+    u = TD.utterances(spark, sf_dir).filter(F.col("speaker") != "system")
+    pre = S.preprocess(u, role_keywords=P.ROLE_KEYWORDS)
+    return G.segment_sessions(pre, P.SEGMENT_THRESHOLD).select("session_id", "turn", "segment_id")
+
+
+def documents(spark, sf_dir):
+    return TD.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@register("normalize_documents",
+          f"SELECT doc_id, {Q.normalize('text', P.DOCUMENT_FILLERS)} AS clean_text FROM documents")
+def q_normalize_documents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.T.normalize_text("text", P.DOCUMENT_FILLERS).alias("clean_text"))
+
+
+@register("sentence_split_documents",
+          f"WITH s AS (SELECT doc_id, {Q.split_sentences('text')} AS sents FROM documents) "
+          "SELECT doc_id, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
+          "unnest(sents) AS sentence FROM s")
+def q_sentence_documents(spark, sf_dir):
+    return S.sentence_rows(documents(spark, sf_dir), "text", ("doc_id",))
+
+
+@register("lexicon_tier_documents",
+          f"SELECT doc_id, {Q.lexicon_case('text', P.default_lexicon())} AS emotion_tier FROM documents")
+def q_lexicon_documents(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.T.lexicon_tier("text").alias("emotion_tier"))

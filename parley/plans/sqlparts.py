@@ -19,8 +19,8 @@ def sql_list(items) -> str:
     return "[" + ", ".join(lit(x) for x in items) + "]"
 
 
-def normalize(x: str) -> str:
-    fillers = "|".join(D.FILLERS)
+def normalize(x: str, fillers=None) -> str:
+    fillers = "|".join(fillers or D.FILLERS)
     return ("trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
             f"trim(lower(coalesce({x}, ''))), '[^\\x00-\\x7F]+', ' ', 'g'), "
             "'[^\\w\\s.,!?'']', ' ', 'g'), "
@@ -69,6 +69,13 @@ def utt_cte() -> str:
             "FROM conversations WHERE conv_id IS NOT NULL)")
 
 
+def gapped_utt_cte() -> str:
+    """Utterances without ``system`` turns; ``turn`` is the row number, ``orig`` the given one."""
+    return ("utt AS (SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, "
+            f"turn AS orig, {normalize('text')} AS clean_text FROM conversations "
+            "WHERE conv_id IS NOT NULL AND role <> 'system')")
+
+
 def role_text_cte() -> str:
     return ("rt0 AS (SELECT session_id, "
             "coalesce(string_agg(clean_text, ' ' ORDER BY turn) FILTER (WHERE spk_role = 'client'), '') AS client_text, "
@@ -132,9 +139,10 @@ def top_terms_ctes(threshold: float, k: int = D.TOPIC_WORDS, max_features: int =
 
 
 def rouge_pairs_cte() -> str:
-    """First and last ``assistant`` turn of each session as candidate / reference."""
-    return ("pairs AS (SELECT conv_id AS session_id, arg_min(text, turn) AS candidate, "
-            "arg_max(text, turn) AS reference FROM conversations WHERE role = 'assistant' GROUP BY conv_id)")
+    """All counselor turns and all client turns of each session as candidate / reference."""
+    return (f"{utt_cte()}, {role_text_cte()}, "
+            "pairs AS (SELECT session_id, counselor_text AS candidate, client_text AS reference FROM rt "
+            "WHERE counselor_text <> '' AND client_text <> '')")
 
 
 def overlap_tokens(x: str) -> str:

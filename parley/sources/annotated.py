@@ -8,7 +8,7 @@ per-session table of transcript and reference summary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -24,18 +24,20 @@ def _strip(c) -> F.Column:
 
 
 def read_annotated_sessions(spark: SparkSession, dirs, glob: str = D.ANNOTATED_GLOB,
-                            prefix: str = D.ANNOTATED_PREFIX, max_broadcast_files: int = 100_000) -> DataFrame:
+                            prefix: str = D.ANNOTATED_PREFIX) -> DataFrame:
     """All annotated files of the given folders (empty entries skipped).
 
     Columns are taken by position (the header line is skipped, its names
     ignored). ``multiLine`` keeps quoted line breaks inside one value and one
     file inside one task, so ``monotonically_increasing_id`` follows the
     file's row order; ``row_pos`` is that id minus the file's smallest id.
-    The session id is the decoded file name without ``prefix`` and ``.csv``.
+    Every file is a session of its own. Its id is the decoded file name without
+    ``prefix`` and ``.csv``; where files of several folders share a name, it is
+    preceded by the folder's path. ``session_name`` is the name alone.
     """
     paths = [d for d in ([dirs] if isinstance(dirs, str) else list(dirs)) if d]
     if not paths:
-        return spark.createDataFrame([], ANNOTATED_SCHEMA.add("session_id", "string").add("row_pos", "long"))
+        return spark.createDataFrame([], Ty.StructType(ANNOTATED_SCHEMA.fields).add("session_name", "string").add("session_id", "string").add("row_pos", "long"))
     raw = (spark.read.schema(ANNOTATED_SCHEMA)
            .option("header", True).option("multiLine", True).option("escape", '"')
            .option("pathGlobFilter", glob)
@@ -45,13 +47,13 @@ def read_annotated_sessions(spark: SparkSession, dirs, glob: str = D.ANNOTATED_G
            .withColumn("_id", F.monotonically_increasing_id()))
     name = F.url_decode(F.replace(F.col("_name"), F.lit("+"), F.lit("%2B")))
     sid = F.replace(F.replace(name, F.lit(prefix), F.lit("")), F.lit(".csv"), F.lit(""))
-    first = raw.groupBy("_file").agg(F.min("_id").alias("_first"))
-    # one row per input file: the file listing (known on the driver before
-    # any job) bounds it, so it is broadcast below the limit
-    if len(raw.inputFiles()) <= max_broadcast_files:
-        first = F.broadcast(first)
-    return (raw.join(first, "_file")
-            .withColumn("session_id", sid)
+    # one row per file; how it is joined is left to the planner
+    files = (raw.groupBy("_file").agg(F.min("_id").alias("_first"), F.first(sid).alias("session_name"))
+             .withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("session_name"))))
+    folder = F.url_decode(F.replace(F.regexp_replace("_file", r"[^/]*$", ""), F.lit("+"), F.lit("%2B")))
+    files = files.withColumn("session_id", F.when(F.col("_same") > 1, F.concat(folder, F.col("session_name")))
+                             .otherwise(F.col("session_name")))
+    return (raw.join(files.drop("_same"), "_file")
             .withColumn("row_pos", F.col("_id") - F.col("_first"))
             .drop("_id", "_first", "_name"))
 

@@ -1,6 +1,7 @@
 """Every registered query: Spark result equals the DuckDB oracle at sf0.001."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,9 @@ from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
-NAMES = sorted(E.queries())
+# the operators of the training-data subpackage are checked in tests/llm
+NAMES = sorted(n for n in E.queries() if not re.match(r"op\d+_|pipeline$", n))
+SQL = {n: q for n, q in SQL.items() if n in NAMES}
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +28,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = {"rouge_l", "model_comparison_lcs", "textrank_summary", "session_topics", "label_classifier",
-                 "session_tier_model", "session_features", "pipeline_report", "normalize_repaired",
-                 "generator_summaries", "sample_labelled", "textrank_scores"}
+                 "session_tier_model", "pipeline_report", "normalize_repaired", "generator_summaries", "textrank_scores"}
     assert set(NAMES) - set(SQL) == no_oracle
 
 
