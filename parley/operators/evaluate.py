@@ -11,6 +11,7 @@ from pyspark.sql import types as Ty
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
+from ..session import ship_package
 from .sequence import fixed_table, number_rows, shared
 
 
@@ -104,6 +105,7 @@ def rouge_l(pairs: DataFrame, keys: list[str] | None = None, candidate: str = "c
     Tokenisation is native; only the subsequence length runs in Python, as
     an Arrow-batched pandas UDF over the two token arrays of each row.
     """
+    ship_package(pairs.sparkSession)
     keys = keys or ["session_id"]
     d = pairs.select(*keys, T.overlap_tokens(candidate).alias("_c"), T.overlap_tokens(reference).alias("_r"))
     d = d.withColumn("_lcs", _lcs_udf("_c", "_r").cast("double"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from ..functions import text as T
 from .sequence import listagg_ordered, shared, top_k
 
@@ -112,6 +112,7 @@ def _textrank_numpy(pos: np.ndarray, words: list, damping: float, epsilon: float
 
 
 def _local_ranks(sentences: DataFrame, key: str, damping: float, epsilon: float) -> DataFrame:
+    ship_package(sentences.sparkSession)
     key_type = dict(sentences.dtypes)[key]
     schema = f"{key} {key_type}, sent_pos int, rank double"
 
@@ -225,6 +226,7 @@ def summarize_sessions(utterances: DataFrame, generator=None, prompts: DataFrame
             "summary", "generated_summary")
     if prompts is None:
         raise ValueError("a generator needs prompts")
+    ship_package(prompts.sparkSession)
     gen = F.pandas_udf(generator, "string")
     return prompts.select("session_id", gen(F.col("prompt")).alias("generated_summary"))
 

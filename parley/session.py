@@ -37,8 +37,6 @@ def get_spark(app: str = "parley", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    if not spark.sparkContext.master.startswith("local"):
-        ship_package(spark)
     return spark
 
 
@@ -46,9 +44,10 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> str:
-    """Send this package to the executors' Python workers (``addPyFile`` of a
-    zip), for the pandas UDFs and grouped-map functions that import it.
-    Done once per SparkContext; not needed when executors already have it."""
+    """Send this package to the Python workers (``addPyFile`` of a zip), for the
+    functions that run there and import it. Operators that need Python call it
+    themselves, so any session works, whatever folder it was started in. Done
+    once per SparkContext."""
     import shutil
 
     sc = spark.sparkContext
