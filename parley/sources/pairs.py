@@ -6,7 +6,6 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from .. import defaults as D
 
@@ -84,7 +83,3 @@ def write_results(results: dict[str, DataFrame], path: str, mode: str = "overwri
         df.write.mode(mode).parquet(target)
         written[name] = target
     return written
-
-
-EMPTY_PAIRS = Ty.StructType([Ty.StructField("transcript", Ty.StringType()),
-                             Ty.StructField("reference_summary", Ty.StringType())])

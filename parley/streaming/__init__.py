@@ -2,8 +2,8 @@
 
 The original program has no streams. Normalisation, role assignment, sentence
 splitting and per-utterance lexicon tiers are row-wise, so they apply
-unchanged to a streaming DataFrame; session-level operators need a complete
-session and run per micro-batch through ``foreachBatch``.
+unchanged to a streaming DataFrame. Session-level operators need a complete
+session and are batch operators.
 """
 
-from .rowwise import preprocess_stream, run_per_batch  # noqa: F401
+from .rowwise import preprocess_stream  # noqa: F401

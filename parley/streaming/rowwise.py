@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import text as T
 
@@ -16,17 +13,3 @@ def preprocess_stream(stream: DataFrame, fillers=None, role_keywords=None, lexic
             .withColumn("role", T.assign_role("speaker", role_keywords))
             .withColumn("sentences", T.split_sentences("clean_text"))
             .withColumn("utterance_tier", T.lexicon_tier("clean_text", lexicon)))
-
-
-def run_per_batch(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
-                  trigger_once: bool = True):
-    """Apply a batch operator to every micro-batch and append its result as
-    parquet under ``path``. ``checkpoint`` must be on storage shared by the
-    cluster; the query restarts from it after a failure."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fn(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
-
-    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_once else w
-    return w.start()

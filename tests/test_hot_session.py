@@ -2,12 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from parley.operators import segment as G
 from parley.operators import sessions as S
 from parley.operators import tiers as TR
-from parley.functions import text as T
 from tests.conftest import utt
 
 N = 9000

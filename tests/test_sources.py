@@ -114,20 +114,3 @@ def test_sample_rows_is_deterministic(spark):
     a = sorted(r.k for r in sample_rows(df, 50, key=["k"]).collect())
     b = sorted(r.k for r in sample_rows(df.repartition(7), 50, key=["k"]).collect())
     assert a == b and len(a) == 50
-
-
-def test_streaming_per_batch_runner(spark):
-    from parley.operators import tiers as TR
-    from parley.streaming import preprocess_stream, run_per_batch
-
-    src = tempfile.mkdtemp(prefix="stream-in-")
-    out = tempfile.mkdtemp(prefix="stream-out-")
-    ckpt = tempfile.mkdtemp(prefix="stream-ckpt-")
-    schema = "session_id string, turn long, speaker string, utterance string"
-    spark.createDataFrame([("s", 0, "client", "i am falling"), ("s", 1, "Dr. B", "apart from that"),
-                           ("t", 0, "client", "fine")], schema).write.mode("overwrite").parquet(os.path.join(src, "b0"))
-    stream = preprocess_stream(spark.readStream.schema(schema).parquet(os.path.join(src, "b0")))
-    q = run_per_batch(stream, lambda b: TR.lexicon_tiers(b), os.path.join(out, "tiers"), ckpt)
-    q.awaitTermination(120)
-    got = {r.session_id: r.emotion_tier for r in spark.read.parquet(os.path.join(out, "tiers")).collect()}
-    assert got == {"s": 4, "t": 1}
