@@ -60,7 +60,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3,
                counts: bool = False) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``; with ``counts``
-    also the columns ``n_lines`` and ``n_removed``."""
+    also the columns ``n_lines`` and ``n_removed``, in place of any of those names."""
     starts = repeated_windows(docs, id_col, text_col, window)
     rows = docs.withColumn("_ld_hash", F.xxhash64(F.col(text_col)))
     rows = rows.join(starts, F.col(id_col).eqNullSafe(F.col("_ld_id"))
@@ -75,4 +75,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if counts:
         extra = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long"),
                  "n_removed": F.when(hit, F.size(covered)).otherwise(0).cast("long")}
-    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns], *[v.alias(k) for k, v in extra.items()])
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns if c not in extra],
+                       *[v.alias(k) for k, v in extra.items()])

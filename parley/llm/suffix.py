@@ -397,7 +397,8 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400,
                    counts: bool = False) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text_col``; with ``counts`` also
-    ``n_bytes, n_removed, n_spans, kept_sha256`` (of the bytes that remain)."""
+    ``n_bytes, n_removed, n_spans, kept_sha256`` (of the bytes that remain), in place of
+    any columns of those names."""
     spans = repeated_spans(docs, id_col, text_col, window).groupBy("_sa_id", "_sa_text").agg(
         F.collect_set(F.struct("start", "end")).alias("_sa_spans")).select(
         F.col("_sa_id"), F.col("_sa_text"), "_sa_spans")
@@ -425,4 +426,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("_sa_cut.n_spans").alias("n_spans"), F.coalesce("_sa_cut.kept_sha256", F.sha2(data, 256)).alias("kept_sha256"),
     ] if counts else []
     text = F.when(hit, F.col("_sa_cut.text")).otherwise(F.col(text_col)).alias(text_col)
-    return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns], *extra)
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if counts else []
+    return rows.select(*[text if c == text_col else F.col(c) for c in docs.columns if c not in own], *extra)

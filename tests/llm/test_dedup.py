@@ -173,6 +173,12 @@ def test_removal_equals_brute_force(spark, monkeypatch, tree_group, buffer):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_counts_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", "x")], "doc_id long, text string, n_removed string")
+    for out in (linededup.line_dedup(df, counts=True), suffix.remove_repeats(df, counts=True)):
+        assert len(out.columns) == len(set(out.columns)) and [r.n_removed for r in out.collect()] == [0]
+
+
 def test_maximal_repeats_have_all_occurrences():
     """Every reported group is maximal on both sides and names all members that share it."""
     rng = random.Random(8)
