@@ -57,15 +57,20 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 text_hash: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp`` (the fingerprint's 64 bits as a long) of every row, on request
+    with ``text_hash`` (SHA-256 of the text, null as empty)."""
+    more = ["text_hash"] if text_hash else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *more])
 
-    rows = shipped(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, fp bigint")
+    rows = shipped(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                              *[_text_hash(text_col).alias(c) for c in more])
+    return rows.mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, fp bigint" + "".join(f", {c} binary" for c in more))
 
 
 def _signed(x: int) -> int:
@@ -109,33 +114,49 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return small.unionByName(hot).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 2) -> DataFrame:
-    """``doc_id, fp, fingerprint`` (16 hex digits) and ``component_id`` of every row."""
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = fingerprints(df, id_col, text_col, shingle).checkpoint()
+def _labelled(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``rows`` (``doc_id, fp``, others) with ``label``, the smallest fingerprint of the row's
+    component, and ``component_id``."""
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(links(prints, max_bits))
     grouped = (labels.join(prints, labels["node"] == prints["fp"]).select("fp", "label", "least"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    member = grouped.join(least, "label").select(F.col("fp").alias("of_fp"), "component_id")
+    member = grouped.join(least, "label").select(F.col("fp").alias("of_fp"), "label", "component_id")
     alone = prints.join(member, prints["fp"] == member["of_fp"], "left").select(
-        prints["fp"], F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(alone, "fp").select(
+        prints["fp"], F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(alone, "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    max_bits: int = 2) -> DataFrame:
+    """``doc_id, fp, fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = fingerprints(df, id_col, text_col, shingle).checkpoint()
+    return _labelled(rows, max_bits).select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
              max_bits: int = 2) -> DataFrame:
-    """The rows of ``df``, all columns, that carry their component's smallest id.
+    """One row of ``df``, all columns, of every component.
 
-    An id names one document: where several rows repeat that id, the one with
-    the smallest text stays.
+    A component is told by its fingerprints and not by an id, so null and repeated ids
+    that stand in several components lose nothing. Of a component stays the row with
+    the smallest id (nulls last), then the smallest SHA-256 of the text, then the
+    smallest JSON form of the row.
     """
-    near = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    chosen = (near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy(F.col("doc_id").alias("_sh_id")).agg(F.count("*").alias("_sh_n")))
-    rows = df.join(chosen, F.col(id_col).eqNullSafe(F.col("_sh_id")))
-    repeated = (rows.where("_sh_n > 1").groupBy("_sh_id")
-                .agg(F.min_by(F.struct(*df.columns), F.struct(text_col)).alias("row")).select("row.*"))
-    return rows.where("_sh_n = 1").select(*df.columns).unionByName(repeated)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = fingerprints(df, id_col, text_col, shingle, text_hash=True).checkpoint()
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    # equal texts have one fingerprint: an id and a text hash stand in one component only
+    chosen = (_labelled(rows, max_bits).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+              .groupBy("label").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), best).alias("x"))
+              .select(F.col("x.doc_id").alias("_sh_id"), F.col("x.text_hash").alias("_sh_text"), F.col("x.n").alias("_sh_n")))
+    found = df.join(chosen, F.col(id_col).eqNullSafe(F.col("_sh_id")) & (_text_hash(text_col) == F.col("_sh_text")))
+    copies = (found.where("_sh_n > 1").groupBy("_sh_id", "_sh_text")
+              .agg(F.min_by(F.struct(*df.columns), F.to_json(F.struct(*df.columns))).alias("row")).select("row.*"))
+    return found.where("_sh_n = 1").select(*df.columns).unionByName(copies)

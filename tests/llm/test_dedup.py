@@ -92,6 +92,30 @@ def test_keep_one_keeps_the_smallest_id(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    """Null ids and repeated ids stand in several components; each component keeps its smallest row."""
+    texts = ["first text of its own", "second one about other things", "third thing nobody wrote yet", "fourth and last of them"]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 3), (None, texts[2], 4), (8, texts[2].upper(), 5),
+            (4, texts[3], 6), (4, "one id names an unrelated text", 7), (None, None, 8), (None, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    kept = sorted(r.n for r in simhash.keep_one(df).collect())
+    assert kept[:2] == [1, 2] and kept[2:5] == [5, 6, 7] and kept[5:] in ([8], [9])
+
+
+def test_keep_one_leaves_as_many_rows_as_components(spark):
+    texts = near_texts()
+    rows = [(None if i % 3 == 0 else i // 5, t) for i, t in enumerate(texts)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    root = plain_components([plain_fingerprint(t) for t in texts])
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    groups = {}
+    for (i, t), c in zip(rows, root):
+        groups.setdefault(c, []).append((i, digest(t)))
+    want = sorted((min(g, key=order) for g in groups.values()), key=order)
+    assert sorted(((r.doc_id, digest(r.text)) for r in kept), key=order) == want
+
+
 # ---------------------------------------------------------------- lines
 
 def plain_line_dedup(rows, window=3):
