@@ -217,9 +217,9 @@ def test_query_equals_sql(spark, name):
     assert digest(rows, df.columns)[0] == digest(want, names)[0]
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_thirteen_operators_and_the_pipeline_are_registered():
     names = list(E.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, monkeypatch):
