@@ -61,7 +61,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix.remove_repeats(docs, counts=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix.remove_repeats(docs, counts=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,21 +9,26 @@ Method, in three steps:
    place inside it whose next ``GRAM`` bytes have the smallest hash. Equal windows
    have their anchor at the same distance, so two copies of a string always meet
    under the hash of that gram, and one row stands for the run of windows (its
-   *context*) that share an anchor. Equal contexts are merged by hash and count
-   first: a passage that a third of all documents share is one row.
+   *context*) that share an anchor. Anchors are found once; those whose gram repeats
+   are written to a table that everything else reads. Equal contexts are merged by
+   hash and count first: a passage that a third of all documents share is one row.
 2. *Interval tree.* Under each gram with different contexts, the suffixes that start
    at the anchors are sorted (a suffix array sampled at the anchors), neighbours'
    common prefixes are taken, and a stack scan yields the tree of common-prefix
    intervals. In every interval the texts to the left are tested in the same way
    for the diversity of their left extensions; intervals that are diverse on
-   both sides are the maximal repeats, reported with all their occurrences.
-3. *Removal.* The spans go back to their documents, are merged and cut out.
-
-A gram under which more than ``TREE_GROUP`` different contexts meet is not gathered
-in one task. Its windows are compared by counting instead: first blocks of
-``BLOCK`` windows, by the bytes that all of them share and by the bytes that any of
-them covers, then single windows of the blocks that repeat only in part. Those
-counts are pre-aggregated, exact and linear.
+   both sides are the maximal repeats.
+3. *Removal.* Spans of what repeats go back to their documents, are merged and cut out.
+   ``repeat_groups`` returns the groups themselves with all their occurrences.
+
+A group of more than ``TREE_GROUP`` different contexts is not gathered in one task. It is
+split by longer shared strings: its windows are halved into those that reach further
+right of the anchor and those that reach further left, and a context goes on in each
+half under the bytes that all windows of the half hold. Two equal windows stay together
+in their half. Contexts that are equal as far as the windows of a half reach are merged
+again, and the parts go through step 2, or are halved once more: two rows at most for each
+context and level, and after nine levels one window is left, whose equal contexts are
+all merged.
 
 Defined results:
 * null text counts as empty; texts shorter than ``window`` bytes keep all bytes;
@@ -46,17 +51,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.attach import attach
 from parley.llm.batches import shipped, slices
-from parley.session import ensure_checkpoint_dir
+from parley.llm.scratch import Scratch
 
 #: Bytes of a gram (a power of two, less than the window).
 GRAM = 64
 #: Bytes hashed at once; a position inside them and a hash share 64 bits.
 BUFFER, POSITION_BITS = 1 << 20, 21
-#: Most different contexts of a gram that one task sorts.
+#: Most different contexts of a group that one task sorts; larger groups are split.
 TREE_GROUP = 256
-#: Windows of a block in the counting of larger groups.
-BLOCK = 20
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -173,18 +177,16 @@ def maximal_repeats(contexts: list[tuple[bytes, int]], window: int) -> Iterator[
                 yield more, depth, found
 
 
-def _spans_of_group(rows: list[tuple], window: int) -> Iterator[tuple[int, int, int]]:
-    """``(row, start, end)`` inside the rows' contexts, one for each row that repeats."""
-    if len(rows) < 2:
-        return
+def _reaches(rows: list[tuple[bytes, int]], window: int) -> Iterator[tuple[int, int, int]]:
+    """``(row, left, right)``: how far the repeats of each row reach from its anchor."""
     far: dict[int, list[int]] = {}
-    for more, depth, members in maximal_repeats([(r[0], r[1]) for r in rows], window):
+    for left, right, members in maximal_repeats(rows, window):
         for x in members:
             reach = far.setdefault(x, [0, 0])
-            reach[0] = max(reach[0], more)
-            reach[1] = max(reach[1], depth)
-    for x, (more, depth) in far.items():
-        yield x, rows[x][1] - more, rows[x][1] + depth
+            reach[0] = max(reach[0], left)
+            reach[1] = max(reach[1], right)
+    for x, (left, right) in far.items():
+        yield x, left, right
 
 
 def _key_type(docs: DataFrame, id_col: str) -> str:
@@ -216,169 +218,219 @@ def anchor_table(docs: DataFrame, id_col: str, text_col: str, window: int) -> Da
     return rows.mapInArrow(run, types)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted`` contexts (gathered by document) with their bytes."""
-    key = _key_type(docs, id_col)
-    by_doc = wanted.groupBy("_sa_id", "_sa_text").agg(F.collect_list(
-        F.struct("at", "first", "size", "gram", "copies", "contexts")).alias("places")).select(
+#: A group of contexts: gram, windows (by distance of the anchor from their start), shared bytes.
+GROUP = ["gram", "lo", "hi", "core"]
+#: A context of a group, and a place in a document.
+CONTEXT = [*GROUP, "c1", "c2"]
+PLACE = ["_sa_id", "_sa_text", "at"]
+#: The context that one of a split group was cut from (of the same gram).
+PARENT = [f"p_{c}" for c in CONTEXT[1:]]
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    full = xxhash.xxh3_128_digest(data)
+    return int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)
+
+
+def _with_bytes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` contexts with their ``bytes``, which begin at ``first``; gathered by document."""
+    carried = [c for c in wanted.columns if c not in ("_sa_id", "_sa_text")]
+    by_doc = wanted.groupBy("_sa_id", "_sa_text").agg(F.collect_list(F.struct(*carried)).alias("places")).select(
         F.col("_sa_id").alias("id"), F.col("_sa_text").alias("hash"), "places")
     texts = _keyed(docs, id_col, text_col).where(F.col("text").isNotNull())
+    # a context names one row of its document; of repeated rows any supplies the same bytes
     rows = texts.join(by_doc, F.col("_sa_id").eqNullSafe(F.col("id")) & (F.col("_sa_text") == F.col("hash")))
-    # a repeated row has its contexts counted already; one of its rows supplies the bytes
-    schema = f"_sa_id {key}, _sa_text bigint, at bigint, first bigint, gram bigint, copies bigint, contexts bigint, bytes binary"
+    types = {c: wanted.schema[c].dataType.simpleString() for c in wanted.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
-            data = {n: [] for n in ("k", "at", "first", "gram", "copies", "contexts", "bytes")}
+            data: dict[str, list] = {c: [] for c in [*carried, "bytes"]}
+            owner = []
             for k, (text, places) in enumerate(zip(part.column("text").to_pylist(), part.column("places").to_pylist())):
                 text = text.encode("utf-8", "replace")
                 for p in places:
-                    for n in ("at", "first", "gram", "copies", "contexts"):
-                        data[n].append(p[n])
-                    data["k"].append(k)
+                    for c in carried:
+                        data[c].append(p[c])
+                    owner.append(k)
                     data["bytes"].append(text[p["first"]:p["first"] + p["size"]])
-            rows = pa.array(data.pop("k"), pa.int64())
-            if len(rows):
+            if owner:
+                rows = pa.array(owner, pa.int64())
+                kinds = {"int": pa.int32(), "bigint": pa.int64()}
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_sa_id").take(rows), part.column("_sa_text").take(rows)]
-                    + [pa.array(v, pa.binary() if n == "bytes" else pa.int64()) for n, v in data.items()],
-                    ["_sa_id", "_sa_text", *data])
+                    + [pa.array(data[c], kinds[types[c]]) for c in carried] + [pa.array(data["bytes"], pa.binary())],
+                    ["_sa_id", "_sa_text", *carried, "bytes"])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in ["_sa_id", "_sa_text", *carried])
+    return rows.select("_sa_id", "_sa_text", "text", "places").mapInArrow(run, schema + ", bytes binary")
+
+
+def _tree(contexts: DataFrame, window: int, every: bool) -> DataFrame:
+    """The contexts' ``left, right`` reach by the interval tree of their group; with ``every``, one
+    row for each maximal repeat of the group instead, named by the hash of its bytes."""
+    out_columns = [*CONTEXT, *PLACE, "left", "right", "g1", "g2"]
+    types = {c: contexts.schema[c].dataType.simpleString() for c in [*CONTEXT, *PLACE]}
+
+    def found(rows: list[tuple]) -> Iterator[tuple]:
+        seen = [(r[0], r[1]) for r in rows]
+        if len(seen) < 2:
+            return
+        if every:
+            for left, right, members in maximal_repeats(seen, window):
+                data, at = seen[members[0]]
+                name = _digest(data[at - left:at + right])
+                yield from ((x, left, right, *name) for x in members)
+        else:
+            yield from ((x, left, right, None, None) for x, left, right in _reaches(seen, window))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key, held, kinds = [], None, [], None
 
-    return rows.select("_sa_id", "_sa_text", "text", "places").mapInArrow(run, schema)
+        def close() -> None:
+            held.extend((*group[x][2], left, right, g1, g2) for x, left, right, g1, g2 in found(group))
 
+        def sent() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held), kinds)], out_columns)
+            held.clear()
+            return batch
 
-def _tree_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """Spans by the interval tree; groups arrive sorted and are worked off one after the other."""
-    key = contexts.schema["_sa_id"].dataType.simpleString()
-    names = ["_sa_id", "_sa_text", "start", "end"]
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in [*CONTEXT, *PLACE]] + [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            cols = [batch.column(c).to_pylist() for c in [*CONTEXT, *PLACE]]
+            for row, data, at, first in zip(zip(*cols), batch.column("bytes").to_pylist(), batch.column("at").to_pylist(),
+                                            batch.column("first").to_pylist()):
+                if row[:len(GROUP)] != key:
+                    close()
+                    group, key = [], row[:len(GROUP)]
+                    if len(held) > 10_000:
+                        yield sent()
+                group.append((data, at - first, row))
+        close()
+        if held:
+            yield sent()
+
+    schema = ", ".join(f"{c} {types[c]}" for c in [*CONTEXT, *PLACE]) + ", left int, right int, g1 bigint, g2 bigint"
+    return contexts.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
+
+
+def _halved(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts of large groups in the halves of their windows: each row is cut to the bytes that
+    the half's windows reach, and grouped by those that all of them hold."""
+    carried = ["_sa_id", "_sa_text", "at", "weight", *PARENT]
+    names = [*CONTEXT, *carried, "first", "size", "bytes"]
+    types = {c: contexts.schema[c].dataType.simpleString() for c in names if c not in PARENT}
+    types |= {f"p_{c}": types[c] for c in CONTEXT[1:]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, gram = [], None
-        kind = None
+        for whole in batches:
+            for batch in (whole.slice(x, 2000) for x in range(0, whole.num_rows, 2000)):
+                out, owner = [], []
+                cols = [batch.column(c).to_pylist() for c in ("gram", "lo", "hi", "at", "first", "bytes")]
+                for k, (gram, lo, hi, at, first, data) in enumerate(zip(*cols)):
+                    o = at - first
+                    mid = (lo + hi) // 2
+                    for a, b in ((lo, mid), (mid + 1, hi)):
+                        # windows that the context has: their start lies s bytes before the anchor
+                        s, e = max(a, o - (len(data) - window)), min(b, o)
+                        if s <= e:
+                            reach = data[o - e:o - s + window]
+                            out.append((gram, a, b, _digest(data[o - a:o - b + window])[0], *_digest(reach), at - e, len(reach), reach))
+                            owner.append(k)
+                if out:
+                    gram, a, b, core, c1, c2, first, size, reach = (list(c) for c in zip(*out))
+                    rows = pa.array(owner, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(core, pa.int64()),
+                         pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *[batch.column(c.removeprefix("p_")).take(rows) for c in carried],
+                         pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array(reach, pa.binary())], names)
 
-        def found(rows) -> list[tuple]:
-            seen = [(r[0], r[1]) for r in rows]
-            return [(rows[x][3], rows[x][4], rows[x][2] + s, rows[x][2] + e) for x, s, e in _spans_of_group(seen, window)]
+    return contexts.where("lo < hi").select(*[c for c in names if c not in PARENT]).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
 
-        out: list[tuple] = []
-        for batch in batches:
-            kind = batch.schema.field("_sa_id").type
-            cols = [batch.column(c).to_pylist() for c in ("gram", "bytes", "at", "first", "_sa_id", "_sa_text")]
-            for g, data, at, first, i, h in zip(*cols):
-                if g != gram:
-                    out += found(group)
-                    group, gram = [], g
-                group.append((data, at - first, first, i, h))
-            if len(out) > 10_000:
-                yield _spans_batch(out, kind, names)
-                out = []
-        out += found(group)
-        if out:
-            yield _spans_batch(out, kind, names)
-
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(
-        run, f"_sa_id {key}, _sa_text bigint, start bigint, end bigint")
-
-
-def _spans_batch(out: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
-    types = [kind, pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
-
-
-def _counted_spans(contexts: DataFrame, window: int) -> DataFrame:
-    """Spans of large groups by counting. A block of windows whose common bytes are unique
-    repeats nowhere, one whose whole extent is found twice repeats everywhere; single
-    windows are compared only for the blocks between, and for one block of every
-    repeated extent, which others may share in part."""
-    key = contexts.schema["_sa_id"].dataType.simpleString()
-    place = f"_sa_id {key}, _sa_text bigint, first bigint, at bigint, gram bigint, block int"
-
-    def digest(data: bytes) -> tuple[int, int]:
-        full = xxhash.xxh3_128_digest(data)
-        return int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True)
-
-    def rows(batch: pa.RecordBatch):
-        cols = [batch.column(c).to_pylist() for c in ("_sa_id", "_sa_text", "first", "at", "gram", "bytes")]
-        for i, h, first, at, gram, data in zip(*cols):
-            o = at - first
-            # window at first + u has the anchor o - u bytes after its start
-            yield i, h, first, at, gram, data, o, o - (len(data) - window), o
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(x, 1000) for x in range(0, batch.num_rows, 1000)):
-                out = []
-                for i, h, first, at, gram, data, o, lo, hi in rows(part):
-                    for b in range(lo // BLOCK, hi // BLOCK + 1):
-                        s, e = b * BLOCK, b * BLOCK + BLOCK - 1
-                        # all windows of the block hold the bytes from its last start to its first end
-                        core = data[o - s:o - e + window]
-                        extent = digest(data[o - e:o - s + window]) if lo <= s and e <= hi else (None, None)
-                        out.append((i, h, first, at, gram, b, digest(core)[0], *extent))
-                if out:
-                    kinds = [part.schema.field("_sa_id").type, *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
-                                                     ["_sa_id", "_sa_text", "first", "at", "gram", "block", "core", "e1", "e2"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(x, 200) for x in range(0, batch.num_rows, 200)):
-                out = []
-                wanted = part.column("blocks").to_pylist()
-                for (i, h, first, at, gram, data, o, lo, hi), bs in zip(rows(part), wanted):
-                    for b in bs:
-                        for s in range(max(lo, b * BLOCK), min(hi, b * BLOCK + BLOCK - 1) + 1):
-                            out.append((i, h, at - s, gram, s, *digest(data[o - s:o - s + window])))
-                if out:
-                    kinds = [part.schema.field("_sa_id").type, *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
-                                                     ["_sa_id", "_sa_text", "start", "gram", "s", "w1", "w2"])
-
-    cores = contexts.mapInArrow(blocks, place + ", core bigint, e1 bigint, e2 bigint")
-    extent = ["gram", "block", "core", "e1", "e2"]
-    own = F.xxhash64("_sa_id", "_sa_text", "first", "at")
-    counted = cores.groupBy(*extent).agg(F.count("*").alias("n"), F.min(own).alias("one"))
-    again = counted.groupBy("gram", "block", "core").agg(F.sum("n").alias("cores")).where("cores > 1").drop("cores")
-    again = counted.join(again, ["gram", "block", "core"]).select(
-        *[F.col(c).alias(f"_{c}") for c in extent], "one", (F.col("e1").isNotNull() & (F.col("n") > 1)).alias("whole"))
-    alike = F.col("gram") == F.col("_gram")
-    for c in extent[1:]:
-        alike = alike & (F.col(c).eqNullSafe(F.col(f"_{c}")) if c in ("e1", "e2") else F.col(c) == F.col(f"_{c}"))
-    who = ["_sa_id", "_sa_text", "first", "at", "gram"]
-    repeated = cores.join(again, alike).select(*who, "block", "whole", (own == F.col("one")).alias("shown"))
-    blocks_whole = repeated.where("whole").select(
-        "_sa_id", "_sa_text", (F.col("at") - F.col("block") * BLOCK - (BLOCK - 1)).alias("start"),
-        (F.col("at") - F.col("block") * BLOCK + window).alias("end"))
-    hit = repeated.where("shown OR NOT whole").groupBy(*who).agg(F.collect_set("block").alias("blocks"))
-    hit = hit.select(*[F.col(c).alias(f"_{c}") for c in who], "blocks")
-    same = F.col("_sa_id").eqNullSafe(F.col("__sa_id"))
-    for c in who[1:]:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    single = contexts.join(hit, same).select(*contexts.columns, "blocks").mapInArrow(
-        windows, f"_sa_id {key}, _sa_text bigint, start bigint, gram bigint, s int, w1 bigint, w2 bigint")
-    twice = single.groupBy("gram", "s", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return single.join(twice, ["gram", "s", "w1", "w2"]).select(
-        "_sa_id", "_sa_text", "start", (F.col("start") + window).alias("end")).unionByName(blocks_whole)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
-    """``_sa_id, _sa_text, start, end``: byte spans whose union is what repeats, by document."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str, window: int, every: bool, scratch: Scratch) -> list[tuple[DataFrame, DataFrame]]:
+    """By level of splitting: the occurrences of contexts, and what repeats of them.
+
+    Occurrences have ``CONTEXT``, ``PLACE`` and, below the first level, ``PARENT``.
+    Repeats have ``CONTEXT``, a ``PLACE`` (null: all places of the context), ``left, right`` and,
+    with ``every``, the group's name ``g1, g2``; those of a large group are then all found in its
+    parts, where a context counts for all its copies.
+    """
     if window < 2 * GRAM:
         raise ValueError(f"window must be {2 * GRAM} bytes or more")
-    ensure_checkpoint_dir(docs.sparkSession)
-    found = anchor_table(docs, id_col, text_col, window)
-    context = ["gram", "c1", "c2"]
-    merged = found.groupBy(*context).agg(F.count("*").alias("copies"), *[
-        F.first(c).alias(c) for c in ("_sa_id", "_sa_text", "at", "first", "size")])
-    many = merged.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("copies").alias("places")).where("places > 1")
-    merged = merged.join(many.drop("places"), "gram").checkpoint()
-    copies = merged.where("copies > 1").select(*context)
-    whole = found.join(copies, context).select("_sa_id", "_sa_text", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("end"))
-    wanted = merged.where("contexts > 1")
-    contexts = _contexts(docs, wanted, id_col, text_col).checkpoint()
-    tree = _tree_spans(contexts.where(F.col("contexts") <= TREE_GROUP), window)
-    counted = _counted_spans(contexts.where(F.col("contexts") > TREE_GROUP), window)
-    return whole.unionByName(tree).unionByName(counted)
+    found = scratch.table(anchor_table(docs, id_col, text_col, window), "anchors")
+    grams = scratch.table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    rows = scratch.table(attach(found, grams, ["gram"], "n").select(
+        "gram", F.lit(0).alias("lo"), F.lit(window - GRAM).alias("hi"), F.lit(0).cast("long").alias("core"), "c1", "c2",
+        *PLACE, "first", "size", F.lit(1).cast("long").alias("weight")), "level0")
+    scratch.drop("anchors")
+    levels = []
+    for level in range(window.bit_length() + 2):
+        values = [c for c in rows.columns if c not in (*CONTEXT, *PARENT, "weight")]
+        merged = scratch.table(rows.groupBy(*CONTEXT).agg(F.sum("weight").alias("copies"), *[F.first(c).alias(c) for c in values]), f"merged{level}")
+        # all windows of a context with copies repeat
+        copied = merged.where("copies > 1").select(
+            *CONTEXT, *[F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in PLACE], (F.col("at") - F.col("first")).cast("int").alias("left"),
+            (F.col("first") + F.col("size") - F.col("at")).cast("int").alias("right"), F.col("c1").alias("g1"), F.col("c2").alias("g2"), "copies")
+        groups = scratch.table(merged.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count("*").alias("contexts")).where("n > 1"), f"groups{level}")
+        wanted = attach(merged, groups, GROUP, "n")
+        contexts = wanted if "bytes" in wanted.columns else _with_bytes(docs, wanted, id_col, text_col)
+        contexts = scratch.table(contexts.withColumn("weight", F.col("copies") if every else F.lit(1).cast("long")), f"contexts{level}")
+        if every:
+            copied = copied.join(groups.where(F.col("contexts") > TREE_GROUP).select(*GROUP), GROUP, "left_anti")
+        tree = _tree(contexts.where(F.col("contexts") <= TREE_GROUP), window, every).withColumn("copies", F.lit(None).cast("long"))
+        levels.append((rows, scratch.table(tree, f"tree{level}").unionByName(copied)))
+        large = contexts.where(F.col("contexts") > TREE_GROUP)
+        if large.isEmpty():
+            return levels
+        rows = scratch.table(_halved(large, window), f"level{level + 1}")
+    raise AssertionError("windows of one place differ")
+
+
+def spans_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
+    """``_sa_id, _sa_text, spans``: byte spans ``(start, end)`` whose union is what repeats of a document."""
+    scratch = Scratch(docs.sparkSession, "suffix")
+    spans = []
+    for rows, repeats in _repeats(docs, id_col, text_col, window, False, scratch):
+        names = [*PLACE[:2], (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")]
+        # a context with copies repeats as a whole wherever it is, so the tree's reach matters for single ones
+        whole = repeats.where("copies IS NOT NULL").drop(*PLACE, "g1", "g2")
+        spans += [repeats.where("copies IS NULL").select(*names), attach(rows, whole, CONTEXT, "copies").select(*names)]
+    union = spans[0]
+    for more in spans[1:]:
+        union = union.unionByName(more)
+    by_doc = union.groupBy(*PLACE[:2]).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    kept = Scratch(docs.sparkSession, "suffix-spans").table(by_doc, "spans")  # the result reads it
+    scratch.drop()
+    return kept
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
+    """All maximal repeats with all their occurrences: ``group`` (hash of the repeated bytes),
+    ``length``, ``<id_col>`` and the byte ``start`` of each. A string that repeats beyond its
+    anchor's windows is reported anchor by anchor. Rows that repeat id and text occur once each.
+    """
+    scratch = Scratch(docs.sparkSession, "suffix-groups")
+    levels = _repeats(docs, id_col, text_col, window, True, scratch)
+    told = ["left", "right", "g1", "g2"]
+    named = None
+    for level in range(len(levels) - 1, -1, -1):
+        rows, repeats = levels[level]
+        here = repeats.select(*CONTEXT, *told)
+        named = (here if named is None else named.unionByName(here)).distinct()
+        if level:  # to all contexts of the level above that were cut to these
+            up = rows.select(*CONTEXT, *PARENT).distinct()
+            named = named.join(up, CONTEXT).select("gram", *[F.col(p).alias(c) for p, c in zip(PARENT, CONTEXT[1:])], *told)
+    found = named.join(levels[0][0].select(*CONTEXT, *PLACE), CONTEXT).select(
+        *PLACE[:2], (F.col("at") - F.col("left")).alias("start"), (F.col("left") + F.col("right")).alias("length"), "g1", "g2")
+    group = F.concat(F.lpad(F.hex("g2"), 16, "0"), F.lpad(F.hex("g1"), 16, "0")).alias("group")
+    # several anchors may show the same repeat; repeated rows of a document are told apart by count
+    key = [*PLACE[:2], "start", "length", "g1", "g2"]
+    once = found.distinct()
+    copies = _keyed(docs, id_col, text_col).groupBy(*PLACE[:2]).agg(F.count("*").alias("rows")).where("rows > 1")
+    extra = once.join(copies.select(F.col("_sa_id").alias("i"), F.col("_sa_text").alias("t"), "rows"),
+                      F.col("_sa_id").eqNullSafe(F.col("i")) & (F.col("_sa_text") == F.col("t")), "left")
+    expanded = extra.withColumn("k", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1))))).select(*key)
+    return expanded.select(group, "length", F.col("_sa_id").alias(id_col), "start")
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -399,12 +451,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the repeated bytes cut out of ``text_col``; with ``counts`` also
     ``n_bytes, n_removed, n_spans, kept_sha256`` (of the bytes that remain), in place of
     any columns of those names."""
-    spans = repeated_spans(docs, id_col, text_col, window).groupBy("_sa_id", "_sa_text").agg(
-        F.collect_set(F.struct("start", "end")).alias("_sa_spans")).select(
-        F.col("_sa_id"), F.col("_sa_text"), "_sa_spans")
+    spans = spans_by_document(docs, id_col, text_col, window).withColumnRenamed("spans", "_sa_spans")
     rows = docs.withColumn("_sa_hash", F.xxhash64(text_col)).join(
         spans, F.col(id_col).eqNullSafe(F.col("_sa_id")) & (F.col("_sa_hash") == F.col("_sa_text")), "left")
 
+    # an Arrow batch is held at once as the engine makes it; each text is cut on its own
     @F.pandas_udf("text string, n_removed bigint, n_spans bigint, kept_sha256 string")
     def cut_udf(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []

@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -197,6 +197,69 @@ def test_removal_equals_brute_force(spark, monkeypatch, tree_group, buffer):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tree_group", [256, 3])
+def test_repeat_groups_have_all_occurrences(spark, monkeypatch, tree_group):
+    monkeypatch.setattr(suffix, "TREE_GROUP", tree_group)
+    rows = repeat_rows(7, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = defaultdict(Counter)
+    for r in suffix.repeat_groups(df).collect():
+        groups[r.group, r.length][r.doc_id, r.start] += 1
+    assert len(groups) > 10
+    data = [(i, (t or "").encode()) for i, t in rows]
+    text, covered = dict(data), defaultdict(set)
+    for (_, length), places in groups.items():
+        i, start = next(iter(places))
+        string = text[i][start:start + length]
+        want = Counter((j, k) for j, t in data for k in range(len(t) - length + 1) if t[k:k + length] == string)
+        assert length >= 400 and sum(want.values()) > 1 and places == want
+        for j, k in places:
+            covered[j] |= set(range(k, k + length))
+    assert {(i, len(covered[i])) for i, _ in data} == {(i, n) for i, _, n, _, _ in plain_repeats(rows, 400)}
+    assert suffix.repeat_groups(df.limit(0)).count() == 0
+
+
+def test_large_groups_are_split_by_shared_strings(spark, monkeypatch):
+    """One passage in many documents, whole, cut off or changed inside: far more contexts than a
+    task takes; no level makes more than two rows of a context."""
+    monkeypatch.setattr(suffix, "TREE_GROUP", 8)
+    rng = random.Random(4)
+    text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, rows = text(900), []
+    for i in range(120):
+        p = passage
+        if i % 3 == 0:
+            p = p[:rng.randint(450, 900)]
+        if i % 4 == 0:
+            at = rng.randint(0, len(p) - 1)
+            p = p[:at] + "#" + p[at + 1:]
+        rows.append((i, text(rng.randint(0, 300)) + p + text(rng.randint(0, 300))))
+    sizes, original = [], suffix._halved
+
+    def counted(contexts, window):
+        out = original(contexts, window)
+        sizes.append((contexts.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffix, "_halved", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, counts=True).collect())
+    assert found == sorted(plain_repeats(rows, 400))
+    assert sizes and all(after <= 2 * before for before, after in sizes)
+
+
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from parley.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    df = spark.createDataFrame(repeat_rows(1, 10), "doc_id long, text string")
+    suffix.remove_repeats(df).count()
+    left = [n for n in os.listdir(folder) if n.startswith("suffix-") and not n.startswith("suffix-spans")]
+    assert not [n for n in left if not n.startswith("suffix-groups")]
+
+
 def test_counts_replace_columns_of_their_names(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", "x")], "doc_id long, text string, n_removed string")
     for out in (linededup.line_dedup(df, counts=True), suffix.remove_repeats(df, counts=True)):
