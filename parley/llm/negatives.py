@@ -241,7 +241,8 @@ def _cells(anchors: DataFrame, rows: DataFrame, blocks: int, parts: int) -> Data
                        F.lit(None).cast("long").alias("number"), F.lit(None).cast("array<bigint>").alias("scores"))
     both = ask.select(F.col("block").cast("int"), F.col("part").cast("int"), *ask.columns[2:]).unionByName(
         meet.select(F.col("block").cast("int"), F.col("part").cast("int"), *meet.columns[2:]))
-    return both.repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "kind")
+    cell = F.col("block") * parts + F.col("part")
+    return both.repartitionById(blocks * parts, cell).sortWithinPartitions("block", "part", "kind")
 
 
 def _searched(cells: DataFrame, search: type, size: int, turn, last: str) -> DataFrame:
