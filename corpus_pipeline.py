@@ -4,18 +4,21 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the
 return the columns of ``docs``; what a stage drops or cuts is gone for the next
 ones. ``run`` writes each stage's result as Parquet beside the checkpoints, in the
 folder that the cluster shares, and rereads it for the next stage, so a lost
-executor repeats a stage's tasks and never an earlier stage.
+executor repeats a stage's tasks and never an earlier stage. A stage's table is
+deleted once the next one is written.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import linededup, packing, simhash, suffix, toxicity
-from parley.session import ensure_checkpoint_dir
+from parley.llm.scratch import Scratch
+
+#: Bytes of the repeats that the fourth stage removes: passages of over 50 words are
+#: shorter than this in one case of 200 (README).
+SPAN_BYTES = 280
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: bytes covered by a string of 400 bytes that starts elsewhere leave the texts."""
-    return suffix.remove_repeats(docs)
+    """Operator 10: bytes covered by a string of ``SPAN_BYTES`` that starts elsewhere leave the texts."""
+    return suffix.remove_repeats(docs, window=SPAN_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = scratch.table(stage(spark, docs, sf_dir), str(k))
+        if k:
+            scratch.drop(str(k - 1))
     return docs
