@@ -22,13 +22,13 @@ Method, in three steps:
    ``repeat_groups`` returns the groups themselves with all their occurrences.
 
 A group of more than ``TREE_GROUP`` different contexts is not gathered in one task. It is
-split by longer shared strings: its windows are halved into those that reach further
-right of the anchor and those that reach further left, and a context goes on in each
-half under the bytes that all windows of the half hold. Two equal windows stay together
-in their half. Contexts that are equal as far as the windows of a half reach are merged
-again, and the parts go through step 2, or are halved once more: two rows at most for each
-context and level, and after nine levels one window is left, whose equal contexts are
-all merged.
+split by longer shared strings: its windows are cut into ``SPLIT`` ranges, from those that
+reach furthest right of the anchor to those that reach furthest left, and a context goes
+on in each range under the bytes that all windows of the range hold. Two equal windows
+stay together in their range. Contexts that are equal as far as the windows of a range
+reach are merged again, and the parts go through step 2, or are split once more: ``SPLIT``
+rows at most for each context and level, and after five levels one window is left,
+whose equal contexts are all merged.
 
 Defined results:
 * null text counts as empty; texts shorter than ``window`` bytes keep all bytes;
@@ -61,6 +61,8 @@ GRAM = 64
 BUFFER, POSITION_BITS = 1 << 20, 21
 #: Most different contexts of a group that one task sorts; larger groups are split.
 TREE_GROUP = 256
+#: Ranges into which a large group's windows are cut.
+SPLIT = 4
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -313,9 +315,9 @@ def _tree(contexts: DataFrame, window: int, every: bool) -> DataFrame:
     return contexts.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
-def _halved(contexts: DataFrame, window: int) -> DataFrame:
-    """Contexts of large groups in the halves of their windows: each row is cut to the bytes that
-    the half's windows reach, and grouped by those that all of them hold."""
+def _split(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts of large groups in the ranges of their windows: each row is cut to the bytes that
+    the range's windows reach, and grouped by those that all of them hold."""
     carried = ["_sa_id", "_sa_text", "at", "weight", *PARENT]
     names = [*CONTEXT, *carried, "first", "size", "bytes"]
     types = {c: contexts.schema[c].dataType.simpleString() for c in names if c not in PARENT}
@@ -328,8 +330,9 @@ def _halved(contexts: DataFrame, window: int) -> DataFrame:
                 cols = [batch.column(c).to_pylist() for c in ("gram", "lo", "hi", "at", "first", "bytes")]
                 for k, (gram, lo, hi, at, first, data) in enumerate(zip(*cols)):
                     o = at - first
-                    mid = (lo + hi) // 2
-                    for a, b in ((lo, mid), (mid + 1, hi)):
+                    step = -(-(hi - lo + 1) // SPLIT)
+                    for a in range(lo, hi + 1, step):
+                        b = min(a + step - 1, hi)
                         # windows that the context has: their start lies s bytes before the anchor
                         s, e = max(a, o - (len(data) - window)), min(b, o)
                         if s <= e:
@@ -378,11 +381,11 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, window: int, every: bo
         if every:
             copied = copied.join(groups.where(F.col("contexts") > TREE_GROUP).select(*GROUP), GROUP, "left_anti")
         tree = _tree(contexts.where(F.col("contexts") <= TREE_GROUP), window, every).withColumn("copies", F.lit(None).cast("long"))
-        levels.append((rows, scratch.table(tree, f"tree{level}").unionByName(copied)))
+        levels.append((rows, tree.unionByName(copied)))
         large = contexts.where(F.col("contexts") > TREE_GROUP)
-        if large.isEmpty():
+        if groups.where(F.col("contexts") > TREE_GROUP).isEmpty():
             return levels
-        rows = scratch.table(_halved(large, window), f"level{level + 1}")
+        rows = scratch.table(_split(large, window), f"level{level + 1}")
     raise AssertionError("windows of one place differ")
 
 

@@ -221,7 +221,7 @@ def test_repeat_groups_have_all_occurrences(spark, monkeypatch, tree_group):
 
 def test_large_groups_are_split_by_shared_strings(spark, monkeypatch):
     """One passage in many documents, whole, cut off or changed inside: far more contexts than a
-    task takes; no level makes more than two rows of a context."""
+    task takes; no level makes more than ``SPLIT`` rows of a context."""
     monkeypatch.setattr(suffix, "TREE_GROUP", 8)
     rng = random.Random(4)
     text = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
@@ -234,18 +234,18 @@ def test_large_groups_are_split_by_shared_strings(spark, monkeypatch):
             at = rng.randint(0, len(p) - 1)
             p = p[:at] + "#" + p[at + 1:]
         rows.append((i, text(rng.randint(0, 300)) + p + text(rng.randint(0, 300))))
-    sizes, original = [], suffix._halved
+    sizes, original = [], suffix._split
 
     def counted(contexts, window):
         out = original(contexts, window)
         sizes.append((contexts.count(), out.count()))
         return out
 
-    monkeypatch.setattr(suffix, "_halved", counted)
+    monkeypatch.setattr(suffix, "_split", counted)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df, counts=True).collect())
     assert found == sorted(plain_repeats(rows, 400))
-    assert sizes and all(after <= 2 * before for before, after in sizes)
+    assert sizes and all(after <= suffix.SPLIT * before for before, after in sizes)
 
 
 def test_scratch_tables_are_dropped(spark):

@@ -232,14 +232,26 @@ def test_language_sample_is_bounded_and_fair(spark):
 
 def test_scores_do_not_depend_on_memo_or_pieces(monkeypatch):
     rows = [(lang, text) for _, text, lang in tongues(120)]
-    model = language.train(rows)
-    a = [language.Scorer(model).predict(t) for _, t in rows]
+    model, texts = language.train(rows), [t for _, t in rows] + [None, "", "the " * 500]
+    a = language.Scorer(model).predict_all(texts)
+    assert a == [language.Scorer(model).predict(language.words_of(t)) for t in texts]
     monkeypatch.setattr(language, "MEMO_WORDS", 10)
-    scorer = language.Scorer(model)
-    b = [scorer.predict(t) for _, t in rows]
+    monkeypatch.setattr(language, "NEW_WORDS", 3)
+    assert a == language.Scorer(model).predict_all(texts)
+    monkeypatch.setattr(language, "PIECE", 7)
+    b = language.Scorer(model).predict_all(texts)
     assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])
 
 
+def test_word_features_depend_on_the_word_alone():
+    words = ["a", "été", "straße", "x" * 32, "日本語", "a", "ab"]
+    found, starts = language.features(words)
+    assert starts.tolist() == [0, *np.cumsum([4 * len(w) + 1 for w in words])[:-1].tolist()]
+    for w, got in zip(words, np.split(found, starts[1:])):
+        assert got.tolist() == language.features([w])[0].tolist() and len(got) == 4 * len(w) + 1
+    assert len(set(found.tolist())) > 60
+
+
 # ---------------------------------------------------------------- joins with hot keys
 
 @pytest.mark.parametrize("how", ["inner", "left"])
