@@ -3,6 +3,7 @@ per-class precision/recall/F1, leaderboard and training-log roll-up."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,36 +117,55 @@ def rouge_l(pairs: DataFrame, keys: list[str] | None = None, candidate: str = "c
 
 # ------------------------------------------------------------------ embedding match
 
+@F.pandas_udf(Ty.ArrayType(Ty.DoubleType()))
+def _best_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Largest product of each vector of a block with those of the other block."""
+    return pd.Series([(np.stack(x) @ np.stack(y).T).max(axis=1) for x, y in zip(a, b)])
+
+
 def embedding_match(candidate_tokens: DataFrame, reference_tokens: DataFrame, key: str = "pair_id",
                     token: str = "token_id", vector: str = "vector", block: int = 256, salt: int = 1) -> DataFrame:
     """Greedy cosine matching of token vectors (as in BERTScore).
 
     P = mean over candidate tokens of the best cosine with a reference token
-    of the same pair; R the reverse; F1 harmonic. The other side's tokens are
-    grouped into blocks of at most ``block`` vectors by their rank in the pair;
-    each token row meets one block row at a time, and the per-block best
-    values are reduced with ``max``, so a long pair is never held in one row.
-    ``salt > 1`` spreads each pair's tokens over ``salt`` join keys (the
-    other side's blocks are repeated per salt) for pairs known to be hot;
-    by default AQE's skew-join splitting handles them.
+    of the same pair; R the reverse; F1 harmonic. The tokens of either side are
+    grouped into blocks of at most ``block`` vectors by their rank in the pair; every
+    block of a pair meets every block of its other side as one small matrix product
+    (Arrow-batched numpy), and the per-block best values are reduced with ``max``, so a
+    long pair is never held in one row.
+    ``salt > 1`` spreads each pair's blocks over ``salt`` join keys (the other side's
+    blocks are repeated per salt) for pairs known to be hot; by default AQE's skew-join
+    splitting handles them.
+
+    A column ``weight`` of the tokens, if they have one, is how often a token occurs: its best
+    match then is found once and counts so many times.
     """
-    c = candidate_tokens.select(key, token, A.l2_normalize(vector).alias("_v"))
-    r = reference_tokens.select(key, token, A.l2_normalize(vector).alias("_v"))
+    def side(df: DataFrame) -> DataFrame:
+        weight = F.col("weight") if "weight" in df.columns else F.lit(1)
+        return df.select(key, token, A.l2_normalize(vector).alias("_v"), weight.cast("double").alias("_wt"))
+
+    c, r = side(candidate_tokens), side(reference_tokens)
+
+    ship_package(candidate_tokens.sparkSession)
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return (number_rows(df, [key], token, out="_pos").withColumn("_blk", F.floor(F.col("_pos") / F.lit(block)))
+                .groupBy(key, "_blk").agg(F.collect_list(F.struct(token, "_wt", "_v")).alias("_ts")))
 
     def best(src: DataFrame, other: DataFrame) -> DataFrame:
-        blocks = (number_rows(other, [key], token, out="_pos").withColumn("_blk", F.floor(F.col("_pos") / F.lit(block)))
-                  .groupBy(key, "_blk").agg(F.collect_list("_v").alias("_vs")))
+        other = other.select(key, F.col("_ts._v").alias("_vs"))
         keys = [key]
         if salt > 1:
-            blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-            src = src.withColumn("_salt", F.pmod(F.xxhash64(F.col(token)), F.lit(salt)).cast("int"))
+            other = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            src = src.withColumn("_salt", F.pmod(F.col("_blk"), F.lit(salt)).cast("int"))
             keys = [key, "_salt"]
-        m = (src.join(blocks, keys)
-             .select(key, token, F.aggregate("_vs", F.lit(-2.0),
-                                             lambda acc, w: F.greatest(acc, A.dot("_v", w))).alias("_m"))
-             .groupBy(key, token).agg(F.max("_m").alias("_best")))
-        return m.groupBy(key).agg(F.avg("_best").alias("_score"))
+        met = src.join(other, keys).select(key, "_ts", _best_udf("_ts._v", "_vs").alias("_m"))
+        m = (met.select(key, F.explode(F.arrays_zip("_ts", "_m")).alias("x"))
+             .select(key, F.col(f"x._ts.{token}").alias(token), F.col("x._ts._wt").alias("_wt"), F.col("x._m").alias("_m"))
+             .groupBy(key, token, "_wt").agg(F.max("_m").alias("_best")))
+        return m.groupBy(key).agg((F.sum(F.col("_best") * F.col("_wt")) / F.sum("_wt")).alias("_score"))
 
+    c, r = blocks(c), blocks(r)
     p = best(c, r).withColumnRenamed("_score", "precision")
     rr = best(r, c).withColumnRenamed("_score", "recall")
     out = p.join(rr, key)
@@ -161,7 +181,8 @@ def evaluate_models(references: DataFrame, predictions: DataFrame, metrics=("ROU
 
     ``references``: ``key, reference``; ``predictions``: ``model, key, prediction``.
     ``token_vectors`` (``model, key, token_id, vector`` of the predictions' tokens and
-    ``key, token_id, vector`` of the references') adds the metric ``BERTScore F1``:
+    ``key, token_id, vector`` of the references', both with ``weight`` if tokens are distinct)
+    adds the metric ``BERTScore F1``:
     the mean greedy embedding match, rounded to three decimals.
     """
     pairs = (predictions.select("model", key, F.col("prediction").alias("candidate"))
@@ -189,8 +210,9 @@ def embedding_scores(candidate_tokens: DataFrame, reference_tokens: DataFrame, k
     """``(model, metric, value, n_pairs)``: mean embedding-match F1 of each model, 3 decimals."""
     pair = F.struct("model", key).alias("pair_id")
     models = candidate_tokens.select("model", key).distinct()
-    c = candidate_tokens.select(pair, "token_id", "vector")
-    r = reference_tokens.join(models, key).select(pair, "token_id", "vector")
+    weight = ["weight"] if "weight" in candidate_tokens.columns and "weight" in reference_tokens.columns else []
+    c = candidate_tokens.select(pair, "token_id", "vector", *weight)
+    r = reference_tokens.join(models, key).select(pair, "token_id", "vector", *weight)
     return (embedding_match(c, r).groupBy(F.col("pair_id.model").alias("model"))
             .agg(F.round(F.avg("f1"), 3).alias("value"), F.count(F.lit(1)).alias("n_pairs"))
             .select("model", F.lit("BERTScore F1").alias("metric"), "value", "n_pairs"))

@@ -203,7 +203,8 @@ def textrank_summary(texts: DataFrame, text: str = "text", n: int = D.TEXTRANK_S
     # read by the size check, the rank computation and the final selection
     sents = shared(sents)
     ranks = textrank_ranks(sents, key, **kw)
-    best = top_k(ranks, [key], [F.desc("rank"), F.asc("sent_pos")], n, "_r")
+    # equal sentences have equal ranks but for the order of summation
+    best = top_k(ranks, [key], [F.desc(F.round("rank", 12)), F.asc("sent_pos")], n, "_r")
     chosen = sents.join(best.select(key, "sent_pos"), [key, "sent_pos"])
     summ = chosen.groupBy(key).agg(listagg_ordered("sentence", "sent_pos", " ").alias(out))
     return texts.select(key).join(summ, key, "left").select(key, F.coalesce(F.col(out), F.lit("")).alias(out))

@@ -41,12 +41,14 @@ def extract_features(utterances: DataFrame, segmented: DataFrame, lexicon=None,
 
 
 def run(utterances: DataFrame, lexicon=None, model=None, rules=None, fallback: str = D.FALLBACK_SECTION,
-        references: DataFrame | None = None, threshold: float = D.SEGMENT_THRESHOLD,
+        references: DataFrame | None = None, token_vectors: tuple[DataFrame, DataFrame] | None = None, threshold: float = D.SEGMENT_THRESHOLD,
         topic_method: str = "lda", generator=None, role_keywords=None, fillers=None) -> dict[str, DataFrame]:
     """Run every stage; returns the result tables by name.
 
     ``utterances``: ``session_id, turn, speaker, utterance``.
-    ``references``: optional ``session_id, reference`` for the evaluation.
+    ``references``: optional ``session_id, reference`` for the evaluation; ``token_vectors``:
+    optional vectors of the predictions' and references' tokens for the embedding match.
+    Both leaderboards hold the published values where nothing was evaluated.
     """
     pre = shared(S.preprocess(utterances, fillers, role_keywords))
     seg = G.segment_sessions(pre, threshold)
@@ -66,5 +68,7 @@ def run(utterances: DataFrame, lexicon=None, model=None, rules=None, fallback: s
         if generator is not None:
             preds = preds.unionByName(baseline.select("session_id", F.col("generated_summary").alias("prediction"))
                                       .withColumn("model", F.lit("TF-IDF TextRank")))
-        out["model_scores"] = EV.evaluate_models(references, preds)
+        out["model_scores"] = EV.evaluate_models(references, preds, token_vectors=token_vectors)
+        out["leaderboard"] = EV.leaderboard(EV.published_scores(pre.sparkSession), out["model_scores"])
+    out["tier_leaderboard"] = EV.tier_leaderboard(EV.published_tier_scores(pre.sparkSession), out["tier_metrics"])
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report as R
 from ..operators import sessions as S
-from ..operators.sequence import release_shared, shared
+from ..operators.sequence import number_rows, release_shared, shared
 from ..operators import tiers as TR
 from ..sources import testdata as TD
 from . import params as P
@@ -310,7 +310,8 @@ def q_rouge2(spark, sf_dir):
     return _rounded(EV.rouge_n(rouge_pairs(spark, sf_dir), 2))
 
 
-@register("rouge_l")
+@register("rouge_l", f"WITH {Q.rouge_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
+          f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_l_select()}")
 def q_rougel(spark, sf_dir):
     return _rounded(EV.rouge_l(rouge_pairs(spark, sf_dir)))
 
@@ -327,57 +328,39 @@ def model_references(spark, sf_dir):
     return S.session_text(prepared(spark, sf_dir), out="reference")
 
 
-def _models_sql() -> str:
+def _role_models_sql() -> str:
+    """CTEs ending in ``mp``: the roles' texts against the whole session."""
     preds = " UNION ALL ".join(
         f"SELECT {Q.lit(m)} AS model, session_id, {r}_text AS candidate FROM rt WHERE {r}_text <> ''"
         for m, r in LIVE_MODELS.items())
     return (f"{Q.utt_cte()}, {Q.role_text_cte()}, {Q.session_text_cte('st', 'reference')}, preds AS ({preds}), "
             "mp AS (SELECT p.model, p.session_id, p.candidate, r.reference FROM preds p "
-            "JOIN st r ON p.session_id = r.session_id), "
-            f"s1 AS (SELECT 'ROUGE-1' AS metric, * FROM {Q.rouge_n_select(1, 'mp', 'model, session_id')}), "
-            f"s2 AS (SELECT 'ROUGE-2' AS metric, * FROM {Q.rouge_n_select(2, 'mp', 'model, session_id')}), "
-            "live AS (SELECT model, metric, round(avg(f1) * 100, 1) AS value, count(*) AS n_pairs "
-            "FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY model, metric)")
+            "JOIN st r ON p.session_id = r.session_id)")
 
 
-@register("model_comparison", f"WITH {_models_sql()} SELECT model, metric, value, n_pairs FROM live")
+def _scores_sql(metrics) -> str:
+    """A CTE ``live``: the metrics' means over the pairs ``mp``."""
+    one = {"ROUGE-1": Q.rouge_n_select(1, "mp", "model, session_id"), "ROUGE-2": Q.rouge_n_select(2, "mp", "model, session_id"),
+           "ROUGE-L": Q.rouge_l_select("mp", "model, session_id")}
+    every = " UNION ALL ".join(f"SELECT {Q.lit(m)} AS metric, model, session_id, f1 FROM {one[m]}" for m in metrics)
+    return (f"live AS (SELECT model, metric, round(avg(f1) * 100, 1) AS value, count(*) AS n_pairs FROM ({every}) "
+            "GROUP BY model, metric)")
+
+
+@register("model_comparison", f"WITH {_role_models_sql()}, {_scores_sql(('ROUGE-1', 'ROUGE-2'))} "
+          "SELECT model, metric, value, n_pairs FROM live")
 def q_models(spark, sf_dir):
     return EV.evaluate_models(model_references(spark, sf_dir), model_predictions(spark, sf_dir),
                               metrics=("ROUGE-1", "ROUGE-2"))
 
 
-@register("model_comparison_lcs")
+@register("model_comparison_lcs", f"WITH {_role_models_sql()}, {_scores_sql(('ROUGE-L',))} "
+          "SELECT model, metric, value, n_pairs FROM live")
 def q_models_lcs(spark, sf_dir):
     return EV.evaluate_models(model_references(spark, sf_dir), model_predictions(spark, sf_dir),
                               metrics=("ROUGE-L",))
 
 
-def _leaderboard_sql() -> str:
-    from .. import defaults as D
-    rows = []
-    for model, vals in D.PUBLISHED_ROUGE.items():
-        for metric, v in zip(["ROUGE-1", "ROUGE-2", "ROUGE-L"], vals):
-            rows.append(f"({Q.lit(model)}, {Q.lit(metric)}, CAST({float(v)!r} AS DOUBLE))")
-    for model, v in D.PUBLISHED_BERTSCORE.items():
-        rows.append(f"({Q.lit(model)}, 'BERTScore F1', CAST({float(v)!r} AS DOUBLE))")
-    target = "CASE " + " ".join(f"WHEN metric = {Q.lit(m)} THEN CAST({float(t)!r} AS DOUBLE)"
-                                for m, t in D.TARGETS.items()) + " END"
-    return (f"WITH {_models_sql()}, pub(model, metric, value) AS (VALUES {', '.join(rows)}), "
-            "j AS (SELECT coalesce(p.model, l.model) AS model, coalesce(p.metric, l.metric) AS metric, "
-            "coalesce(l.value, p.value) AS value, CASE WHEN l.value IS NOT NULL THEN 'live' ELSE 'published' END "
-            "AS source FROM pub p LEFT JOIN live l ON p.model = l.model AND p.metric = l.metric), "
-            f"t AS (SELECT *, {target} AS target FROM j) "
-            "SELECT model, metric, value, source, target, "
-            "CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) AS INTEGER) AS position, "
-            "CASE WHEN target IS NULL THEN NULL ELSE value >= target END AS meets_target FROM t")
-
-
-@register("leaderboard", _leaderboard_sql())
-def q_leaderboard(spark, sf_dir):
-    live = q_models(spark, sf_dir)
-    return EV.leaderboard(EV.published_scores(spark), live).withColumn("position", F.col("position").cast("int"))
-
-
 @register("embedding_match", """
 WITH e AS (SELECT vec_id, vec_id // 64 AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT * FROM e WHERE vec_id % 2 = 0), r AS (SELECT * FROM e WHERE vec_id % 2 = 1),
@@ -540,21 +523,7 @@ from ..operators.extract import lead_sentence_generator  # noqa: E402
 
 
 def _graph_sql() -> str:
-    return (f"WITH {Q.utt_cte()}, {Q.session_text_cte('st', 'summary')}, "
-            f"s AS (SELECT session_id, {Q.split_sentences('summary')} AS sents FROM st), "
-            "x AS (SELECT session_id, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
-            "unnest(sents) AS sentence FROM s), "
-            "w AS (SELECT session_id, sent_pos, list_filter(regexp_extract_all(lower(sentence), '[\\w''-]+'), "
-            "lambda t: regexp_full_match(t, '[a-z][a-z''-]*')) AS words FROM x), "
-            "wl AS (SELECT session_id, sent_pos, CAST(len(words) AS BIGINT) AS l FROM w), "
-            "wc AS (SELECT session_id, sent_pos, word, count(*) AS c FROM "
-            "(SELECT session_id, sent_pos, unnest(words) AS word FROM w) GROUP BY session_id, sent_pos, word), "
-            "pr AS (SELECT a.session_id, a.sent_pos AS i, b.sent_pos AS j, sum(a.c * b.c) AS shared FROM wc a "
-            "JOIN wc b ON a.session_id = b.session_id AND a.word = b.word GROUP BY a.session_id, a.sent_pos, b.sent_pos), "
-            "e AS (SELECT pr.session_id, pr.i, CASE WHEN li.l = 1 AND lj.l = 1 THEN shared "
-            "ELSE shared / (ln(li.l) + ln(lj.l)) END AS w FROM pr "
-            "JOIN wl li ON li.session_id = pr.session_id AND li.sent_pos = pr.i "
-            "JOIN wl lj ON lj.session_id = pr.session_id AND lj.sent_pos = pr.j) "
+    return (f"WITH {Q.utt_cte()}, {Q.graph_ctes()} "
             "SELECT wl.session_id, wl.sent_pos, wl.l AS n_words, round(coalesce(sum(e.w), 0.0), 6) AS degree "
             "FROM wl LEFT JOIN e ON e.session_id = wl.session_id AND e.i = wl.sent_pos "
             "GROUP BY wl.session_id, wl.sent_pos, wl.l")
@@ -567,7 +536,7 @@ def q_sentence_graph(spark, sf_dir):
     return X.sentence_graph(sents).withColumn("degree", r6("degree"))
 
 
-@register("textrank_summary")
+@register("textrank_summary", f"WITH RECURSIVE {Q.utt_cte()}, {Q.textrank_ctes()} SELECT session_id, generated_summary FROM tr")
 def q_textrank(spark, sf_dir):
     return X.summarize_sessions(prepared(spark, sf_dir))
 
@@ -656,12 +625,86 @@ def q_sample_labelled(spark, sf_dir):
     return S.sample_rows(enc, 500, key=["row_id"]).select("row_id", "emotion", "label_id")
 
 
-@register("textrank_scores")
+#: The published model that ``summarize_sessions`` is.
+TEXTRANK_MODEL = "TF-IDF TextRank"
+
+
+def _textrank_scores_sql() -> str:
+    """CTEs ending in ``live``: the summaries against the whole session."""
+    return (f"{Q.utt_cte()}, {Q.textrank_ctes()}, mp AS (SELECT {Q.lit(TEXTRANK_MODEL)} AS model, tr.session_id, "
+            "tr.generated_summary AS candidate, st.summary AS reference FROM tr JOIN st ON tr.session_id = st.session_id), "
+            + _rouge_and_match_sql())
+
+
+def _rouge_and_match_sql() -> str:
+    """A CTE ``live`` with ROUGE and the embedding match of ``mp``."""
+    side = lambda c: (f"(SELECT model, session_id, w, count(*) AS n FROM (SELECT model, session_id, unnest({Q.overlap_tokens(c)}) AS w "
+                      "FROM mp) GROUP BY model, session_id, w)")
+    best = lambda a, b: (f"SELECT model, session_id, sum(n * m) / sum(n) AS s FROM (SELECT {a}.model, {a}.session_id, {a}.w, any_value({a}.n) AS n, "
+                         f"max(list_cosine_similarity(va.v, vb.v)) AS m FROM {a} JOIN {b} ON {a}.model = {b}.model AND {a}.session_id = {b}.session_id "
+                         f"JOIN vec va ON va.w = {a}.w JOIN vec vb ON vb.w = {b}.w GROUP BY {a}.model, {a}.session_id, {a}.w) GROUP BY model, session_id")
+    return (f"ct AS MATERIALIZED {side('candidate')}, rf AS MATERIALIZED {side('reference')}, "
+            "size AS (SELECT count(*) AS k FROM embeddings), "
+            "num AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+            "vec AS MATERIALIZED (SELECT w, v FROM (SELECT w, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % k AS place "
+            "FROM (SELECT w FROM ct UNION SELECT w FROM rf), size) JOIN num USING (place)), "
+            f"ep AS ({best('ct', 'rf')}), er AS ({best('rf', 'ct')}), "
+            "em AS (SELECT ep.model, ep.session_id, CASE WHEN ep.s + er.s > 0 THEN 2 * ep.s * er.s / (ep.s + er.s) ELSE 0 END AS f1 "
+            "FROM ep JOIN er ON ep.model = er.model AND ep.session_id = er.session_id), "
+            + _scores_sql(("ROUGE-1", "ROUGE-2", "ROUGE-L")).replace("live AS", "rouge AS")
+            + ", live AS (SELECT * FROM rouge UNION ALL SELECT model, 'BERTScore F1', round(avg(f1), 3), count(*) FROM em GROUP BY model)")
+
+
+def token_vectors(spark, sf_dir, texts, keys, text):
+    """Distinct tokens of texts with their counts and vectors. As no encoder is at hand, a token's vector is
+    that row of ``embeddings`` (in the order of ids) which its MD5 names."""
+    rows = TD.table(spark, sf_dir, "embeddings")
+    place = number_rows(rows.select(F.lit(0).alias("all"), "vec_id", "embedding"), ["all"], "vec_id", out="place")
+    tokens = (texts.select(*keys, F.explode(X.T.overlap_tokens(text)).alias("token_id")).groupBy(*keys, "token_id")
+              .agg(F.count("*").alias("weight")))
+    number = F.conv(F.substring(F.md5(F.col("token_id").cast("binary")), 1, 8), 16, 10).cast("long")
+    count = rows.agg(F.count("*").alias("k")).select("k").scalar()
+    return (tokens.withColumn("place", number % count).join(place.select("place", F.col("embedding").alias("vector")), "place")
+            .select(*keys, F.xxhash64("token_id").alias("token_id"), "vector", "weight"))
+
+
+@register("textrank_scores", f"WITH RECURSIVE {_textrank_scores_sql()} SELECT model, metric, value, n_pairs FROM live")
 def q_textrank_scores(spark, sf_dir):
     summaries = X.summarize_sessions(prepared(spark, sf_dir))
-    preds = summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
-        "model", F.lit("TF-IDF TextRank"))
-    return EV.evaluate_models(model_references(spark, sf_dir), preds)
+    preds = shared(summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
+        "model", F.lit(TEXTRANK_MODEL)))
+    refs = model_references(spark, sf_dir)
+    vectors = (token_vectors(spark, sf_dir, preds, ["model", "session_id"], "prediction"),
+               token_vectors(spark, sf_dir, refs, ["session_id"], "reference"))
+    return EV.evaluate_models(refs, preds, token_vectors=vectors)
+
+
+def _leaderboard_sql() -> str:
+    from .. import defaults as D
+    rows = []
+    for model, vals in D.PUBLISHED_ROUGE.items():
+        for metric, v in zip(["ROUGE-1", "ROUGE-2", "ROUGE-L"], vals):
+            rows.append(f"({Q.lit(model)}, {Q.lit(metric)}, CAST({float(v)!r} AS DOUBLE))")
+    for model, v in D.PUBLISHED_BERTSCORE.items():
+        rows.append(f"({Q.lit(model)}, 'BERTScore F1', CAST({float(v)!r} AS DOUBLE))")
+    target = "CASE " + " ".join(f"WHEN metric = {Q.lit(m)} THEN CAST({float(t)!r} AS DOUBLE)"
+                                for m, t in D.TARGETS.items()) + " END"
+    return (f"WITH RECURSIVE {_textrank_scores_sql()}, pub(model, metric, value) AS (VALUES {', '.join(rows)}), "
+            "j AS (SELECT coalesce(p.model, l.model) AS model, coalesce(p.metric, l.metric) AS metric, "
+            "coalesce(l.value, p.value) AS value, CASE WHEN l.value IS NOT NULL THEN 'live' ELSE 'published' END "
+            "AS source FROM pub p LEFT JOIN live l ON p.model = l.model AND p.metric = l.metric), "
+            f"t AS (SELECT *, {target} AS target FROM j) "
+            "SELECT model, metric, value, source, target, "
+            "CAST(row_number() OVER (PARTITION BY metric ORDER BY value, model) AS INTEGER) AS position, "
+            "CASE WHEN target IS NULL THEN NULL ELSE value >= target END AS meets_target FROM t")
+
+
+@register("leaderboard", _leaderboard_sql())
+def q_leaderboard(spark, sf_dir):
+    """The published scores with those of the one published model that the library runs, TextRank,
+    replaced by its scores on the sessions."""
+    live = q_textrank_scores(spark, sf_dir)
+    return EV.leaderboard(EV.published_scores(spark), live).withColumn("position", F.col("position").cast("int"))
 
 
 # ---------------------------------------------------------------- gaps in turn, text rules on long documents

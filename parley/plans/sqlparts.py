@@ -11,6 +11,10 @@ from .. import defaults as D
 from . import params as P
 
 
+#: Digits to which ranks are compared when the best sentences are chosen.
+RANK_DIGITS = 12
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -205,3 +209,63 @@ def pairs_cte() -> str:
 
 def encode_label(x: str, labels) -> str:
     return f"coalesce(list_position({sql_list(labels)}, lower({x})) - 1, 0)"
+
+
+def graph_ctes() -> str:
+    """CTEs of the sentence graph of every session: ``x`` sentences, ``wl`` lengths, ``e`` weighted edges."""
+    return (f"{session_text_cte('st', 'summary')}, "
+            f"s AS (SELECT session_id, {split_sentences('summary')} AS sents FROM st), "
+            "x AS (SELECT session_id, CAST(unnest(generate_series(0, len(sents) - 1)) AS INTEGER) AS sent_pos, "
+            "unnest(sents) AS sentence FROM s), "
+            "w AS (SELECT session_id, sent_pos, list_filter(regexp_extract_all(lower(sentence), '[\\w''-]+'), "
+            "lambda t: regexp_full_match(t, '[a-z][a-z''-]*')) AS words FROM x), "
+            "wl AS (SELECT session_id, sent_pos, CAST(len(words) AS BIGINT) AS l FROM w), "
+            "wc AS (SELECT session_id, sent_pos, word, count(*) AS c FROM "
+            "(SELECT session_id, sent_pos, unnest(words) AS word FROM w) GROUP BY session_id, sent_pos, word), "
+            "pr AS (SELECT a.session_id, a.sent_pos AS i, b.sent_pos AS j, sum(a.c * b.c) AS shared FROM wc a "
+            "JOIN wc b ON a.session_id = b.session_id AND a.word = b.word GROUP BY a.session_id, a.sent_pos, b.sent_pos), "
+            "e AS MATERIALIZED (SELECT pr.session_id, pr.i, pr.j, CASE WHEN li.l = 1 AND lj.l = 1 THEN shared "
+            "ELSE shared / (ln(li.l) + ln(lj.l)) END AS w FROM pr "
+            "JOIN wl li ON li.session_id = pr.session_id AND li.sent_pos = pr.i "
+            "JOIN wl lj ON lj.session_id = pr.session_id AND lj.sent_pos = pr.j)")
+
+
+def textrank_ctes(n: int = D.TEXTRANK_SENTENCES) -> str:
+    """CTEs ending in ``tr(session_id, generated_summary)``: the power method by recursion. Needs RECURSIVE."""
+    d = D.TEXTRANK_DAMPING
+    return (f"{graph_ctes()}, "
+            "deg AS (SELECT session_id, i, sum(w) AS d FROM e GROUP BY session_id, i), "
+            f"col AS (SELECT a.session_id, a.sent_pos, list(coalesce({d} * e.w / (deg.d + 1e-7), 0.0) ORDER BY b.sent_pos) AS c "
+            "FROM wl a JOIN wl b ON a.session_id = b.session_id "
+            "LEFT JOIN e ON e.session_id = a.session_id AND e.i = b.sent_pos AND e.j = a.sent_pos "
+            "LEFT JOIN deg ON deg.session_id = b.session_id AND deg.i = b.sent_pos GROUP BY a.session_id, a.sent_pos), "
+            "mat AS MATERIALIZED (SELECT session_id, list(CAST(c AS DOUBLE[]) ORDER BY sent_pos) AS m, count(*) AS n FROM col GROUP BY session_id), "
+            "power AS (SELECT session_id, 0 AS it, list_transform(m, lambda c: CAST(1.0 AS DOUBLE) / n) AS p, CAST(1.0 AS DOUBLE) AS lam FROM mat "
+            "UNION ALL SELECT session_id, it + 1, q, sqrt(list_sum(list_transform(range(1, n + 1), lambda i: (q[i] - p[i]) * (q[i] - p[i])))) "
+            f"FROM (SELECT r.session_id, r.it, r.p, mat.n, list_transform(mat.m, lambda c: CAST({1 - d!r} AS DOUBLE) / mat.n * list_sum(r.p) "
+            f"+ list_dot_product(c, r.p)) AS q FROM power r JOIN mat ON r.session_id = mat.session_id WHERE r.lam > {D.TEXTRANK_EPSILON})), "
+            "fin AS (SELECT session_id, p FROM power QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY it DESC) = 1), "
+            "rk AS (SELECT session_id, unnest(p) AS rank, unnest(range(len(p))) AS sent_pos FROM fin), "
+            f"best AS (SELECT session_id, sent_pos FROM rk QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY round(rank, {RANK_DIGITS}) DESC, sent_pos) <= {n}), "
+            "chosen AS (SELECT x.session_id, string_agg(x.sentence, ' ' ORDER BY x.sent_pos) AS summary FROM x "
+            "JOIN best ON best.session_id = x.session_id AND best.sent_pos = x.sent_pos GROUP BY x.session_id), "
+            "tr AS (SELECT st.session_id, coalesce(chosen.summary, '') AS generated_summary FROM st LEFT JOIN chosen ON chosen.session_id = st.session_id)")
+
+
+def rouge_l_select(pairs: str = "pairs", keys: str = "session_id") -> str:
+    """A query (no WITH): precision/recall/f1 of the longest common subsequence. Its length is that of
+    the longest increasing run of matching places, taken by patience sorting."""
+    kl = [k.strip() for k in keys.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in kl)
+    kc = ", ".join(f"c.{k}" for k in kl)
+    places = lambda side: (f"(SELECT {keys}, unnest({side}) AS w, unnest(range(len({side}))) AS pos FROM tk)")
+    less = "len(list_filter(a, lambda t: t < x[1]))"
+    return (f"(WITH tk AS (SELECT {keys}, {overlap_tokens('candidate')} AS c, {overlap_tokens('reference')} AS r FROM {pairs}), "
+            f"js AS (SELECT {kc}, list([r.pos] ORDER BY c.pos, r.pos DESC) AS m FROM {places('c')} c "
+            f"JOIN {places('r')} r ON {on('c', 'r')} AND c.w = r.w GROUP BY {kc}), "
+            f"n AS (SELECT {keys}, len(list_reduce(m, lambda a, x: a[1:{less}] || x || a[{less} + 2:])) AS lcs FROM js), "
+            f"s AS (SELECT {', '.join('t.' + k for k in kl)}, CAST(coalesce(n.lcs, 0) AS DOUBLE) AS lcs, len(t.c) AS tc, len(t.r) AS tr "
+            f"FROM tk t LEFT JOIN n ON {on('t', 'n')}), "
+            "pr AS (SELECT *, lcs / greatest(tc, 1) AS p, lcs / greatest(tr, 1) AS rc FROM s) "
+            f"SELECT {keys}, p AS precision, rc AS recall, "
+            "CASE WHEN p + rc > 0 THEN 2.0 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM pr)")

@@ -132,3 +132,33 @@ def test_embedding_match_salted_equals_plain(spark):
     a = EV.embedding_match(c, r, block=16).first()
     b = EV.embedding_match(c, r, block=16, salt=5).first()
     assert (a.precision, a.recall) == pytest.approx((b.precision, b.recall))
+
+
+def test_embedding_scores_against_numpy(spark):
+    """Distinct tokens with weights score as all tokens do, model by model."""
+    rng = np.random.default_rng(5)
+    vocab = rng.normal(size=(30, 6))
+    texts = {("a", s): rng.integers(0, 30, 12 + s) for s in range(3)} | {("b", s): rng.integers(0, 30, 5) for s in range(2)}
+    refs = {s: rng.integers(0, 30, 40) for s in range(3)}
+    schema = "session_id int, token_id long, vector array<double>, weight long"
+
+    def rows(tokens, keys, weighted):
+        if weighted:
+            return [(*keys, int(t), vocab[t].tolist(), int(n)) for t, n in zip(*np.unique(tokens, return_counts=True))]
+        return [(*keys, i, vocab[t].tolist(), 1) for i, t in enumerate(tokens)]
+
+    unit = vocab / np.linalg.norm(vocab, axis=1, keepdims=True)
+    want = {}
+    for model in "ab":
+        f1 = []
+        for (m, s), c in texts.items():
+            if m == model:
+                sim = unit[c] @ unit[refs[s]].T
+                p, r = sim.max(axis=1).mean(), sim.max(axis=0).mean()
+                f1.append(2 * p * r / (p + r))
+        want[model] = (round(float(np.mean(f1)), 3), len(f1))
+    for weighted in (False, True):
+        c = spark.createDataFrame([x for k, t in texts.items() for x in rows(t, k, weighted)], "model string, " + schema)
+        r = spark.createDataFrame([x for s, t in refs.items() for x in rows(t, (s,), weighted)], schema)
+        got = {x.model: (x.value, x.n_pairs) for x in EV.embedding_scores(c, r, "session_id").collect()}
+        assert got == want

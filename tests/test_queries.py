@@ -27,8 +27,8 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_listed():
-    no_oracle = {"rouge_l", "model_comparison_lcs", "textrank_summary", "session_topics", "label_classifier",
-                 "session_tier_model", "pipeline_report", "normalize_repaired", "generator_summaries", "textrank_scores"}
+    no_oracle = {"session_topics", "label_classifier", "session_tier_model", "pipeline_report", "normalize_repaired",
+                 "generator_summaries"}
     assert set(NAMES) - set(SQL) == no_oracle
 
 
@@ -64,5 +64,26 @@ def test_partition_count_independent(spark, name):
 
 
 def test_rows_only_queries_run(spark):
-    for name in ["rouge_l", "model_comparison_lcs", "textrank_summary", "normalize_repaired", "generator_summaries"]:
+    for name in ["normalize_repaired", "generator_summaries"]:
         assert E.queries()[name](spark, SF).count() > 0
+
+
+def test_leaderboard_follows_the_input(spark, monkeypatch):
+    """TextRank's row holds its scores on the sessions, and moves with their texts."""
+    from parley.sources import testdata as TD
+
+    def textrank():
+        rows = E.queries()["leaderboard"](spark, SF).collect()
+        assert len(rows) == 16 and {r.source for r in rows if r.model != "TF-IDF TextRank"} == {"published"}
+        mine = {r.metric: r.value for r in rows if r.model == "TF-IDF TextRank" and r.source == "live"}
+        assert set(mine) == {"ROUGE-1", "ROUGE-2", "ROUGE-L", "BERTScore F1"}
+        return mine
+
+    before, read = textrank(), TD.table
+
+    def shortened(spark, sf_dir, name):
+        df = read(spark, sf_dir, name)
+        return df.where("turn < 2") if name == "conversations" else df
+
+    monkeypatch.setattr(TD, "table", shortened)
+    assert textrank() != before
