@@ -18,6 +18,7 @@ from ..operators import report as R
 from ..operators import sessions as S
 from ..operators.sequence import number_rows, release_shared, shared
 from ..operators import tiers as TR
+from ..session import ensure_checkpoint_dir
 from ..sources import testdata as TD
 from . import params as P
 from . import sqlparts as Q
@@ -670,9 +671,10 @@ def token_vectors(spark, sf_dir, texts, keys, text):
 
 @register("textrank_scores", f"WITH RECURSIVE {_textrank_scores_sql()} SELECT model, metric, value, n_pairs FROM live")
 def q_textrank_scores(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
     summaries = X.summarize_sessions(prepared(spark, sf_dir))
-    preds = shared(summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
-        "model", F.lit(TEXTRANK_MODEL)))
+    preds = summaries.select("session_id", F.col("generated_summary").alias("prediction")).withColumn(
+        "model", F.lit(TEXTRANK_MODEL)).checkpoint()  # a few sentences a session
     refs = model_references(spark, sf_dir)
     vectors = (token_vectors(spark, sf_dir, preds, ["model", "session_id"], "prediction"),
                token_vectors(spark, sf_dir, refs, ["session_id"], "reference"))
