@@ -44,6 +44,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
 BUCKETS, EPOCHS, COST, SEED = 1 << 17, 12, 64.0, 13
 #: Longest run of letters, longer ones being cut, and word scores a Python worker keeps.
 RUN, MEMO_WORDS = 32, 300_000
+#: Words of a text, or of several, scored at once, and new ones whose features are made at once.
+PIECE, NEW_WORDS = 1 << 15, 4096
 
 # Families of languages by ISO 639-1 code.
 FAMILIES = {
@@ -61,6 +63,10 @@ FAMILIES = {
     "austronesian": "id jv mg ms tl",
 }
 
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.full(RUN + 1, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+
 WORD = re.compile(r"[^\W\d_]{1,%d}" % RUN)
 
 
@@ -74,21 +80,45 @@ def family_of(language: str, families: dict[str, str] = FAMILIES) -> str:
     return next((name for name, members in families.items() if base in members.split()), f"only {language}")
 
 
-def features(word: str) -> np.ndarray:
-    """Hashed features of a word, with repeats."""
-    marked = f" {word} "
-    runs = [word[i:i + 1] for i in range(len(word))] + [marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(r.encode("utf-8", "replace")) % BUCKETS for r in [*runs, f"#{word}"]], np.int64)
-
-
-def document(words: list[str], memo: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of a text and their mean number a word, scaled to length 1."""
-    parts = []
-    for w in words:
-        if w not in memo:
-            memo[w] = features(w)
-        parts.append(memo[w])
-    index, count = np.unique(np.concatenate(parts), return_counts=True)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MUL
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, one word's after the other's, and where each word's start.
+    A word of ``n`` letters has ``4 n + 1``: its letters, the runs of two to four characters of
+    the word with a mark on both sides, and itself."""
+    letters = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.concatenate(([1], 1 + np.cumsum(size + 1)))[:-1]
+    owner = np.zeros(len(letters), np.int64)  # of runs that start here; a mark starts runs of the next word
+    owner[first - 1] = 1
+    owner = np.cumsum(owner) - 1
+    mark = letters == np.uint64(33)
+    with np.errstate(over="ignore"):
+        inside = np.flatnonzero(~mark)
+        found, of = [_mixed(letters[inside] * _MUL)], [owner[inside]]
+        run, clear = letters * _MUL, np.ones(len(letters), bool)
+        for n in (2, 3, 4):
+            run = run[:-1] * _MUL + letters[n - 1:] * np.uint64(2 * n + 1)
+            if n > 2:  # no mark in the middle
+                clear = clear[:len(run)] & ~mark[n - 2:n - 2 + len(run)]
+            at = np.flatnonzero(clear[:len(run)] & (owner[:len(run)] >= 0))
+            at = at[at + n <= first[owner[at]] + size[owner[at]] + 1]
+            found.append(_mixed(run[at]))
+            of.append(owner[at])
+        place = np.arange(len(letters)) - first[np.minimum(owner, len(words) - 1)]
+        whole = np.where(mark, np.uint64(0), letters * _POWERS[np.clip(place, 0, RUN)])
+        found.append(_mixed(np.add.reduceat(whole, first)))
+        of.append(np.arange(len(words)))
+    of = np.concatenate(of)
+    return np.concatenate(found)[np.argsort(of, kind="stable")], np.concatenate(([0], np.cumsum(4 * size + 1)))[:-1]
+
+
+def document(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a text and their mean number a word."""
+    index, count = np.unique(features(words)[0], return_counts=True)
     return index, count / len(words)
 
 
@@ -136,12 +166,11 @@ class Model:
 
 def train(rows: list[tuple[str, str]], families: dict[str, str] = FAMILIES) -> Model:
     """Train on ``(language, text)``."""
-    memo: dict[str, np.ndarray] = {}
     docs, langs = [], []
     for lang, text in rows:
         words = words_of(text)
         if words:
-            docs.append(document(words, memo))
+            docs.append(document(words))
             langs.append(lang)
     of = {lang: family_of(lang, families) for lang in sorted(set(langs))}
     groups = [[lang for lang in of if of[lang] == name] for name in sorted(set(of.values()))]
@@ -172,35 +201,61 @@ class Scorer:
 
     def _ids(self, words: list[str]) -> np.ndarray:
         index = self.index
-        new = list({w for w in words if w not in index})
+        try:
+            return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            new = list({w for w in words if w not in index})
         if len(index) + len(new) > MEMO_WORDS:
             index.clear()
             new = list(set(words))
         start = len(index)
-        if start + len(new) > len(self.rows):
-            grown = np.zeros((max(2 * len(self.rows), start + len(new)), self.rows.shape[1]))
+        index.update(zip(new, range(start, start + len(new))))
+        if len(index) > len(self.rows):
+            grown = np.zeros((max(2 * len(self.rows), len(index)), self.rows.shape[1]))
             grown[:start] = self.rows[:start]
             self.rows = grown
-        for i, w in enumerate(new, start):
-            index[w] = i
-            self.rows[i] = self.model.weights[features(w)].sum(axis=0)
+        for at in range(0, len(new), NEW_WORDS):
+            some = new[at:at + NEW_WORDS]
+            found, starts = features(some)
+            self.rows[start + at:start + at + len(some)] = np.add.reduceat(self.model.weights[found], starts, axis=0, dtype=np.float64)
         return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """All machines' margins of a text, its words in bounded pieces."""
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        """Language and score of a text's words, a long text's in bounded pieces."""
         total = np.zeros(self.rows.shape[1])
-        for at in range(0, len(words), 1 << 16):
-            ids = self._ids(words[at:at + (1 << 16)])
+        for at in range(0, len(words), PIECE):
+            ids = self._ids(words[at:at + PIECE])
             total += self.rows[ids].sum(axis=0)
-        return total / len(words) + self.model.bias
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: the logistic of the family's margin lead times that of the least
-        margin against another language of the family."""
-        words, m = words_of(text), self.model
-        if not words or not m.families:
+        return self._decided(total, len(words))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """``predict`` of every text; words of several texts are looked up together."""
+        out, held, size = [], [], 0
+        for words in map(words_of, texts):
+            if size + len(words) > PIECE:
+                out += self._together(held)
+                held, size = [], 0
+            held.append(words)
+            size += len(words)
+        return out + self._together(held)
+
+    def _together(self, held: list[list[str]]) -> list[tuple[str, float]]:
+        if len(held) < 2:
+            return [self.predict(words) for words in held]
+        ids = self._ids([w for words in held for w in words])  # may add rows
+        rows, out, at = self.rows[ids], [], 0
+        for words in held:
+            out.append(self._decided(rows[at:at + len(words)].sum(axis=0), len(words)))
+            at += len(words)
+        return out
+
+    def _decided(self, total: np.ndarray, n: int) -> tuple[str, float]:
+        """Language and score from the sum over ``n`` words: the logistic of the family's margin
+        lead times that of the least margin against another language of the family."""
+        m = self.model
+        if not n or not m.families:
             return "und", 0.0
-        margins = self.margins(words)
+        margins = total / n + m.bias
         family, score = 0, 1.0
         if m.by_family:
             by = margins[m.by_family]
@@ -229,10 +284,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     size = F.length(text_col)
     rows = docs.where(F.col(lang_col).isNotNull() & (crc_fold(id_col) != HELD_OUT) & (size > 0) & (size <= SAMPLE_CHARS)).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    # ranks without texts first; a rank beyond the sample can't be chosen, which limits each map task's rows
+    # the sample_rows most frequent languages at most, hence safe to broadcast
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows)
+    share = F.lit(2.0 * sample_rows) / F.col("n")
+    # about twice sample_rows of a language are ranked, however many it has
+    few = rows.select("id", "lang", "hash").join(F.broadcast(counts), "lang").where(
+        F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "hash")
-    ranked = rows.select("id", "lang", "hash").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows)
-    chosen = ranked.orderBy("place", "lang").limit(sample_rows).select("id", "lang", "hash").distinct()
+    chosen = (few.withColumn("place", F.row_number().over(order)).orderBy("place", "lang").limit(sample_rows)
+              .select("id", "lang", "hash").distinct())
     picked = (rows.join(F.broadcast(chosen), ["id", "lang", "hash"]).dropDuplicates(["id", "lang", "hash"])  # bounded by sample_rows
               .select("lang", "text").toArrow())
     sample = sorted(zip(picked.column("lang").to_pylist(), picked.column("text").to_pylist()))
@@ -247,7 +307,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for part in slices(batches, "text"):
-            found = [scorer.predict(t) for t in part.column("text").to_pylist()]
+            found = scorer.predict_all(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
