@@ -89,9 +89,10 @@ def block_masks(max_bits: int) -> list[int]:
 
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """Links ``(a, b)``, a < b, that connect all different values of ``fp`` within
-    ``max_bits`` bits of each other (``max_bits`` of 2 or less)."""
-    if not 0 <= max_bits <= 2:
-        raise ValueError("max_bits must be 0, 1 or 2")
+    ``max_bits`` bits of each other (``max_bits`` of 2 or 0: the path of hot keys links
+    stars of one-bit neighbours, whose members may be 2 bits apart)."""
+    if max_bits not in (0, 2):
+        raise ValueError("max_bits must be 0 or 2")
     masks = block_masks(max_bits)
     keys = F.array(*[F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
                      for c, m in enumerate(masks)])

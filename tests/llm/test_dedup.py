@@ -289,6 +289,13 @@ def test_maximal_repeats_have_all_occurrences():
     assert got == want
 
 
+def test_simhash_refuses_distances_it_can_not_link_exactly(spark):
+    prints = spark.createDataFrame([(1,), (3,)], "fp long")
+    for bits in (-1, 1, 3):
+        with pytest.raises(ValueError):
+            simhash.links(prints, bits)
+
+
 def test_sliding_min_and_intervals():
     import numpy as np
 
