@@ -238,10 +238,17 @@ def test_pipeline_stages(spark, monkeypatch):
     prints = {r.doc_id: simhash.fingerprint(r.text) for r in near}
     ids = sorted(prints)
     assert not any((prints[a] ^ prints[b]).bit_count() <= 2 for a in ids for b in ids if a < b)
-    left = Counter(t[k:k + 400] for t in ((r.text or "").encode() for r in near) for k in range(len(t) - 399))
-    want = {r.doc_id: len(r.text.encode()) for r in near if not any(left[r.text.encode()[k:k + 400]] > 1 for k in range(len(r.text.encode()) - 399))}
-    got = {r.doc_id: len(r.text.encode()) for r in spans}
-    assert all(got[i] == n for i, n in want.items())
+    w = corpus_pipeline.SPAN_BYTES
+    data = {r.doc_id: r.text.encode() for r in near}
+    windows = Counter(t[k:k + w] for t in data.values() for k in range(len(t) - w + 1))
+    want = {}
+    for i, t in data.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - w + 1):
+            if windows[t[k:k + w]] > 1:
+                gone[k:k + w] = b"\1" * w
+        want[i] = bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore")
+    assert {r.doc_id: r.text for r in spans} == want
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
     room = defaultdict(int)
     for r in packed:
