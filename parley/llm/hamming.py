@@ -11,7 +11,9 @@ that. No bucket is capped and every row is indexed, so the result is exact.
 Equal codes are one entry with their number and their ``k + 1`` smallest ids (all
 that a result can show), found with a map-side limit; a code that a third of
 all rows share therefore costs one entry. A candidate is counted at the first
-step that meets it, so nothing needs to be made distinct.
+step that meets it, so nothing needs to be made distinct but the ids that have
+several codes: of those a query keeps the nearest occurrence, and it is done only
+when ``k + 1`` different ids (its own may be one) are that near.
 
 Defined results:
 * neighbours are ordered by distance, then id; rows with the query's own id are
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.llm.attach import attach
 from parley.llm.batches import shipped
 from parley.session import ensure_checkpoint_dir
 
@@ -94,23 +97,32 @@ def _first_met(radii: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*rank), F.col("seg") + 1) == F.least(*rank)
 
 
+def _distinct_ids(met: DataFrame) -> DataFrame:
+    """One row, the nearest, for every query code and id. An id of one code is met once only, so that
+    just the ids of several codes (``again``) are grouped."""
+    one = met.where(F.col("again")).groupBy("q", "id", "again").agg(F.min("distance").alias("distance"))
+    return met.where(~F.col("again")).unionByName(one)
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, neighbour_id, distance``: the k nearest of ``rows(id, code)`` to every one
     of ``queries(id, code)``, which may be any rows."""
     ensure_checkpoint_dir(rows.sparkSession)
-    rows = rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
+    rows = rows.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct().checkpoint()
     asked = queries.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
+    several = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("again", F.lit(True)).checkpoint()
+    marked = attach(rows, several, ["id"], "n", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     # the k + 1 smallest ids of a code: row_number is limited on the map side
     place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    ids = rows.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    codes = ids.select("code", "ids", F.size("ids").alias("n"), F.col("ids")[0].alias("least")).checkpoint()
-    entries = codes.select("code", "n", "least", F.explode(F.array(*[
+    codes = (marked.withColumn("place", place).where(F.col("place") <= k + 1)
+             .groupBy("code").agg(F.collect_list(F.struct("id", "again")).alias("ids")).checkpoint())
+    entries = codes.select("code", "ids", F.explode(F.array(*[
         F.struct(F.lit(s).alias("seg"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)])).alias("e")).select(
-        "code", "n", "least", F.col("e.seg").alias("at_seg"), F.col("e.value").alias("at_value"))
-    there = rows.select("id").distinct().limit(k + 1).count()
+        "code", "ids", F.col("e.seg").alias("at_seg"), F.col("e.value").alias("at_value"))
+    need = min(k + 1, rows.select("id").distinct().limit(k + 1).count())
     active = asked.select(F.col("code").alias("q")).distinct().withColumn("reach", F.lit(64)).checkpoint()
-    best = None
-    by_query = Window.partitionBy("q").orderBy("distance", "least")
+    best = active.select("q", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(False).alias("again"), F.lit(0).alias("distance")).limit(0)
+    by_query = Window.partitionBy("q").orderBy("distance", "id")
     for radii, segments, covered in steps():
         if active.isEmpty():
             break
@@ -118,21 +130,19 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         index = entries if len(segments) == SEGMENTS else entries.where(F.col("at_seg") == segments[0])
         met = (probes.join(index, (F.col("seg") == F.col("at_seg")) & (F.col("value") == F.col("at_value")))
                .where(_first_met(radii) & (_distance(F.col("q"), F.col("code")) <= F.col("reach")))
-               .select("q", "code", "n", "least", _distance(F.col("q"), F.col("code")).alias("distance")))
-        best = met if best is None else best.unionByName(met)
-        best = best.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1).drop("place").checkpoint()
-        # with itself, k + 1 rows: the distance of the k-th other one at most
-        far = (best.withColumn("sofar", F.sum("n").over(by_query.rowsBetween(Window.unboundedPreceding, 0)))
-               .where(F.col("sofar") >= min(k + 1, there)).groupBy(F.col("q").alias("of")).agg(F.min("distance").alias("kth")))
+               .select("q", _distance(F.col("q"), F.col("code")).alias("distance"), F.inline("ids"))
+               .select("q", "id", "again", "distance"))
+        best = _distinct_ids(best.unionByName(met)).withColumn("place", F.row_number().over(by_query)).where(
+            F.col("place") <= k + 1).drop("place").checkpoint()
+        # with itself, k + 1 ids: the distance of the k-th other one at most
+        far = (best.groupBy(F.col("q").alias("of")).agg(F.count(F.lit(1)).alias("sofar"), F.max("distance").alias("kth"))
+               .where(F.col("sofar") >= need))
         active = (active.join(far, F.col("q") == F.col("of"), "left")
                   .where(F.col("kth").isNull() | (F.col("kth") > covered))
                   .select("q", F.coalesce("kth", "reach").alias("reach")).checkpoint())
-    if best is None:
-        best = asked.select(F.col("code").alias("q"), "code", F.lit(0).alias("n"), F.col("id").alias("least"), F.lit(0).alias("distance")).limit(0)
-    near = (best.select("q", "code", "distance").join(codes.select("code", "ids"), "code")
-            .select("q", "distance", F.explode("ids").alias("neighbour_id")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
-    found = (asked.select(F.col("id").alias("query_id"), F.col("code").alias("own")).join(near, F.col("own") == F.col("q"))
+    found = (asked.select(F.col("id").alias("query_id"), F.col("code").alias("own"))
+             .join(best.select("q", F.col("id").alias("neighbour_id"), "distance"), F.col("own") == F.col("q"))
              .where(F.col("query_id") != F.col("neighbour_id")).groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 

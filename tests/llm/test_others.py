@@ -105,6 +105,36 @@ def test_search_with_few_rows(spark):
     assert hamming.nearest(df.limit(0)).count() == 0
 
 
+def test_search_of_ids_with_several_codes(spark):
+    rng = random.Random(11)
+    mask = (1 << 64) - 1
+    signed = lambda c: c - (1 << 64) if c >> 63 else c
+    rows, near = [], rng.getrandbits(64)
+    for i in range(60):
+        for _ in range(rng.randint(1, 6)):
+            far = rng.getrandbits(64)
+            close = near
+            for _ in range(rng.randint(0, 4)):
+                close ^= 1 << rng.randrange(64)
+            rows.append((i, signed(far if rng.random() < 0.3 else close)))
+    rows += [(1000 + i, signed(near)) for i in range(30)] + rows[:5] + [(None, 5), (3, None)]
+    df = spark.createDataFrame(rows, "id long, code long")
+    got = {}
+    for r in hamming.search(df, df.where("id % 10 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id, r.distance))
+    whole = [r for r in rows if None not in r]
+    for q in {i for i, _ in whole if i % 10 == 0}:
+        least = {}
+        for own in (c for i, c in whole if i == q):
+            for i, c in whole:
+                if i != q:
+                    d = ((own ^ c) & mask).bit_count()
+                    least[i] = min(d, least.get(i, 64))
+        want = sorted((d, i) for i, d in least.items())[:10]
+        assert sorted(got.pop(q)) == [(k + 1, i, d) for k, (d, i) in enumerate(want)]
+    assert not got
+
+
 # ---------------------------------------------------------------- toxicity
 
 INSULTS = ["grumblehead", "snotface", "dunderpate"]
