@@ -7,7 +7,7 @@ Every ordered operation sorts by ``turn``; nothing relies on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import defaults as D
@@ -186,38 +186,76 @@ def sample_rows(df: DataFrame, n: int, seed: int = D.SAMPLE_SEED, key: list[str]
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))).limit(n)
 
 
-def positional_split(df: DataFrame, order: list[str], fraction: float, out: str = "split") -> DataFrame:
-    """First ``int(fraction * n)`` rows in ``order`` are ``train``, the rest ``validation``.
-
-    Only the order columns move: they are range partitioned and checkpointed
-    (stable partition ids), the per-partition counts (one row per partition)
-    name the partition that holds the cut, and the cut key is looked up in
-    that partition alone. The rows are then split by comparing keys, without
-    a shuffle. ``order`` should identify a row: rows that repeat the cut key all
-    fall to ``validation``.
+def _compare(order: list[str], cut) -> tuple[F.Column, F.Column]:
+    """Conditions "before the row ``cut``" and "equal to it" in ``order`` (nulls first)."""
+    before, same = F.lit(False), F.lit(True)
+    for c in order:
+        at = F.lit(cut[c])
+        before = before | (same & ((F.col(c) < at) | (F.col(c).isNull() & at.isNotNull())))
+        same = same & F.col(c).eqNullSafe(at)
+    return before, same
+
+
+def _cut_at(keys: DataFrame, order: list[str], position=None, fraction: float = 1.0):
+    """``(cut, left)``: the key at ``position`` (from 0; default ``int(fraction * rows)``) of ``keys``
+    in ``order``, and how many rows that repeat it lie before the position; ``(None, 0)`` beyond
+    the end.
+
+    The keys are range partitioned and checkpointed (stable partition ids); the partition
+    counts (one row per partition) name the one that holds the position, and its keys are
+    counted before they are sorted, so that a key that many rows repeat is one row.
     """
-    spark = df.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ensure_checkpoint_dir(spark)
-    keys = (df.select(*order).repartitionByRange(n_parts, *order)
-            .withColumn("_pid", F.spark_partition_id()).checkpoint())
-    counts = sorted((r["_pid"], r["n"]) for r in keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    left = int(fraction * sum(n for _, n in counts) + 1e-9)
-    for pid, n in counts:
+    n_parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = keys.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    sizes = sorted((r["_pid"], r["n"]) for r in counted.groupBy("_pid").agg(F.sum("_n").alias("n")).collect())
+    left = int(fraction * sum(n for _, n in sizes) + 1e-9) if position is None else position
+    for pid, n in sizes:
         if left < n:
             break
         left -= n
     else:
-        return df.withColumn(out, F.lit("train"))
-    # the smallest left + 1 keys of one partition; the last of them begins the validation part
-    first = keys.filter(F.col("_pid") == pid).orderBy(*order).limit(left + 1).orderBy(
-        *[F.desc(c) for c in order]).limit(1).collect()[0]
-    before, same = F.lit(False), F.lit(True)
-    for c in order:
-        at = F.lit(first[c])
-        before = before | (same & ((F.col(c) < at) | (F.col(c).isNull() & at.isNotNull())))
-        same = same & F.col(c).eqNullSafe(at)
-    return df.withColumn(out, F.when(before, F.lit("train")).otherwise(F.lit("validation")))
+        return None, 0
+    # running count inside that one partition: the last key that begins at or before the position
+    upto = F.sum("_n").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    part = counted.filter(F.col("_pid") == pid).withColumn("_begin", upto - F.col("_n"))
+    cut = part.filter(F.col("_begin") <= left).orderBy(F.desc("_begin")).limit(1).collect()[0]
+    return cut, left - cut["_begin"]
+
+
+def positional_split(df: DataFrame, order: list[str], fraction: float, out: str = "split") -> DataFrame:
+    """First ``int(fraction * n)`` rows in ``order`` are ``train``, the rest ``validation``: exactly
+    that many, also where rows repeat the cut key.
+
+    Only the order columns move: they are counted per key and range partitioned to find the
+    key at the cut (``_cut_at``), and the rows are split by comparing keys. If some rows with
+    the cut key belong to ``train``, those rows alone are ranked by a SHA-256 of the row (only
+    the digests move). Rows that are equal in all columns are interchangeable: the ones at the
+    cut become one row, which is written out as often as it occurs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    train, rest = F.lit("train"), F.lit("validation")
+    cut, left = _cut_at(df.select(*order), order, fraction=fraction)
+    if cut is None:
+        return df.withColumn(out, train)
+    before, same = _compare(order, cut)
+    if left == 0:
+        return df.withColumn(out, F.when(before, train).otherwise(rest))
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    tied = df.filter(same).select(digest.alias("_digest"))
+    row, copies = _cut_at(tied, ["_digest"], position=left)
+    before = before | (same & (digest < row["_digest"]))
+    if copies == 0:
+        return df.withColumn(out, F.when(before, train).otherwise(rest))
+    at_cut = same & (digest == row["_digest"])
+    one = F.broadcast(df.filter(at_cut).limit(1).withColumn("_zero", F.lit(0).cast("long")))
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbers = spark.range(0, row["_n"], 1, n_parts).select(F.col("id").alias("_i"), (F.col("id") * 0).alias("_at"))
+    equal = numbers.join(one, F.col("_at") == F.col("_zero")).withColumn(
+        out, F.when(F.col("_i") < copies, train).otherwise(rest))
+    return (df.filter(~at_cut).withColumn(out, F.when(before, train).otherwise(rest))
+            .unionByName(equal.select(*[F.col(f"`{c}`") for c in df.columns], out)))
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: int = D.SAMPLE_SEED, out: str = "split") -> DataFrame:

@@ -1,6 +1,7 @@
 """Gaps, repeats and sparse positions in ``turn``; limits and files that must lose nothing."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,22 @@ def test_positional_split_counts(spark, n, fraction):
 def test_large_parameter_tables_are_not_broadcast(spark):
     big = fixed_table(spark, [(i,) for i in range(20)], "a int", max_rows=10)
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString() and big.count() == 20
+
+
+@pytest.mark.parametrize("rows", [
+    [(7, "same", None)] * 25,                                            # equal in all columns
+    [(7, f"text {i}", None) for i in range(25)],                         # one key, different rows
+    [(7, f"text {i % 3}", i % 2 or None) for i in range(25)],            # one key, groups of equal rows
+    [(None, "x", 1)] * 9 + [(i % 4, "y", i % 2) for i in range(31)],     # null key first, ties elsewhere
+])
+@pytest.mark.parametrize("fraction", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_positional_split_is_exact_with_repeated_keys(spark, rows, fraction):
+    df = spark.createDataFrame(rows, "k long, text string, v long")
+    got = S.positional_split(df, ["k"], fraction).collect()
+    train = [tuple(r)[:3] for r in got if r["split"] == "train"]
+    assert len(train) == int(fraction * len(rows) + 1e-9)
+    assert Counter(tuple(r)[:3] for r in got) == Counter(rows)
+    rest = [r["k"] for r in got if r["split"] != "train"]
+    place = lambda k: (k is not None, k or 0)
+    if train and rest:
+        assert max(place(r[0]) for r in train) <= min(map(place, rest))
