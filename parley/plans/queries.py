@@ -14,6 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexicon as LX
 from ..operators import report as R
 from ..operators import sessions as S
 from ..operators.sequence import number_rows, release_shared, shared
@@ -742,3 +743,25 @@ def q_sentence_documents(spark, sf_dir):
           f"SELECT doc_id, {Q.lexicon_case('text', P.default_lexicon())} AS emotion_tier FROM documents")
 def q_lexicon_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.T.lexicon_tier("text").alias("emotion_tier"))
+
+
+PHRASE_TIER = """CASE WHEN length({p}) % 16 = 0 THEN 5 WHEN length({p}) % 16 < 3 THEN 4 WHEN length({p}) % 16 < 7 THEN 3 ELSE 2 END"""
+
+
+def phrase_table(docs: DataFrame) -> DataFrame:
+    """A large lexicon as input: every 25th run of three words of a-z of each document, graded by its length."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+ [a-z]+"), 0)
+    phrases = docs.select(F.explode(F.filter(runs, lambda x, i: i % 25 == 0)).alias("phrase")).distinct()
+    return phrases.withColumn("tier", F.expr(PHRASE_TIER.format(p="phrase")))
+
+
+@register("lexicon_tier_large", f"""
+WITH r AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]+ [a-z]+ [a-z]+'), lambda x, i: i % 25 = 1) AS ps FROM documents),
+p AS (SELECT DISTINCT unnest(ps) AS phrase FROM r),
+lex AS (SELECT phrase, {PHRASE_TIER.format(p="phrase")} AS tier FROM p)
+SELECT d.doc_id, CAST(coalesce(max(tier), 1) AS INTEGER) AS emotion_tier
+FROM documents d LEFT JOIN lex ON contains(lower(coalesce(d.text, '')), phrase) GROUP BY d.doc_id""")
+def q_lexicon_large(spark, sf_dir):
+    """Whole documents against a lexicon of thousands of phrases, through the phrase index."""
+    docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LX.indexed_lexicon_tiers(docs, phrase_table(docs), "doc_id")
