@@ -20,9 +20,11 @@ from .sequence import shared
 GRAM, PIECE, BITS = 5, 256, 1 << 22
 
 
-def _grams(text: str, length: Column) -> Column:
-    """Distinct substrings of ``length`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(F.col(text), F.concat(F.lit("(?s)(?=(.{"), length.cast("string"), F.lit("}))")), 1))
+def _grams(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``gram``: the substring of ``_len`` characters at every position of ``text``,
+    cut by one look-ahead pass (a ``substring`` a position would count from the start each time)."""
+    pattern = F.concat(F.lit("(?s)(?=(.{"), F.col("_len").cast("string"), F.lit("}))"))
+    return rows.withColumn("gram", F.explode(F.regexp_extract_all(F.col(text), pattern, 1))).drop("_len")
 
 
 def _bit(gram: Column) -> Column:
@@ -42,8 +44,8 @@ def _bit_table(grams: DataFrame) -> Column:
 
 def _has_bit(table: Column, gram: str) -> Column:
     b = _bit(F.col(gram))
-    word = F.get(table, F.floor(b / 64).cast("int"))
-    return F.call_function("shiftrightunsigned", word, (b % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    word = F.get(table, F.shiftright(b, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def _pieces(texts: DataFrame, key: str, text: str, longest: Column) -> DataFrame:
@@ -59,8 +61,8 @@ def _pieces(texts: DataFrame, key: str, text: str, longest: Column) -> DataFrame
 
 
 def phrase_anchors(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``phrase, tier, gram, n``: the index. ``n`` counts the pieces of the texts that hold the
-    anchor; a phrase with a gram that no text holds cannot occur and is left out."""
+    """``phrase, tier, gram, n``: the index. ``n`` counts the anchor's occurrences in
+    the pieces of the texts; a phrase with a gram that no text holds cannot occur and is left out."""
     return _anchors(*_prepare(texts, phrases, key, text)[:3])
 
 
@@ -75,12 +77,11 @@ def _prepare(texts: DataFrame, phrases: DataFrame, key: str, text: str):
 
 
 def _text_grams(pieces: DataFrame, lengths: Column) -> DataFrame:
-    sized = pieces.select("*", F.explode(lengths).alias("_len"))
-    return sized.select(*pieces.columns, F.explode(_grams("piece", F.col("_len"))).alias("gram"))
+    return _grams(pieces.select("*", F.explode(lengths).alias("_len")), "piece")
 
 
 def _anchors(some: DataFrame, pieces: DataFrame, lengths: Column) -> DataFrame:
-    candidates = some.select("phrase", "tier", F.explode(_grams("phrase", F.col("_len"))).alias("gram"))
+    candidates = _grams(some, "phrase")
     table = _bit_table(candidates.select("gram"))
     held = _text_grams(pieces, lengths).where(_has_bit(table, "gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     counted = candidates.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
