@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import prepare as PR
@@ -80,8 +81,45 @@ def test_training_pairs_per_utterance(spark):
 
 def test_write_results(spark):
     d = tempfile.mkdtemp(prefix="sink-")
-    out = PS.write_results({"a": spark.range(3)}, d)
+    assert PS.read_results(spark, d) == {}
+    out = PS.write_results({"a": spark.range(3), "b": spark.range(0)}, d)
     assert spark.read.parquet(out["a"]).count() == 3
+    got = PS.read_results(spark, d)
+    assert got["a"].count() == 3 and got["b"].columns == ["id"] and got["b"].count() == 0
+    PS.write_results({"a": spark.range(5)}, d)
+    got = PS.read_results(spark, d)
+    assert set(got) == {"a"} and got["a"].count() == 5
+    assert [r["n_rows"] for r in PS._manifest(spark, d)[1]] == [5]
+    assert PS.write_results({}, d) == {}
+
+
+def test_write_that_dies_half_way_leaves_the_run_before(spark):
+    d = tempfile.mkdtemp(prefix="sink-dies-")
+    dies = spark.range(9).select(F.when(F.col("id") > 7, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        PS.write_results({"a": spark.range(4), "b": dies}, d)
+    assert PS.read_results(spark, d) == {}
+    PS.write_results({"a": spark.range(3), "b": spark.range(2)}, d)
+    with pytest.raises(Exception, match="lost"):
+        PS.write_results({"a": spark.range(4), "b": dies}, d)
+    assert {n: t.count() for n, t in PS.read_results(spark, d).items()} == {"a": 3, "b": 2}
+    PS.write_results({"a": spark.range(4), "b": spark.range(6)}, d)
+    assert {n: t.count() for n, t in PS.read_results(spark, d).items()} == {"a": 4, "b": 6}
+
+
+def test_bad_records_are_kept(spark):
+    d = tempfile.mkdtemp(prefix="checked-")
+    with open(os.path.join(d, "qa.csv"), "w") as f:
+        f.write('id,questionText,answerText\n1,q1,' + "a" * 101 + '\n2,"q2\nsecond line",' + "b" * 101 + "\n"
+                "3,q3,short\n4,,answer\n5,q5,\n6,q6,one,two\n7,q7\n")
+    args = dict(columns=["id", "questionText", "answerText"], question="questionText", answer="answerText")
+    pairs, quarantine = PS.load_checked_pairs(spark, {"qa": dict(path=os.path.join(d, "qa.csv"), **args),
+                                                      "gone": dict(path=os.path.join(d, "missing"), **args)})
+    assert sorted((r.source, r.transcript) for r in pairs.collect()) == [("qa", "q1"), ("qa", "q2\nsecond line")]
+    bad = sorted((r.source, r.reason, r.record) for r in quarantine.collect() if r.record)
+    assert [b[:2] for b in bad] == [("qa", "malformed")] * 2 + [("qa", "no answer"), ("qa", "no question"), ("qa", "short answer")]
+    assert bad[0][2] == "6,q6,one,two" and bad[1][2] == "7,q7" and '"q3"' in bad[4][2]
+    assert [tuple(r) for r in quarantine.where("record IS NULL").collect()] == [("gone", None, "unreadable")]
 
 
 def test_streaming_preprocess(spark):
