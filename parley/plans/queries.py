@@ -20,6 +20,7 @@ from ..operators import sessions as S
 from ..operators.sequence import number_rows, release_shared, shared
 from ..operators import tiers as TR
 from ..session import ensure_checkpoint_dir
+from ..sources import pairs as PS
 from ..sources import testdata as TD
 from . import params as P
 from . import sqlparts as Q
@@ -432,7 +433,6 @@ def q_training_log(spark, sf_dir):
 
 from ..operators import prepare as PR  # noqa: E402
 from ..sources import annotated as AN  # noqa: E402
-from ..sources import pairs as PS  # noqa: E402
 
 
 @register("meta_split", f"WITH {Q.annotated_cte()} SELECT session_id, row_pos, is_meta FROM annm")
@@ -765,3 +765,51 @@ def q_lexicon_large(spark, sf_dir):
     """Whole documents against a lexicon of thousands of phrases, through the phrase index."""
     docs = TD.table(spark, sf_dir, "documents").select("doc_id", "text")
     return LX.indexed_lexicon_tiers(docs, phrase_table(docs), "doc_id")
+
+
+# ---------------------------------------------------------------- file sources and the sink, on files of the given tables
+
+@register("labelled_scan", "SELECT text AS utterance, lang AS emotion FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def q_labelled_scan(spark, sf_dir):
+    """Documents and their languages, written as labelled CSV (line breaks inside quotes) and read back."""
+    d = TD.table(spark, sf_dir, "documents").select(F.col("text").alias("Situation"), F.col("lang").alias("emotion"))
+    return PS.read_labelled_text(spark, TD.csv_folder(d, "labelled"))
+
+
+@register("pair_sources",
+          "SELECT text AS transcript, source AS reference_summary, 2 AS source_rank FROM documents "
+          "WHERE text IS NOT NULL AND source IS NOT NULL UNION ALL "
+          "SELECT 'q' || doc_id, text, 1 FROM documents WHERE length(text) > 100")
+def q_pair_sources(spark, sf_dir):
+    """The union of a missing source, a question/answer CSV and a corpus export, each read from its files."""
+    d = TD.table(spark, sf_dir, "documents")
+    qa = TD.csv_folder(d.select(F.concat(F.lit("q"), "doc_id").alias("questionText"), F.col("text").alias("answerText")), "qa")
+    corpus = TD.new_folder(spark, "corpus")
+    d.select(F.col("text").alias("Context"), F.col("source").alias("Response")).write.parquet(corpus)
+    return PS.load_training_pairs(spark, [lambda: PS.read_qa_pairs(spark, qa + "-missing"), lambda: PS.read_qa_pairs(spark, qa),
+                                          lambda: PS.read_corpus_pairs(spark, corpus)])
+
+
+@register("checked_pairs", """
+WITH o AS (SELECT doc_id, text, CASE WHEN length(text) % 8 = 0 THEN 'malformed' WHEN length(text) % 8 = 1 THEN 'no question'
+    WHEN text IS NULL THEN 'no answer' WHEN length(text) <= 100 THEN 'short answer' ELSE 'loaded' END AS outcome FROM documents)
+SELECT doc_id, outcome, CASE WHEN outcome = 'loaded' THEN md5(text) END AS answer_md5 FROM o""")
+def q_checked_pairs(spark, sf_dir):
+    """What became of every record of faulty pair files: loaded, or in quarantine with a reason."""
+    args = {"path": TD.faulty_pairs_folder(spark, sf_dir), "columns": ["id", "questionText", "answerText"],
+            "question": "questionText", "answer": "answerText", "header": False}
+    pairs, quarantine = PS.load_checked_pairs(spark, {"faulty": args})
+    return pairs.select(F.substring("transcript", 2, 20).cast("long").alias("doc_id"), F.lit("loaded").alias("outcome"),
+                        F.md5("reference_summary").alias("answer_md5")).unionByName(
+        quarantine.select(F.regexp_extract("record", r'^(?:\{"id":")?([0-9]+)', 1).cast("long").alias("doc_id"),
+                          F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("answer_md5")))
+
+
+@register("results_sink", ORACLE["session_lengths"])
+def q_results_sink(spark, sf_dir):
+    """Two result tables written twice through the sink; the session lengths as the newest manifest gives them."""
+    folder = TD.new_folder(spark, "results")
+    tables = {"profile": q_profile(spark, sf_dir), "lengths": q_lengths(spark, sf_dir)}
+    PS.write_results({"lengths": tables["lengths"].limit(0)}, folder)
+    PS.write_results(tables, folder)
+    return PS.read_results(spark, folder)["lengths"]

@@ -9,9 +9,13 @@ query grows with these tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -68,3 +72,30 @@ def class_probabilities(spark: SparkSession, sf_dir: str, scale: float = 10.0, w
     client = p.filter("side = 0").select("pair_id", F.col("probs").alias("client_probs"))
     counselor = p.filter("side = 1").select("pair_id", F.col("probs").alias("counselor_probs"))
     return client.join(counselor, "pair_id")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own beside the checkpoints, in the file system that the cluster shares."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_folder(df: DataFrame, name: str) -> str:
+    """``df`` as CSV files with a header in a fresh folder of the shared file system."""
+    path = new_folder(df.sparkSession, name)
+    (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def faulty_pairs_folder(spark: SparkSession, sf_dir: str) -> str:
+    """``documents`` as lines ``id,questionText,answerText`` (question ``q`` + id, answer the quoted text; a null
+    text is an empty field) without header. Texts whose length modulo 8 is 0 get a fourth field,
+    those with 1 no question."""
+    d = table(spark, sf_dir, "documents")
+    kind = F.length("text") % 8
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(","), F.when(kind == 1, "").otherwise(F.concat(F.lit("q"), "doc_id")), F.lit(","),
+                    F.coalesce(F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")),
+                    F.when(kind == 0, ",x").otherwise(""))
+    path = new_folder(spark, "faulty-pairs")
+    d.select(line.alias("value")).write.text(path)
+    return path
