@@ -1,29 +1,34 @@
-"""Topics per session with Spark ML (count vectors + online LDA).
+"""Topics per session with Spark ML (hashed term counts + online LDA).
 
 One LDA model is fit over all segment documents of all sessions (the
-original fits a small model per session, which does not scale out); a
-session's topics are the model topics ordered by the mean topic weight of
-its segments, ``min(k, number of segments)`` of them, each given by its top
-words.
+original fits a small model per session, which does not scale out). Every term
+has a column of the model, the one its hash names, so that no vocabulary is
+collected and no term is too rare. A session's topics are the model topics ordered by the
+mean topic weight of its segments, ``min(k, number of segments)`` of them, each
+given by the session's own words that weigh most in it.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults as D
 from ..functions import text as T
 from .segment import default_stop_words
-from .sequence import fixed_table, shared, top_k
+from .sequence import shared, top_k
 
 
-#: Terms of the whole model; every session contributes its own vocabulary up to this bound.
-MODEL_VOCABULARY = 1 << 18
+#: Columns of the model; terms whose hashes agree modulo this number share one.
+BUCKETS = 1 << 16
+
+
+def _bucket(term, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def session_terms(docs: DataFrame, text: str = "segment_text", max_features: int | None = D.COUNT_MAX_FEATURES,
@@ -43,34 +48,33 @@ def session_terms(docs: DataFrame, text: str = "segment_text", max_features: int
         "_terms", F.coalesce("_terms", F.array().cast("array<string>")))
 
 
-def fit_topic_model(docs: DataFrame, k: int = D.TOPIC_COUNT, vocab_size: int = MODEL_VOCABULARY, seed: int = D.LDA_SEED,
+def fit_topic_model(docs: DataFrame, k: int = D.TOPIC_COUNT, buckets: int = BUCKETS, seed: int = D.LDA_SEED,
                     max_iter: int = 10, subsampling_rate: float = 1.0):
-    """Count vectors and LDA over documents with ``_terms`` (``session_terms``)."""
-    cv = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocab_size, minDF=1.0)
+    """Hashed counts and LDA over documents with ``_terms`` (``session_terms``)."""
+    named = SQLTransformer(statement=f"SELECT *, transform(_terms, x -> cast(pmod(xxhash64(x), {buckets}) AS string)) AS _hashed FROM __THIS__")
+    # the "vocabulary" is the column numbers, whatever the corpus holds
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], inputCol="_hashed", outputCol="_counts")
     lda = LDA(k=k, seed=seed, optimizer="online", maxIter=max_iter, featuresCol="_counts",
               topicDistributionCol="_topics", subsamplingRate=subsampling_rate)
-    return Pipeline(stages=[cv, lda]).fit(docs)
+    return Pipeline(stages=[named, counts, lda]).fit(docs)
 
 
-def topic_words(model, n_words: int = D.TOPIC_WORDS) -> DataFrame:
-    """``(topic, words)`` — the ``n_words`` heaviest terms of every topic."""
-    cv_model, lda_model = model.stages[0], model.stages[1]
-    vocab = cv_model.vocabulary  # bounded by vocabSize
-    spark = lda_model.describeTopics(1).sparkSession
-    terms = fixed_table(spark, [(i, w) for i, w in enumerate(vocab)], "term_index int, term string")
-    d = lda_model.describeTopics(n_words).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
-    d = d.select("topic", "pos", F.col("t.termIndices").alias("term_index")).join(terms, "term_index")
-    return d.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))),
-                                              lambda x: x["term"]).alias("words"))
+def bucket_weights(model) -> DataFrame:
+    """``bucket, weights``: the weight of every column in each topic, in topic order. As many rows as
+    the model has columns, a number fixed by its parameter."""
+    lda = model.stages[-1]
+    long = lda.describeTopics(lda.vocabSize()).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
+    return long.groupBy(F.col("t.termIndices").alias("bucket")).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("topic", F.col("t.termWeights").alias("w")))), lambda x: x["w"]).alias("weights"))
 
 
 def session_topics(segment_docs: DataFrame, k: int = D.TOPIC_COUNT, n_words: int = D.TOPIC_WORDS,
                    text: str = "segment_text", model=None, max_features: int | None = D.COUNT_MAX_FEATURES,
                    stop_words=None, **fit_kw) -> DataFrame:
     """``(session_id, topic_rank, topic, words)`` for each session's
-    ``min(k, segments)`` strongest topics; sessions whose segments have no
-    vocabulary term get none."""
+    ``min(k, segments)`` strongest topics. ``words`` are the ``n_words`` terms of the session with the
+    largest product of their number in the session and their column's weight in the topic, ties
+    alphabetical. Sessions without any term get no topics."""
     segment_docs = shared(session_terms(segment_docs, text, max_features, stop_words))
     model = model or fit_topic_model(segment_docs, k, **fit_kw)
     scored = model.transform(segment_docs)
@@ -81,7 +85,16 @@ def session_topics(segment_docs: DataFrame, k: int = D.TOPIC_COUNT, n_words: int
                .groupBy("session_id", "topic").agg(F.avg("w").alias("weight")))
     ranked = top_k(weights, ["session_id"], [F.desc("weight"), F.asc("topic")], k, "topic_rank")
     ranked = ranked.join(nseg, "session_id").filter(F.col("topic_rank") <= F.col("_nseg"))
-    return ranked.join(F.broadcast(topic_words(model, n_words)), "topic").select(
+    # the words shown: a session's own terms, looked up by their column
+    buckets = model.stages[-1].vocabSize()
+    own = (segment_docs.select("session_id", F.explode("_terms").alias("term"))
+           .groupBy("session_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bucket("term", buckets)))
+    by_topic = (own.join(bucket_weights(model), "bucket")
+                .select("session_id", "term", "n", F.posexplode("weights").alias("topic", "w")))
+    best = top_k(by_topic, ["session_id", "topic"], [F.desc(F.col("n") * F.col("w")), F.asc("term")], n_words, "_place")
+    words = best.groupBy("session_id", "topic").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_place", "term"))), lambda x: x["term"]).alias("words"))
+    return ranked.join(words, ["session_id", "topic"]).select(
         "session_id", F.col("topic_rank").cast("int").alias("topic_rank"), "topic", "words")
 
 
