@@ -12,6 +12,7 @@ from pyspark.sql import types as Ty
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
+from ..functions.stem import stem_table
 from ..session import ship_package
 from .sequence import fixed_table, number_rows, shared
 
@@ -58,6 +59,13 @@ def rouge_n(pairs: DataFrame, n: int, keys: list[str] | None = None, candidate:
     return sums.select(*keys, p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
 
 
+def pair_stems(pairs: DataFrame, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
+    """``token, stem`` of the distinct tokens of both sides, as ``rouge_n(token_table=...)`` takes it."""
+    tokens = pairs.select(F.explode(T.overlap_tokens(candidate)).alias("token")).unionByName(
+        pairs.select(F.explode(T.overlap_tokens(reference)).alias("token")))
+    return stem_table(tokens)
+
+
 def _stemmed_ngrams(pairs: DataFrame, keys: list[str], col: str, n: int, token_table: DataFrame, side: int) -> DataFrame:
     """n-grams over stemmed tokens: tokens exploded with their position, stems
     joined on the token, n-grams assembled by equi-joins on ``(pair, pos + k)``."""

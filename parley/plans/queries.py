@@ -313,6 +313,13 @@ def q_rouge2(spark, sf_dir):
     return _rounded(EV.rouge_n(rouge_pairs(spark, sf_dir), 2))
 
 
+@register("rouge_1_stemmed", f"WITH {Q.stemmed_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
+          f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_n_select(1, 'stemmed')}")
+def q_rouge1_stemmed(spark, sf_dir):
+    pairs = rouge_pairs(spark, sf_dir)
+    return _rounded(EV.rouge_n(pairs, 1, token_table=EV.pair_stems(pairs)))
+
+
 @register("rouge_l", f"WITH {Q.rouge_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
           f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_l_select()}")
 def q_rougel(spark, sf_dir):

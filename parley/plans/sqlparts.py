@@ -8,6 +8,7 @@ lambdas instead of Spark higher-order functions).
 from __future__ import annotations
 
 from .. import defaults as D
+from ..functions.stem import IRREGULAR, STEPS
 from . import params as P
 
 
@@ -269,3 +270,34 @@ def rouge_l_select(pairs: str = "pairs", keys: str = "session_id") -> str:
             "pr AS (SELECT *, lcs / greatest(tc, 1) AS p, lcs / greatest(tr, 1) AS rc FROM s) "
             f"SELECT {keys}, p AS precision, rc AS recall, "
             "CASE WHEN p + rc > 0 THEN 2.0 * p * rc / (p + rc) ELSE 0.0 END AS f1 FROM pr)")
+
+
+def stem_ctes(tokens: str) -> str:
+    """CTEs ending in ``stems (token, stem)`` for the query ``tokens`` of one column ``token``."""
+    def step(rules):
+        cases = ""
+        for suffix, replacement, condition, kept, other in rules:
+            rest = f"left(w, length(w) - {len(suffix)})"
+            to = f"{rest} || '{replacement}'"
+            if condition is not None:
+                failed = "w" if other is None else f"{rest} || '{other}'"
+                to = f"CASE WHEN regexp_matches({rest} || '{kept}', '{condition}') THEN {to} ELSE {failed} END"
+            cases += f" WHEN ends_with(w, '{suffix}') THEN {to}"
+        return f"CASE{cases} ELSE w END"
+
+    out = f"w0 AS MATERIALIZED (SELECT DISTINCT token, regexp_replace(token, '^y', 'Y') AS w FROM ({tokens}))"
+    for i, rules in enumerate(STEPS):
+        out += f", w{i + 1} AS MATERIALIZED (SELECT token, {step(rules)} AS w FROM w{i})"
+    known = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items())
+    return out + (f", stems AS (SELECT token, CASE token {known} ELSE CASE WHEN length(token) <= 2 THEN token ELSE lower(w) END END AS stem "
+                  f"FROM w{len(STEPS)})")
+
+
+def stemmed_pairs_cte() -> str:
+    """``stemmed``: the pairs with every token of more than three characters replaced by its stem."""
+    side = lambda c: (f"(SELECT session_id, string_agg(CASE WHEN length(t.token) > 3 THEN stem ELSE t.token END, ' ' ORDER BY i) AS x "
+                      f"FROM (SELECT session_id, unnest({overlap_tokens(c)}) AS token, generate_subscripts({overlap_tokens(c)}, 1) AS i FROM pairs) t "
+                      "JOIN stems USING (token) GROUP BY session_id)")
+    both = " UNION ALL ".join(f"SELECT unnest({overlap_tokens(c)}) AS token FROM pairs" for c in ("candidate", "reference"))
+    return (f"{rouge_pairs_cte()}, {stem_ctes(both)}, stemmed AS (SELECT p.session_id, c.x AS candidate, r.x AS reference FROM pairs p "
+            f"LEFT JOIN {side('candidate')} c USING (session_id) LEFT JOIN {side('reference')} r USING (session_id))")
