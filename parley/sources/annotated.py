@@ -14,6 +14,7 @@ from pyspark.sql import types as Ty
 
 from .. import defaults as D
 from ..operators.sequence import ordered_concat, prefix_sum
+from ..operators.sessions import first_per_session
 
 ANNOTATED_SCHEMA = Ty.StructType([Ty.StructField(c, Ty.StringType(), True) for c in D.ANNOTATED_COLUMNS])
 
@@ -69,7 +70,7 @@ def session_reference(rows: DataFrame) -> DataFrame:
     """``session_id, reference_summary``: ``Sub_topic`` of the first ``summary``
     row; sessions whose reference is missing or blank are left out."""
     s = rows.filter(F.lower(F.col("Utterance")) == "summary")
-    ref = s.groupBy("session_id").agg(F.min_by("Sub_topic", "row_pos").alias("reference_summary"))
+    ref = first_per_session(s, "Sub_topic", "row_pos", "reference_summary")
     return ref.filter(F.col("reference_summary").isNotNull() & (_strip(F.col("reference_summary")) != ""))
 
 
