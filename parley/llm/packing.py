@@ -6,11 +6,13 @@ hold one of the injected items a second time, and puts the displaced items back
 by best fit, largest first. Islands evolve apart, and after every epoch each
 sends its elite to the next island.
 
-At scale the items are dealt at random into blocks of about ``BLOCK_ITEMS``; a block
+At scale the items are dealt into blocks of about ``BLOCK_ITEMS``: in order of length,
+one to every block in turn, so that each block is a small likeness of all items. A block
 has ``ISLANDS`` islands, and an island is one row, so memory is that of a block
-whatever the input. What a block could not fill well is dealt into blocks again,
-level by level, until one block holds all of it: the waste of the whole result
-is about that of one block. Islands are checkpointed between epochs.
+whatever the input. The items of bins that are not well filled are dealt again, level by
+level, down to one block, or until a level lowers the number of such bins by less
+than ``LEAST_GAIN``: then no dealing fills them. A block never takes more
+bins than best fit, largest first, takes for it. Islands are checkpointed between epochs.
 
 Tokens are those of the tokenizers library. It sees every different word once per
 worker and slice; the ids of a text are put together from its words' ids.
@@ -44,9 +46,17 @@ from parley.llm.bpe import MEMO_CHARS, MEMO_WORDS, load, read_vocabulary
 from parley.session import ensure_checkpoint_dir
 
 CAPACITY, END = 4096, 1
-BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 12, 4
+BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4000, 2, 2, 12, 4
 #: A bin filled to this share is left alone by the next level.
-WELL_FILLED = 0.995
+WELL_FILLED = 0.998
+#: A level that lowers the number of badly filled bins by a smaller share is the last.
+LEAST_GAIN = 0.1
+#: Range partitions of a dealing, at most; each then holds a run for every block.
+DEAL_PARTITIONS = 1000
+#: Bins that a block's part of a sequence id leaves room for; a block holds fewer items.
+BLOCK_BINS = 1 << 14
+#: Sequence ids end with the level; full pieces have the highest one.
+MAX_LEVELS = 1024
 SEED = 11
 
 
@@ -234,13 +244,26 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
     return state.mapInArrow(run, STATE)
 
 
+def deal(items: DataFrame, n_blocks: int) -> DataFrame:
+    """``items`` with their ``block``: neighbours by length go to different blocks. Equal lengths
+    are ordered by the random ``_pk_u``, so a frequent length spreads over range partitions."""
+    if n_blocks == 1:
+        return items.withColumn("block", F.lit(0).cast("long"))
+    order = ["length", "_pk_u", "piece", "ids_crc32"]
+    shuffle = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = items.repartitionByRange(min(shuffle, DEAL_PARTITIONS), *order).sortWithinPartitions(*order)
+    row = F.col("_pk_row").bitwiseAND(F.lit((1 << 33) - 1))  # in its partition
+    turn = F.xxhash64(F.shiftright("_pk_row", 33), F.floor(row / n_blocks))  # every run starts elsewhere
+    return (ranked.withColumn("_pk_row", F.monotonically_increasing_id())
+            .withColumn("block", F.pmod(row + F.pmod(turn, F.lit(n_blocks)), F.lit(n_blocks)).cast("long")).drop("_pk_row"))
+
+
 def pack_blocks(items: DataFrame, n_blocks: int, capacity: int, level: int) -> DataFrame:
     """Deal ``items`` (with ``length`` and the random ``_pk_u``) into blocks and pack each:
     all columns, and the key ``block, bin``."""
     island = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))
     columns = items.columns
-    blocks = (items.withColumn("block", F.floor(F.col("_pk_u") * n_blocks).cast("long")).groupBy("block")
-              .agg(F.collect_list(F.struct(*columns)).alias("items")).checkpoint())
+    blocks = deal(items, n_blocks).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("items")).checkpoint()
     # few blocks' worth of state in a task: an epoch is long, a row small
     spread = max(1, min(n_blocks * ISLANDS, 10_000))
     state = (blocks.select("block", F.transform("items", lambda x: x["length"].cast("int")).alias("sizes"))
@@ -259,31 +282,35 @@ def pack_blocks(items: DataFrame, n_blocks: int, capacity: int, level: int) -> D
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
          end: int = END) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    found = pieces(docs, vocabulary, id_col, text_col, capacity, end).withColumn("_pk_u", F.rand(SEED)).checkpoint()
-    names = [c for c in found.columns if c != "_pk_u"]
+    return pack_pieces(pieces(docs, vocabulary, id_col, text_col, capacity, end), capacity)
+
+
+def pack_pieces(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces (as ``pieces`` returns them) with their ``sequence_id`` and ``offset``."""
+    ensure_checkpoint_dir(found.sparkSession)
+    names = found.columns
+    found = found.withColumn("_pk_u", F.rand(SEED)).checkpoint()
     # a full piece is a sequence of its own
     done = [found.where(F.col("length") == capacity).select(
-        *names, (F.monotonically_increasing_id() * 8 + 7).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    items, n, level = found.where(F.col("length") < capacity), None, 0
-    while True:
-        before, n = n, items.count()
-        if not n:
+        *names, (F.monotonically_increasing_id() * MAX_LEVELS + MAX_LEVELS - 1).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))]
+    items, badly = found.where(F.col("length") < capacity), None
+    for level in range(MAX_LEVELS - 1):
+        n_blocks = math.ceil(items.count() / BLOCK_ITEMS)
+        if not n_blocks:
             break
-        n_blocks = math.ceil(n / BLOCK_ITEMS)
-        packed = pack_blocks(items, n_blocks, capacity, level)
-        own = ["block", "bin"]
-        last = n_blocks == 1 or level == 6 or (before is not None and n > before // 2)
-        within = _offsets(packed, names, own, level)
-        if last:
+        within = _offsets(pack_blocks(items, n_blocks, capacity, level), names, ["block", "bin"], level)
+        if n_blocks == 1:
             done.append(within.select(*names, "sequence_id", "offset"))
             break
         within = within.checkpoint()
         filled = F.col("fill") >= WELL_FILLED * capacity
+        before, badly = badly, within.where(~filled & (F.col("offset") == 0)).count()
+        if level == MAX_LEVELS - 2 or before is not None and badly > (1 - LEAST_GAIN) * before:
+            done.append(within.select(*names, "sequence_id", "offset"))
+            break
         done.append(within.where(filled).select(*names, "sequence_id", "offset"))
-        items = within.where(~filled).select(*names, "_pk_u").withColumn("_pk_u", F.pmod(F.col("_pk_u") * 7919, F.lit(1.0)))
-        level += 1
+        items = within.where(~filled).select(*names, F.rand(SEED + level + 1).alias("_pk_u")).checkpoint()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -298,7 +325,7 @@ def _offsets(packed: DataFrame, names: list[str], own: list[str], level: int) ->
         x.alias("row"), F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda s, v: s + v).alias("offset")))
     fill = F.aggregate(lengths, F.lit(0).cast("long"), lambda s, v: s + v)
     return (bins.select(*own, fill.alias("fill"), F.explode(placed).alias("x"))
-            .select("x.row.*", "x.offset", "fill", ((F.col("block") * 4096 + F.col("bin")) * 8 + level).alias("sequence_id")))
+            .select("x.row.*", "x.offset", "fill", ((F.col("block") * BLOCK_BINS + F.col("bin")) * MAX_LEVELS + level).alias("sequence_id")))
 
 
 def sequences_summary(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
