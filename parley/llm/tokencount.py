@@ -8,25 +8,29 @@ a longer token takes shorter ones back). That is exact because a sequence of
 tokens is what BPE gives if and only if every neighbouring pair is. States and
 transitions are compiled when first met, and kept.
 
-A text is cut into chunks of ``CHUNK`` characters anywhere. A chunk's state map
-tells, for the state in which it is entered, the tokens that it emits and the
-state in which it is left: white space resets the machine, so only what stands
-before its first blank (``head``) depends on the entry state, and only what
-follows its last blank (``tail``) fixes the exit state. Maps compose
-associatively; a parallel prefix scan (doubling) gives the tokens up to every
-chunk's end, and the last of them is the count.
+A text is cut into chunks of ``CHUNK`` characters anywhere. A state at a cut is
+the kind of the pre-token that is open there (letters, others, or the characters
+of a contraction that may yet come), the transducer's state in it, and its last
+byte, whose symbol depends on what follows. A chunk's state map is a table from
+entry states to exit states and emitted tokens. Chunks are mapped independently:
+for the state that the characters just before the cut leave (white space resets
+the machine, and it forgets early characters soon); should another state
+arrive, its row is added. Maps compose by lookup, associatively; a parallel
+prefix scan (doubling) gives the map from a text's start to every chunk's end.
+No word is put together across chunks.
 
 Defined results:
 * null text counts as empty: no bytes, no tokens;
 * special strings inside a text are one token each, and cut it;
-* very long texts are worked off chunk by chunk; a word across chunks is joined;
+* very long texts are worked off chunk by chunk, words of any length included;
 * repeated rows and ids each get their row; an empty table gives no rows; other
   columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,11 +40,39 @@ from parley.llm.batches import shared_text, slices
 from parley.llm.bpe import BLANKS, MEMO_CHARS, MEMO_WORDS, SEPARATORS, Bpe, load, read_vocabulary
 
 CHUNK = 1 << 14
+#: Characters before a cut that tell the state in which the next chunk is mapped.
+LOOK_BACK = 64
+#: State at a text's start and after white space: nothing open.
+REST = ("", None, None)
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 LIMIT = 2048
 #: Compiled states kept by one Python worker; beyond it compilation starts anew.
 MAX_STATES = 200_000
 
 
+class StateMap:
+    """Entry state -> (exit state, tokens emitted); rows for ``live`` at once, others when asked for."""
+
+    def __init__(self, step: Callable[[tuple], tuple[tuple, int]], live: Iterable[tuple]):
+        self.step = step
+        self.table = {s: step(s) for s in live}
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        row = self.table.get(state)
+        if row is None:
+            row = self.table[state] = self.step(state)
+        return row
+
+    def then(self, after: StateMap) -> StateMap:
+        """The map of two neighbouring stretches of text."""
+        def step(state: tuple) -> tuple[tuple, int]:
+            between, n = self(state)
+            end, more = after(between)
+            return end, n + more
+
+        return StateMap(step, self.table)
+
+
 class Transducer:
     """The BPE transducer of a vocabulary, compiled on demand."""
 
@@ -88,6 +120,15 @@ class Transducer:
             known = self.fits[before, t] = merged == [*first, t]
         return known
 
+    def _known(self, key: tuple) -> int:
+        """A state's number; new where it was not met since the last start."""
+        state = self.number.get(key)
+        if state is None:
+            state = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.arcs.append({})
+        return state
+
     def compile(self, state: int, symbol: int) -> tuple[int, int]:
         """The transition of ``state`` on a symbol."""
         last, shift, going = None, 0, []
@@ -105,12 +146,7 @@ class Transducer:
         else:
             # longest first; counts are relative to the new place
             key = (*((node, before, ahead - shift) for node, before, ahead in going), (0, last, 0))
-            to = self.number.get(key)
-            if to is None:
-                to = self.number[key] = len(self.keys)
-                self.keys.append(key)
-                self.arcs.append({})
-            arc = to, shift
+            arc = self._known(key), shift
         self.arcs[state][symbol] = arc
         return arc
 
@@ -126,36 +162,94 @@ class Transducer:
 
     # chunk state maps
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """``(head, emitted, tail)``: emitted is None where no blank resets the machine, and
-        the whole chunk is the head."""
+    def _feed(self, key: tuple | None, last: int | None, data: bytes) -> tuple[tuple, int, int]:
+        """Go on in an open word; its newest byte waits, as it may be the word's end."""
+        state = total = 0
+        if key is not None:
+            state, data = self._known(key), bytes([last]) + data
+        for b in data[:-1]:
+            state, emitted = self.arcs[state].get(b) or self.compile(state, b)
+            total += emitted
+        return self.keys[state], data[-1], total
+
+    def close(self, state: tuple) -> int:
+        """Tokens still to come where white space or the end follows."""
+        kind, key, last = state
+        if key is None:
+            return self.counts[kind] if kind else 0
+        return self._end(key, last)
+
+    def _end(self, key: tuple, last: int) -> int:
+        state = self._known(key)
+        return (self.arcs[state].get(256 + last) or self.compile(state, 256 + last))[1]
+
+    def advance(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """``(state, emitted)`` after ``text``, which has no white space."""
+        if not text:
+            return state, 0
+        kind, key, last = state
+        total = 0
+        if key is not None:
+            more = self.bpe.word_pattern.match(("a" if kind == "L" else "!") + text).group()[1:]
+            if more:
+                key, last, total = self._feed(key, last, more.encode("utf-8", "replace"))
+                text = text[len(more):]
+                if not text:
+                    return (kind, key, last), total
+            total += self._end(key, last)
+        else:
+            text = kind + text
+        words = self.bpe.word_pattern.findall(text)
+        ends = words.pop()
+        if ends in ("r", "v", "l") and words and words[-1] == "'":
+            ends = words.pop() + ends
+        counts = self.counts
+        total += sum([counts[w] for w in words])
+        if ends in ("'", "'r", "'v", "'l"):
+            return (ends, None, None), total
+        if ends in CONTRACTIONS or unicodedata.category(ends[0])[0] == "N":
+            return REST, total + counts[ends]
+        key, last, n = self._feed(None, None, ends.encode("utf-8", "replace"))
+        return ("L" if ends[0].isalpha() else "O", key, last), total + n
+
+    def chunk_map(self, chunk: str, live: Iterable[tuple] = (REST,)) -> StateMap:
+        """The map of one chunk. What stands before its first blank depends on the entry
+        state, what follows its last one alone gives the exit state."""
         if SEPARATORS.search(chunk):
             parts = BLANKS.split(chunk)
-            if len(parts) == 1:
-                return chunk, None, ""
-            return parts[0], sum(map(self.counts.__getitem__, parts[1:-1])), parts[-1]
-        parts = chunk.split()
-        if len(parts) == 1 and len(parts[0]) == len(chunk):
-            return chunk, None, ""
-        head = "" if chunk[0].isspace() else parts[0]
-        tail = "" if chunk[-1].isspace() else parts[-1]
-        inner = parts[1 if head else 0:len(parts) - bool(tail)]
-        return head, sum(map(self.counts.__getitem__, inner)), tail
-
-    def compose(self, a: tuple[str, int | None, str], b: tuple[str, int | None, str]) -> tuple[str, int | None, str]:
-        """The map of two neighbouring chunks."""
-        if a[1] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[1] is None:
-            return a[0], a[1], a[2] + b[0]
-        joined = a[2] + b[0]
-        return a[0], a[1] + b[1] + (self.counts[joined] if joined else 0), b[2]
-
-    def scan(self, maps: list[tuple[str, int | None, str]]) -> list[tuple[str, int | None, str]]:
+        else:
+            parts = chunk.split()
+            if chunk[0].isspace():
+                parts.insert(0, "")
+            if chunk[-1].isspace():
+                parts.append("")
+        head = parts[0]
+        if len(parts) == 1:
+            return StateMap(lambda state: self.advance(state, head), live)
+        inner = sum(map(self.counts.__getitem__, parts[1:-1]))
+        out, n = self.advance(REST, parts[-1])
+        inner += n
+
+        def step(state: tuple) -> tuple[tuple, int]:
+            state, n = self.advance(state, head)
+            return out, n + self.close(state) + inner
+
+        return StateMap(step, live)
+
+    def maps(self, text: str) -> Iterator[StateMap]:
+        """The maps of a text's chunks."""
+        for i in range(0, len(text), CHUNK):
+            live = self.chunk_map(text[max(0, i - LOOK_BACK):i])(REST)[0] if i else REST
+            yield self.chunk_map(text[i:i + CHUNK], [live])
+            if len(self.keys) > MAX_STATES:
+                self._restart()  # states at cuts are spelled out, so maps stay right
+
+    @staticmethod
+    def scan(maps: list[StateMap]) -> list[StateMap]:
         """All prefixes' maps; each of the log2(n) rounds combines independent pairs."""
         step = 1
         while step < len(maps):
-            maps = maps[:step] + [self.compose(a, b) for a, b in zip(maps, maps[step:])]
+            maps = maps[:step] + [a.then(b) for a, b in zip(maps, maps[step:])]
             step *= 2
         return maps
 
@@ -170,9 +264,8 @@ class Transducer:
                 total += 1
             elif part:
                 part = bpe.normalise(part)
-                maps = [self.chunk_map(part[i:i + CHUNK]) for i in range(0, len(part), CHUNK)]
-                head, emitted, tail = (self.scan(maps) if len(maps) > 1 else maps)[-1]
-                total += (emitted or 0) + sum(self.counts[x] for x in (head, tail) if x)
+                state, n = self.scan(list(self.maps(part)))[-1](REST)
+                total += n + self.close(state)
         if len(self.keys) > MAX_STATES or len(self.counts) > MEMO_WORDS:
             self._restart()
         return total

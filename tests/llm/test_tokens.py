@@ -73,17 +73,44 @@ def test_transducer_equals_library(library, monkeypatch):
         assert [machine.tokens(t) for t in ODD] == [len(ids_of(library, t)) for t in ODD]
 
 
-def test_composition_is_associative():
+def test_state_maps_compose_associatively(library):
     m = tokencount.Transducer(bpe.load(bpe.read_vocabulary(PATH)))
-    text = "one two, threefour fi"
-    maps = [m.chunk_map(text[i:i + 3]) for i in range(0, len(text), 3)]
-    left = maps[0]
-    for x in maps[1:]:
-        left = m.compose(left, x)
-    right = maps[-1]
-    for x in maps[-2::-1]:
-        right = m.compose(x, right)
-    assert left == right == m.scan(maps)[-1]
+    text = "one two, threefour'll fi'" + "re don't!' 're x1y'vz \u00e9\u00e8 " + "unbrokenword'" * 9
+    texts = [text[i:i + 3] for i in range(0, len(text), 3)]
+    maps = [m.chunk_map(t) for t in texts]
+    live, entry = [tokencount.REST], {tokencount.REST}
+    for x in maps:  # every state that any entry state leaves at a cut
+        live = list({x(s)[0] for s in live} | {x(tokencount.REST)[0]})
+        entry.update(live)
+    for a, b, c in zip(maps, maps[1:], maps[2:]):
+        left, right = a.then(b).then(c), a.then(b.then(c))
+        assert [left(s) for s in entry] == [right(s) for s in entry]
+    state, n = m.scan(maps)[-1](tokencount.REST)
+    assert n + m.close(state) == len(ids_of(library, text))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 64])
+def test_cuts_anywhere_equal_library(library, monkeypatch, chunk):
+    monkeypatch.setattr(tokencount, "CHUNK", chunk)
+    monkeypatch.setattr(tokencount, "MAX_STATES", 300)  # states are dropped and met again
+    m = tokencount.Transducer(bpe.load(bpe.read_vocabulary(PATH)))
+    rng = random.Random(chunk)
+    for _ in range(150):
+        t = "".join(rng.choice(["'", "r", "e", "v", "l", "s", "the", "!", "1", "\u00bd", " ", "\n", "\u00e9", "\x1c", "zx"])
+                    for _ in range(rng.randint(1, 60)))
+        assert m.tokens(t) == len(ids_of(library, t)), repr(t)
+
+
+def test_ten_megabytes_without_blanks(library):
+    rng = random.Random(2)
+    word = "".join(rng.choice(string.ascii_lowercase) for _ in range(20_000))
+    text = word * 500
+    m = tokencount.Transducer(bpe.load(bpe.read_vocabulary(PATH)))
+    maps = list(m.maps(text[:5 * tokencount.CHUNK]))
+    assert max(len(x.table) for x in maps) == 1 and len(m.keys) < tokencount.MAX_STATES
+    per_word = m.tokens(word * 3) - m.tokens(word * 2)
+    assert m.tokens(text) == m.tokens(word * 2) + 498 * per_word
+    assert m.tokens(word * 2) == len(ids_of(library, word * 2))
 
 
 def test_count_rows(spark, library):
