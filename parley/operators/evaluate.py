@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -13,7 +13,7 @@ from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
 from ..functions.stem import stem_table
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 from .sequence import fixed_table, number_rows, shared
 
 
@@ -107,17 +107,92 @@ def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
+def lcs_tile(a, b, above: bytes | None, left: bytes | None) -> tuple[bytes, bytes, int]:
+    """One tile of the bit-parallel LCS: tokens ``a`` (rows) against the block ``b`` (columns).
+
+    ``above`` is the block's bit vector after the earlier rows, ``left`` the carry
+    that each row brings from the block before. Returns both for the
+    neighbouring tiles, and the block's matches so far.
+    """
+    n = len(b)
+    masks: dict = {}
+    for j, t in enumerate(b):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << n) - 1
+    v = full if above is None else int.from_bytes(above, "little")
+    incoming = np.zeros(len(a), np.uint8) if left is None else np.unpackbits(np.frombuffer(left, np.uint8), count=len(a))
+    carries = np.zeros(len(a), np.uint8)
+    for k, (t, carry) in enumerate(zip(a, incoming.tolist())):
+        m = masks.get(t, 0)
+        if m or carry:
+            u = v & m
+            total = v + u + carry
+            carries[k] = total >> n
+            v = (total & full) | (v - u)
+    return v.to_bytes(-(-n // 8), "little"), np.packbits(carries).tobytes(), n - v.bit_count()
+
+
+@F.pandas_udf(Ty.StructType([Ty.StructField("above", Ty.BinaryType()), Ty.StructField("left", Ty.BinaryType()),
+                             Ty.StructField("matched", Ty.LongType())]))
+def _tile_udf(a: pd.Series, b: pd.Series, above: pd.Series, left: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([lcs_tile(*x) for x in zip(a, b, above, left)], columns=["above", "left", "matched"])
+
+
+def tiled_lcs(tokens: DataFrame, keys: list[str], candidate: str, reference: str, tile: int) -> DataFrame:
+    """``keys, _lcs`` of the pairs that have tokens on both sides, tile by tile.
+
+    Both sides are cut into blocks of ``tile`` tokens. The tiles of one diagonal don't depend
+    on each other: each is a row keyed by the pair and its place, so the tiles of a long
+    pair spread over tasks, and no row holds more than two blocks, a bit vector and the
+    carries. A step per diagonal; its bit vectors and carries are checkpointed and joined
+    to the tiles below and to the right.
+    """
+    ensure_checkpoint_dir(tokens.sparkSession)
+
+    def blocks(col: str, at: str, out: str) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(col) / tile).cast("int") - 1),
+                          lambda k: F.struct(k.alias(at), F.slice(F.col(col), k * tile + 1, tile).alias(out)))
+        return F.explode(cut).alias("x")
+
+    both = tokens.where((F.size(candidate) > 0) & (F.size(reference) > 0))
+    last = (F.ceil(F.size(candidate) / tile).cast("int") - 1).alias("_last")
+    rows = both.select(*keys, last, blocks(candidate, "_i", "_a")).select(*keys, "_last", "x.*").checkpoint()
+    columns = both.select(*keys, blocks(reference, "_j", "_b")).select(*keys, "x.*").checkpoint()
+    steps = (rows.agg(F.max("_i")).first()[0] or 0) + (columns.agg(F.max("_j")).first()[0] or 0) + 1
+    place, before, done = [*keys, "_i", "_j"], None, []
+    for d in range(steps):
+        tiles = rows.withColumn("_j", F.lit(d) - F.col("_i")).join(columns, [*keys, "_j"])
+        if before is None:
+            tiles = tiles.withColumns({"above": F.lit(None).cast("binary"), "left": F.lit(None).cast("binary")})
+        else:
+            tiles = (tiles.join(before.select(*keys, (F.col("_i") + 1).alias("_i"), "_j", "above"), place, "left")
+                     .join(before.select(*keys, "_i", (F.col("_j") + 1).alias("_j"), "left"), place, "left"))
+        before = (tiles.select(*place, "_last", _tile_udf("_a", "_b", "above", "left").alias("x"))
+                  .select(*place, "_last", "x.*").checkpoint())
+        done.append(before.where(F.col("_i") == F.col("_last")).select(*keys, "matched"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.groupBy(*keys).agg(F.sum("matched").alias("_lcs"))
+
+
 def rouge_l(pairs: DataFrame, keys: list[str] | None = None, candidate: str = "candidate",
-            reference: str = "reference") -> DataFrame:
+            reference: str = "reference", tile: int | None = None) -> DataFrame:
     """Per pair: precision, recall and F1 of the longest common subsequence.
 
-    Tokenisation is native; only the subsequence length runs in Python, as
-    an Arrow-batched pandas UDF over the two token arrays of each row.
+    Tokenisation is native; the subsequence length runs in Python, by default as
+    an Arrow-batched pandas UDF over the two token arrays of each row, so that a pair is
+    one task's work. With ``tile`` a pair of any length is worked off in tiles of so many tokens
+    a side (``tiled_lcs``); keys must then be unique. Both give the same numbers.
     """
     ship_package(pairs.sparkSession)
     keys = keys or ["session_id"]
     d = pairs.select(*keys, T.overlap_tokens(candidate).alias("_c"), T.overlap_tokens(reference).alias("_r"))
-    d = d.withColumn("_lcs", _lcs_udf("_c", "_r").cast("double"))
+    if tile is None:
+        d = d.withColumn("_lcs", _lcs_udf("_c", "_r").cast("double"))
+    else:
+        d = d.join(tiled_lcs(d, keys, "_c", "_r", tile), keys, "left").withColumn(
+            "_lcs", F.coalesce("_lcs", F.lit(0)).cast("double"))
     p = F.when(F.size("_c") > 0, F.col("_lcs") / F.size("_c")).otherwise(F.lit(0.0))
     r = F.when(F.size("_r") > 0, F.col("_lcs") / F.size("_r")).otherwise(F.lit(0.0))
     return d.select(*keys, p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))

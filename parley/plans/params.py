@@ -52,3 +52,6 @@ def default_lexicon() -> dict:
     from .. import defaults as D
 
     return D.TIER_KEYWORDS
+
+#: Tokens a side of an LCS tile: small, so that the sessions here have several.
+LCS_TILE = 512

@@ -326,6 +326,12 @@ def q_rougel(spark, sf_dir):
     return _rounded(EV.rouge_l(rouge_pairs(spark, sf_dir)))
 
 
+@register("rouge_l_tiles", f"WITH {Q.rouge_pairs_cte()} SELECT session_id, round(precision, 6) AS precision, "
+          f"round(recall, 6) AS recall, round(f1, 6) AS f1 FROM {Q.rouge_l_select()}")
+def q_rougel_tiles(spark, sf_dir):
+    return _rounded(EV.rouge_l(rouge_pairs(spark, sf_dir), tile=P.LCS_TILE))
+
+
 def model_predictions(spark, sf_dir):
     rt = S.role_texts(prepared(spark, sf_dir))
     both = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{role}_text").alias("prediction"))

@@ -23,6 +23,19 @@ def test_lcs_matches_dp(a, b):
     assert EV.lcs_length(a, b) == dp_lcs(a, b)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), min_size=1, max_size=40), st.lists(st.sampled_from("abcde"), min_size=1, max_size=40),
+       st.integers(1, 20))
+def test_tiles_match_dp(a, b, tile):
+    below, total = {}, 0
+    for i in range(0, len(a), tile):
+        left = None
+        for j in range(0, len(b), tile):
+            below[j], left, matched = EV.lcs_tile(a[i:i + tile], b[j:j + tile], below.get(j), left)
+            total += matched * (i + tile >= len(a))
+    assert total == dp_lcs(a, b)
+
+
 def pairs(spark, rows):
     return spark.createDataFrame(rows, "session_id string, candidate string, reference string")
 
@@ -42,6 +55,17 @@ def test_rouge_fixture(spark):
         assert r["empty"].f1 == 0.0
 
 
+def test_rouge_l_in_tiles_equals_whole_rows(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("a b c d e f g h".split()) for _ in range(n))
+    p = pairs(spark, [("long", text(20_000), text(17_000)), ("short", text(5), text(9)), ("one", "a", "a"),
+                      ("wide", text(3), text(9000)), ("empty", "", "x"), ("null", None, "x")])
+    whole = sorted(EV.rouge_l(p).collect())
+    for tile in (4096, 10_000, 1 << 20):
+        assert sorted(EV.rouge_l(p, tile=tile).collect()) == whole
+    assert EV.rouge_l(p.limit(0), tile=8).count() == 0
+
+
 def test_rouge_with_stem_table(spark):
     p = pairs(spark, [("s", "running dogs", "run dog")])
     stems = spark.createDataFrame([("running", "run"), ("dogs", "dog")], "token string, stem string")
