@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import defaults as D
 from ..functions import arrays as A
 from ..functions import text as T
+from .linear import LinearModel
 from .sequence import number_rows, shared
 from .sessions import role_texts
 
@@ -102,7 +103,8 @@ def score_texts(texts: DataFrame, model, text: str = "text", width: int = len(D.
                 batch_size: int = 64) -> DataFrame:
     """Class probabilities of ``text`` from a fitted Spark ML model, or from an
     external batch predictor (a function ``numpy array of str -> (n, k)
-    array``) run through ``predict_batch_udf`` in Arrow batches.
+    array``) run through ``predict_batch_udf`` in Arrow batches, or a ``LinearModel``, whose
+    result has the other columns, the texts' unique key, without ``text``.
 
     Blank texts are not sent to the model: they get an all-zero vector.
     Scored and unscored rows are split by a filter and unioned back, so the
@@ -114,6 +116,10 @@ def score_texts(texts: DataFrame, model, text: str = "text", width: int = len(D.
     zeros = F.array_repeat(F.lit(0.0), width)
     to_score = texts.filter(~blank)
     keep = texts.columns
+    if isinstance(model, LinearModel):
+        # keyed by the other columns; the text itself need not come along
+        keys = [c for c in keep if c != text]
+        return model.probabilities(to_score, keys, text).unionByName(texts.filter(blank).select(*keys, zeros.alias("probs")))
     if hasattr(model, "transform"):
         scored = model.transform(to_score).select(*keep, vector_to_array("probability").alias("probs"))
     else:

@@ -14,7 +14,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import defaults as D
 from ..operators import lexicon as LX
+from ..operators import linear as LN
 from ..operators import report as R
 from ..operators import sessions as S
 from ..operators.sequence import number_rows, release_shared, shared
@@ -585,6 +587,53 @@ def q_label_classifier(spark, sf_dir):
                     F.col("prediction").cast("int").alias("prediction")))
 
 
+def _quality_rows() -> str:
+    return ("qrows AS (SELECT d.doc_id AS key, d.text, CAST(l.quality AS VARCHAR) AS label, "
+            "row_number() OVER (ORDER BY d.doc_id) - 1 < floor(0.9 * count(*) OVER ()) AS trains "
+            "FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL), "
+            "train AS (SELECT label, text FROM qrows WHERE trains)")
+
+
+@register("label_classifier_relational",
+          f"WITH {_quality_rows()}, {Q.bayes_ctes('train', 'qrows', ['0', '1'])} "
+          "SELECT qrows.key AS doc_id, CASE WHEN trains THEN 'train' ELSE 'validation' END AS split, qrows.label, "
+          "arg_max(pb.label, (pb.p, -pb.place)) AS prediction, round(max(CASE WHEN pb.label = '1' THEN pb.p END), 6) AS probability "
+          "FROM qrows JOIN pb ON pb.key = qrows.key GROUP BY ALL")
+def q_label_classifier_relational(spark, sf_dir):
+    docs = TD.table(spark, sf_dir, "documents").join(TD.table(spark, sf_dir, "labels"), "doc_id")
+    rows = docs.where("quality IS NOT NULL").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    split = shared(S.positional_split(rows, ["doc_id"], 0.9))
+    model = LN.fit_bayes(split.where("split = 'train'"), "text", "label", ["0", "1"])
+    probs = model.probabilities(split, ["doc_id"], "text")
+    best = F.array_position("probs", F.array_max("probs")).cast("int")
+    return split.join(probs, "doc_id").select(
+        "doc_id", "split", "label", F.element_at(F.array(F.lit("0"), F.lit("1")), best).alias("prediction"),
+        r6(F.element_at("probs", 2)).alias("probability"))
+
+
+def _tier_relational_sql() -> str:
+    """The lexicon first; what it leaves, by naive Bayes of the role texts."""
+    weigh = lambda idx: f"sum(CASE WHEN place IN ({', '.join(map(str, idx))}) THEN w * p ELSE 0 END)"
+    return (f"WITH {Q.utt_cte()}, {Q.role_text_cte()}, train AS (SELECT lang AS label, text FROM documents), "
+            f"lx AS (SELECT *, {Q.lexicon_case('combined_text')} AS tier FROM rt), "
+            "sides AS (SELECT session_id || '|0' AS key, session_id, 0.7 AS w, client_text AS text FROM lx WHERE tier <= 1 "
+            "UNION ALL SELECT session_id || '|1', session_id, 0.30000000000000004, counselor_text FROM lx WHERE tier <= 1), "
+            f"{Q.bayes_ctes('train', 'sides', P.LANG_LABELS)}, "
+            f"bl AS (SELECT session_id, {weigh(D.CRISIS_IDX)} AS crisis, {weigh(D.NEGATIVE_IDX)} AS neg FROM sides "
+            "JOIN pb ON pb.key = sides.key WHERE trim(sides.text) <> '' GROUP BY session_id), "
+            "t AS (SELECT lx.session_id, CASE WHEN tier > 1 THEN tier WHEN crisis > 0.35 THEN 5 WHEN neg > 0.7 THEN 4 "
+            "WHEN neg > 0.5 THEN 3 WHEN neg > 0.3 THEN 2 ELSE 1 END AS emotion_tier, "
+            "CASE WHEN tier > 1 THEN 'lexicon' ELSE 'model' END AS source FROM lx LEFT JOIN bl ON bl.session_id = lx.session_id) "
+            f"SELECT session_id, emotion_tier, {Q.tier_label('emotion_tier')} AS tier_label, source FROM t")
+
+
+@register("session_tier_relational", _tier_relational_sql())
+def q_session_tier_relational(spark, sf_dir):
+    docs = TD.table(spark, sf_dir, "documents")
+    model = LN.fit_bayes(docs, "text", "lang", P.LANG_LABELS)
+    return TR.session_tiers(prepared(spark, sf_dir), P.LEXICON, model=model)
+
+
 @register("session_tier_model")
 def q_session_tier_model(spark, sf_dir):
     model, _ = language_classifier(spark, sf_dir)
@@ -696,7 +745,6 @@ def q_textrank_scores(spark, sf_dir):
 
 
 def _leaderboard_sql() -> str:
-    from .. import defaults as D
     rows = []
     for model, vals in D.PUBLISHED_ROUGE.items():
         for metric, v in zip(["ROUGE-1", "ROUGE-2", "ROUGE-L"], vals):

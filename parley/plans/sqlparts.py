@@ -155,6 +155,29 @@ def overlap_tokens(x: str) -> str:
             "lambda t: t <> '')")
 
 
+def terms_sql(x: str) -> str:
+    """The terms of a linear classifier."""
+    return f"list_filter({overlap_tokens(x)}, lambda t: length(t) > 1 AND NOT list_contains({stop_words_sql()}, t))"
+
+
+def bayes_ctes(train: str, texts: str, labels: list[str]) -> str:
+    """CTEs ending in ``pb (key, label, place, p)``: naive Bayes of ``train (label, text)`` on ``texts (key, text)``."""
+    rows = ", ".join(f"({lit(x)}, {i})" for i, x in enumerate(labels))
+    return (f"lab(label, place) AS (VALUES {rows}), trn AS (SELECT t.label, {terms_sql('t.text')} AS terms FROM {train} t JOIN lab USING (label)), "
+            "cnt AS MATERIALIZED (SELECT label, term, count(*) AS n FROM (SELECT label, unnest(terms) AS term FROM trn) GROUP BY ALL), "
+            "cls AS MATERIALIZED (SELECT lab.label, lab.place, ln((coalesce(d.docs, 0) + 1.0) / ((SELECT count(*) FROM trn) "
+            f"+ {len(labels)}.0)) AS b, ln(1.0 / (coalesce(k.toks, 0) + greatest((SELECT count(DISTINCT term) FROM cnt), 1))) AS g FROM lab "
+            "LEFT JOIN (SELECT label, count(*) AS docs FROM trn GROUP BY label) d ON d.label = lab.label "
+            "LEFT JOIN (SELECT label, sum(n) AS toks FROM cnt GROUP BY label) k ON k.label = lab.label), "
+            f"tf AS (SELECT key, term, count(*) AS f FROM (SELECT key, unnest({terms_sql('text')}) AS term FROM {texts}) GROUP BY ALL), "
+            "kn AS (SELECT key, sum(f) AS n FROM tf SEMI JOIN cnt USING (term) GROUP BY key), "
+            "ws AS (SELECT tf.key, cnt.label, sum(tf.f * ln(cnt.n + 1.0)) AS s FROM tf JOIN cnt USING (term) GROUP BY ALL), "
+            "sc AS (SELECT x.key, cls.label, cls.place, cls.b + coalesce(kn.n, 0) * cls.g + coalesce(ws.s, 0) AS s "
+            f"FROM {texts} x CROSS JOIN cls LEFT JOIN kn ON kn.key = x.key LEFT JOIN ws ON ws.key = x.key AND ws.label = cls.label), "
+            "ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY key)) AS e FROM sc), "
+            "pb AS (SELECT key, label, place, e / sum(e) OVER (PARTITION BY key) AS p FROM ex)")
+
+
 def rouge_n_select(n: int, pairs: str = "pairs", keys: str = "session_id") -> str:
     """A query (no WITH) computing precision/recall/f1 per pair of ``pairs``."""
     kl = [k.strip() for k in keys.split(",")]
