@@ -108,6 +108,8 @@ class Transducer:
         #: by state: symbol -> (next state, tokens emitted)
         self.arcs: list[dict[int, tuple[int, int]]] = [{}]
         self.counts = _Counts(self)
+        #: short openings of a word after white space -> (state, tokens emitted)
+        self.opened: dict[str, tuple[tuple, int]] = {}
 
     def fit(self, before: int | None, t: int) -> bool:
         """Whether BPE keeps ``t`` whole and apart after ``before``."""
@@ -227,10 +229,18 @@ class Transducer:
         if len(parts) == 1:
             return StateMap(lambda state: self.advance(state, head), live)
         inner = sum(map(self.counts.__getitem__, parts[1:-1]))
-        out, n = self.advance(REST, parts[-1])
+        tail = parts[-1]
+        opened = self.opened.get(tail)
+        if opened is None:
+            opened = self.advance(REST, tail)
+            if len(tail) <= MEMO_CHARS:
+                self.opened[tail] = opened
+        out, n = opened
         inner += n
 
         def step(state: tuple) -> tuple[tuple, int]:
+            if state == REST:  # the head is a whole word
+                return out, (self.counts[head] if head else 0) + inner
             state, n = self.advance(state, head)
             return out, n + self.close(state) + inner
 
@@ -266,7 +276,7 @@ class Transducer:
                 part = bpe.normalise(part)
                 state, n = self.scan(list(self.maps(part)))[-1](REST)
                 total += n + self.close(state)
-        if len(self.keys) > MAX_STATES or len(self.counts) > MEMO_WORDS:
+        if len(self.keys) > MAX_STATES or len(self.counts) + len(self.opened) > MEMO_WORDS:
             self._restart()
         return total
 
