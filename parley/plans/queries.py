@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import defaults as D
+from ..operators import abbreviations as AB
 from ..operators import lexicon as LX
 from ..operators import linear as LN
 from ..operators import report as R
@@ -800,6 +801,18 @@ def q_sentence_documents(spark, sf_dir):
     return S.sentence_rows(documents(spark, sf_dir), "text", ("doc_id",))
 
 
+@register("abbreviation_statistics", """
+WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9.]*')) AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT rtrim(w, '.') AS word, ends_with(w, '.') AS dot FROM f WHERE NOT ends_with(w, '..')),
+c AS (SELECT word, count(*) FILTER (WHERE dot) AS n_dot, count(*) FILTER (WHERE NOT dot) AS n_plain FROM k GROUP BY word),
+s AS (SELECT *, (SELECT count(*) FILTER (WHERE dot) / count(*) FROM k) AS p, length(replace(word, '.', '')) AS len FROM c WHERE n_dot > 0),
+l AS (SELECT *, -2 * (n_dot * (ln(p) - ln(0.99)) + CASE WHEN n_plain > 0 THEN n_plain * (ln(1 - p) - ln(0.01)) ELSE 0 END) AS ll FROM s),
+x AS (SELECT *, ll * exp(-len) * (length(word) - len + 1) * pow(CAST(len AS DOUBLE), -n_plain) AS score FROM l)
+SELECT word, n_dot, n_plain, round(score, 6) + 0.0 AS score, score >= 0.3 AS abbreviation FROM x""")
+def q_abbreviation_statistics(spark, sf_dir):
+    return AB.abbreviation_statistics(documents(spark, sf_dir)).drop("log_likelihood").withColumn("score", r6("score") + 0.0)
+
+
 @register("lexicon_tier_documents",
           f"SELECT doc_id, {Q.lexicon_case('text', P.default_lexicon())} AS emotion_tier FROM documents")
 def q_lexicon_documents(spark, sf_dir):
