@@ -1,12 +1,19 @@
 """Severity tiers from a phrase lexicon of any size (a table, not a ``CASE`` chain).
 
-Every phrase is filed under one anchor: the one of its grams (``GRAM`` characters, a shorter
-phrase whole) that the texts hold least often. Texts are cut into pieces that overlap by the
-longest phrase, and a piece emits only those of its grams that are anchors. They meet the phrases
-in an equi-join, the piece is searched for the phrase itself, and the highest tier stays.
-
-"Is it an anchor" is answered by a bit table of a fixed size, a scalar subquery. It lets
-every anchor pass, and other grams only where their hash falls on the same bit; those find no partner in the join.
+Phrases of up to ``WINDOW`` characters are found by their openings. The opening of a phrase is its
+first 1, 2, 4, 8, ... characters, the largest such number that it has. Texts are cut into pieces; at
+every place a window as long as the longest such phrase is looked at. Where the
+window begins with an opening, those of its beginnings that may be phrases are emitted, no text
+around them, and meet the phrases in an equi-join; the highest tier stays.
+
+"May it be an opening, or a phrase" is answered by a bit table of a fixed size, a scalar subquery, with two
+bits for every string. It lets all of them pass, and others only where both bits happen to be
+set; those find no partner in the join.
+
+A longer phrase is filed under one anchor: the one of its grams of ``LONG_GRAM`` characters that the
+texts hold least often. Pieces that overlap by the longest phrase emit those of their grams that are
+anchors, meet the phrases in an equi-join and are searched for the phrase itself.
+``phrase_anchors`` gives the anchors of any phrases.
 """
 
 from __future__ import annotations
@@ -16,8 +23,12 @@ from pyspark.sql import functions as F
 
 from .sequence import shared
 
-#: Characters of an anchor, least length of a piece, bits of the anchor table (512 KB).
-GRAM, PIECE, BITS = 5, 256, 1 << 22
+#: Characters of an anchor, least length of a piece, bits of the table (16 MB).
+GRAM, PIECE, BITS = 5, 256, 1 << 27
+#: Characters of the longest phrase that is found by its opening, and of the anchor of a longer one.
+WINDOW, LONG_GRAM = 63, 32
+#: Words of 64 bits that one row holds while the table is gathered.
+CHUNK = 1 << 11
 
 
 def _grams(rows: DataFrame, text: str) -> DataFrame:
@@ -27,25 +38,33 @@ def _grams(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("gram", F.explode(F.regexp_extract_all(F.col(text), pattern, 1))).drop("_len")
 
 
-def _bit(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+def _bits(hashed: Column) -> list[Column]:
+    return [F.pmod(hashed, F.lit(BITS)), F.pmod(F.shiftright(hashed, 32), F.lit(BITS))]
 
 
 def _bit_table(grams: DataFrame) -> Column:
     """The bits of ``gram`` as one array of 64-bit words (a scalar subquery)."""
-    words = (grams.select(_bit(F.col("gram")).alias("b"))
+    words = (grams.select(F.explode(F.array(*_bits(F.xxhash64("gram")))).alias("b"))
              .select(F.expr("b div 64").alias("i"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("w"))
              .groupBy("i").agg(F.expr("bit_or(w)").alias("w")))
-    all_words = grams.sparkSession.range(BITS // 64).join(words, F.col("id") == F.col("i"), "left")
-    return all_words.agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"])
-        .alias("bits")).scalar()
+    ordered = lambda at, value: F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda x: x[value])
+    all_words = (grams.sparkSession.range(BITS // 64).join(words, F.col("id") == F.col("i"), "left")
+                 .select("id", F.coalesce("w", F.lit(0).cast("long")).alias("w"))
+                 .groupBy(F.expr(f"id div {CHUNK}").alias("chunk")).agg(ordered("id", "w").alias("ws")))
+    return all_words.agg(F.flatten(ordered("chunk", "ws")).alias("bits")).scalar()
 
 
 def _has_bit(table: Column, gram: str) -> Column:
-    b = _bit(F.col(gram))
-    word = F.get(table, F.shiftright(b, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return _has_bits(table, F.xxhash64(gram))
+
+
+def _has_bits(table: Column, hashed: Column) -> Column:
+    def one(b: Column) -> Column:
+        word = F.get(table, F.shiftright(b, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63).cast("long")).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    first, second = _bits(hashed)
+    return one(first) & one(second)
 
 
 def _pieces(texts: DataFrame, key: str, text: str, longest: Column) -> DataFrame:
@@ -63,17 +82,22 @@ def _pieces(texts: DataFrame, key: str, text: str, longest: Column) -> DataFrame
 def phrase_anchors(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``phrase, tier, gram, n``: the index. ``n`` counts the anchor's occurrences in
     the pieces of the texts; a phrase with a gram that no text holds cannot occur and is left out."""
-    return _anchors(*_prepare(texts, phrases, key, text)[:3])
+    return _anchors(*_prepare(texts, phrases, key, text))
 
 
 def _prepare(texts: DataFrame, phrases: DataFrame, key: str, text: str):
     # read by the lengths, the grams and the tier of the empty phrase
     lex = shared(phrases.where("phrase IS NOT NULL AND tier IS NOT NULL").groupBy("phrase").agg(F.max("tier").alias("tier")))
-    some = lex.where("phrase != ''").withColumn("_len", F.least(F.length("phrase"), F.lit(GRAM)))
+    return _filed(texts, lex.where("phrase != ''"), key, text, GRAM)
+
+
+def _filed(texts: DataFrame, lex: DataFrame, key: str, text: str, gram: int):
+    some = lex.withColumn("_len", F.least(F.length("phrase"), F.lit(gram)))
     longest = lex.agg(F.greatest(F.coalesce(F.max(F.length("phrase")), F.lit(1)), F.lit(1)).alias("n")).scalar()
-    lengths = some.agg(F.collect_set("_len").alias("n")).scalar()  # at most GRAM numbers
-    pieces = _pieces(texts, key, text, longest)
-    return some, pieces, lengths, lex
+    lengths = some.agg(F.collect_set("_len").alias("n")).scalar()  # at most as many numbers as a gram has characters
+    # without phrases no text is cut
+    pieces = _pieces(texts.where(F.size(lengths) > 0), key, text, longest)
+    return some, pieces, lengths
 
 
 def _text_grams(pieces: DataFrame, lengths: Column) -> DataFrame:
@@ -89,6 +113,40 @@ def _anchors(some: DataFrame, pieces: DataFrame, lengths: Column) -> DataFrame:
     return rarest.select("phrase", "tier", F.col("a.gram").alias("gram"), F.col("a.n").alias("n")).where("n > 0")
 
 
+def _by_anchor(texts: DataFrame, lex: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tier`` of the long phrases that a text holds."""
+    some, pieces, lengths = _filed(texts, lex, key, text, LONG_GRAM)
+    anchors = shared(_anchors(some, pieces, lengths))  # read by the bit table and the join
+    emitted = _text_grams(pieces, lengths).where(_has_bit(_bit_table(anchors.select("gram")), "gram"))
+    return emitted.join(anchors, "gram").where(F.contains("piece", "phrase")).select(key, "tier")
+
+
+def _openings(lex: DataFrame) -> DataFrame:
+    """``phrase, tier, gram``: phrases of up to ``WINDOW`` characters and their openings."""
+    n = F.length("phrase")
+    size = F.greatest(*[F.when(n >= 1 << k, F.lit(1 << k)).otherwise(0) for k in range(WINDOW.bit_length())])
+    return lex.withColumn("gram", F.left("phrase", size))
+
+
+def _candidates(texts: DataFrame, opened: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, phrase``: beginnings of the windows of the texts, all those among them that are phrases."""
+    # the sizes of the openings and the lengths of their phrases, at most WINDOW numbers
+    sizes = (opened.groupBy(F.length("gram").alias("size")).agg(F.collect_set(F.length("phrase")).alias("lengths"))
+             .agg(F.collect_list(F.struct("size", "lengths")).alias("n")).scalar())
+    longest = opened.agg(F.coalesce(F.max(F.length("phrase")), F.lit(1)).alias("n")).scalar()
+    table = _bit_table(opened.select("gram").unionByName(opened.select(F.col("phrase").alias("gram"))))
+    pieces = _pieces(texts.where(F.size(sizes) > 0), key, text, longest)
+    # a match takes up one character, so that none is cut in two; the places behind the step are the next piece's
+    pattern = F.concat(F.lit("(?s)(?=(.{1,"), longest.cast("string"), F.lit("}))."))
+    windows = F.slice(F.regexp_extract_all("piece", pattern, 1), F.lit(1), F.greatest(F.lit(PIECE), longest))
+    places = pieces.select(key, F.explode(windows).alias("_window"))
+    # an explode of one value, so that the filters behind it read the value and don't cut the string each time
+    begun = (places.select("*", F.explode(sizes).alias("_s"))
+             .select("*", F.explode(F.array(F.xxhash64(F.expr("left(_window, _s.size)")))).alias("_hash")).where(_has_bits(table, F.col("_hash"))))
+    return (begun.select(key, "_window", F.explode("_s.lengths").alias("_n")).where(F.col("_n") <= F.length("_window"))
+            .select(key, F.explode(F.array(F.expr("left(_window, _n)"))).alias("phrase")).where(_has_bit(table, "phrase")))
+
+
 def indexed_lexicon_tiers(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, emotion_tier``: per key the highest tier of a phrase that its lower-cased text contains,
     1 if none does; ``phrases`` is a table ``phrase, tier`` (int).
@@ -97,12 +155,12 @@ def indexed_lexicon_tiers(texts: DataFrame, phrases: DataFrame, key: str, text:
     in every text; null phrases or tiers are left out, a phrase with several tiers counts with
     the highest; rows that share a key (null is one) give one row with their highest tier.
     """
-    some, pieces, lengths, lex = _prepare(texts, phrases, key, text)
-    anchors = shared(_anchors(some, pieces, lengths))  # read by the bit table and the join
-    table = _bit_table(anchors.select("gram"))
-    emitted = _text_grams(pieces, lengths).where(_has_bit(table, "gram"))
-    found = (emitted.join(anchors, "gram").where(F.contains("piece", "phrase"))
-             .select(key, F.col("tier").cast("int").alias("emotion_tier")))
+    # read by the openings, the lengths, the bit table and the joins
+    lex = shared(phrases.where("phrase IS NOT NULL AND tier IS NOT NULL").groupBy("phrase").agg(F.max("tier").alias("tier")))
+    opened = _openings(lex.where((F.col("phrase") != "") & (F.length("phrase") <= WINDOW)))
+    short = _candidates(texts, opened, key, text).join(opened.select("phrase", "tier"), "phrase").select(key, "tier")
+    long = _by_anchor(texts, lex.where(F.length("phrase") > WINDOW), key, text)
+    found = short.unionByName(long).select(key, F.col("tier").cast("int").alias("emotion_tier"))
     least = lex.where("phrase = ''").agg(F.coalesce(F.max("tier"), F.lit(1)).cast("int").alias("n")).scalar()
     return (texts.select(key, least.alias("emotion_tier")).unionByName(found)
             .groupBy(key).agg(F.max("emotion_tier").alias("emotion_tier")))

@@ -59,3 +59,22 @@ def test_anchor_is_the_rarest_gram(spark):
         df, spark.createDataFrame([("the zoo", 5), ("the sea", 5), ("in", 2)], PHRASES), "k").collect()}
     assert set(index) == {"the zoo", "in"}                # "the sea" has a gram that no text holds
     assert index["the zoo"][1] == 1 and index["in"] == ("in", 21)
+
+
+def test_texts_emit_the_phrases_they_hold_and_nothing_around_them(spark):
+    text = "so well then the house by the sea is old " * 40
+    lexicon = spark.createDataFrame([("the house", 3), ("the sea", 4), ("the house by the", 5), ("by the lake", 5)], PHRASES)
+    rows = L._candidates(spark.createDataFrame([(1, text), (2, None)], SCHEMA), L._openings(lexicon), "k", "text")
+    assert rows.columns == ["k", "phrase"]
+    assert {(r.k, r.phrase): r["count"] for r in rows.groupBy("k", "phrase").count().collect()} == {
+        (1, p): 40 for p in ("the house", "the sea", "the house by the")}
+
+
+def test_all_lengths_of_phrases(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab😀é ?") for _ in range(700))) for i in range(4)]
+    lengths = [1, 2, 3, 4, 7, 8, 9, 16, 31, 32, 62, 63, 64, 65, 130, 300]
+    lexicon = {5: [t[k * 17:k * 17 + n] for _, t in texts[:2] for k, n in enumerate(lengths[6:])], 4: ["? ?" * 4, "?b?a", "a" * 64],
+               3: [texts[2][1][-n:] for n in lengths[4:]], 2: [texts[3][1][5:5 + n] for n in lengths]}
+    df = spark.createDataFrame([*texts, (9, "b" * 63 + "a" * 64), (10, "")], SCHEMA)
+    assert by_index(spark, df, [(p, t) for t, ps in lexicon.items() for p in ps]) == by_chain(df, lexicon)
