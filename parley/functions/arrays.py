@@ -58,4 +58,5 @@ def dot(a, b) -> Column:
 def l2_normalize(c) -> Column:
     arr = as_double_array(c)
     norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(arr, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+    # an array of one norm, so that it is summed up once and not for every entry
+    return F.transform(F.array(norm), lambda n: F.transform(arr, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0))))[0]

@@ -1,10 +1,12 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from parley.operators import evaluate as EV
 
@@ -186,3 +188,35 @@ def test_embedding_scores_against_numpy(spark):
         r = spark.createDataFrame([x for s, t in refs.items() for x in rows(t, (s,), weighted)], schema)
         got = {x.model: (x.value, x.n_pairs) for x in EV.embedding_scores(c, r, "session_id").collect()}
         assert got == want
+
+
+def test_norm_is_summed_up_once(spark):
+    """The sum over the entries stands outside the function that is called for every entry."""
+    from parley.functions import arrays as A
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), (None,)], "v array<double>")
+    out = df.select(A.l2_normalize("v").alias("u"))
+    assert [r.u for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0], None]
+    entries = 3000  # once for every entry: nine million steps a row, minutes for these rows
+    rows = spark.range(200).select(A.l2_normalize(F.transform(F.sequence(F.lit(1), F.lit(entries)), lambda i: i.cast("double"))).alias("u"))
+    start = time.monotonic()
+    assert rows.agg(F.sum(F.size(F.filter("u", lambda x: x > 0)))).first()[0] == 200 * entries
+    assert time.monotonic() - start < 30
+
+
+def test_match_carries_vectors_as_given_and_meets_blocks_once(spark):
+    schema = "pair_id int, token_id long, vector array<float>, weight long"
+    c = spark.createDataFrame([(0, i, [float(i + 1), 1.0], 1) for i in range(40)], schema)
+    r = spark.createDataFrame([(0, i, [1.0, float(i)], 2) for i in range(30)] + [(1, 5, [1.0, 1.0], 1)], schema)
+    out = EV.embedding_match(c, r, block=8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array<double>" not in plan.split("ArrowEvalPython")[1]
+    assert [x.pair_id for x in out.collect()] == [0]
+
+
+def test_null_vectors_match_nothing(spark):
+    schema = "pair_id int, token_id long, vector array<double>"
+    c = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, None), (1, 1, None)], schema)
+    r = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, None), (0, 3, [0.0, 1.0]), (1, 1, [1.0, 0.0])], schema)
+    got = {x.pair_id: (x.precision, x.recall, x.f1) for x in EV.embedding_match(c, r).collect()}
+    assert got == {0: (1.0, 0.5, pytest.approx(2 / 3)), 1: (None, None, 0.0)}
