@@ -10,7 +10,7 @@ given by the session's own words that weigh most in it.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
 from pyspark.ml.functions import vector_to_array
@@ -56,7 +56,9 @@ def fit_topic_model(docs: DataFrame, k: int = D.TOPIC_COUNT, buckets: int = BUCK
     counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], inputCol="_hashed", outputCol="_counts")
     lda = LDA(k=k, seed=seed, optimizer="online", maxIter=max_iter, featuresCol="_counts",
               topicDistributionCol="_topics", subsamplingRate=subsampling_rate)
-    return Pipeline(stages=[named, counts, lda]).fit(docs)
+    # every iteration reads the counts; they are hashed and looked up once
+    counted = shared(counts.transform(named.transform(docs.select("_terms"))).select("_counts"))
+    return PipelineModel(stages=[named, counts, lda.fit(counted)])
 
 
 def bucket_weights(model) -> DataFrame:
@@ -75,7 +77,8 @@ def session_topics(segment_docs: DataFrame, k: int = D.TOPIC_COUNT, n_words: int
     ``min(k, segments)`` strongest topics. ``words`` are the ``n_words`` terms of the session with the
     largest product of their number in the session and their column's weight in the topic, ties
     alphabetical. Sessions without any term get no topics."""
-    segment_docs = shared(session_terms(segment_docs, text, max_features, stop_words))
+    # the texts are not carried along
+    segment_docs = shared(session_terms(segment_docs, text, max_features, stop_words).select("session_id", "segment_id", "_terms"))
     model = model or fit_topic_model(segment_docs, k, **fit_kw)
     scored = model.transform(segment_docs)
     has_terms = F.size("_terms") > 0

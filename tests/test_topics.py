@@ -39,3 +39,18 @@ def test_empty_table(spark):
     d = docs(spark)
     model = TP.fit_topic_model(TP.session_terms(d), k=2, buckets=64, max_iter=2)
     assert TP.session_topics(d.limit(0), k=2, model=model).count() == 0
+
+
+def test_fit_reads_counts_made_once_and_no_texts(spark, monkeypatch):
+    """The model is fitted on held count vectors alone, with the same result as stage by stage."""
+    from pyspark.ml.clustering import LDA
+
+    seen, fit = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df, *a: seen.append((df.columns, df.is_cached)) or fit(self, df, *a))
+    terms = TP.session_terms(docs(spark))
+    model = TP.fit_topic_model(terms, k=2, buckets=64, max_iter=2)
+    assert seen == [(["_counts"], True)]
+    plain = fit(LDA(k=2, seed=TP.D.LDA_SEED, optimizer="online", maxIter=2, featuresCol="_counts",
+                    topicDistributionCol="_topics", subsamplingRate=1.0),
+                model.stages[1].transform(model.stages[0].transform(terms)))
+    assert (model.stages[2].topicsMatrix().toArray() == plain.topicsMatrix().toArray()).all()
