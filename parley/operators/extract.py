@@ -17,7 +17,7 @@ length per word occurrence, never one per sentence pair.
 TextRank is the power method on ``(1-d)/n + d * W / (rowsum + 1e-7)`` from the
 uniform vector until the change is at most ``epsilon``, per session. Sessions
 up to a checked size (sentences and words) run it with numpy inside
-``applyInPandas`` (the group size is checked first); larger sessions run the
+``applyInArrow`` (the group size is checked first); larger sessions run the
 same iteration as Spark joins and aggregates, checkpointing every step.
 """
 
@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,36 +78,59 @@ def sentence_graph(sentences: DataFrame, key: str = "session_id") -> DataFrame:
 
 # ------------------------------------------------------------------ local path
 
-def _textrank_numpy(pos: np.ndarray, words: list, damping: float, epsilon: float) -> np.ndarray:
-    """Power-method ranks for one session (dense n x n, exact as the distributed path).
-
-    Shared-word counts come from per-word postings (sentence ids and counts),
-    so memory is the n x n matrix only, never n x vocabulary."""
-    n = len(pos)
-    postings: dict = {}
-    for i, ws in enumerate(words):
-        for w in ws:
-            row = postings.setdefault(w, {})
-            row[i] = row.get(i, 0) + 1
-    shared = np.zeros((n, n))
-    for row in postings.values():
-        idx = np.fromiter(row.keys(), dtype=np.int64)
-        cnt = np.fromiter(row.values(), dtype=float)
-        shared[np.ix_(idx, idx)] += np.outer(cnt, cnt)
-    lens = np.array([len(ws) for ws in words], dtype=float)
-    with np.errstate(divide="ignore"):
-        logs = np.where(lens > 0, np.log(np.maximum(lens, 1)), 0.0)
+#: A word in sentences of more lengths than this is a row of a dense matrix, others are lists of pairs of lengths.
+COMMON_WORD = 16
+
+
+def _graph_product(lens: np.ndarray, ids: np.ndarray):
+    """The function ``x -> W x`` of one session, factored as in the module's doc.
+
+    ``A_x`` is held for the words and lengths that occur together. Words of few lengths combine them by pairs (at most ``COMMON_WORD``
+    for each of their places), others as rows of a matrix with a column per length, of which
+    ``w`` words in all allow ``sqrt(2 w)``: no n x n matrix, and memory follows the words."""
+    n = len(lens)
+    lengths, length = np.unique(lens, return_inverse=True)
+    entry, count = np.unique(ids.astype(np.int64) * n + np.repeat(np.arange(n), lens), return_counts=True)
+    sentence, count = entry % n, count.astype(float)
+    slots, slot = np.unique(entry // n * len(lengths) + length[sentence], return_inverse=True)
+    column = slots % len(lengths)
+    begin = np.flatnonzero(np.diff(slots // len(lengths), prepend=-1))
+    held = np.diff(begin, append=len(slots))
+    logs = np.log(np.maximum(lengths, 1))
     norm = logs[:, None] + logs[None, :]
-    both_one = (lens[:, None] == 1) & (lens[None, :] == 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w = np.where(shared == 0, 0.0, np.where(both_one, shared, shared / np.where(norm == 0, 1.0, norm)))
-    w = w / (w.sum(axis=1)[:, None] + ZERO_DIVISION_PREVENTION)
-    m = np.full((n, n), (1.0 - damping) / n) + damping * w
-    mt = m.T
+    factor = np.where(norm == 0, 1.0, 1.0 / np.where(norm == 0, 1.0, norm))  # both of one word: the count itself
+    few = held <= COMMON_WORD
+    pairs = held[few] ** 2
+    k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    first, size = np.repeat(begin[few], pairs), np.repeat(held[few], pairs)
+    i, j = first + k // size, first + k % size
+    weight = factor[column[i], column[j]]
+    common = np.flatnonzero(np.repeat(~few, held))
+    row, column = np.repeat(np.cumsum(~few) - 1, held)[common], column[common]
+
+    def product(x: np.ndarray) -> np.ndarray:
+        a = np.bincount(slot, weights=count * x[sentence], minlength=len(slots))
+        g = np.bincount(i, weights=weight * a[j], minlength=len(slots))
+        if len(common):
+            dense = np.zeros((row[-1] + 1, len(lengths)))
+            dense[row, column] = a[common]
+            g[common] = (dense @ factor)[row, column]
+        return np.bincount(sentence, weights=count * g[slot], minlength=n)
+
+    return product
+
+
+def _textrank_numpy(lens: np.ndarray, ids: np.ndarray, damping: float, epsilon: float) -> np.ndarray:
+    """Power-method ranks for one session (the distributed path's iteration).
+
+    ``lens`` are the sentences' numbers of words, ``ids`` numbers for their words, one sentence after the other."""
+    n = len(lens)
+    product = _graph_product(lens, ids)
+    degree = product(np.ones(n))
     p = np.full(n, 1.0 / n)
     lam = 1.0
     while lam > epsilon:
-        nxt = mt @ p
+        nxt = (1.0 - damping) / n * p.sum() + damping * product(p / (degree + ZERO_DIVISION_PREVENTION))
         lam = float(np.linalg.norm(nxt - p))
         p = nxt
     return p
@@ -116,14 +141,15 @@ def _local_ranks(sentences: DataFrame, key: str, damping: float, epsilon: float)
     key_type = dict(sentences.dtypes)[key]
     schema = f"{key} {key_type}, sent_pos int, rank double"
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sent_pos")
-        ranks = _textrank_numpy(pdf["sent_pos"].to_numpy(), list(pdf["words"]), damping, epsilon)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "sent_pos": pdf["sent_pos"].to_numpy().astype("int32"),
-                             "rank": ranks})
+    def fn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sent_pos")
+        words = table.column("words").combine_chunks()
+        ranks = _textrank_numpy(pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode().indices.to_numpy(),
+                                damping, epsilon)
+        return pa.table({key: table.column(key), "sent_pos": table.column("sent_pos").cast(pa.int32()), "rank": ranks})
 
     d = sentences.select(key, "sent_pos", T.graph_words("sentence").alias("words"))
-    return d.groupBy(key).applyInPandas(fn, schema)
+    return d.groupBy(key).applyInArrow(fn, schema)
 
 
 # ------------------------------------------------------------------ distributed path
@@ -171,13 +197,13 @@ def _distributed_ranks(sentences: DataFrame, key: str, damping: float, epsilon:
 
 
 def textrank_ranks(sentences: DataFrame, key: str = "session_id", damping: float = D.TEXTRANK_DAMPING,
-                   epsilon: float = D.TEXTRANK_EPSILON, local_max_sentences: int = 2048,
+                   epsilon: float = D.TEXTRANK_EPSILON, local_max_sentences: int = 200_000,
                    local_max_words: int = 200_000) -> DataFrame:
     """``(key, sent_pos, rank)``: stationary TextRank score of each sentence.
 
     A session goes to the numpy path only when it has at most
-    ``local_max_sentences`` sentences (an n x n matrix of at most 32 MB at the
-    default) and ``local_max_words`` words; all others run distributed."""
+    ``local_max_sentences`` sentences and ``local_max_words`` words (its
+    memory is linear in both); all others run distributed."""
     size = sentences.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_words").alias("_w"))
     fits = (F.col("_n") <= local_max_sentences) & (F.col("_w") <= local_max_words)
     small = sentences.join(size.filter(fits).select(key), key, "left_semi")

@@ -41,7 +41,7 @@ def extract_features(utterances: DataFrame, segmented: DataFrame, lexicon=None,
 
 
 def run(utterances: DataFrame, lexicon=None, model=None, rules=None, fallback: str = D.FALLBACK_SECTION,
-        references: DataFrame | None = None, token_vectors: tuple[DataFrame, DataFrame] | None = None, threshold: float = D.SEGMENT_THRESHOLD,
+        references: DataFrame | None = None, token_vectors: tuple[DataFrame, ...] | None = None, threshold: float = D.SEGMENT_THRESHOLD,
         topic_method: str = "lda", generator=None, role_keywords=None, fillers=None) -> dict[str, DataFrame]:
     """Run every stage; returns the result tables by name.
 

@@ -220,3 +220,29 @@ def test_null_vectors_match_nothing(spark):
     r = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, None), (0, 3, [0.0, 1.0]), (1, 1, [1.0, 0.0])], schema)
     got = {x.pair_id: (x.precision, x.recall, x.f1) for x in EV.embedding_match(c, r).collect()}
     assert got == {0: (1.0, 0.5, pytest.approx(2 / 3)), 1: (None, None, 0.0)}
+
+
+def test_vectors_apart_match_as_vectors_in_the_rows(spark):
+    """Also with references of more blocks than meet the candidates at once."""
+    rng = np.random.default_rng(5)
+    table = [[float(x) for x in rng.normal(size=4)] for _ in range(50)] + [None, [0.0] * 4, [1.0, None, 1.0, 1.0]]
+    vectors = spark.createDataFrame(list(enumerate(table)), "place long, vector array<double>")
+    schema = "pair_id int, token_id long, place long, weight long"
+    side = lambda n: spark.createDataFrame([(p, t, int(rng.integers(0, len(table))), int(rng.integers(1, 4)))
+                                            for p, k in enumerate((n, 3, 0 if n > 100 else 2)) for t in range(k)], schema)
+    c, r = side(40), side(200)
+    apart = EV.embedding_match(c, r, block=4, vectors=vectors)
+    joined = EV.embedding_match(*(x.join(vectors, "place").drop("place") for x in (c, r)), block=4)
+    got, want = ({x.pair_id: x for x in df.collect()} for df in (apart, joined))
+    assert set(got) == set(want) == {0, 1}
+    for p in got:
+        assert [got[p][m] for m in ("precision", "recall", "f1")] == pytest.approx([want[p][m] for m in ("precision", "recall", "f1")])
+
+
+def test_pairs_of_one_partition_are_dealt_to_all_tasks(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(EV, "shared", lambda df: kept.append(df) or df)
+    preds = spark.createDataFrame([("m", i, f"w{i} a b") for i in range(40)], "model string, session_id int, prediction string").coalesce(1)
+    refs = spark.createDataFrame([(i, f"w{i} a c") for i in range(40)], "session_id int, reference string").coalesce(1)
+    assert EV.evaluate_models(refs, preds).where("metric = 'ROUGE-1'").first().value == 66.7
+    assert kept[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

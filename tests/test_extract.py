@@ -81,3 +81,31 @@ def test_summary_picks_top_three_in_text_order(spark):
     parts = ["the cat sat.", "the cat ran away fast.", "dogs bark.", "cat.", "cat.", "the dog and the cat play!"]
     chosen = [p for p in parts if p in got["a"]]
     assert got["a"].startswith(chosen[0])
+
+
+def test_long_session_runs_in_numpy(spark, monkeypatch):
+    """Thousands of sentences take no n x n matrix, so that they need not go through Spark's iteration."""
+    rng = np.random.default_rng(3)
+    words = [[f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in rng.integers(0, 60 if i % 3 else 400, i % 23 + 1)] for i in range(2100)]
+    sents = spark.createDataFrame([(1, i, " ".join(w), len(w)) for i, w in enumerate(words)],
+                                  "session_id long, sent_pos int, sentence string, n_words long")
+
+    def refuse(*a, **k):
+        raise AssertionError("a session of 2,100 sentences fits numpy")
+
+    monkeypatch.setattr(X, "_distributed_ranks", refuse)
+    got = {r.sent_pos: r.rank for r in X.textrank_ranks(sents).collect()}
+    ids = {w: k for k, w in enumerate(sorted({w for s in words for w in s}))}
+    counts = np.zeros((len(words), len(ids)))
+    for i, s in enumerate(words):
+        for w in s:
+            counts[i, ids[w]] += 1
+    logs = np.log([len(s) for s in words])
+    norm = logs[:, None] + logs[None, :]
+    m = counts @ counts.T / np.where(norm == 0, 1.0, norm)
+    m = 0.15 / len(words) + 0.85 * m / (m.sum(axis=1, keepdims=True) + X.ZERO_DIVISION_PREVENTION)
+    p, lam = np.full(len(words), 1 / len(words)), 1.0
+    while lam > 1e-4:
+        p, last = m.T @ p, p
+        lam = np.linalg.norm(p - last)
+    assert [got[i] for i in range(len(words))] == pytest.approx(list(p), abs=1e-12)
