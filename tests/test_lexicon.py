@@ -78,3 +78,38 @@ def test_all_lengths_of_phrases(spark):
                3: [texts[2][1][-n:] for n in lengths[4:]], 2: [texts[3][1][5:5 + n] for n in lengths]}
     df = spark.createDataFrame([*texts, (9, "b" * 63 + "a" * 64), (10, "")], SCHEMA)
     assert by_index(spark, df, [(p, t) for t, ps in lexicon.items() for p in ps]) == by_chain(df, lexicon)
+
+
+def test_texts_first_emit_the_phrases_of_their_highest_tier_once(spark):
+    df = spark.createDataFrame([(1, "so well then the house by the sea is old " * 40), (2, None), (3, "the sea " * 9)], SCHEMA)
+    lexicon = spark.createDataFrame([("the house", 3), ("the sea", 4), ("house by the", 5), ("is old so", 5), ("by the lake", 5)], PHRASES)
+    rows = L._scan(df, L._index(L._openings(lexicon)), "k", "text", highest=True)
+    # text 3 holds phrases of one tier alone, none is left out
+    assert sorted((r.k, r.phrase, r.least) for r in rows.collect()) == [(1, "house by the", 5), (1, "is old so", 5), (3, "the sea", None)]
+
+
+def test_phrases_across_blocks_but_not_across_rows(spark):
+    df = spark.createDataFrame([(i, "x" * (L.BLOCK - i) + "needle" + "y" * (2 * L.BLOCK)) for i in range(8)] + [(8, "nee"), (9, "dle")], SCHEMA)
+    lexicon = {5: ["needle"], 4: ["xneedley"], 2: ["neey"]}
+    assert by_index(spark, df.coalesce(1), [(p, t) for t, ps in lexicon.items() for p in ps]) == {i: 5 if i < 8 else 1 for i in range(10)}
+
+
+def test_a_table_too_full_to_tell_costs_no_right_row(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_WORDS", L.LEAST_WORDS)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    tiers = {word(): rng.choice([1, 2, 2, 3, 5, 9]) for _ in range(60_000)}
+    some = list(tiers)
+    texts = [(i % 50 or None, " ".join(word() if rng.random() < 0.8 else rng.choice(some) for _ in range(i % 7))) for i in range(60)]
+    expected = {}
+    for k, text in texts:
+        held = [tiers[text[i:i + 12]] for i in range(len(text)) if text[i:i + 12] in tiers]
+        expected[k] = max([expected.get(k, 1), *held])
+    assert by_index(spark, spark.createDataFrame(texts, SCHEMA), list(tiers.items())) == expected
+
+
+def test_many_tiers(spark):
+    tiers = {f"phrase {i:03}.": i for i in range(200)}
+    texts = [(i, " ".join(f"Phrase {j:03}." for j in range(i % 13, i + 1, 7))) for i in range(200)]
+    expected = {k: max([1, *[t for p, t in tiers.items() if p in text.lower()]]) for k, text in texts}
+    assert by_index(spark, spark.createDataFrame(texts, SCHEMA), list(tiers.items())) == expected
