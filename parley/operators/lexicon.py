@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from ..functions.binary import bytes_of
 from ..session import ship_package
 from .sequence import shared
 
@@ -70,15 +71,16 @@ def _gather(rows: DataFrame) -> DataFrame:
 
 
 def _bit_table(grams: DataFrame) -> Column:
-    """The bits of ``gram`` as one array of 64-bit words (a scalar subquery)."""
+    """The bits of ``gram`` as one array of 64-bit words (a scalar subquery); empty if there is none."""
     bits = grams.select(F.explode(F.array(*_bits(F.xxhash64("gram")))).alias("b")).distinct()
     chunks = _gather(bits.select(F.expr(f"b div {64 * CHUNK}").alias("chunk"), F.expr(f"b div 64 % {CHUNK}").alias("at"),
                                  F.expr("shiftleft(1L, cast(b % 64 as int))").alias("w")))
     ordered = F.sort_array(F.collect_list(F.struct("id", "ws")))
     none = F.array_repeat(F.lit(0).cast("long"), CHUNK)
     every = grams.sparkSession.range(BITS // 64 // CHUNK).join(chunks, F.col("id") == F.col("chunk"), "left")
-    return (every.select("id", F.coalesce("ws", none).alias("ws"))
-            .agg(F.flatten(F.transform(ordered, lambda x: x["ws"])).alias("bits")).scalar())
+    words = every.agg(F.count("chunk").alias("n"), ordered.alias("all"))
+    filled = F.transform(F.filter("all", lambda x: F.col("n") > 0), lambda x: F.coalesce(x["ws"], none))
+    return words.select(F.flatten(filled).alias("bits")).scalar()
 
 
 def _has_bit(table: Column, gram: str) -> Column:
@@ -198,14 +200,6 @@ class _Hashes:
         return out
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column without nulls, and the places where its rows end, the first one's start before them."""
-    wide = pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data or b"", np.uint8), ends
-
-
 def _group_of(tier: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The number of the group that a tier is in; ``bounds`` are the groups' lowest tiers."""
     return np.searchsorted(bounds, tier, side="right") - 1
@@ -233,7 +227,7 @@ def _index(opened: DataFrame) -> DataFrame:
             if hashes is None:
                 known = batch.column("_about")[0].as_py()
                 hashes, bounds = _Hashes(known["words"]), np.array(known["bounds"], np.int64)
-            data, ends = _bytes_of(batch.column("phrase"))
+            data, ends = bytes_of(batch.column("phrase"))
             groups = _group_of(batch.column("tier").to_numpy(), bounds)
             for first in range(0, batch.num_rows, BLOCK // WINDOW):
                 edge = ends[first:first + BLOCK // WINDOW + 1]
@@ -338,7 +332,7 @@ def _scan(texts: DataFrame, index: DataFrame, key: str, text: str, highest: bool
             if not batch.num_rows:
                 continue
             scan = scan or _Scan(batch.column("_index")[0])
-            data, ends = _bytes_of(batch.column("_bytes"))
+            data, ends = bytes_of(batch.column("_bytes"))
             if highest:
                 kept = []
                 best, worst = np.full(batch.num_rows, -1), np.full(batch.num_rows, len(scan.bounds))

@@ -830,8 +830,7 @@ PHRASE_TIER = """CASE WHEN length({p}) % 16 = 0 THEN 5 WHEN length({p}) % 16 < 3
 
 def phrase_table(docs: DataFrame) -> DataFrame:
     """A large lexicon as input: every 25th run of three words of a-z of each document, graded by its length."""
-    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+ [a-z]+"), 0)
-    phrases = docs.select(F.explode(F.filter(runs, lambda x, i: i % 25 == 0)).alias("phrase")).distinct()
+    phrases = TD.word_runs(docs, "text", 25).distinct()
     return phrases.withColumn("tier", F.expr(PHRASE_TIER.format(p="phrase")))
 
 

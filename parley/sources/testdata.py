@@ -10,11 +10,15 @@ query grows with these tables.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..functions.binary import bytes_of
+from ..session import ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +78,51 @@ def class_probabilities(spark: SparkSession, sf_dir: str, scale: float = 10.0, w
     return client.join(counselor, "pair_id")
 
 
+#: Bytes of text whose words are looked for together; a longer text is looked at alone.
+WORDS_BYTES = 1 << 18
+
+
+def _runs(data: np.ndarray, ends: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs start and end (``word_runs``) in rows that end at ``ends``, the first one's start before them."""
+    letter = (data >= ord("a")) & (data <= ord("z"))
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    edge = ends[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]  # words end with the row
+    first[edge], last[edge - 1] = letter[edge], letter[edge - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    row = np.searchsorted(ends[1:], start, side="right")
+    linked = np.zeros(len(start) + 2, np.bool_)  # to the next word, by one blank
+    linked[:len(start)][:-1] = (start[1:] - stop[:-1] == 1) & (data[stop[:-1]] == ord(" ")) & (row[1:] == row[:-1])
+    number = np.arange(len(start))
+    opens = np.r_[True, ~linked[:len(start)][:-1]][:len(start)]
+    within = number - np.maximum.accumulate(np.where(opens, number, 0))
+    runs = np.flatnonzero((within % 3 == 0) & linked[:-2] & linked[1:-1])
+    # their numbers in the row
+    before = np.searchsorted(row[runs], row[runs], side="left")
+    runs = runs[(np.arange(len(runs)) - before) % every == 0]
+    return start[runs], stop[runs + 2]
+
+
+def word_runs(texts: DataFrame, text: str, every: int, size: int = WORDS_BYTES) -> DataFrame:
+    """``phrase``: the first and every ``every``-th run after it of each lower-cased text. A run is what ``[a-z]+ [a-z]+ [a-z]+``
+    matches, one after the other; words are found in numpy, as the pattern tries each letter of a word anew."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = bytes_of(batch.column("_bytes"))
+            k = 0
+            while k < batch.num_rows:
+                to = max(k + 1, int(np.searchsorted(ends, ends[k] + size, side="right")) - 1)
+                some = data[ends[k]:ends[to]]
+                start, stop = _runs(some, ends[k:to + 1] - ends[k], every)
+                yield pa.RecordBatch.from_arrays([pa.array([some[a:b].tobytes().decode() for a, b in zip(start.tolist(), stop.tolist())], pa.string())], ["phrase"])
+                k = to
+
+    ship_package(texts.sparkSession)
+    return texts.select(F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("_bytes")).mapInArrow(run, "phrase string")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own beside the checkpoints, in the file system that the cluster shares."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

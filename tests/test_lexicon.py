@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley import defaults as D
 from parley.functions import text as T
 from parley.operators import lexicon as L
+from parley.sources import testdata as TD
 
 SCHEMA = "k long, text string"
 PHRASES = "phrase string, tier int"
@@ -113,3 +114,16 @@ def test_many_tiers(spark):
     texts = [(i, " ".join(f"Phrase {j:03}." for j in range(i % 13, i + 1, 7))) for i in range(200)]
     expected = {k: max([1, *[t for p, t in tiers.items() if p in text.lower()]]) for k, text in texts}
     assert by_index(spark, spark.createDataFrame(texts, SCHEMA), list(tiers.items())) == expected
+
+
+@pytest.mark.parametrize("size", [1, 1 << 18])
+def test_word_runs_are_what_the_pattern_matches(spark, size):
+    rng = random.Random(11)
+    words = ["a", "of", "The", "house,", "x.", "9", "é", "b ", "\n", "sea", "by", "İs", "zz-z"]
+    texts = [(i, " ".join(rng.choice(words[:rng.choice([3, 13])]) for _ in range(rng.choice([0, 1, 3, 40, 300])))) for i in range(80)]
+    texts += [(100, None), (101, ""), (102, "ends in "), (103, "one more"), (104, "a b"), (105, " c d e f"), (106, "abc"), (107, "def ghi jkl")]
+    df = spark.createDataFrame(texts, SCHEMA).coalesce(1)
+    for every in (1, 2, 25):
+        runs = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+ [a-z]+"), 0), lambda x, i: i % every == 0)
+        expected = sorted(r[0] for r in df.select(F.explode(runs)).collect())
+        assert sorted(r.phrase for r in TD.word_runs(df, "text", every, size).collect()) == expected and expected
